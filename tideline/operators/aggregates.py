@@ -110,16 +110,16 @@ def auc_ap(df: DataFrame, keys: Sequence[str], score: str, y: str, scale: float
     cut = scan._value_chunks(g, keys, score, None)
     g = scan.running(cut, [("sum", F.col("_n"), "_cn"), ("sum", F.col("_p"), "_cp")], keys, [score],
                      chunk_cols=["_vb", "_vt"])
-    tot = g.groupBy(*keys).agg(F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
+    tot = g.groupBy(*keys).agg(F.sum("_p").alias("_allp"), F.sum("_n").alias("_alln"))
     g = scan.attach(g, tot, keys)
-    above_p = F.col("_P") - F.col("_cp") + F.col("_p")
-    above_n = F.col("_N") - F.col("_cn") + F.col("_n")
+    above_p = F.col("_allp") - F.col("_cp") + F.col("_p")
+    above_n = F.col("_alln") - F.col("_cn") + F.col("_n")
     auc = F.sum(F.col("_p") * (F.col("_cn") - F.col("_n") / 2.0))
     ap = F.sum(F.col("_p") * above_p / (above_p + above_n).cast("double"))
     return g.groupBy(*keys).agg(
-        F.max("_P").alias("n_pos"), F.max("_N").alias("n_neg"),
-        (auc / F.nullif(F.max("_P") * F.max("_N") * 1.0, F.lit(0.0))).alias("auc"),
-        (ap / F.nullif(F.max("_P") * 1.0, F.lit(0.0))).alias("avg_precision"))
+        F.max("_allp").alias("n_pos"), F.max("_alln").alias("n_neg"),
+        (auc / F.nullif(F.max("_allp") * F.max("_alln") * 1.0, F.lit(0.0))).alias("auc"),
+        (ap / F.nullif(F.max("_allp") * 1.0, F.lit(0.0))).alias("avg_precision"))
 
 
 def window_set(windows: DataFrame, keys: Sequence[str], value: str = "net_pct") -> DataFrame:

@@ -74,3 +74,10 @@ def numbered_dates(df: DataFrame, name: str = "k") -> DataFrame:
 def grid_dates(df: DataFrame, step: int, offset: int = 0) -> DataFrame:
     """Every step-th distinct date from the given offset on."""
     return numbered_dates(df, "k").where((F.col("k") >= offset) & ((F.col("k") - offset) % step == 0)).select("ts")
+
+
+def precision_at_k(df: DataFrame, score: str, outcome: str, k: int) -> DataFrame:
+    """Share of the k best-scored symbols of a date that are among its k best outcomes."""
+    a = top_k(df, ["ts"], score, k).select("symbol", "ts")
+    b = top_k(df, ["ts"], outcome, k).select("symbol", "ts", F.lit(1).alias("_hit"))
+    return a.join(b, ["symbol", "ts"], "left").groupBy("ts").agg((F.count("_hit") / float(k)).alias("precision"))

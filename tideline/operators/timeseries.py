@@ -176,7 +176,7 @@ def calendar_moments(df: DataFrame, value: str, hours: Sequence[int], unit_rows:
     def build(d, w):
         by_time = Window.partitionBy("symbol", "_blk").orderBy(F.unix_timestamp("ts"))
         for h in hours:
-            f = by_time.rangeBetween(-h * 3600 + 1, 0)
+            f = by_time.rangeBetween(-h * 3600, 0)
             d = d.withColumns({
                 f"mean_{h}h": F.avg(value).over(f),
                 f"std_{h}h": F.stddev_pop(value).over(f),

@@ -79,15 +79,15 @@ def fills(t: Tables) -> DataFrame:
     j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         t.part, F.col("l_partkey") == F.col("p_partkey")
     )
-    qty, px = F.col("l_quantity"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
+    qty, cost = F.col("l_quantity"), F.col("l_extendedprice")
     return j.select(
         F.col("o_custkey").alias("account"),
         F.col("p_brand").alias("symbol"),
         F.when(F.col("l_linenumber") % 2 == 1, "BUY").otherwise("SELL").alias("action"),
         qty.alias("quantity"),
-        px.alias("price"),
-        (qty * px).alias("cost"),
-        (qty * px * F.col("l_tax")).alias("fee"),
+        (cost / qty).alias("price"),
+        cost.alias("cost"),
+        (cost * F.col("l_tax")).alias("fee"),
         F.when(F.col("l_returnflag") == "R", "REJECTED").otherwise("FILLED").alias("status"),
         F.col("l_shipdate").alias("ts"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax",
@@ -99,8 +99,7 @@ FILL_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "pri
 FILLS = """fills AS (
     SELECT o_custkey AS account, p_brand AS symbol,
       CASE WHEN l_linenumber % 2 = 1 THEN 'BUY' ELSE 'SELL' END AS action, l_quantity AS quantity,
-      round(l_extendedprice / l_quantity, 4) AS price, l_quantity * round(l_extendedprice / l_quantity, 4) AS cost,
-      l_quantity * round(l_extendedprice / l_quantity, 4) * l_tax AS fee,
+      l_extendedprice / l_quantity AS price, l_extendedprice AS cost, l_extendedprice * l_tax AS fee,
       CASE WHEN l_returnflag = 'R' THEN 'REJECTED' ELSE 'FILLED' END AS status, l_shipdate AS ts,
       l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, l_tax
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""

@@ -217,10 +217,10 @@ def _(t):
 
 @query("W24_calendar_range_moments", f"""WITH {v.HOURLY}
 SELECT symbol, ts, {rsql('avg(close) OVER a', 5)} AS mean_24h, {rsql('stddev_pop(close) OVER b', 5)} AS std_168h, count(*) OVER b AS n_168h
-FROM hourly WINDOW a AS ({H} RANGE BETWEEN INTERVAL 86399 SECOND PRECEDING AND CURRENT ROW),
-  b AS ({H} RANGE BETWEEN INTERVAL 604799 SECOND PRECEDING AND CURRENT ROW)""")
+FROM hourly WINDOW a AS ({H} RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW),
+  b AS ({H} RANGE BETWEEN INTERVAL 604800 SECOND PRECEDING AND CURRENT ROW)""")
 def _(t):
-    d = ts.calendar_moments(v.hourly(t), "close", [24, 168], 168)
+    d = ts.calendar_moments(v.hourly(t), "close", [24, 168], 170)
     return d.select("symbol", "ts", rnd("mean_24h", 5).alias("mean_24h"), rnd("std_168h", 5).alias("std_168h"), "n_168h")
 
 
