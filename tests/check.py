@@ -70,6 +70,7 @@ def main(argv):
         t0 = time.time()
         try:
             df = q[n](spark, d)
+            spark.sparkContext.setJobGroup("g", "g", True)
             if n in o:
                 res = compare(df, con, o[n])
             else:

@@ -30,6 +30,17 @@ def as_of(probe: DataFrame, build: DataFrame, keys: Sequence[str], values: Seque
     return out.where(F.col("_side") == 1).select("_p.*", "_hit.*")
 
 
+def as_of_many(probe: DataFrame, build: DataFrame, value: str, offsets_hours: Sequence[int], names: Sequence[str],
+               chunk: str = "month") -> DataFrame:
+    """Value of the build series as of ts + each offset. The offsets become rows, so any number of
+    look-backs and look-aheads is one pass, folded back to one row per (symbol, ts)."""
+    items = F.explode(F.array(*[F.lit(h) for h in offsets_hours])).alias("_h")
+    p = probe.select("symbol", "ts", items).withColumn("_at", F.col("ts") + F.make_dt_interval(hours=F.col("_h")))
+    hit = as_of(p, build.select("symbol", "ts", F.col(value).alias("_v")), ["symbol"], ["_v"], at="_at", chunk=chunk)
+    return hit.groupBy("symbol", "ts").agg(*[F.max(F.when(F.col("_h") == h, F.col("_v"))).alias(n)
+                                             for h, n in zip(offsets_hours, names, strict=True)])
+
+
 def as_of_offset(panel: DataFrame, value: str, offset: str, name: str, chunk: str = "month") -> DataFrame:
     """Calendar look-back: the last value known at ts - offset (contrast with positional lag)."""
     probe = panel.withColumn("_at", F.col("ts") - F.expr(f"interval {offset}"))

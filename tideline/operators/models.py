@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tideline.functions import rules
 from tideline.operators import joins, scan
+from tideline.session import cut_lineage
 
 SEED = 42
 
@@ -38,6 +39,7 @@ def with_balance(df: DataFrame, y: str) -> DataFrame:
 def fit_logistic(train: DataFrame, features: Sequence[str], y: str = "y", c: float = 1.0, balanced: bool = True) -> PipelineModel:
     """L2 logistic regression in the C convention: regParam = 1 / (C * total weight)."""
     d = train.dropna(subset=[*features, y])
+    d = cut_lineage(d.select(*features, y))  # every solver pass reads this, not the joins behind it
     d = with_balance(d, y) if balanced else d.withColumn("_w", F.lit(1.0))
     total = d.agg(F.sum("_w")).first()[0]
     lr = LogisticRegression(featuresCol="_x", labelCol=y, weightCol="_w", regParam=1.0 / (c * total), elasticNetParam=0.0,
@@ -47,11 +49,12 @@ def fit_logistic(train: DataFrame, features: Sequence[str], y: str = "y", c: flo
 
 def fit_boosted(train: DataFrame, features: Sequence[str], y: str = "y", kind: str = "class", depth: int = 3, step: float = 0.05,
                 rounds: int = 20, validation: str | None = None):
-    d = train.dropna(subset=[*features, y]).withColumn(y, F.col(y).cast("double"))
+    extra = [validation] if validation else []
+    d = cut_lineage(train.dropna(subset=[*features, y]).select(*features, *extra, F.col(y).cast("double").alias(y)))
     common = dict(featuresCol="_x", labelCol=y, maxDepth=depth, stepSize=step, maxIter=rounds, seed=SEED)
     if validation:
         common["validationIndicatorCol"] = validation
-    est = (GBTClassifier(probabilityCol="_prob", rawPredictionCol="_rawp", predictionCol="_pred", **common) if kind == "class"
+    est = (GBTClassifier(predictionCol="_pred", **common).setProbabilityCol("_prob").setRawPredictionCol("_rawp") if kind == "class"
            else GBTRegressor(predictionCol="_pred", **common))
     return Pipeline(stages=[*_stages(features, False), est]).fit(d)
 
@@ -142,6 +145,7 @@ def walk_forward_ridge(df: DataFrame, stamps: DataFrame, features: Sequence[str]
     terms = moment_terms(features, y)
     d = df.dropna(subset=[*features, y])
     per_date = d.groupBy("ts").agg(*[F.sum(c).alias(n) for n, c in terms.items()]).withColumn("_g", F.lit(0))
+    per_date = cut_lineage(per_date)  # one row per date
     cum = scan.running(per_date, [("sum", F.col(n), f"c_{n}") for n in terms], ["_g"], ["ts"], chunk)
     cum = cum.select("_g", "ts", *[F.col(f"c_{n}").alias(n) for n in terms])
     probe = stamps.select("ts").withColumns({"_g": F.lit(0), "_at": F.col("ts") - F.expr(f"interval {gap_hours} hours")})

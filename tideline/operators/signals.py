@@ -66,12 +66,9 @@ def symbol_stamps(candles: DataFrame, stamps: DataFrame) -> DataFrame:
 
 def multiscale(candles: DataFrame, probe: DataFrame, hours: Sequence[int] = (168, 336, 720, 2160), chunk: str = "month") -> DataFrame:
     """Sign vote of calendar look-back returns at each probe (symbol, ts)."""
-    build = candles.select("symbol", "ts", F.col("close").alias("px"))
-    d = joins.as_of(probe, build, ["symbol"], ["px"], chunk=chunk).drop("asof_ts").withColumnRenamed("px", "_now")
-    for h in hours:
-        d = d.withColumn("_at", F.col("ts") - F.expr(f"interval {h} hours"))
-        d = joins.as_of(d, build, ["symbol"], ["px"], at="_at", chunk=chunk).drop("_at", "asof_ts")
-        d = d.withColumn(f"ret_{h}h", ts.ratio(F.col("_now"), F.col("px")) - 1).drop("px")
+    past = [f"_p{h}" for h in hours]
+    d = joins.as_of_many(probe, candles, "close", [0, *[-h for h in hours]], ["_now", *past], chunk)
+    d = d.withColumns({f"ret_{h}h": ts.ratio(F.col("_now"), F.col(f"_p{h}")) - 1 for h in hours}).drop(*past)
     v = rules.multiscale_vote([F.col(f"ret_{h}h") for h in hours])
     return d.withColumn("_v", v).select(*[c for c in d.columns if c != "_now"], "_v.*")
 
@@ -80,15 +77,10 @@ def point_matrix(candles: DataFrame, probe: DataFrame, moms: Sequence[int], hori
                  chunk: str = "month") -> DataFrame:
     """Research points: momenta at several calendar scales, as-of volatility, target in units of
     sigma*sqrt(h), and one dummy per symbol but the first. Points with a missing part are dropped."""
-    build = candles.select("symbol", "ts", F.col("close").alias("px"))
-    d = joins.as_of(probe, build, ["symbol"], ["px"], chunk=chunk).drop("asof_ts").withColumnRenamed("px", "_now")
-    for h in moms:
-        d = d.withColumn("_at", F.col("ts") - F.expr(f"interval {h} hours"))
-        d = joins.as_of(d, build, ["symbol"], ["px"], at="_at", chunk=chunk).drop("_at", "asof_ts")
-        d = d.withColumn(f"mom_{h}h", ts.ratio(F.col("_now"), F.col("px")) - 1).drop("px")
+    past = [f"_p{h}" for h in moms]
+    d = joins.as_of_many(probe, candles, "close", [0, horizon, *[-h for h in moms]], ["_now", "px", *past], chunk)
+    d = d.withColumns({f"mom_{h}h": ts.ratio(F.col("_now"), F.col(f"_p{h}")) - 1 for h in moms}).drop(*past)
     d = joins.as_of(d, sigma, ["symbol"], ["sigma"], chunk=chunk).drop("asof_ts")
-    d = d.withColumn("_at", F.col("ts") + F.expr(f"interval {horizon} hours"))
-    d = joins.as_of(d, build, ["symbol"], ["px"], at="_at", chunk=chunk).drop("_at", "asof_ts")
     d = d.withColumn("fwd", ts.ratio(F.col("px"), F.col("_now")) - 1)
     d = d.withColumn("y", F.col("fwd") / F.greatest(F.col("sigma") * (horizon ** 0.5), F.lit(vol_floor)))
     return d.drop("px", "_now").dropna()

@@ -9,6 +9,7 @@ from tideline.operators import aggregates, bars, cross, hurst, joins, labels, mo
 from tideline.operators import timeseries as ts
 from tideline.plans import views as v
 from tideline.plans.registry import query, rnd, rsql
+from tideline.session import cut_lineage
 from tideline.plans.windows import FWD, forward, small_returns
 
 H = "PARTITION BY symbol ORDER BY ts"
@@ -138,7 +139,7 @@ def sigmas(t, scale=100.0):
 def points(t):
     h = sigmas(t)
     probe = signals.symbol_stamps(h, splits.stamps(t.events))
-    return signals.point_matrix(h, probe, [24, 72], 24, h.where("sigma IS NOT NULL").select("symbol", "ts", "sigma"))
+    return cut_lineage(signals.point_matrix(h, probe, [24, 72], 24, h.where("sigma IS NOT NULL").select("symbol", "ts", "sigma")))
 
 
 @query("M13_research_point_matrix", f"WITH {v.HOURLY}, {POINTS} SELECT symbol, ts, {rsql('mom_24h')} AS mom_24h, {rsql('mom_72h')} AS mom_72h, {rsql('y', 4)} AS y, CAST(symbol = 'error' AS DOUBLE) AS dum_error FROM pts")
@@ -250,7 +251,7 @@ l AS (UNPIVOT x ON ret_5d, hl_range, vol_z30, rv_20d INTO NAME feature VALUE val
 r AS (SELECT feature, val, fwd, rank() OVER (PARTITION BY feature ORDER BY val) + (count(*) OVER (PARTITION BY feature, val) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY feature ORDER BY fwd) + (count(*) OVER (PARTITION BY feature, fwd) - 1) / 2.0 AS ry FROM l)
 SELECT feature, count(*) AS n, {rsql('corr(rx, ry)', 5)} AS ic, {rsql('avg(val)', 5)} AS mean, {rsql('stddev_samp(val)', 5)} AS std FROM r GROUP BY 1""")
 def _(t):
-    long = aggregates.unpivot(study_frame(t).where("fwd IS NOT NULL").withColumn("fwd", F.col("fwd")), ["fwd"], DOSSIER)
+    long = cut_lineage(aggregates.unpivot(study_frame(t).where("fwd IS NOT NULL"), ["fwd"], DOSSIER))
     ic = models.spearman(long, ["feature"], "value", "fwd")
     m = long.groupBy("feature").agg(rnd(F.avg("value"), 5).alias("mean"), rnd(F.stddev_samp("value"), 5).alias("std"))
     return ic.join(m, "feature").select("feature", "n", rnd("ic", 5).alias("ic"), "mean", "std")
@@ -260,19 +261,19 @@ def _(t):
 def training(t):
     d = ft.matrix(v.panel(t), ft.pick(ft.catalogue("Brand#1"), DOSSIER), **YR)
     lab = labels.relative(forward(t), ret="fwd").select("symbol", "ts", "fwd", "y")
-    return d.join(lab, ["symbol", "ts"])
+    return cut_lineage(d.join(lab, ["symbol", "ts"]))
 
 
 @query("M23_logistic_regression")
 def _(t):
-    d = training(t).persist()
+    d = training(t)
     m = models.fit_logistic(d, DOSSIER)
     return models.score(m, d.dropna(subset=DOSSIER)).select("symbol", "ts", "y", rnd("p").alias("p"))
 
 
 @query("M24_boosted_trees")
 def _(t):
-    d = training(t).persist()
+    d = training(t)
     m = models.fit_boosted(d, DOSSIER, rounds=5)
     return models.score(m, d.dropna(subset=DOSSIER)).select("symbol", "ts", "y", rnd("p").alias("p"))
 
@@ -295,7 +296,7 @@ rd AS (SELECT sx.g, r.a, r.b, r.y FROM sx JOIN rdx r ON r.ts <= sx.g - INTERVAL
 def walk_forward(t):
     p = points(t).select("symbol", "ts", F.col("mom_24h").alias("a"), F.col("mom_72h").alias("b"), F.col("fwd").alias("y"))
     w = models.walk_forward_ridge(p, p.select("ts").distinct(), ["a", "b"], "y", 48)
-    return models.apply_linear(p, w, ["a", "b"])
+    return cut_lineage(models.apply_linear(p, w, ["a", "b"]))
 
 
 @query("M26_walk_forward_ridge", f"WITH {v.HOURLY}, {POINTS}, {WF} SELECT r.symbol, r.ts, {rsql('my + w1 * (a - ma) + w2 * (b - mb)', 3)} AS pred FROM rdx r JOIN mw ON r.ts = mw.g WHERE n >= 30")
@@ -305,11 +306,12 @@ def _(t):
 
 @query("M27_trial_run")
 def _(t):
-    d = training(t).persist()
-    mem = splits.hybrid(d, horizon=28)
+    d = training(t)
+    mem = cut_lineage(splits.hybrid(d, horizon=28))
     train = d.join(mem.where("split = 'temporal_holdout' AND role = 'train'").select("ts"), "ts", "left_semi")
     val = d.join(mem.where("split = 'temporal_holdout' AND role = 'val'").select("ts"), "ts", "left_semi")
     s = models.score(models.fit_logistic(train, DOSSIER, c=0.1), val.dropna(subset=[*DOSSIER, "y"])).withColumn("split", F.lit("temporal_holdout"))
+    s = cut_lineage(s)
     m = aggregates.confusion(s, ["split"], F.col("p") > 0.5, F.col("y") == 1)
     return m.join(aggregates.auc_ap(s, ["split"], "p", "y"), "split")
 
@@ -330,16 +332,15 @@ def _(t):
 
 @query("M29_parameter_sweep")
 def _(t):
-    d = training(t).dropna(subset=[*DOSSIER, "y"]).persist()
+    d = training(t).dropna(subset=[*DOSSIER, "y"])
     parts = splits.partition_dates(d, 0.2)
-    d = d.join(parts, "ts").persist()
+    d = cut_lineage(d.join(parts, "ts"))
     out = None
     for c in (0.01, 0.1, 1.0):
         m = models.fit_logistic(d.where("part = 'iteration'"), DOSSIER, c=c)
-        s = models.score(m, d.where("part = 'confirmation'")).withColumn("c", F.lit(c))
-        r = aggregates.auc_ap(s, ["c"], "p", "y")
-        out = r if out is None else out.unionByName(r)
-    return out
+        s = models.score(m, d.where("part = 'confirmation'")).select(F.lit(c).alias("c"), "p", "y")
+        out = s if out is None else out.unionByName(s)
+    return aggregates.auc_ap(cut_lineage(out), ["c"], "p", "y")
 
 
 @query("M30_linear_attribution", f"""WITH {v.PANEL}, {v.FX}, {CATALOGUE}, s AS (SELECT symbol, ts, 0.2e0 * (ret_5d - 0.1e0) / 0.5e0 AS ret_5d, -0.4e0 * (hl_range - 0.5e0) / 0.4e0 AS hl_range, 0.1e0 * vol_z30 AS vol_z30, -0.3e0 * (rv_20d - 1) / 0.6e0 AS rv_20d FROM f WHERE vol_z30 IS NOT NULL AND rv_20d IS NOT NULL AND ret_5d IS NOT NULL),
@@ -368,7 +369,7 @@ def _(t):
     d = sigmas(t)
     d = scan.over_series(d, lambda d, w: d.withColumns({"ret": ts.lag_return("close", 1, w), "fwd": ts.lead_return("close", 24, w)}), back=1, ahead=24)
     d = d.dropna().withColumns({"y": (F.col("fwd") > 0).cast("int")})
-    d = d.join(splits.partition_dates(d, 0.2), "ts").withColumn("late", F.col("part") == "confirmation").persist()
+    d = d.join(splits.partition_dates(d, 0.2), "ts").withColumn("late", F.col("part") == "confirmation")
     m = models.fit_boosted(d, ["ret", "sigma"], rounds=5, validation="late")
     s = models.score(m, d)
     return s.withColumn("s", rules.from_probability(F.col("p"))).select("symbol", "ts", rnd("p").alias("p"), "s.direction", rnd(rules.kelly_size(F.col("s.confidence"), 1000.0, 0.25, F.col("sigma"))).alias("size"))
@@ -385,13 +386,13 @@ def _(t):
 
 @query("M35_holdout_signal_table")
 def _(t):
-    d = training(t).persist()
+    d = training(t)
     parts = splits.partition_dates(d, 0.2)
     m = models.fit_logistic(d.join(parts.where("part = 'iteration'"), "ts", "left_semi"), DOSSIER)
     s = models.score(m, d.join(parts.where("part = 'confirmation'"), "ts", "left_semi").dropna(subset=DOSSIER))
     return s.select("symbol", "ts", rnd("p").alias("p"), F.col("rv_20d").alias("rv"), "fwd")
 
 
-@query("M36_iteration_slice", f"WITH {v.PANEL}, d AS (SELECT DISTINCT ts FROM panel), k AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM d) SELECT symbol, ts FROM panel JOIN k USING (ts) WHERE k < floor(n * 0.85)")
+@query("M36_iteration_slice", f"WITH {v.PANEL}, d AS (SELECT DISTINCT ts FROM panel), k AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM d) SELECT symbol, ts FROM panel JOIN k USING (ts) WHERE k.k < floor(k.n * 0.85)")
 def _(t):
     return splits.iteration_only(v.panel(t)).select("symbol", "ts")
