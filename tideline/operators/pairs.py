@@ -30,23 +30,26 @@ def spread_statistics(series: DataFrame, n: int = 90, chunk: str = "month") -> D
         var_prev = F.var_pop(y).over(prev) - 2 * b * F.covar_pop(y, x).over(prev) + b * b * F.var_pop(x).over(prev)
         mean_prev = F.avg(y).over(prev) - b * F.avg(x).over(prev)
         # increments inside the window: the first of them starts at its second row
-        inc = w.rowsBetween(-(n - 1), 0)
+        inc, names = w.rowsBetween(-(n - 1), 0), ("_da", "_db", "_la", "_lb")
+        d = d.withColumns({f"_c{p}{q}": F.covar_pop(p, q).over(inc) for i, p in enumerate(names) for q in names[i:]})
 
         def quad(p: str, q: str, r: str, s: str) -> Column:
             """Covariance over the window of (p - beta*q) with (r - beta*s)."""
-            cv = lambda u, v: F.covar_pop(F.col(u), F.col(v)).over(inc)
+            cv = lambda u, v: F.col(f"_c{min(u, v, key=names.index)}{max(u, v, key=names.index)}")
             return cv(p, r) - b * cv(p, s) - b * cv(q, r) + b * b * cv(q, s)
 
-        slope = ratio(quad("_da", "_db", "_la", "_lb"), quad("_la", "_lb", "_la", "_lb"))
-        rss = quad("_da", "_db", "_da", "_db") - slope * slope * quad("_la", "_lb", "_la", "_lb")
-        se = F.sqrt(ratio(F.greatest(rss, F.lit(0.0)), quad("_la", "_lb", "_la", "_lb")) / (n - 2))
+        cross, lag, inc2 = quad("_da", "_db", "_la", "_lb"), quad("_la", "_lb", "_la", "_lb"), quad("_da", "_db", "_da", "_db")
+        d = d.withColumns({"_x": cross, "_v": lag, "_w": inc2})
+        slope = ratio(F.col("_x"), F.col("_v"))
+        rss = F.col("_w") - slope * slope * F.col("_v")
+        se = F.sqrt(ratio(F.greatest(rss, F.lit(0.0)), F.col("_v")) / (n - 2))
         return d.withColumns({
             "z": ratio(y - b * x - mean_prev, F.sqrt(F.greatest(var_prev, F.lit(0.0)))),
             "half_life": F.when(slope < -1e-6, math.log(2) / F.nullif(-slope, F.lit(0.0))),
             "df_stat": ratio(slope, se)})
 
     d = scan.over_series(series, build, keys=("a", "b"), back=n + 1, chunk=chunk)
-    return d.where(F.col("_n") == n + 1).drop("_da", "_db", "_la", "_lb", "_n")
+    return d.where(F.col("_n") == n + 1).select("a", "b", "ts", "value_a", "value_b", "beta", "z", "half_life", "df_stat")
 
 
 def spread_positions(stats: DataFrame, z_in: float = 2.0, z_out: float = 0.5, hl_min: float = 2, hl_max: float = 30) -> DataFrame:

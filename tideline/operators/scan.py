@@ -51,15 +51,20 @@ def _numbered(df: DataFrame, keys, order, chunks: Sequence[str], name: str) -> D
     )
 
 
+def time_piece(col: str, chunk: str | int) -> Column:
+    """Monotone piece of the order column: a calendar unit for time, a width for integers."""
+    return F.floor(F.col(col) / chunk) if isinstance(chunk, int) else F.date_trunc(chunk, F.col(col))
+
+
 def number_rows(
-    df: DataFrame, keys=("symbol",), order=("ts",), chunk: str = "month", name: str = "_pos"
+    df: DataFrame, keys=("symbol",), order=("ts",), chunk: str | int = "month", name: str = "_pos"
 ) -> DataFrame:
     """0-based position of each row within its key, ordered by time; ``order`` must be unique."""
     first = order[0]
     if chunk == "none":  # for tables with a handful of rows per key
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-    cut = df.withColumn("_chunk", F.date_trunc(chunk, F.col(first)))
+    cut = df.withColumn("_chunk", time_piece(first, chunk))
     return _numbered(cut, list(keys), list(order), ["_chunk"], name)
 
 
@@ -103,7 +108,7 @@ def over_series(
     back: int = 0,
     ahead: int = 0,
     rows: int | None = None,
-    chunk: str = "month",
+    chunk: str | int = "month",
 ) -> DataFrame:
     """Apply ``build(df, window)`` with frames reaching at most ``back``/``ahead`` rows.
 
@@ -133,7 +138,7 @@ def map_blocks(
     order=("ts",),
     back: int = 0,
     rows: int | None = None,
-    chunk: str = "month",
+    chunk: str | int = "month",
 ) -> DataFrame:
     """Custom rolling function in pandas on bounded pieces with ``back`` rows of warm-up.
 
@@ -160,7 +165,7 @@ def running(
     specs: Iterable[tuple[str, Column, str]],
     keys=("symbol",),
     order=("ts",),
-    chunk: str = "month",
+    chunk: str | int = "month",
     chunk_cols: Sequence[str] | None = None,
     exclusive: bool = False,
 ) -> DataFrame:
@@ -169,7 +174,7 @@ def running(
     specs = list(specs)
     keys, order = list(keys), list(order)
     if chunk_cols is None:
-        df = df.withColumn("_chunk", F.date_trunc(chunk, F.col(order[0])))
+        df = df.withColumn("_chunk", time_piece(order[0], chunk))
         chunk_cols = ["_chunk"]
     chunk_cols = list(chunk_cols)
     stamp = F.struct(*order)
@@ -227,10 +232,12 @@ def affine_scan(
     keys=("symbol",),
     order=("ts",),
     init: float = 0.0,
+    prev: str | None = None,
     rows: int | None = None,
-    chunk: str = "month",
+    chunk: str | int = "month",
 ) -> DataFrame:
-    """v[t] = a[t]*v[t-1] + b[t] with v[-1] = init, as a two-level scan over pieces."""
+    """v[t] = a[t]*v[t-1] + b[t] with v[-1] = init, as a two-level scan over pieces. ``prev`` names
+    an extra column with v[t-1]."""
     keys = list(keys)
     size = rows or BLOCK_ROWS
     d = number_rows(df, keys, order, chunk).withColumns({"_a": a.cast("double"), "_b": b.cast("double")})
@@ -262,15 +269,17 @@ def affine_scan(
     seeds = parts.groupBy(*keys).applyInPandas(
         carry, T.StructType([*kf, blk, T.StructField("_seed", T.DoubleType())])
     )
-    out_schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+    out_schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType()),
+                               *([T.StructField(prev, T.DoubleType())] if prev else [])])
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos", kind="stable")
-        v, vals = float(pdf["_seed"].iloc[0]), []
+        v, vals, before = float(pdf["_seed"].iloc[0]), [], []
         for x, y in zip(pdf["_a"].tolist(), pdf["_b"].tolist(), strict=True):
+            before.append(v)
             v = x * v + y
             vals.append(v)
-        return pdf.assign(**{name: vals})[[f.name for f in out_schema.fields]]
+        return pdf.assign(**{name: vals, **({prev: before} if prev else {})})[[f.name for f in out_schema.fields]]
 
     return d.join(seeds, [*keys, "_blk"]).groupBy(*keys, "_blk").applyInPandas(fill, out_schema)
 

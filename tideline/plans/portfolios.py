@@ -68,19 +68,19 @@ def orders(s):
     return pf.rebalance(pf.target_weights(directions(s), ["ts"]), book, ["ts"], F.lit(1000.0), 0.8, 0.05, 0.005)
 
 
-@query("P03_rebalance_orders", f"{BASE}, {DIRS}, {ORDERS} SELECT symbol, ts, action, {rsql('size', 3)} AS size_usd FROM od")
+@query("P03_rebalance_orders", f"{BASE}, {DIRS}, {ORDERS} SELECT symbol, ts, action, {rsql('size', 4)} AS size_usd FROM od")
 def _(t):
-    return orders(sig(t)).select("symbol", "ts", "action", rnd("size_usd", 3).alias("size_usd"))
+    return orders(sig(t)).select("symbol", "ts", "action", rnd("size_usd", 4).alias("size_usd"))
 
 
 @query("P04_pocket_cap", f"""{BASE}, {DIRS}, {ORDERS}, pk AS (SELECT *, CASE WHEN CAST(substr(symbol, 7) AS INT) % 2 = 0 THEN 'USD' ELSE 'MXN' END AS pocket FROM od),
 pg AS (SELECT *, 60 + 0.995 * sum(CASE WHEN action = 'SELL' THEN size ELSE 0 END) OVER (PARTITION BY ts, pocket) AS have, sum(CASE WHEN action = 'BUY' THEN size ELSE 0 END) OVER (PARTITION BY ts, pocket) AS need FROM pk),
 pz AS (SELECT *, CASE WHEN action = 'BUY' AND need > have THEN round(size * have / need, 4) ELSE size END AS sz FROM pg)
-SELECT symbol, ts, CASE WHEN action = 'BUY' AND need > have AND sz < 50 THEN 'HOLD' ELSE action END AS action, {rsql('CASE WHEN action = \'BUY\' AND need > have AND sz < 50 THEN 0 ELSE sz END', 3)} AS size_usd FROM pz""")
+SELECT symbol, ts, CASE WHEN action = 'BUY' AND need > have AND sz < 50 THEN 'HOLD' ELSE action END AS action, {rsql('CASE WHEN action = \'BUY\' AND need > have AND sz < 50 THEN 0 ELSE sz END', 4)} AS size_usd FROM pz""")
 def _(t):
     o = orders(sig(t)).withColumn("pocket", F.when(F.substring("symbol", 7, 3).cast("int") % 2 == 0, "USD").otherwise("MXN"))
     cash = o.select("ts", "pocket").distinct().withColumn("cash", F.lit(60.0))
-    return pf.pocket_cap(o, ["ts"], cash, 50.0, 0.005).select("symbol", "ts", "action", rnd("size_usd", 3).alias("size_usd"))
+    return pf.pocket_cap(o, ["ts"], cash, 50.0, 0.005).select("symbol", "ts", "action", rnd("size_usd", 4).alias("size_usd"))
 
 
 @query("P05_global_brake", f"WITH {SG} SELECT event_id, NOT (trust >= 0.3) OR act = 'HOLD' AS freeze, {rsql('CASE WHEN NOT (trust >= 0.3) OR act = \'HOLD\' THEN 0 ELSE least(1, greatest(0, conf)) END')} AS mult FROM sg")

@@ -117,7 +117,7 @@ def _(t):
 
 
 MODULATE = """CASE WHEN act IN ('BUY', 'SELL') AND label IN ('hack', 'listing') THEN
-  round(least(1, conf * CASE WHEN (label = 'listing') = (act = 'BUY') THEN 1.2e0 ELSE 0.6e0 END * CASE WHEN trust < 0.5 THEN 0.7e0 ELSE 1e0 END), 3) ELSE conf END"""
+  round(least(1, conf * CASE WHEN (label = 'listing') = (act = 'BUY') THEN 1.2e0 ELSE 0.6e0 END * CASE WHEN trust < 0.5 THEN 0.7e0 ELSE 1e0 END) + 1e-9, 3) ELSE conf END"""
 
 
 @query("X15_news_modulation", f"WITH {SG} SELECT event_id, {rsql(MODULATE)} AS confidence FROM sg")
