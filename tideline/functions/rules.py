@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+TIE = 1e-9  # decides halves the same way on every engine
+
 # Regime names and thresholds, taxonomy words, source weights.
 REGIME_NAMES = {"trending": "trending", "mean_reverting": "mean-reverting", "random_walk": "volatile"}
 BULLISH = ("protocol_upgrade", "listing", "adoption", "partnership")
@@ -146,7 +148,7 @@ def news_modulate(conf: Column, action: Column, label: Column, trust: Column,
     3 decimals. Only actionable signals with a directional label are touched."""
     lean = F.when(label.isin(*bullish), "BUY").when(label.isin(*BEARISH), "SELL")
     k = F.when(lean == action, 1.2).otherwise(0.6) * F.when(trust < 0.5, 0.7).otherwise(1.0)
-    return F.when(action.isin("BUY", "SELL") & lean.isNotNull(), F.round(F.least(F.lit(1.0), conf * k), 3)).otherwise(conf)
+    return F.when(action.isin("BUY", "SELL") & lean.isNotNull(), F.round(F.least(F.lit(1.0), conf * k) + TIE, 3)).otherwise(conf)
 
 
 def gated_signal(label: Column, conf: Column, h: Column, ret_1h: Column, ret_24h: Column, vol: Column) -> Column:
@@ -160,7 +162,7 @@ def gated_signal(label: Column, conf: Column, h: Column, ret_1h: Column, ret_24h
     raw = conf * F.when(trend, 0.8).otherwise(0.6) * (1 - 0.5 * F.least(v / 0.08, F.lit(1.0)))
     go = side.isNotNull() & (v <= 0.08) & (raw >= 0.25)
     return F.struct(F.when(go, side).otherwise("HOLD").alias("action"),
-                    F.when(go, F.round(F.least(raw, F.lit(0.95)), 3)).otherwise(0.0).alias("confidence"))
+                    F.when(go, F.round(F.least(raw, F.lit(0.95)) + TIE, 3)).otherwise(0.0).alias("confidence"))
 
 
 def short_confirmed(direction: Column, conf: Column, h: Column, ret_24h: Column) -> Column:

@@ -224,6 +224,15 @@ def running(
     return out.select("*", *cols).drop(*[f"_c{i}" for i in range(len(specs))], *chunk_cols)
 
 
+def streamed(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn, schema) -> DataFrame:
+    """Feed ``fn`` the rows of whole groups in order, as batches of one partition.
+
+    The exchange is on a hash *expression*: a plain ``repartition(*keys)`` right above a join on the
+    same keys is dropped as redundant, and once that join turns into a broadcast join at run time
+    with local shuffle reads the groups would no longer be together."""
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(fn, schema)
+
+
 def affine_scan(
     df: DataFrame,
     a: Column,
@@ -245,43 +254,58 @@ def affine_scan(
     kf = [d.schema[k] for k in keys]
     blk = T.StructField("_blk", T.LongType())
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos", kind="stable")
-        ca, cb = 1.0, 0.0
-        for x, y in zip(pdf["_a"].tolist(), pdf["_b"].tolist(), strict=True):
-            ca, cb = x * ca, x * cb + y
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**head, "_blk": [int(pdf["_blk"].iloc[0])], "_ca": [ca], "_cb": [cb]})
-
-    parts = d.select(*keys, "_blk", "_pos", "_a", "_b").groupBy(*keys, "_blk").applyInPandas(
-        compose,
-        T.StructType([*kf, blk, T.StructField("_ca", T.DoubleType()), T.StructField("_cb", T.DoubleType())]),
-    )
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk", kind="stable")
-        v, seeds = init, []
-        for x, y in zip(pdf["_ca"].tolist(), pdf["_cb"].tolist(), strict=True):
-            seeds.append(v)
-            v = x * v + y
-        return pdf[[*keys, "_blk"]].assign(_seed=seeds)
-
-    seeds = parts.groupBy(*keys).applyInPandas(
-        carry, T.StructType([*kf, blk, T.StructField("_seed", T.DoubleType())])
-    )
+    part_schema = T.StructType([*kf, blk, T.StructField("_ca", T.DoubleType()), T.StructField("_cb", T.DoubleType())])
+    seed_schema = T.StructType([*kf, blk, T.StructField("_seed", T.DoubleType())])
     out_schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType()),
                                *([T.StructField(prev, T.DoubleType())] if prev else [])])
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos", kind="stable")
-        v, vals, before = float(pdf["_seed"].iloc[0]), [], []
-        for x, y in zip(pdf["_a"].tolist(), pdf["_b"].tolist(), strict=True):
-            before.append(v)
-            v = x * v + y
-            vals.append(v)
-        return pdf.assign(**{name: vals, **({prev: before} if prev else {})})[[f.name for f in out_schema.fields]]
-
-    return d.join(seeds, [*keys, "_blk"]).groupBy(*keys, "_blk").applyInPandas(fill, out_schema)
+    names = {s: [f.name for f in s.fields] for s in (part_schema, seed_schema, out_schema)}
+
+    def ids(pdf: pd.DataFrame, cols: list[str]) -> list[tuple]:
+        return list(zip(*(pdf[c].tolist() for c in cols), strict=True))
+
+    # The three passes read pieces in order as batches. Many tiny groups cost no more than one
+    # big one, and no group is ever held as a whole.
+    def compose(batches):
+        cur, ca, cb = None, 1.0, 0.0
+        for pdf in batches:
+            out = []
+            for k, x, y in zip(ids(pdf, [*keys, "_blk"]), pdf["_a"].tolist(), pdf["_b"].tolist(), strict=True):
+                if k != cur:
+                    if cur is not None:
+                        out.append((*cur, ca, cb))
+                    cur, ca, cb = k, 1.0, 0.0
+                ca, cb = x * ca, x * cb + y
+            yield pd.DataFrame(out, columns=names[part_schema])
+        if cur is not None:
+            yield pd.DataFrame([(*cur, ca, cb)], columns=names[part_schema])
+
+    def carry(batches):
+        cur, v = None, init
+        for pdf in batches:
+            seeds = []
+            for k, x, y in zip(ids(pdf, keys), pdf["_ca"].tolist(), pdf["_cb"].tolist(), strict=True):
+                if k != cur:
+                    cur, v = k, init
+                seeds.append(v)
+                v = x * v + y
+            yield pdf[[*keys, "_blk"]].assign(_seed=seeds)
+
+    def fill(batches):
+        cur, v = None, init
+        for pdf in batches:
+            vals, before = [], []
+            for k, x, y, seed in zip(ids(pdf, [*keys, "_blk"]), pdf["_a"].tolist(), pdf["_b"].tolist(), pdf["_seed"].tolist(), strict=True):
+                if k != cur:
+                    cur, v = k, seed
+                before.append(v)
+                v = x * v + y
+                vals.append(v)
+            yield pdf.assign(**{name: vals, **({prev: before} if prev else {})})[names[out_schema]]
+
+    piece = [*keys, "_blk"]
+    parts = streamed(d.select(*piece, "_pos", "_a", "_b"), piece, ["_pos"], compose, part_schema)
+    seeds = streamed(parts, keys, ["_blk"], carry, seed_schema)
+    return streamed(d.join(seeds, piece), piece, ["_pos"], fill, out_schema)
 
 
 def quantiles(df: DataFrame, keys, value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:

@@ -50,8 +50,7 @@ def pivots(closes: DataFrame, tolerances: Sequence[float] = TOLERANCES, chunk: s
                     way, lo = -1, here
             yield pd.DataFrame(out, columns=["symbol", "tol", "pos", "ts", "close", "kind", "confirm_pos"])
 
-    return (d.select("symbol", "tol", "_pos", "ts", "close").repartition("symbol", "tol")
-            .sortWithinPartitions("symbol", "tol", "_pos").mapInPandas(walk, PIVOT_SCHEMA))
+    return scan.streamed(d.select("symbol", "tol", "_pos", "ts", "close"), ["symbol", "tol"], ["_pos"], walk, PIVOT_SCHEMA)
 
 
 def mountains(closes: DataFrame, piv: DataFrame, points: int = SHAPE_POINTS, chunk: str = "month") -> DataFrame:

@@ -39,11 +39,17 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 
 
+def nudge(digits: int) -> float:
+    """A small part of the last digit. Exact halves, which engines round either way depending on the
+    last bit of a sum, then go up on both sides."""
+    return float(f"1.7e-{digits + 3}")
+
+
 def rnd(c: Column | str, digits: int = 6) -> Column:
     """Rounded double without a negative zero, the form every oracle uses too."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), digits) + F.lit(0.0)
+    return F.round(c.cast("double") + nudge(digits), digits) + F.lit(0.0)
 
 
 def rsql(expr: str, digits: int = 6) -> str:
-    return f"(round(CAST({expr} AS DOUBLE),{digits})+0e0)"
+    return f"(round(CAST({expr} AS DOUBLE)+{nudge(digits)!r},{digits})+0e0)"

@@ -129,7 +129,7 @@ GATED = """ga AS (SELECT *, reg = 'trending' AND h >= 0.52 AS tr, reg = 'mean-re
 gb AS (SELECT *, CASE WHEN tr AND ret24 > 0.002 THEN 'BUY' WHEN tr AND ret24 < -0.002 THEN 'SELL' WHEN rv AND ret1 < -0.002 THEN 'BUY' WHEN rv AND ret1 > 0.002 THEN 'SELL' END AS side,
   conf * CASE WHEN tr THEN 0.8e0 ELSE 0.6e0 END * (1 - 0.5e0 * least(vol / 0.08e0, 1)) AS raw FROM ga),
 gc AS (SELECT *, CASE WHEN side IS NOT NULL AND vol <= 0.08 AND raw >= 0.25 THEN side ELSE 'HOLD' END AS action,
-  CASE WHEN side IS NOT NULL AND vol <= 0.08 AND raw >= 0.25 THEN round(least(raw, 0.95e0), 3) ELSE 0e0 END AS sconf FROM gb)"""
+  CASE WHEN side IS NOT NULL AND vol <= 0.08 AND raw >= 0.25 THEN round(least(raw, 0.95e0) + 1e-9, 3) ELSE 0e0 END AS sconf FROM gb)"""
 
 
 def gated(t):
