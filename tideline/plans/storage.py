@@ -58,18 +58,18 @@ def _(t):
     return k.select(F.split_part("path", F.lit("-"), F.lit(1)).alias("symbol"), "ts", "open", "high", "low", "close", "n_trades")
 
 
-@query("S04_funding_archives", "SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts, CAST(8 AS INTEGER) AS interval_hours, value AS rate FROM events")
+@query("S04_funding_archives", "SELECT event_type AS symbol, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts, CAST(8 AS INTEGER) AS interval_hours, value AS rate FROM events")
 def _(t):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         buf = io.BytesIO()
         with zipfile.ZipFile(buf, "w") as z:
             z.writestr("f.csv", "\n".join(f"{m},8,{x!r}" for m, x in zip(pdf["ms"], pdf["value"], strict=True)))
-        return pd.DataFrame({"path": [str(pdf["event_id"].iloc[0])], "content": [buf.getvalue()]})
+        return pd.DataFrame({"path": [pdf["event_type"].iloc[0]], "content": [buf.getvalue()]})
 
-    e = t.events.select("event_id", "value", (F.unix_timestamp("ts") * 1000).alias("ms"))
-    files = e.mapInPandas(
-        lambda it: (pd.concat([pack(p.iloc[[i]]) for i in range(len(p))]) for p in it), "path string, content binary")
-    return readers.funding(files).select(F.col("path").cast("bigint").alias("event_id"), "ts", "interval_hours", "rate")
+    # one archive per symbol and day, so that a file stays small however long the series is
+    e = t.events.select("event_type", F.date_trunc("day", "ts").alias("day"), "value", (F.unix_timestamp("ts") * 1000).alias("ms"))
+    files = e.groupBy("event_type", "day").applyInPandas(pack, "path string, content binary")
+    return readers.funding(files).select(F.col("path").alias("symbol"), "ts", "interval_hours", "rate")
 
 
 @query("S05_corpus_consolidation", f"WITH {v.HOURLY} SELECT symbol, ts, close * 2 AS close FROM hourly WHERE ts < TIMESTAMP '2024-02-01'")
@@ -157,11 +157,11 @@ def candle_batch(t, cond, scale, version):
     return h.select("symbol", F.lit("1h").alias("timeframe"), "ts", *[(F.col(x) * scale).alias(x) for x in ("open", "high", "low", "close")], "volume", F.lit(version).cast("timestamp_ntz").alias("ingested_at")).withColumn("month", F.date_format("ts", "yyyy-MM"))
 
 
-@query("S14_fixed_schema_table", "SELECT CAST(0 AS BIGINT) AS n")
+@query("S14_fixed_schema_table", f"WITH {v.HOURLY} SELECT count(*) AS n FROM hourly")
 def _(t):
     path = fresh(t, "tables")
     empty = sinks.read_table(t.spark, path, schemas.CANDLES)
-    return empty.unionByName(candle_batch(t, F.lit(False), 1.0, "2024-01-01").drop("month")).agg(F.count(F.lit(1)).alias("n"))
+    return empty.unionByName(candle_batch(t, F.lit(True), 1.0, "2024-01-01").drop("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("S15_upsert_by_key", f"WITH {v.HOURLY} SELECT symbol, ts, CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN close * 2 ELSE close END AS close FROM hourly")
@@ -230,10 +230,10 @@ def _(t):
     return sinks.flag_by_prefix(sinks.flag_by_prefix(d, "run_id", "1", "logged"), "run_id", "1", "logged")
 
 
-@query("S23_backfill", f"WITH {v.HOURLY}, b AS (SELECT DISTINCT symbol FROM hourly WHERE close < 0.5) SELECT symbol, ts, close FROM hourly WHERE symbol NOT IN (FROM b)")
+@query("S23_backfill", f"WITH {v.HOURLY}, b AS (SELECT symbol FROM hourly GROUP BY 1 HAVING min(symbol) = 'error') SELECT symbol, ts, close FROM hourly WHERE symbol NOT IN (FROM b)")
 def _(t):
     h = hour_rows(t)
-    ok = h.groupBy("symbol").agg((F.min("close") >= 0.5).alias("valid"))
+    ok = h.groupBy("symbol").agg((F.min("symbol") != "error").alias("valid"))
     return sinks.backfill(h, ok).select("symbol", "ts", "close")
 
 
