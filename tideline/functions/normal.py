@@ -7,17 +7,18 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _erf = np.vectorize(math.erf, otypes=[float])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def cdf(z: pd.Series) -> pd.Series:
     out = 0.5 * (1 + _erf(z.to_numpy(dtype=float) / math.sqrt(2)))
     return pd.Series(out).where(z.notna().to_numpy())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ppf(p: pd.Series) -> pd.Series:
     inv = NormalDist().inv_cdf
     return p.map(lambda x: inv(x) if x is not None and 0 < x < 1 else None).astype("float64")

@@ -13,12 +13,13 @@ from tideline.operators.timeseries import latest, ratio
 KEYS = ("account", "symbol")
 
 
-def _held(fills: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: str) -> DataFrame:
+def _held(fills: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: str, rows: int | None) -> DataFrame:
     """Adds the tracked quantity before and after each fill. Sells never go below zero, so the
     quantity is the running sum reflected at its running minimum."""
-    d = fills.withColumn("_q", F.when(F.col("action") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")))
-    d = scan.running(d, [("sum", F.col("_q"), "_s")], keys, order, chunk)
-    d = scan.running(d, [("min", F.col("_s"), "_low")], keys, order, chunk, exclusive=True)
+    d = scan.pieces(fills, keys, order, chunk, rows).withColumn("_q", F.when(F.col("action") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")))
+    same = dict(keys=keys, order=["_pos"], chunk_cols=["_blk"], keep_chunks=True)
+    d = scan.running(d, [("sum", F.col("_q"), "_s")], **same)
+    d = scan.running(d, [("min", F.col("_s"), "_low")], exclusive=True, **same)
     before, floor = F.col("_s") - F.col("_q"), F.least(F.lit(0.0), F.coalesce("_low", F.lit(0.0)))
     return d.withColumns({"held_before": before - floor, "held": F.greatest(F.lit(0.0), F.col("_s") - floor)}).drop("_q", "_s", "_low")
 
@@ -26,7 +27,7 @@ def _held(fills: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: st
 def cost_basis(fills: DataFrame, order: Sequence[str] = ("ts",), keys: Sequence[str] = KEYS, chunk: str = "year", rows: int | None = None) -> DataFrame:
     """Average-cost basis and realised result after each fill; sells beyond the tracked quantity
     only count for the tracked part."""
-    d = _held(fills.where("status = 'FILLED'"), keys, order, chunk)
+    d = _held(fills.where("status = 'FILLED'"), keys, order, chunk, rows)
     buy = F.col("action") == "BUY"
     tracked = F.when(buy, 0.0).otherwise(F.least("quantity", "held_before"))
     d = d.withColumn("_t", tracked)
@@ -35,7 +36,7 @@ def cost_basis(fills: DataFrame, order: Sequence[str] = ("ts",), keys: Sequence[
     d = scan.affine_scan(d, keep, add, "basis", keys, order, prev="_b0", rows=rows, chunk=chunk)
     share = ratio(F.col("_t"), F.col("quantity"))
     pnl = F.when(buy, 0.0).otherwise(F.col("cost") * share - F.coalesce(ratio(F.col("_b0") * F.col("_t"), F.col("held_before")), F.lit(0.0)))
-    return d.withColumn("realised", pnl).drop("_t", "_b0")
+    return d.withColumn("realised", pnl).drop("_t", "_b0", "_pos", "_blk")
 
 
 def cost_summary(fills: DataFrame, order: Sequence[str] = ("ts",), keys: Sequence[str] = KEYS, **kw) -> DataFrame:
@@ -48,8 +49,9 @@ def cost_summary(fills: DataFrame, order: Sequence[str] = ("ts",), keys: Sequenc
 def net_positions(fills: DataFrame, order: Sequence[str] = ("ts",), keys: Sequence[str] = KEYS, chunk: str = "year", rows: int | None = None) -> DataFrame:
     """Long/short netting: a fill first reduces the opposite side (realising), the rest extends its
     own side at a weighted entry or opens a new one. One row per fill with the state after it."""
-    d = fills.where("status = 'FILLED'").withColumn("_q", F.when(F.col("action") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")))
-    d = scan.running(d, [("sum", F.col("_q"), "net")], keys, order, chunk)
+    d = scan.pieces(fills.where("status = 'FILLED'"), keys, order, chunk, rows)
+    d = d.withColumn("_q", F.when(F.col("action") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")))
+    d = scan.running(d, [("sum", F.col("_q"), "net")], keys, ["_pos"], chunk_cols=["_blk"], keep_chunks=True)
     n0, n1, q, px = F.col("net") - F.col("_q"), F.col("net"), F.col("_q"), F.col("price")
     same = n0 * q >= 0
     shrink = ~same & (F.abs(q) <= F.abs(n0))
@@ -59,7 +61,7 @@ def net_positions(fills: DataFrame, order: Sequence[str] = ("ts",), keys: Sequen
     matched = F.when(same, 0.0).otherwise(F.least(F.abs(q), F.abs(n0)))
     entry0 = ratio(F.col("_b0"), F.abs(n0))
     pnl = F.when(matched > 0, (px - entry0) * matched * F.signum(n0)).otherwise(0.0)
-    return d.withColumns({"matched": matched, "realised": pnl, "entry": ratio(F.col("_basis"), F.abs(n1))}).drop("_q", "_basis", "_b0")
+    return d.withColumns({"matched": matched, "realised": pnl, "entry": ratio(F.col("_basis"), F.abs(n1))}).drop("_q", "_basis", "_b0", "_pos", "_blk")
 
 
 def open_positions(netted: DataFrame, order: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:

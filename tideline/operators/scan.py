@@ -86,6 +86,13 @@ def _value_chunks(df: DataFrame, keys, value: str, tie: str | None) -> DataFrame
     return d.withColumn("_vt", F.coalesce(prefix, F.lit(""))).drop("_edges")
 
 
+def pieces(df: DataFrame, keys=("symbol",), order=("ts",), chunk: str | int = "month", rows: int | None = None) -> DataFrame:
+    """Numbers the rows once and cuts each series into pieces (``_pos``, ``_blk``). Scans that are
+    given the same pieces share one exchange."""
+    d = number_rows(df, keys, order, chunk)
+    return d.withColumn("_blk", F.floor(F.col("_pos") / (rows or BLOCK_ROWS)).cast("long"))
+
+
 def number_by_value(
     df: DataFrame, keys, value: str, tie: str | None = None, name: str = "_pos"
 ) -> DataFrame:
@@ -168,6 +175,7 @@ def running(
     chunk: str | int = "month",
     chunk_cols: Sequence[str] | None = None,
     exclusive: bool = False,
+    keep_chunks: bool = False,
 ) -> DataFrame:
     """Cumulative aggregates. ``specs`` are (kind, expression, output name), kind one of
     sum / max / min / last / first; ``last`` skips nulls. ``exclusive`` leaves out the own row."""
@@ -221,7 +229,8 @@ def running(
         else:
             v = F.coalesce(c, local)
         cols.append(v.alias(name))
-    return out.select("*", *cols).drop(*[f"_c{i}" for i in range(len(specs))], *chunk_cols)
+    gone = [f"_c{i}" for i in range(len(specs))] + ([] if keep_chunks else chunk_cols)
+    return out.select("*", *cols).drop(*gone)
 
 
 def streamed(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn, schema) -> DataFrame:
@@ -246,11 +255,10 @@ def affine_scan(
     chunk: str | int = "month",
 ) -> DataFrame:
     """v[t] = a[t]*v[t-1] + b[t] with v[-1] = init, as a two-level scan over pieces. ``prev`` names
-    an extra column with v[t-1]."""
+    an extra column with v[t-1]; rows already cut by ``pieces`` keep their pieces."""
     keys = list(keys)
-    size = rows or BLOCK_ROWS
-    d = number_rows(df, keys, order, chunk).withColumns({"_a": a.cast("double"), "_b": b.cast("double")})
-    d = d.withColumn("_blk", F.floor(F.col("_pos") / size).cast("long"))
+    cut = df if {"_pos", "_blk"} <= set(df.columns) else pieces(df, keys, order, chunk, rows)
+    d = cut.withColumns({"_a": a.cast("double"), "_b": b.cast("double")})
     kf = [d.schema[k] for k in keys]
     blk = T.StructField("_blk", T.LongType())
 

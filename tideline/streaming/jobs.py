@@ -14,8 +14,9 @@ from tideline.session import shared_dir
 from tideline.sources import sinks
 
 
-def event_stream(spark: SparkSession, directory: str, glob: str = "events.parquet") -> DataFrame:
-    d = spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", glob).parquet(directory)
+def event_stream(spark: SparkSession, directory: str, glob: str = "events.parquet", max_files: int = 64) -> DataFrame:
+    """``max_files`` bounds a micro-batch, and with it what a stateful key handles at once."""
+    d = spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).parquet(directory)
     return d.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant; the session is UTC
 
 
