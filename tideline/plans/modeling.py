@@ -184,7 +184,7 @@ GOLD = f"""g AS (SELECT *, close / lag(close) OVER ({H}) - 1 AS ret, (high - low
 def _gold_sql(h):
     return f"""CASE WHEN {h} > 0.55 THEN 'trending' WHEN {h} < 0.45 THEN 'mean-reverting' ELSE 'volatile' END AS regime,
   round(CASE WHEN {h} > 0.55 THEN ({h} - 0.55) / 0.45 WHEN {h} < 0.45 THEN (0.45 - {h}) / 0.45 ELSE 1 - abs({h} - 0.5) / 0.05 END, 3) + 0e0 AS regime_conf,
-  {rsql('ret')} AS returns_1h, {rsql('ret_sum')} AS returns_24h, {rsql('spread')} AS spread"""
+  round(ret, 6) + 0e0 AS returns_1h, round(ret_sum, 6) + 0e0 AS returns_24h, round(spread, 6) + 0e0 AS spread"""
 
 
 PROXY = "(1 / (1 + spread))"  # candles without the heavy rolling fit: calm bars count as persistent
