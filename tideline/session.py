@@ -1,6 +1,8 @@
 """Session settings the operators rely on, and lineage cutting that survives executor loss."""
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,8 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable in the workers of this application, once."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        base = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "tideline")
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "tideline"))
+        _SHIPPED.add(app)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings the results depend on (naive-UTC time, durable state store)."""
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -1,10 +1,12 @@
 """Structured Streaming forms of the recurring jobs. Each equals its batch twin on the same data."""
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +15,9 @@ from tideline import schemas
 from tideline.session import shared_dir
 from tideline.sources import sinks
 
+# the processors travel by value: the streaming runner does not see files added to the session
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def event_stream(spark: SparkSession, directory: str, glob: str = "events.parquet", max_files: int = 64) -> DataFrame:
     """``max_files`` bounds a micro-batch, and with it what a stateful key handles at once."""
