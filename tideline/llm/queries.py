@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import packing
+from tideline.llm import decontamination, packing
 from tideline.llm.common import table
 from tideline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -19,3 +19,9 @@ def word_vocabulary() -> str:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), word_vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "tier", "step_group")
+
+
+@query("op7_decontamination", decontamination.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontamination.digest(found)
