@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontamination, language_model, packing
-from tideline.llm.common import table
+from tideline.llm import classifier, decontamination, language_model, packing
+from tideline.llm.common import fold, table
 from tideline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -30,3 +30,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lm_scoring")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.fit(docs, table(spark, sf_dir, "labels"), "quality")
+    scored = classifier.score(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
