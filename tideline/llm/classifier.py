@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WHITE, Prefix, fold, ints, mixed, powers, segment_sums, steps, words
+from tideline.llm.common import WHITE, Prefix, fold, ints, mixed, segment_sums, steps, words
 
 #: Labelled rows the vectors are learned from: those with the smallest hash of their id.
 SAMPLE_ROWS = 4000
