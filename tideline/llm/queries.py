@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import classifier, decontamination, language_model, packing, quality_rules, toxicity
+from tideline.llm import classifier, decontamination, language_model, minhash, packing, quality_rules, toxicity
 from tideline.llm.common import fold, table
 from tideline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -51,3 +51,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op1_minhash_dedup", minhash.SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
