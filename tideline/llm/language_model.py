@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import LOWER, WHITE, Prefix, fold, ints, mixed, ranges, segment_sums, shards, stash, steps, words
 
 #: Tokens gathered by a task before it sends their counts.
-FLUSH_TOKENS = 3 << 20
+FLUSH_TOKENS = 5 << 19
 #: Most frequent words whose exact counts every task holds; other words' counts are joined.
 HEAD_WORDS = 1 << 19
 #: Bits of the filter, the bound of what is broadcast (32 MB).
@@ -197,19 +197,18 @@ def fit(docs: DataFrame, filter_bits: int = FILTER_BITS, head_words: int = HEAD_
     spark = docs.sparkSession
     segments = shards(spark)
     share = max(64, filter_bits // segments // 8 * 8)
-    counts = stash(counted(docs, segments))
 
-    def unigrams(parts: pd.DataFrame) -> pd.DataFrame:
-        keys, n = unpacked(parts)
-        return pd.DataFrame({"code": keys.view(np.int64), "count": n})
-
-    def fill(parts: pd.DataFrame) -> pd.DataFrame:
+    def segment(parts: pd.DataFrame) -> pd.DataFrame:
         one, two = (unpacked(parts[parts["order"] == k]) for k in (1, 2))
-        return pd.DataFrame({"segment": parts["segment"].iloc[:1], "bits": [filled(one, two, share).tobytes()]})
+        n = len(one[0])
+        return pd.DataFrame({  # the words' rows, then the row of the bits
+            "code": pd.array(np.append(one[0].view(np.int64), 0), "Int64"), "count": pd.array(np.append(one[1], 0), "Int64"),
+            "segment": pd.array(np.full(n + 1, parts["segment"].iloc[0]), "Int64"), "bits": [None] * n + [filled(one, two, share).tobytes()]})
 
-    ones = stash(counts.where(F.col("order") == 1).groupBy("segment").applyInPandas(unigrams, "code bigint, count bigint"))
+    made = stash(counted(docs, segments).groupBy("segment").applyInPandas(segment, "code bigint, count bigint, segment bigint, bits binary"))
+    ones = made.where("bits is null").select("code", "count")
     bits = np.zeros((segments, share // 8), np.uint8)
-    for row in counts.groupBy("segment").applyInPandas(fill, "segment int, bits binary").toLocalIterator():
+    for row in made.where("bits is not null").select("segment", "bits").toLocalIterator():
         bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
     level = F.floor(F.log2("count"))
     by_level = sorted(((r["level"], r["n"], r["total"]) for r in ones.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum("count").alias("total")).collect()), reverse=True)
