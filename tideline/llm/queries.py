@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import classifier, decontamination, language_model, minhash, packing, quality_rules, toxicity
+from tideline.llm import classifier, decontamination, language_model, minhash, packing, quality_rules, suffix_dedup, toxicity
 from tideline.llm.common import fold, table
 from tideline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -56,3 +56,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_minhash_dedup", minhash.SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.shared(table(spark, sf_dir, "documents")))
