@@ -146,3 +146,10 @@ def segment_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def ints(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.int64())
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable bytes themselves, others from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or b in range(161, 173) or b >= 174]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tideline.llm.common import STEP_BYTES, ints, steps
+from tideline.llm.common import STEP_BYTES, byte_letters, ints, steps
 
 #: Word cache of a Python worker; it starts anew when it is full.
 CACHE_WORDS = 1_200_000
@@ -21,12 +21,6 @@ SCHEMA = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bi
           "sequence_tokens bigint, tier int, step_group bigint")
 
 
-def byte_letters() -> list[str]:
-    """The character that stands for each byte in the vocabulary: itself if printable, else one behind U+00FF."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or b in range(161, 173) or b >= 174]
-    return [chr(b) if b in shown else chr(256 + [x for x in range(256) if x not in shown].index(b)) for b in range(256)]
-
-
 class WordEncoder:
     """Token ids of texts, word by word. White space never enters a token of this vocabulary, so a text's ids are
     those of its words one after the other. Plain words skip the normaliser and the splitting pattern."""
