@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import classifier, decontamination, language_model, minhash, packing, quality_rules, suffix_dedup, toxicity, wordpiece
+from tideline.llm import classifier, compact_windows, decontamination, language_model, minhash, packing, quality_rules, suffix_dedup, toxicity, wordpiece
 from tideline.llm.common import fold, table
 from tideline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -70,3 +70,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), word_vocabulary())
+
+
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
