@@ -194,9 +194,10 @@ def test_upsert_is_idempotent(spark, tmp_path):
     assert sorted((r.k, r.version) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, 2), (2, 1)]
 
 
-def test_plain_text():
-    assert text.plain_text("<p>Fish &amp; <b>chips</b></p>\n x") == "Fish & chips x"
-    assert text.plain_text(None) == ""
+def test_html_text(spark):
+    rows = spark.createDataFrame([("<p>Fish &amp; <b>chips</b></p>\n x " + "y" * 9000,), (None,)], "h string")
+    assert [r["t"] for r in text.clean(rows, "h", "t").collect()] == ["Fish & chips x " + "y" * 9000, ""]
+    assert [r["t"] for r in text.clean(rows, "h", "t", 6).collect()] == ["Fish &", ""]
 
 
 def test_pair_statistics_against_regression(spark):

@@ -43,11 +43,6 @@ def decile_table(df: DataFrame, feature: str, y: str, k: int = 10) -> DataFrame:
     return d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("rate"), F.avg(feature).alias("mean_x"))
 
 
-def value_table(df: DataFrame, feature: str, y: str) -> DataFrame:
-    """Target rate per value, for features with few distinct values."""
-    return df.groupBy(F.col(feature).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("rate"))
-
-
 def correlation_pairs(df: DataFrame, cols: Sequence[str], floor: float | None = None) -> DataFrame:
     """Pairwise correlations of the given columns from one aggregate row."""
     prs = list(combinations(cols, 2))

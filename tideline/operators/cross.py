@@ -12,9 +12,10 @@ from tideline.operators import timeseries as ts
 
 
 def ranks(df: DataFrame, keys: Sequence[str], value: str, tie: str = "symbol") -> DataFrame:
-    """rank_asc by (value, tie), rank_desc as its mirror, n_group rows; all 1-based and exact."""
+    """rank_asc by (value, tie), rank_desc as its mirror, n_group rows with a value; all 1-based
+    and exact. A row without a value stays, with null ranks."""
     d = scan.number_by_value(df, keys, value, tie)
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_group"))
+    n = df.groupBy(*keys).agg(F.count(value).alias("n_group"))
     d = scan.attach(d, n, keys)
     return d.withColumns({"rank_asc": F.col("_pos") + 1, "rank_desc": F.col("n_group") - F.col("_pos")}).drop("_pos")
 
@@ -61,10 +62,6 @@ def liquidity_strata(panel: DataFrame, rows: int = 30, k: int = 5, min_symbols:
     return buckets(m, ["month"], "liq", k, "quintile").where(F.col("n_group") >= min_symbols).drop("n_group")
 
 
-def equal_weight_mean(df: DataFrame, value: str) -> Column:
-    return F.avg(value)
-
-
 def numbered_dates(df: DataFrame, name: str = "k") -> DataFrame:
     """Distinct dates with their 0-based index. One row per calendar step, so this stays small
     however large the panel is."""

@@ -66,7 +66,7 @@ def catalogue(market_symbol: str) -> list[Candidate]:
                   lambda w: F.log(F.greatest(ts.ratio(F.col("volume"), ts.roll(F.avg, "volume", 20, w, 5)), F.lit(1e-3)))),
         Candidate("dow", "calendar", "weekday, Monday 0", 0, lambda w: rules.weekday(F.col("ts")).cast("double")),
         Candidate("quincena", "calendar", "pay-day flag", 0, lambda w: rules.pay_day(F.col("ts")).cast("double")),
-        Candidate("ewma_vol_20", "volatility", "exponentially weighted volatility", 401, lambda w: ts.ewma_std("_r1", 0.06, w)),
+        Candidate("ewma_vol_20", "volatility", "exponentially weighted volatility", ts.ewma_rows(0.06) + 1, lambda w: ts.ewma_std("_r1", 0.06, w)),
         Candidate("usdmxn_ret_5d", "reference rate", "move of the reference rate", 5,
                   lambda w: ts.lag_return("fx", 5, w)),
     ]

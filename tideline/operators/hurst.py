@@ -55,38 +55,35 @@ def garch_filter(r: np.ndarray, omega: float, alpha: float, beta: float, v0: flo
     return out
 
 
+GRID = np.array([(a, b) for a in (0.02, 0.05, 0.08, 0.12, 0.18, 0.25) for b in (0.5, 0.65, 0.75, 0.82, 0.88, 0.92, 0.95) if a + b < 0.999])
+
+
 def garch_fit(r: np.ndarray) -> tuple[float, float, float]:
-    """Gaussian likelihood on a coarse grid with variance targeting; returns omega, alpha, beta."""
-    var, best = float(np.var(r)), (np.inf, 0.05, 0.90)
-    for alpha in (0.02, 0.05, 0.08, 0.12, 0.18, 0.25):
-        for beta in (0.5, 0.65, 0.75, 0.82, 0.88, 0.92, 0.95):
-            if alpha + beta >= 0.999:
-                continue
-            v = np.concatenate(([var], garch_filter(r[:-1], var * (1 - alpha - beta), alpha, beta, var)))
-            nll = float(np.sum(np.log(v) + r * r / v))
-            if nll < best[0]:
-                best = (nll, alpha, beta)
-    _, alpha, beta = best
-    return var * (1 - alpha - beta), alpha, beta
+    """Gaussian likelihood on a coarse grid with variance targeting, all grid points at once; returns omega, alpha, beta."""
+    var, (alpha, beta) = float(np.var(r)), GRID.T
+    omega = var * (1 - alpha - beta)
+    v, nll = np.full(len(GRID), var), np.zeros(len(GRID))
+    for x in r:
+        nll += np.log(v) + x * x / v
+        v = omega + alpha * x * x + beta * v
+    best = int(np.argmin(nll))
+    return float(omega[best]), float(alpha[best]), float(beta[best])
 
 
-def rolling_garch(returns: DataFrame, ret: str = "log_ret", window: int = 500, min_rows: int = 50, refit: int = 24,
+def rolling_garch(returns: DataFrame, ret: str = "log_ret", window: int = 500, min_rows: int = 50, refit: int = 24, step_seconds: int = 3600,
                   name: str = "garch_vol", rows: int | None = None, chunk: str = "month") -> DataFrame:
-    """Conditional volatility for each row: parameters refitted every ``refit`` rows on the last
-    ``window`` returns (scaled by 100), filtered over that window in between. Refit points follow
-    the row's position in the series, so a piece gives the same values wherever it is cut."""
+    """Conditional volatility for each row: parameters refitted every ``refit`` steps of ``step_seconds`` since the epoch
+    on the ``window`` returns (scaled by 100) up to the first row of the stretch, filtered over that window in between.
+    Stretches follow the clock, so a piece or the tail of a series gives the same values as the whole; rows must be
+    ``step_seconds`` apart at least."""
     schema = T.StructType([*returns.schema.fields, T.StructField(name, T.DoubleType())])
 
     def piece(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf[ret].to_numpy(dtype=float) * 100
-        pos = pdf["_pos"].to_numpy()
+        stretch = pdf["ts"].to_numpy("datetime64[s]").astype(np.int64) // (step_seconds * refit)
         out = np.full(len(r), np.nan)
-        for anchor in range(int(pos[0]) // refit * refit, int(pos[-1]) + 1, refit):
-            here = (pos >= anchor) & (pos < anchor + refit)
-            idx = np.flatnonzero(here)
-            if not len(idx):
-                continue
-            fit = r[(pos > anchor - window) & (pos <= anchor)]
+        for first in np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]])) if len(r) else ():
+            fit = r[max(0, first - window + 1):first + 1]
             fit = fit[~np.isnan(fit)]
             if len(fit) < min_rows:
                 continue
@@ -95,8 +92,10 @@ def rolling_garch(returns: DataFrame, ret: str = "log_ret", window: int = 500, m
                 continue
             w, a, b = garch_fit(fit)
             v = float(garch_filter(fit, w, a, b, var)[-1])
-            for i in idx:
-                if pos[i] > anchor:
+            for i in range(first, len(r)):
+                if stretch[i] != stretch[first]:
+                    break
+                if i > first:
                     x = 0.0 if np.isnan(r[i]) else r[i]
                     v = w + a * x * x + b * v
                 out[i] = np.sqrt(v) / 100

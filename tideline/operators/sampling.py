@@ -17,10 +17,13 @@ def hash01(seed: int, *cols: str | Column) -> Column:
 
 
 def window_starts(dates: DataFrame, h: int, target: int, seed: int) -> DataFrame:
-    """Up to ``target`` seeded starts at least h days apart: one candidate per 2h-day bucket, in
-    the bucket's first half, at a drawn offset; then the smallest draws win."""
-    n = F.datediff(F.to_date("ts"), F.lit("1990-01-01"))
-    d = dates.withColumn("_n", n).withColumn("_b", F.floor(F.col("_n") / (2 * h)))
-    d = d.withColumns({"_h": draw(F.col("_b"), seed), "_o": F.col("_n") % (2 * h)})
-    c = d.where((F.col("_o") >= F.col("_h") % h) & (F.col("_o") < h)).groupBy("_b").agg(F.min("ts").alias("ts"), F.first("_h").alias("_h"))
-    return c.orderBy("_h", "ts").limit(target).select("ts")
+    """`target` seeded starts at least h days apart, or as many as fit: from a drawn offset under h days on, each next start
+    is the first date h days or more behind the last one; of these the ones with the smallest draws are taken. The
+    dates are one array, as there is one for each calendar step at most."""
+    day = F.datediff(F.to_date("ts"), F.lit("1990-01-01"))
+    every = dates.select(F.struct(day.alias("n"), "ts").alias("d")).agg(F.array_sort(F.collect_set("d")).alias("d"))
+    offset = draw(F.lit(seed), seed) % h
+    first = F.struct(F.array().cast(f"array<{dates.select(F.struct(day.alias('n'), 'ts').alias('d')).schema['d'].dataType.simpleString()}>").alias("kept"), (F.get("d", F.lit(0))["n"] + offset).cast("long").alias("next"))
+    chain = F.aggregate("d", first, lambda a, d: F.when(d["n"] >= a["next"], F.struct(F.array_append(a["kept"], d).alias("kept"), (d["n"] + h).cast("long").alias("next"))).otherwise(a), lambda a: a["kept"])
+    starts = every.select(F.explode(chain).alias("d")).select("d.*")
+    return starts.orderBy(draw(F.col("n"), seed), "ts").limit(target).select("ts")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_ROWS = 8192  # rows of one series handled by one task
-EDGES = 64  # value buckets per group for exact ranking
+EDGES = 64  # value buckets per group for exact ranking, at least; as many as shuffle partitions
 
 
 def attach(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -69,21 +69,22 @@ def number_rows(
 
 
 def _value_chunks(df: DataFrame, keys, value: str, tie: str | None) -> DataFrame:
-    edges = df.groupBy(*keys).agg(
-        F.array_sort(
-            F.array_distinct(
-                F.percentile_approx(value, [i / EDGES for i in range(1, EDGES)], 2000)
-            )
-        ).alias("_edges")
-    )
+    n = max(EDGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    aggs = [F.array_sort(F.array_distinct(F.percentile_approx(value, [i / n for i in range(1, n)], 30 * n))).alias("_edges")]
+    if tie:  # what all ties of a group begin with is what its first and last one begin with
+        low, high = F.min(F.col(tie).cast("string")), F.max(F.col(tie).cast("string"))
+        same = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda k: F.substr(low, F.lit(1), k) == F.substr(high, F.lit(1), k))
+        aggs.append(F.coalesce(F.size(same), F.lit(0)).alias("_same"))
+    edges = df.groupBy(*keys).agg(*aggs)
     d = attach(df, edges, keys)
     x = F.col(value)
     on_edge = F.array_contains("_edges", x)
     below = F.size(F.filter("_edges", lambda e: e < x))
-    d = d.withColumn("_vb", below * 2 + on_edge.cast("int"))
-    # equal values are ordered by the tie column, so a hot value is cut by a prefix of it
-    prefix = F.when(on_edge, F.substring(F.col(tie).cast("string"), 1, 3)) if tie else F.lit("")
-    return d.withColumn("_vt", F.coalesce(prefix, F.lit(""))).drop("_edges")
+    # null values come last, in a bucket of their own
+    d = d.withColumn("_vb", F.when(x.isNull(), 2 * n + 2).otherwise(F.coalesce(below * 2 + on_edge.cast("int"), F.lit(0))))
+    # equal values are ordered by the tie column, so a hot value is cut by what follows the ties' common beginning
+    prefix = F.when(on_edge | x.isNull(), F.substr(F.col(tie).cast("string"), F.col("_same") + 1, F.lit(3))) if tie else F.lit("")
+    return d.withColumn("_vt", F.coalesce(prefix, F.lit(""))).drop("_edges", "_same")
 
 
 def pieces(df: DataFrame, keys=("symbol",), order=("ts",), chunk: str | int = "month", rows: int | None = None) -> DataFrame:
@@ -99,12 +100,13 @@ def number_by_value(
     """0-based rank by (value, tie) ascending inside each key, for groups of any size.
 
     Rows are cut into value buckets at approximate percentiles; the counts of lower buckets
-    give each bucket its offset, so the result is exact whatever the bucket edges are.
+    give each bucket its offset, so the result is exact whatever the bucket edges are. Rows with a
+    null value keep a null rank.
     ``tie`` must be a string column when given (ties are ordered by it).
     """
     d = _value_chunks(df, list(keys), value, tie)
-    order = [value] + ([tie] if tie else [])
-    return _numbered(d, list(keys), order, ["_vb", "_vt"], name)
+    order = [F.asc_nulls_last(value)] + ([tie] if tie else [])
+    return _numbered(d, list(keys), order, ["_vb", "_vt"], name).withColumn(name, F.when(F.col(value).isNotNull(), F.col(name)))
 
 
 def over_series(

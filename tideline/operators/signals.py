@@ -91,10 +91,10 @@ def dummies(df: DataFrame, symbols: Sequence[str]) -> DataFrame:
     return df.withColumns({f"dum_{s}": (F.col("symbol") == s).cast("double") for s in sorted(symbols)[1:]})
 
 
-def carry_features(series: DataFrame, rate: str, hours: int = 168, window: int = 2160, max_rows: int = 2200, per_year: float = 1.0,
+def carry_features(series: DataFrame, rate: str, hours: int = 168, window: int = 2160, per_year: float = 1.0,
                    chunk: str = "month") -> DataFrame:
     """Level, calendar-window z-score and change over ``hours`` of a rate series."""
-    d = ts.calendar_moments(series, rate, [window], max_rows, chunk=chunk)
+    d = ts.calendar_moments(series, rate, [window])
     d = joins.as_of_offset(d, rate, f"{hours} hours", "_old", chunk=chunk)
     m, s = F.col(f"mean_{window}h"), F.col(f"std_{window}h")
     return d.withColumns({

@@ -1,9 +1,7 @@
 """News-like text: cleaning, scanning, trust, similarity, clustering, and forward vectors."""
 from __future__ import annotations
 
-import html
 from collections.abc import Callable, Sequence
-from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -19,31 +17,16 @@ from tideline.operators import joins
 from tideline.operators.timeseries import ratio
 from tideline.session import cut_lineage
 
-MAX_TEXT = 4000
 INJECTION_THRESHOLD = 0.5
 # Phrases that score a text as a possible instruction, with weights.
 SUSPICIOUS = ((r"ignore (all |any )?(previous|prior|above)", 0.6), (r"system prompt", 0.5), (r"you are now", 0.4),
               (r"disregard", 0.3), (r"(api[_ ]?key|password|token)\s*[:=]", 0.3), (r"<script", 0.4))
 
 
-def plain_text(x: str | None) -> str:
-    if not x:
-        return ""
-    parser, pieces = HTMLParser(), []
-    parser.handle_data = pieces.append
-    parser.feed(x)
-    return " ".join(html.unescape("".join(pieces)).split())
-
-
-@F.pandas_udf(T.StringType())
-def parsed_html(x: pd.Series) -> pd.Series:
-    """Parser-exact text of markup (scripts keep their text, as a tag parser sees it)."""
-    return x.map(plain_text)
-
-
-def clean(df: DataFrame, col: str, out: str, exact: bool = True) -> DataFrame:
-    text = parsed_html(F.col(col)) if exact else rules.strip_html(F.col(col))
-    return df.withColumn(out, F.substring(text, 1, MAX_TEXT))
+def clean(df: DataFrame, col: str, out: str, limit: int | None = None) -> DataFrame:
+    """Text of markup without tags and comments, entities decoded; whole, unless a limit is given."""
+    text = rules.strip_html(F.col(col))
+    return df.withColumn(out, text if limit is None else F.substring(text, 1, limit))
 
 
 def scan_text(df: DataFrame, col: str, model: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
@@ -190,11 +173,6 @@ def dbscan(vectors: DataFrame, ident: str, vec: str, cosine: float, min_samples:
     return d.join(full, "_v").select(ident, "cluster_id")
 
 
-def min_cluster_size(n: int, usual: int = 10) -> int:
-    """Smaller for small batches, never below three."""
-    return usual if n >= usual * 5 else max(3, min(usual, n // 5))
-
-
 def cluster_quality(df: DataFrame, vec: str, label: str = "cluster_id") -> DataFrame:
     """Cluster and noise counts with Davies-Bouldin and Calinski-Harabasz from centroid sums."""
     long = df.where(F.col(label) != -1).select(label, F.posexplode(vec).alias("i", "x"))
@@ -234,7 +212,7 @@ def label_clusters(df: DataFrame, keys: Sequence[str], title: str, trust_col: st
 
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(trust_col), ident))
     top = df.withColumn("_r", rn).where(F.col("_r") <= n)  # each task keeps its own best first
-    line = F.concat(F.lit("- "), F.substring(title, 1, 200))
+    line = F.concat(F.lit("- "), F.col(title))
     g = top.groupBy(*keys).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("_r", line.alias("t")))), lambda s: s["t"])).alias("_h"))
     return g.select(*keys, rules.topic(F.col("_h")).alias("cluster_label"))
 

@@ -3,6 +3,7 @@ series (see ``scan``), so every function here holds for a symbol of any length."
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,9 +85,29 @@ def latest(df: DataFrame, keys: Sequence[str] = ("symbol",), order: str = "ts")
     ).select(*df.columns)
 
 
-def ewma_std(x: str | Column, alpha: float, w, n: int = 400, min_rows: int = 10) -> Column:
-    """Exponentially weighted, bias-corrected standard deviation over the last n rows. Weights
-    below (1-alpha)^n are smaller than a double can show next to the rest."""
+def ewma_rows(alpha: float) -> int:
+    """Rows until the weight of an exponential average is below the last bit of a double."""
+    return ceil(-53 * log(2) / log(1 - alpha))
+
+
+def ewma_std_series(df: DataFrame, x: str, alpha: float, name: str, min_rows: int = 10, rows: int | None = None, chunk: str = "month") -> DataFrame:
+    """Exponentially weighted, bias-corrected standard deviation over all rows up to each one, from four affine scans;
+    a null row ages the weights and adds nothing."""
+    d = scan.pieces(df, chunk=chunk, rows=rows)
+    known, v = F.col(x).isNotNull().cast("double"), F.coalesce(F.col(x), F.lit(0.0))
+    for term, a, b in (("_s0", 1 - alpha, known), ("_s1", 1 - alpha, v), ("_s2", 1 - alpha, v * v), ("_q0", (1 - alpha) ** 2, known), ("_k", 1.0, known)):
+        d = scan.affine_scan(d, F.lit(a), b, term)
+    mean = F.col("_s1") / F.nullif("_s0", F.lit(0.0))
+    var = F.col("_s2") / F.nullif("_s0", F.lit(0.0)) - mean * mean
+    room = F.nullif(F.col("_s0") * F.col("_s0") - F.col("_q0"), F.lit(0.0))
+    std = F.sqrt(F.greatest(F.lit(0.0), var * F.col("_s0") * F.col("_s0") / room))
+    return d.withColumn(name, F.when(F.col("_k") >= min_rows, std)).drop("_s0", "_s1", "_s2", "_q0", "_k", "_pos", "_blk")
+
+
+def ewma_std(x: str | Column, alpha: float, w, n: int | None = None, min_rows: int = 10) -> Column:
+    """Exponentially weighted, bias-corrected standard deviation as a column of a bounded frame: the rows whose weight
+    a double can still show (or the last n)."""
+    n = n or ewma_rows(alpha)
     past = F.reverse(F.filter(F.collect_list(F.struct(c(x).alias("v"))).over(frame(w, n)), lambda s: s["v"].isNotNull()))
     start = F.struct(*[F.lit(0.0).alias(k) for k in ("s0", "s1", "s2", "q0")], F.lit(1.0).alias("g"))
 
@@ -107,15 +128,15 @@ def ewma_std(x: str | Column, alpha: float, w, n: int = 400, min_rows: int = 10)
 
 
 def ewma_variance(returns: DataFrame, ret: str, lam: float = 0.94, seed_rows: int = 20, **kw) -> DataFrame:
-    """v[t] = lam*v[t-1] + (1-lam)*r[t]^2 from row ``seed_rows`` on, seeded by the population
-    variance of the first rows. Adds ``ewma_var`` (null during the seed)."""
+    """v[t] = lam*v[t-1] + (1-lam)*r[t]^2 from the last of the ``seed_rows`` rows on, seeded by the
+    population variance of those rows. Adds ``ewma_var`` (null before)."""
     d = scan.number_rows(returns, name="_i", chunk=kw.get("chunk", "month"))
     head = d.where(F.col("_i") < seed_rows).groupBy("symbol").agg(F.var_pop(ret).alias("_v0"))
     d = scan.attach(d, head, ["symbol"])
-    a = F.when(F.col("_i") < seed_rows, 0.0).otherwise(lam)
-    b = F.when(F.col("_i") < seed_rows, F.col("_v0")).otherwise((1 - lam) * F.col(ret) * F.col(ret))
+    a = F.when(F.col("_i") < seed_rows - 1, 0.0).otherwise(lam)
+    b = F.when(F.col("_i") < seed_rows - 1, F.col("_v0")).otherwise((1 - lam) * F.col(ret) * F.col(ret))
     out = scan.affine_scan(d, a, b, "ewma_var", **kw)
-    return out.withColumn("ewma_var", F.when(F.col("_i") >= seed_rows, F.col("ewma_var"))).drop("_i", "_v0")
+    return out.withColumn("ewma_var", F.when(F.col("_i") >= seed_rows - 1, F.col("ewma_var"))).drop("_i", "_v0")
 
 
 def exposure(var: Column, target: float = 0.25, per_year: int = 365) -> Column:
@@ -168,23 +189,19 @@ def last_per_day(curve: DataFrame, keys: Sequence[str] = ("symbol",), tie: Seque
     )
 
 
-def calendar_moments(df: DataFrame, value: str, hours: Sequence[int], unit_rows: int, **kw) -> DataFrame:
-    """Mean, population std and count over the last h hours (calendar frame) for each h.
-    ``unit_rows`` bounds the rows any frame can hold, which is the halo of a piece."""
+def calendar_moments(df: DataFrame, value: str, hours: Sequence[int], keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Mean, population std and count over the last h hours (calendar frame) for each h. A piece is a stretch of time
+    as long as the longest frame, with a copy of the stretch before it, so a frame is whole however many rows it holds."""
     from pyspark.sql import Window
 
-    def build(d, w):
-        by_time = Window.partitionBy("symbol", "_blk").orderBy(F.unix_timestamp("ts"))
-        for h in hours:
-            f = by_time.rangeBetween(-h * 3600, 0)
-            d = d.withColumns({
-                f"mean_{h}h": F.avg(value).over(f),
-                f"std_{h}h": F.stddev_pop(value).over(f),
-                f"n_{h}h": F.count(value).over(f),
-            })
-        return d
-
-    return scan.over_series(df, build, back=unit_rows, **kw)
+    at, width = F.unix_timestamp("ts"), max(hours) * 3600
+    own = F.floor(at / width)
+    d = df.withColumn("_own", own).withColumn("_blk", F.explode(F.array(own, own + 1)))
+    by_time = Window.partitionBy(*keys, "_blk").orderBy(at)
+    for h in hours:
+        f = by_time.rangeBetween(-h * 3600, 0)
+        d = d.withColumns({f"mean_{h}h": F.avg(value).over(f), f"std_{h}h": F.stddev_pop(value).over(f), f"n_{h}h": F.count(value).over(f)})
+    return d.where(F.col("_own") == F.col("_blk")).drop("_own", "_blk")
 
 
 def sequences(df: DataFrame, channels: Sequence[str], n: int, name: str = "seq", **kw) -> DataFrame:

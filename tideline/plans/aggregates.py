@@ -294,8 +294,9 @@ def _(t):
     return b.select("cfg", "b.thr", rnd("b.f1").alias("f1"))
 
 
-@query("K09_window_sample", f"""WITH d AS (SELECT DISTINCT o_orderdate AS ts, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS n FROM orders),
-b AS (SELECT ts, n, n // 56 AS b, ((n // 56) * 1103515245 + 42 * 12345) % 2147483648 AS h FROM d), c AS (SELECT b, min(ts) AS ts, any_value(h) AS h FROM b WHERE n % 56 >= h % 28 AND n % 56 < 28 GROUP BY 1)
-SELECT ts FROM c ORDER BY h, ts LIMIT 40""")
+@query("K09_window_sample", f"""WITH RECURSIVE d AS MATERIALIZED (SELECT DISTINCT o_orderdate AS ts, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS n FROM orders),
+c(ts, n) AS (SELECT min(ts), min(n) FROM d WHERE n >= (SELECT min(n) FROM d) + {(42 * 1103515245 + 42 * 12345) % 2147483648 % 28}
+  UNION ALL SELECT x.ts, x.n FROM c, LATERAL (SELECT min(ts) AS ts, min(n) AS n FROM d WHERE d.n >= c.n + 28) x WHERE x.n IS NOT NULL)
+SELECT ts FROM c ORDER BY (n * 1103515245 + 42 * 12345) % 2147483648, ts LIMIT 40""")
 def _(t):
     return sampling.window_starts(t.orders.select(F.col("o_orderdate").alias("ts")).distinct(), 28, 40, 42)

@@ -152,7 +152,7 @@ def _(t):
 SELECT z.symbol, z.ts, {rsql('z.rate * 1095')} AS level, {rsql('CASE WHEN s > 1e-12 THEN (z.rate - m) / s END', 4)} AS z, {rsql('(z.rate - o.rate) * 1095')} AS change FROM z ASOF LEFT JOIN r o ON z.symbol = o.symbol AND z.at >= o.ts""")
 def _(t):
     r = v.hourly(t).select("symbol", "ts", ((F.col("close") - 30) / 1e4).alias("rate"))
-    d = signals.carry_features(r, "rate", 48, 240, 242, 1095.0)
+    d = signals.carry_features(r, "rate", 48, 240, 1095.0)
     return d.select("symbol", "ts", rnd("level").alias("level"), rnd("z", 4).alias("z"), rnd("change").alias("change"))
 
 

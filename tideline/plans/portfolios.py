@@ -290,10 +290,11 @@ def _(t):
     return pf.roll_forward(roll_rows(t), 0.0036)
 
 
-@query("P24_volatility_target_exposure", f"WITH {v.HOURLY}, {EWMA} SELECT symbol, ts, {rsql('least(1, 0.25 / sqrt(var * 365))')} AS exposure FROM ev")
+@query("P24_volatility_target_exposure", f"WITH {v.HOURLY}, {EWMA}, lv AS (SELECT r.symbol, r.ts, lag(ev.var) OVER (PARTITION BY r.symbol ORDER BY r.ts) AS var FROM r LEFT JOIN ev USING (symbol, ts)) SELECT symbol, ts, {rsql('CASE WHEN var IS NULL THEN 1 ELSE least(1, 0.25 / sqrt(var * 365)) END')} AS exposure FROM lv")
 def _(t):
-    d = ts.ewma_variance(small_returns(t), "ret", rows=256).where("ewma_var IS NOT NULL")
-    return d.select("symbol", "ts", rnd(ts.exposure(F.col("ewma_var"))).alias("exposure"))
+    e = ts.ewma_variance(small_returns(t), "ret", rows=256)
+    d = scan.over_series(e, lambda d, w: d.withColumn("known", F.lag("ewma_var").over(w)), back=1)  # what the book knows at a date ends the date before
+    return d.select("symbol", "ts", rnd(F.coalesce(ts.exposure(F.col("known")), F.lit(1.0))).alias("exposure"))
 
 
 # ---- pairs -------------------------------------------------------------------------------------

@@ -109,7 +109,7 @@ def _(t):
 
 
 def news_batch(t, stamp):
-    d = t.documents.select(rules.stable_id(F.col("source"), F.col("text")).alias("id"), "source", F.substring(rules.squash(F.col("text")), 1, text.MAX_TEXT).alias("title"), F.lit(stamp).alias("version"))
+    d = t.documents.select(rules.stable_id(F.col("source"), F.col("text")).alias("id"), "source", rules.squash(F.col("text")).alias("title"), F.lit(stamp).alias("version"))
     return text.scan_text(d, "title").drop("injection_score")
 
 

@@ -75,13 +75,18 @@ def _(t):
     return stateful(t, jobs.DrawdownAlert(), "symbol string, event_id long, drop double").select("symbol", "event_id", rnd("drop").alias("drop"))
 
 
-@query("R09_budget_brake", f"SELECT event_type AS symbol, event_id, {rsql('sum(value) OVER (' + W + ')', 4)} AS spent, sum(value) OVER ({W}) > 5000 AS braked FROM events")
+WM = W.replace("PARTITION BY event_type", "PARTITION BY event_type, date_trunc('month', ts)")
+
+
+@query("R09_budget_brake", f"SELECT event_type AS symbol, event_id, {rsql('sum(value) OVER (' + WM + ')', 4)} AS spent, sum(value) OVER ({WM}) > 5000 AS braked FROM events")
 def _(t):
     return stateful(t, jobs.RunningSpend(), "symbol string, event_id long, spent double, braked boolean").select("symbol", "event_id", rnd("spent", 4).alias("spent"), "braked")
 
 
-@query("R10_incremental_ewma", f"""WITH e AS (SELECT event_type AS symbol, event_id, value, row_number() OVER ({W}) - 1 AS i FROM events)
-SELECT a.symbol, a.event_id, {rsql('sum(CASE WHEN b.i = 0 THEN 1 ELSE 0.06e0 END * power(0.94e0, a.i - b.i) * b.value * b.value)', 4)} AS v FROM e a JOIN e b ON a.symbol = b.symbol AND b.i <= a.i GROUP BY 1, 2""")
+@query("R10_incremental_ewma", f"""WITH e AS (SELECT event_type AS symbol, event_id, value, row_number() OVER ({W}) - 1 AS i FROM events),
+v0 AS (SELECT symbol, var_pop(value) AS v0 FROM e WHERE i < 20 GROUP BY 1),
+ev AS (SELECT a.symbol, a.event_id, power(0.94e0, a.i - 18) * any_value(v0) + sum(0.06e0 * power(0.94e0, a.i - b.i) * b.value * b.value) AS v FROM e a JOIN v0 USING (symbol) JOIN e b ON a.symbol = b.symbol AND b.i BETWEEN 19 AND a.i WHERE a.i >= 19 GROUP BY a.symbol, a.event_id, a.i)
+SELECT e.symbol, e.event_id, {rsql('v', 4)} AS v FROM e LEFT JOIN ev USING (symbol, event_id)""")
 def _(t):
     return stateful(t, jobs.EwmaVariance(), "symbol string, event_id long, v double").select("symbol", "event_id", rnd("v", 4).alias("v"))
 

@@ -7,7 +7,7 @@ from tideline.functions import rules
 from tideline.operators import text
 from tideline.plans import views as v
 from tideline.plans.registry import query, rnd, rsql
-from tideline.plans.scalars import TOPIC
+from tideline.plans.scalars import CLEAN, TOPIC
 from tideline.session import cut_lineage
 
 WEIGHTS = {"src0": 1.0, "src1": 0.7, "src2": 0.6, "src3": 0.6}
@@ -18,7 +18,7 @@ nb AS (SELECT vec_id, count(sim.b) AS neighbours FROM embeddings LEFT JOIN sim O
 TRUST = f"tr AS (SELECT d.doc_id, d.source, d.lang, d.text, nb.neighbours, e.label, round(least(1, {W_SQL} * (1 + 0.2e0 * least(nb.neighbours, 4))), 4) AS trust FROM documents d JOIN nb ON d.doc_id = nb.vec_id JOIN embeddings e ON e.vec_id = d.doc_id)"
 
 
-@query("T01_parsed_html_text")
+@query("T01_html_text", f"SELECT page_id, {CLEAN} AS body FROM pages")
 def _(t):
     return text.clean(t.pages, "html", "body").select("page_id", "body")
 
@@ -107,7 +107,7 @@ def _(t):
 TOPIC_H = TOPIC.replace("text", "h")
 
 
-@query("T12_cluster_labels", f"WITH {NB}, {TRUST}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY trust DESC, doc_id) AS k FROM tr), c AS (SELECT label, string_agg('- ' || left(text, 200), chr(10) ORDER BY k) AS h FROM r WHERE k <= 5 GROUP BY 1) SELECT label, {TOPIC_H} AS cluster_label FROM c")
+@query("T12_cluster_labels", f"WITH {NB}, {TRUST}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY trust DESC, doc_id) AS k FROM tr), c AS (SELECT label, string_agg('- ' || text, chr(10) ORDER BY k) AS h FROM r WHERE k <= 5 GROUP BY 1) SELECT label, {TOPIC_H} AS cluster_label FROM c")
 def _(t):
     return text.label_clusters(trusted(t), ["label"], "text", "trust", "doc_id")
 

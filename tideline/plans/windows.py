@@ -73,18 +73,16 @@ s AS (SELECT a.symbol, a.ts, count(b.x) k, sum(power(0.94e0, a.i - b.i)) s0, sum
   FROM r a LEFT JOIN r b ON a.symbol = b.symbol AND b.i <= a.i AND b.x IS NOT NULL GROUP BY 1, 2)
 SELECT symbol, ts, CASE WHEN k >= 10 THEN {rsql('sqrt((s2 / s0 - (s1 / s0) * (s1 / s0)) * s0 * s0 / (s0 * s0 - q0))', 5)} END AS ewma_vol FROM s""")
 def _(t):
-    def build(d, w):
-        d = d.withColumn("r", ts.lag_return("close", 1, w))
-        return d.withColumn("e", ts.ewma_std("r", 0.06, w))
-    return scan.over_series(v.panel(t), build, back=401, chunk="year").select("symbol", "ts", rnd("e", 5).alias("ewma_vol"))
+    r = scan.over_series(v.panel(t), lambda d, w: d.withColumn("r", ts.lag_return("close", 1, w)), back=1, chunk="year").select("symbol", "ts", "r")
+    return ts.ewma_std_series(r, "r", 0.06, "e", rows=1024, chunk="year").select("symbol", "ts", rnd("e", 5).alias("ewma_vol"))
 
 
 EWMA = f"""r AS (SELECT symbol, ts, ret, row_number() OVER ({H}) - 1 AS i FROM ({RET}) WHERE ret IS NOT NULL),
   v0 AS (SELECT symbol, var_pop(ret) AS v0 FROM r WHERE i < 20 GROUP BY 1),
-  ev AS (SELECT a.symbol, a.ts, a.i, a.ret, power(0.94e0, a.i - 19) * any_value(v0.v0)
+  ev AS (SELECT a.symbol, a.ts, a.i, a.ret, power(0.94e0, a.i - 18) * any_value(v0.v0)
       + sum(0.06e0 * power(0.94e0, a.i - b.i) * b.ret * b.ret) AS var
-    FROM r a JOIN v0 USING (symbol) JOIN r b ON a.symbol = b.symbol AND b.i BETWEEN 20 AND a.i
-    WHERE a.i >= 20 GROUP BY a.symbol, a.ts, a.i, a.ret)"""
+    FROM r a JOIN v0 USING (symbol) JOIN r b ON a.symbol = b.symbol AND b.i BETWEEN 19 AND a.i
+    WHERE a.i >= 19 GROUP BY a.symbol, a.ts, a.i, a.ret)"""
 
 
 def small_returns(t):
@@ -220,7 +218,7 @@ SELECT symbol, ts, {rsql('avg(close) OVER a', 5)} AS mean_24h, {rsql('stddev_pop
 FROM hourly WINDOW a AS ({H} RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW),
   b AS ({H} RANGE BETWEEN INTERVAL 604800 SECOND PRECEDING AND CURRENT ROW)""")
 def _(t):
-    d = ts.calendar_moments(v.hourly(t), "close", [24, 168], 170)
+    d = ts.calendar_moments(v.hourly(t), "close", [24, 168])
     return d.select("symbol", "ts", rnd("mean_24h", 5).alias("mean_24h"), rnd("std_168h", 5).alias("std_168h"), "n_168h")
 
 

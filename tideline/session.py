@@ -49,11 +49,13 @@ def local_session(name: str = "tideline", cpus: str = "*", partitions: int = 8)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared checkpoint folder; a temporary one only in local mode, where all tasks share this machine."""
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if conf is None:
-        known = spark.sparkContext.getCheckpointDir()
-        conf = known or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(conf)
     return conf

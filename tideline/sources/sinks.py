@@ -16,7 +16,9 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table, or an empty one with its fixed schema where nothing was written yet."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], schema)
 
 

@@ -99,31 +99,39 @@ class _Keyed(StatefulProcessor):
 
 
 class EwmaVariance(_Keyed):
-    """v = lam*v + (1-lam)*x^2 from the first value on."""
+    """v = lam*v + (1-lam)*x^2 from the last of the first 20 values on, seeded by their population variance; null before.
+    The state holds the seed's count, sum and sum of squares."""
 
-    schema, columns = "v double, n long", ["symbol", "event_id", "v"]
+    schema, columns = "v double, n long, s double, q double", ["symbol", "event_id", "v"]
+    seed_rows = 20
 
     def start(self):
-        return (0.0, 0)
+        return (0.0, 0, 0.0, 0.0)
 
     def step(self, state, key, row):
-        v, n = state
-        v = row.value**2 if n == 0 else 0.94 * v + 0.06 * row.value**2
-        return (v, n + 1), (key[0], row.event_id, v)
+        v, n, s, q = state
+        n, x = n + 1, row.value
+        if n <= self.seed_rows:
+            s, q = s + x, q + x * x
+            v = q / n - (s / n) ** 2
+        if n >= self.seed_rows:
+            v = 0.94 * v + 0.06 * x * x
+        return (v, n, s, q), (key[0], row.event_id, v if n >= self.seed_rows else None)
 
 
 class RunningSpend(_Keyed):
-    """Running sum per key against a cap."""
+    """Running sum per key and calendar month against a cap; a new month starts from 0."""
 
-    schema, columns = "s double", ["symbol", "event_id", "spent", "braked"]
+    schema, columns = "s double, month long", ["symbol", "event_id", "spent", "braked"]
     cap = 5000.0
 
     def start(self):
-        return (0.0,)
+        return (0.0, 0)
 
     def step(self, state, key, row):
-        s = state[0] + row.value
-        return (s,), (key[0], row.event_id, s, s > self.cap)
+        month = row.ts.year * 12 + row.ts.month
+        s = (state[0] if state[1] == month else 0.0) + row.value
+        return (s, month), (key[0], row.event_id, s, s > self.cap)
 
 
 class DrawdownAlert(_Keyed):
