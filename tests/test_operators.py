@@ -1,13 +1,16 @@
 """Hand-computed cases, invariants and theory for the operators SQL cannot state."""
 import io
+import math
 import zipfile
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import hurst, labels, ledger, models, pairs, portfolio, scan, shapes, signals, stats, text
+from tideline.operators import cross, hurst, labels, ledger, models, pairs, portfolio, sampling, scan, shapes, signals, stats, text
+from tideline.operators import timeseries as ts
 from tideline.sources import readers, sinks
 
 
@@ -218,3 +221,73 @@ def test_pair_statistics_against_regression(spark):
 def test_number_rows_survives_one_partition(spark):
     d = spark.range(100).select(F.lit("A").alias("symbol"), F.timestamp_seconds(F.col("id") * 86400).cast("timestamp_ntz").alias("ts"))
     assert [r._pos for r in scan.number_rows(d.coalesce(1)).orderBy("ts").collect()] == list(range(100))
+
+
+def test_ewma_std_of_all_rows(spark):
+    x = [None if i % 7 == 3 else math.sin(i) * (1e6 if i == 2 else 1) for i in range(900)]
+    rows = spark.createDataFrame([("a", datetime(2024, 1, 1) + timedelta(hours=i), v) for i, v in enumerate(x)], "symbol string, ts timestamp_ntz, x double")
+    got = [r["e"] for r in ts.ewma_std_series(rows, "x", 0.06, "e", rows=100).orderBy("ts").collect()]
+    for i in (5, 30, 450, 899):
+        w = [(0.94 ** (i - j), v) for j, v in enumerate(x[:i + 1]) if v is not None]
+        if len(w) < 10:
+            assert got[i] is None
+            continue
+        s0, s1, s2, q0 = (sum(f(a, v) for a, v in w) for f in (lambda a, v: a, lambda a, v: a * v, lambda a, v: a * v * v, lambda a, v: a * a))
+        assert got[i] == pytest.approx(math.sqrt(max(0, (s2 / s0 - (s1 / s0) ** 2) * s0 * s0 / (s0 * s0 - q0))), rel=1e-6)
+
+
+def test_ewma_variance_starts_with_the_last_seed_row(spark):
+    r = [0.01 * ((i * 37) % 11 - 5) for i in range(60)]
+    rows = spark.createDataFrame([("a", datetime(2024, 1, 1) + timedelta(hours=i), v) for i, v in enumerate(r)], "symbol string, ts timestamp_ntz, ret double")
+    got = [x["ewma_var"] for x in ts.ewma_variance(rows, "ret", rows=16).orderBy("ts").collect()]
+    mean = sum(r[:20]) / 20
+    v = sum((x - mean) ** 2 for x in r[:20]) / 20
+    for i in range(60):
+        if i < 19:
+            assert got[i] is None
+        else:
+            v = 0.94 * v + 0.06 * r[i] ** 2
+            assert got[i] == pytest.approx(v)
+
+
+def test_calendar_moments_hold_dense_frames(spark):
+    rows = spark.createDataFrame([("a", datetime(2024, 1, 1) + timedelta(minutes=i), float(i)) for i in range(3000)], "symbol string, ts timestamp_ntz, x double")
+    last = ts.calendar_moments(rows, "x", [1, 24]).orderBy(F.desc("ts")).first()
+    assert (last["n_1h"], last["n_24h"], last["mean_1h"]) == (61, 1441, 2969.0)
+
+
+def test_window_starts_reach_the_target(spark):
+    days = [(datetime(2021, 1, 1) + timedelta(days=i),) for i in range(1642)]
+    dates = spark.createDataFrame(days, "ts timestamp_ntz")
+    for seed in (42, 1):
+        got = sorted(r["ts"] for r in sampling.window_starts(dates, 28, 40, seed).collect())
+        assert len(got) == 40 and all((b - a).days >= 28 for a, b in zip(got, got[1:]))
+    sparse = dates.where("day(ts) in (1, 15, 16)")
+    got = sorted(r["ts"] for r in sampling.window_starts(sparse, 28, 10**6, 5).collect())
+    assert len(got) >= 50 and all((b - a).days >= 28 for a, b in zip(got, got[1:]))
+
+
+def test_ranks_keep_rows_without_a_value(spark):
+    rows = spark.createDataFrame([("a", 1.0, 1), ("b", None, 1), ("c", 0.5, 1), ("d", None, 2)], "symbol string, x double, ts int")
+    got = {r["symbol"]: (r["rank_asc"], r["rank_desc"], r["n_group"]) for r in cross.ranks(rows, ["ts"], "x").collect()}
+    assert got == {"a": (2, 1, 2), "b": (None, None, 2), "c": (1, 2, 2), "d": (None, None, 0)}
+
+
+def test_hot_value_is_cut_behind_its_ties_common_beginning(spark):
+    rows = spark.range(5000).select(F.lit(1).alias("g"), F.lit(2.0).alias("x"), F.concat(F.lit("Brand#"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("tie"))
+    assert scan._value_chunks(rows, ["g"], "x", "tie").select("_vb", "_vt").distinct().count() >= 40
+    assert [r["k"] for r in scan.number_by_value(rows, ["g"], "x", "tie", "k").orderBy("tie").collect()] == list(range(5000))
+
+
+def test_tail_equals_full_pass(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 900)))
+    rows = spark.createDataFrame([("a", datetime(2024, 1, 1, 5) + timedelta(hours=i), float(c), float(c) * 1.01, float(c) * 0.99, float(c), 1.0) for i, c in enumerate(close)],
+                                 "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    full = {r["ts"]: r for r in signals.silver(rows, 100, 300).collect()}
+    tail = signals.silver_tail(rows, 48, 550, hurst_window=100, garch_window=300).collect()
+    assert len(tail) == 48
+    for r in tail:
+        assert r["garch_vol"] == pytest.approx(full[r["ts"]]["garch_vol"], rel=1e-12) and r["hurst"] == pytest.approx(full[r["ts"]]["hurst"])

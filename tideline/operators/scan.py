@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -318,6 +319,76 @@ def affine_scan(
     return streamed(d.join(seeds, piece), piece, ["_pos"], fill, out_schema)
 
 
+def decayed_sums(df: DataFrame, terms: dict[str, tuple[float, Column]], keys=("symbol",), order=("ts",), rows: int | None = None, chunk: str | int = "month") -> DataFrame:
+    """v[t] = a*v[t-1] + b[t] from 0 for several (name: (a, b)) with constant a in (0, 1], in one two-level scan: sums of
+    the pieces, their carry, then the rows. Stretches of rows are one array operation."""
+    keys, names = list(keys), list(terms)
+    piece, decay = [*keys, "_blk"], np.array([a for a, _ in terms.values()])
+    d = pieces(df, keys, order, chunk, rows).withColumns({f"_b{i}": F.coalesce(b.cast("double"), F.lit(0.0)) for i, (_, b) in enumerate(terms.values())})
+    inputs = [f"_b{i}" for i in range(len(terms))]
+    kf = [*(d.schema[k] for k in keys), T.StructField("_blk", T.LongType())]
+    doubles = [T.StructField(x, T.DoubleType()) for x in inputs]
+    total_schema = T.StructType([*kf, T.StructField("_n", T.LongType()), *doubles])
+    seed_schema = T.StructType([*kf, *(T.StructField(f"_s{i}", T.DoubleType()) for i in range(len(terms)))])
+    out_schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    def runs(pdf: pd.DataFrame, cols: list[str]):
+        new = (pdf[cols] != pdf[cols].shift()).any(axis=1).to_numpy()
+        at = np.flatnonzero(new)
+        return zip(at, [*at[1:], len(pdf)])
+
+    def after(v: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Values behind each row of b, from v."""
+        out = np.empty_like(b)
+        for at in range(0, len(b), 64):
+            part = b[at:at + 64]
+            power = decay[None, :] ** np.arange(1, len(part) + 1)[:, None]
+            out[at:at + 64] = power * (v + np.cumsum(part / power, axis=0))
+            v = out[at + len(part) - 1]
+        return out
+
+    def totals(batches):
+        cur, n, v = None, 0, None
+        for pdf in batches:
+            out = []
+            for i, j in runs(pdf, piece):
+                k = tuple(pdf[c].iloc[i] for c in piece)
+                if k != cur:
+                    if cur is not None:
+                        out.append((*cur, n, *v))
+                    cur, n, v = k, 0, np.zeros(len(names))
+                n, v = n + j - i, after(v, pdf[inputs].iloc[i:j].to_numpy(float))[-1]
+            yield pd.DataFrame(out, columns=total_schema.names)
+        if cur is not None:
+            yield pd.DataFrame([(*cur, n, *v)], columns=total_schema.names)
+
+    def carry(batches):
+        cur, v = None, None
+        for pdf in batches:
+            seeds = []
+            for *k, n, b in zip(*(pdf[c] for c in keys), pdf["_n"], pdf[inputs].to_numpy(float)):
+                if k != cur:
+                    cur, v = k, np.zeros(len(names))
+                seeds.append(v)
+                v = decay ** n * v + b
+            yield pd.concat([pdf[piece].reset_index(drop=True), pd.DataFrame(np.array(seeds).reshape(-1, len(names)), columns=seed_schema.names[len(piece):])], axis=1)
+
+    def fill(batches):
+        cur, v = None, None
+        for pdf in batches:
+            out = np.empty((len(pdf), len(names)))
+            for i, j in runs(pdf, piece):
+                k = tuple(pdf[c].iloc[i] for c in piece)
+                if k != cur:
+                    cur, v = k, pdf[seed_schema.names[len(piece):]].iloc[i].to_numpy(float)
+                out[i:j] = after(v, pdf[inputs].iloc[i:j].to_numpy(float))
+                v = out[j - 1]
+            yield pdf.assign(**dict(zip(names, out.T)))[out_schema.names]
+
+    parts = streamed(d.select(*piece, "_pos", *inputs), piece, ["_pos"], totals, total_schema)
+    return streamed(d.join(streamed(parts, keys, ["_blk"], carry, seed_schema), piece), piece, ["_pos"], fill, out_schema)
+
+
 def quantiles(df: DataFrame, keys, value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """Exact linear-interpolated quantiles per key, for groups of any size."""
     keys = list(keys)

@@ -91,17 +91,15 @@ def ewma_rows(alpha: float) -> int:
 
 
 def ewma_std_series(df: DataFrame, x: str, alpha: float, name: str, min_rows: int = 10, rows: int | None = None, chunk: str = "month") -> DataFrame:
-    """Exponentially weighted, bias-corrected standard deviation over all rows up to each one, from four affine scans;
+    """Exponentially weighted, bias-corrected standard deviation over all rows up to each one, from decayed sums;
     a null row ages the weights and adds nothing."""
-    d = scan.pieces(df, chunk=chunk, rows=rows)
-    known, v = F.col(x).isNotNull().cast("double"), F.coalesce(F.col(x), F.lit(0.0))
-    for term, a, b in (("_s0", 1 - alpha, known), ("_s1", 1 - alpha, v), ("_s2", 1 - alpha, v * v), ("_q0", (1 - alpha) ** 2, known), ("_k", 1.0, known)):
-        d = scan.affine_scan(d, F.lit(a), b, term)
+    known, v, a = F.col(x).isNotNull().cast("double"), F.coalesce(F.col(x), F.lit(0.0)), 1 - alpha
+    d = scan.decayed_sums(df, {"_s0": (a, known), "_s1": (a, v), "_s2": (a, v * v), "_q0": (a * a, known), "_k": (1.0, known)}, rows=rows, chunk=chunk)
     mean = F.col("_s1") / F.nullif("_s0", F.lit(0.0))
     var = F.col("_s2") / F.nullif("_s0", F.lit(0.0)) - mean * mean
     room = F.nullif(F.col("_s0") * F.col("_s0") - F.col("_q0"), F.lit(0.0))
     std = F.sqrt(F.greatest(F.lit(0.0), var * F.col("_s0") * F.col("_s0") / room))
-    return d.withColumn(name, F.when(F.col("_k") >= min_rows, std)).drop("_s0", "_s1", "_s2", "_q0", "_k", "_pos", "_blk")
+    return d.withColumn(name, F.when(F.col("_k") >= min_rows, std)).drop("_s0", "_s1", "_s2", "_q0", "_k")
 
 
 def ewma_std(x: str | Column, alpha: float, w, n: int | None = None, min_rows: int = 10) -> Column:
