@@ -18,6 +18,8 @@ SIDE = LENGTH - ANCHOR
 #: Bytes of text whose anchors a task gathers before it sends them.
 FLUSH_BYTES = 24 << 20
 FULL, TEXT = 1, 2
+#: Strings of an index, and strings that stream through it at once.
+STRINGS = 8192
 
 
 def slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -53,6 +55,16 @@ def surroundings(prefix: Prefix, offs: np.ndarray, pos: np.ndarray) -> tuple[np.
     return doc, lo, hi, mixed(prefix.of(lo, hi) + (pos - lo).astype(np.uint64))
 
 
+def halves(prefix: Prefix, offs: np.ndarray, pos: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """16-bit codes (0 for none) of the anchor with SIDE // 2 bytes before it, and with as many behind it. LENGTH bytes
+    around an anchor hold one of these two."""
+    out = np.zeros((len(pos), 2), np.uint16)
+    for k, (lo, hi) in enumerate(((pos - SIDE // 2, pos + ANCHOR), (pos, pos + ANCHOR + SIDE // 2))):
+        ok = np.flatnonzero((lo >= offs[doc]) & (hi <= offs[doc + 1]))
+        out[ok, k] = (prefix.of(lo[ok], hi[ok]) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+    return out
+
+
 def shard_of(code: np.ndarray, parts: int) -> np.ndarray:
     return ((code >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
 
@@ -76,7 +88,7 @@ def gathered(docs: DataFrame, parts: int) -> DataFrame:
         size = 0
 
         def rows():
-            code, around, doc, row = (np.concatenate(x) for x in zip(*held))
+            code, around, doc, row, half = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((doc, around, code))
             c, a = code[order], around[order]
             first = np.concatenate([[True], (c[1:] != c[:-1]) | (a[1:] != a[:-1])]) if len(c) else np.zeros(0, bool)
@@ -94,13 +106,14 @@ def gathered(docs: DataFrame, parts: int) -> DataFrame:
                 start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([s], pa.int32()), pa.array([d[start].tobytes()]), pa.array([r[start].tobytes()]), pa.array([np.diff(np.append(start, len(own))).astype("<u4").tobytes()]),
-                    pa.array([np.packbits(put).tobytes()]), pa.array([six(code[own][put])]), pa.array([six(around[own][put])])], ["shard", "docs", "rows", "counts", "sent", "codes", "around"])
+                    pa.array([np.packbits(put).tobytes()]), pa.array([six(code[own][put])]), pa.array([six(around[own][put])]), pa.array([half[own][put].tobytes()])],
+                    ["shard", "docs", "rows", "counts", "sent", "codes", "around", "halves"])
 
         for batch, buf, offs in steps(batches, "text"):
             prefix = Prefix(buf)
             pos, code = anchors(prefix, offs)
             doc, _, _, around = surroundings(prefix, offs, pos)
-            held.append((code, around, ints(batch, "doc_id").to_numpy(zero_copy_only=False)[doc], ints(batch, "row").to_numpy(zero_copy_only=False)[doc]))
+            held.append((code, around, ints(batch, "doc_id").to_numpy(zero_copy_only=False)[doc], ints(batch, "row").to_numpy(zero_copy_only=False)[doc], halves(prefix, offs, pos, doc)))
             size += len(buf)
             if size > FLUSH_BYTES:
                 yield from rows()
@@ -108,12 +121,12 @@ def gathered(docs: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from rows()
 
-    return docs.mapInArrow(run, "shard int, docs binary, rows binary, counts binary, sent binary, codes binary, around binary")
+    return docs.mapInArrow(run, "shard int, docs binary, rows binary, counts binary, sent binary, codes binary, around binary, halves binary")
 
 
 def marked(parts: pd.DataFrame) -> pd.DataFrame:
     """For each document and shard the anchors (by rank there) that are FULL copies of a smaller document's surroundings,
-    and those that are first of their kind while the anchor has other surroundings too (TEXT)."""
+    and those that are first of their kind while other documents have the anchor and half of the surroundings (TEXT)."""
     docs = [np.frombuffer(x, np.int64) for x in parts["docs"]]
     rows = [np.frombuffer(x, np.int64) for x in parts["rows"]]
     counts = np.concatenate([np.frombuffer(x, "<u4") for x in parts["counts"]]).astype(np.int64)
@@ -129,11 +142,21 @@ def marked(parts: pd.DataFrame) -> pd.DataFrame:
     new = new_code | np.concatenate([[True], a[1:] != a[:-1]])[:len(c)]
     start = np.flatnonzero(new)
     first = np.repeat(d[start], np.diff(np.append(start, len(c))))  # smallest document of equal surroundings
-    head = np.flatnonzero(new_code)
-    span = np.diff(np.append(head, len(c)))
-    differ = np.repeat(np.minimum.reduceat(first, head) != np.maximum.reduceat(first, head), span) if len(c) else np.zeros(0, bool)
     value = np.zeros(len(c), np.uint8)
-    value[order] = np.where(d > first, FULL, np.where(differ, TEXT, 0))
+    value[order] = np.where(d > first, FULL, 0)
+    half = np.concatenate([np.frombuffer(x, np.uint16) for x in parts["halves"]]).reshape(-1, 2)[order]
+    head = np.flatnonzero(new_code)
+    several = np.repeat(np.minimum.reduceat(first, head) != np.maximum.reduceat(first, head), np.diff(np.append(head, len(c)))) if len(c) else np.zeros(0, bool)
+    for k in (0, 1):
+        own = np.flatnonzero(several & (d == first) & (half[:, k] > 0))
+        if not len(own):
+            continue
+        same = mixed(c[own] * np.uint64(2) + np.uint64(k)) ^ half[own, k].astype(np.uint64)
+        by = np.argsort(same)
+        at = np.flatnonzero(np.concatenate([[True], same[by][1:] != same[by][:-1]]))
+        docs_ = d[own][by]
+        shared_ = np.repeat(np.minimum.reduceat(docs_, at) != np.maximum.reduceat(docs_, at), np.diff(np.append(at, len(own))))
+        value[order[own[by[shared_]]]] = TEXT
     value_all = np.full(len(owner), FULL, np.uint8)
     value_all[sent] = value
     rank = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -170,8 +193,14 @@ class RunIndex:
         self.text, self.length = text, length
         ordered = text + len(strings)
         ordered[at[1:] - 1] = np.arange(len(strings))  # ends differ, so that no two suffixes are equal
-        at_length, rank = self.sorted_suffixes(ordered, 1, ordered, length)
-        suffix, _ = self.sorted_suffixes(rank, length, ordered, max(length, int(np.diff(at).max())))
+        base = int(ordered.max()) + 2
+        packed, have = ordered, 1
+        while have < length and base ** (have + 1) < 1 << 63:  # as many first symbols as a number holds
+            packed = packed * base
+            packed[:n - have] += ordered[have:] + 1
+            have += 1
+        at_length, rank = self.sorted_suffixes(packed, have, length)
+        suffix, _ = self.sorted_suffixes(rank, length, max(length, int(np.diff(at).max())))
         before = text[suffix - 1]
         start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         self.start, self.symbol = start, before[start]
@@ -189,18 +218,23 @@ class RunIndex:
         self.smallest[at_length] = np.repeat(np.minimum.reduceat(doc, heads), np.diff(np.append(heads, n)))
 
     @staticmethod
-    def sorted_suffixes(rank: np.ndarray, have: int, text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes of the text by their first `depth` symbols, and the rank of each, equal for equal ones. `rank` orders
-        them by `have` symbols; each step doubles that."""
-        n, order = len(text), np.argsort(rank, kind="stable")
+    def sorted_suffixes(rank: np.ndarray, have: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes by their first `depth` symbols, and the rank of each, equal for equal ones. `rank` orders them by
+        `have` symbols; each step doubles that."""
+        n = len(rank)
+
+        def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order = np.argsort(key)
+            out = np.empty(n, np.int64)
+            out[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
+            return order, out
+
+        order, rank = ranked(rank)
         while have < depth:
             step = min(have, depth - have)
-            second = np.zeros(n, np.int64)
-            second[:n - step] = rank[step:] + 1
-            both = rank * (int(rank.max()) + 2) + second
-            order = np.argsort(both, kind="stable")
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], both[order][1:] != both[order][:-1]]))
+            both = rank * (int(rank.max()) + 2)
+            both[:n - step] += rank[step:] + 1
+            order, rank = ranked(both)
             have += step
         return order, rank
 
@@ -251,17 +285,25 @@ class RunIndex:
 
 
 def covered_by_smaller(parts: pd.DataFrame) -> pd.DataFrame:
-    """Byte ranges of the shard's surroundings that lie in LENGTH bytes found in a smaller document's."""
-    unique = parts.drop_duplicates(["doc_id", "around"])
-    index = RunIndex(list(unique["around"]), unique["doc_id"].to_numpy(np.int64))
-    strings = list(parts["around"])
-    lengths, places = index.matching_statistics(strings)
-    doc = parts["doc_id"].to_numpy(np.int64)
-    hit = (lengths >= LENGTH) & (index.smallest[places] < doc[:, None])
-    i, col = np.nonzero(hit)
-    own = np.array([len(s) for s in strings])
-    start = parts["start"].to_numpy(np.int64)[i] + col - (lengths.shape[1] - own[i])
-    return pd.DataFrame({"row": parts["row"].to_numpy(np.int64)[i], "start": start}).drop_duplicates()
+    """Starts of the LENGTH bytes within the shard's surroundings that a smaller document's have too. Anchors with
+    different codes share none, so the shard is indexed in runs of about STRINGS strings that end between two codes."""
+    parts = parts.sort_values("code", kind="stable")
+    code, doc, row, begin = (parts[c].to_numpy(np.int64) for c in ("code", "doc_id", "row", "start"))
+    strings = parts["around"].to_numpy()
+    last = np.append(np.flatnonzero(code[1:] != code[:-1]) + 1, len(code))  # ends of the codes
+    out, at = [], 0
+    while at < len(code):
+        to = int(last[np.searchsorted(last, min(at + STRINGS, len(code)))])
+        _, one = np.unique(np.stack([code[at:to], doc[at:to], np.array([hash(s) for s in strings[at:to]])]), axis=1, return_index=True)
+        index = RunIndex(list(strings[at:to][one]), doc[at:to][one])
+        for lo in range(at, to, STRINGS):
+            own = slice(lo, min(lo + STRINGS, to))
+            lengths, places = index.matching_statistics(list(strings[own]))
+            i, col = np.nonzero((lengths >= LENGTH) & (index.smallest[places] < doc[own, None]))
+            size = np.array([len(s) for s in strings[own]])
+            out.append(pd.DataFrame({"row": row[own][i], "start": begin[own][i] + col - (lengths.shape[1] - size[i])}).drop_duplicates())
+        at = to
+    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"row": np.zeros(0, np.int64), "start": np.zeros(0, np.int64)})
 
 
 def shared(docs: DataFrame) -> DataFrame:
@@ -290,10 +332,10 @@ def shared(docs: DataFrame) -> DataFrame:
             pick = np.concatenate(pick) if pick else np.zeros(0, np.int64)
             raw = buf.tobytes()
             yield pa.RecordBatch.from_arrays([
-                pa.array(shard_of(code[pick], parts).astype(np.int32)), ints(batch, "doc_id").take(pa.array(doc[pick])), ints(batch, "row").take(pa.array(doc[pick])),
-                pa.array(lo[pick] - offs[doc[pick]]), pa.array([raw[a:b] for a, b in zip(lo[pick], hi[pick])], pa.binary())], ["shard", "doc_id", "row", "start", "around"])
+                pa.array(shard_of(code[pick], parts).astype(np.int32)), pa.array(code[pick].view(np.int64)), ints(batch, "doc_id").take(pa.array(doc[pick])), ints(batch, "row").take(pa.array(doc[pick])),
+                pa.array(lo[pick] - offs[doc[pick]]), pa.array([raw[a:b] for a, b in zip(lo[pick], hi[pick])], pa.binary())], ["shard", "code", "doc_id", "row", "start", "around"])
 
-    pieces = both.mapInArrow(texts, "shard int, doc_id bigint, row bigint, start bigint, around binary")
+    pieces = both.mapInArrow(texts, "shard int, code bigint, doc_id bigint, row bigint, start bigint, around binary")
     partly = pieces.groupBy("shard").applyInPandas(covered_by_smaller, "row bigint, start bigint").groupBy("row").agg(F.collect_list("start").alias("starts"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
