@@ -346,7 +346,7 @@ def test_decontamination_edges(spark, docs, clash, empty):
         got = {r["doc_id"]: r for r in decontamination.digest(decontamination.matches(table, bench)).collect()}
         assert (got[1]["n_hit"], got[1]["n_items"], got[1]["items_sha256"]) == (11, 1, hashlib.sha256(b"1").hexdigest())
         assert (got[11]["n_hit"], got[11]["items_sha256"]) == (1, hashlib.sha256(b"2,5").hexdigest())
-        assert (got[6]["n_hit"], got[6]["n_items"], got[3]["n_words"], got[3]["contaminated"]) == (30, 1, 0, False)
+        assert (got[6]["n_hit"], got[6]["n_items"], got[3]["n_words"], got[3]["contaminated"]) == (180, 1, 0, False)  # the words come round six times
         blocks = {r["doc_id"]: r for r in decontamination.digest(decontamination.matches(table, bench, block_bytes=20)).collect()}
         assert blocks == got  # small blocks of items change nothing
     assert decontamination.digest(decontamination.matches(docs, bench.limit(0))).where("contaminated").count() == 0
@@ -397,7 +397,7 @@ def test_substrings_equal_brute_force(spark, docs, clash, empty):
 
 def test_matching_statistics():
     rng = np.random.default_rng(8)
-    text = lambda n: bytes(rng.choice(list(b"ab"), n))
+    text = lambda n: bytes(int(x) for x in rng.choice(list(b"ab"), n))
     strings, asked = [text(n) for n in (30, 12, 45, 45)], [text(n) for n in (20, 33, 1)] + [b"abz"]
     index = suffix_dedup.RunIndex(strings, np.arange(4), 5)
     lengths, places = index.matching_statistics(asked)
@@ -414,7 +414,7 @@ def test_matching_statistics():
 def test_cut_texts(docs):
     cut = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
     assert suffix_dedup.remove_repeats(docs).columns == docs.columns
-    assert cut[9]["text"] == "" and cut[8]["text"] == COPY and cut[3]["text"] is None and cut[7]["text"].endswith(" Ä tail") and cut[None]["text"] == COPY
+    assert cut[9]["text"] == "" and cut[8]["text"] == COPY and cut[3]["text"] is None and cut[7]["text"] == "Ä tail" and cut[None]["text"] == COPY
 
 
 # --- language model

@@ -50,8 +50,9 @@ class Probes:
         new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
         self.rows = rows[:, new]
         self.size = (self.rows != 0).sum(axis=0)
-        ids = np.array(items, np.int64)[owner]
-        pairs = np.unique(np.stack([np.cumsum(new) - 1, ids]), axis=1) if len(order) else np.zeros((2, 0), np.int64)
+        named = np.array([i is not None for i in items], bool)[owner]
+        ids = np.array([i or 0 for i in items], np.int64)[owner]
+        pairs = np.unique(np.stack([(np.cumsum(new) - 1)[named], ids[named]]), axis=1) if named.any() else np.zeros((2, 0), np.int64)
         self.items, self.first = pairs[1], np.searchsorted(pairs[0], np.arange(self.rows.shape[1] + 1))
         self.heads = np.zeros(1 << _BITS, bool)
         self.heads[self.head(self.rows[:2])[self.size > 1]] = True
@@ -115,7 +116,8 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: in
     ranges covered by occurrences of item windows) and `items` (sorted ids of the items with an occurring window).
 
     A window is `window` consecutive words of an item; an item of fewer words is one window. Null texts have no words,
-    repeated rows are matched each for itself, items with the same text count each, an empty table of either side
+    repeated rows are matched each for itself, items with the same text count each, the windows of an item without an id count but
+    name no item, an empty table of either side
     matches nothing, and other columns pass through (`n_words`, `hits` and `items` are replaced). The items are
     broadcast in blocks of `block_bytes` text at most, each searched by its own step over the documents.
     """
