@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -238,59 +239,42 @@ ROLL_SCHEMA = "portfolio string, ts timestamp_ntz, equity double, net double, tr
 
 
 def roll_forward(rows: DataFrame, fee: float, band: float = 0.05, short_cap: float = 0.10) -> DataFrame:
-    """Stateful book per portfolio: allocate, trade beyond the band, pay fees, mark to the next
-    date. Rows (portfolio, ts, symbol, direction, confidence, vol, ret, mult) arrive sorted and are
-    consumed batch by batch; only the current date and the book are held in memory."""
-
-    def step(book, equity, day, out):
-        sig = [r for r in day if r[2] in ("BUY", "SELL") and r[3] and r[3] > 0]
-        raw = {r[1]: r[3] / max(r[4] or 0.0, VOL_FLOOR) for r in sig}
-        total = sum(raw.values())
-        w = {r[1]: raw[r[1]] / total * (1 if r[2] == "BUY" else -1) for r in sig} if total > 0 else {}
-        short = -sum(x for x in w.values() if x < 0)
-        if short > short_cap:
-            w = {s: x * short_cap / short if x < 0 else x for s, x in w.items()}
-        start, mult = equity, day[0][6]
-        mult = 1.0 if mult is None else max(0.0, min(1.0, mult))
-        traded = 0.0
-        for s in sorted(set(w) | set(book)):
-            delta = round(start * mult * w.get(s, 0.0), 4) - round(book.get(s, 0.0), 4)
-            if abs(delta) >= start * band and delta != 0:
-                book[s] = book.get(s, 0.0) + delta
-                traded += abs(delta)
-        equity -= fee * traded
-        moves = {r[1]: r[5] for r in day}
-        for s in [s for s, x in book.items() if abs(x) < 1e-12]:
-            del book[s]
-        for s in book:
-            r = moves.get(s)
-            if r is not None and r == r:
-                equity += book[s] * r
-                book[s] *= 1 + r
-        out.append((day[0][7], day[0][0], equity, equity / start - 1 if start else 0.0, traded, fee * traded))
-        return equity
-
-    def run(batches):
-        pid, at, day, book, equity = None, None, [], {}, 1.0
+    """Stateful book per portfolio over rows (portfolio, ts, symbol, direction, confidence, vol, ret, mult).
+
+    Target weights are those of ``target_weights``, one distributed pass for all dates. Only what depends on the path is
+    folded, one row per date with the date's assets as arrays: holdings move to their targets where the gap reaches
+    the band (a share of equity), trades cost ``fee``, and what is held earns the date's return."""
+    keys = ["portfolio", "ts"]
+    weights = target_weights(rows, keys, short_cap).select(*keys, "symbol", "w")
+    asset = F.struct("symbol", F.coalesce("w", F.lit(0.0)).alias("w"), "ret")
+    scale = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.first("mult"), F.lit(1.0))))
+    days = rows.join(weights, [*keys, "symbol"], "left").groupBy(*keys).agg(scale.alias("scale"), F.array_sort(F.collect_list(asset)).alias("assets"))
+    days = days.select(*keys, "scale", "assets.symbol", "assets.w", "assets.ret")
+
+    def fold(batches):
+        owner, slots, held, equity = None, {}, np.zeros(0), 1.0
         for pdf in batches:
             out = []
-            for p, t, s, d, c, v, r, m in pdf.itertuples(index=False, name=None):
-                if day and (p != pid or t != at):
-                    equity = step(book, equity, day, out)
-                    day = []
-                if p != pid:
-                    pid, book, equity = p, {}, 1.0
-                at = t
-                day.append((t, s, d, c, v, r, m, p))
-            if out:
-                yield pd.DataFrame(out, columns=["portfolio", "ts", "equity", "net", "traded", "fee"])
-        if day:
-            out = []
-            step(book, equity, day, out)
+            for portfolio, ts, size, symbols, w, ret in pdf.itertuples(index=False, name=None):
+                if portfolio != owner:
+                    owner, slots, held, equity = portfolio, {}, np.zeros(0), 1.0
+                at = np.array([slots.setdefault(s, len(slots)) for s in symbols])
+                held = np.concatenate([held, np.zeros(len(slots) - len(held))])
+                target, earned = np.zeros((2, len(slots)))
+                target[at] = equity * size * np.asarray(w, float)
+                earned[at] = np.nan_to_num(np.asarray(ret, float))
+                gap = np.round(target, 4) - np.round(held, 4)
+                trade = np.where(np.abs(gap) >= band * equity, gap, 0.0)
+                traded = float(np.abs(trade).sum())
+                held = held + trade
+                held[np.abs(held) < 1e-12] = 0.0
+                gain = held * earned
+                before, equity = equity, equity - fee * traded + float(gain.sum())
+                held = held + gain
+                out.append((portfolio, ts, equity, equity / before - 1 if before else 0.0, traded, fee * traded))
             yield pd.DataFrame(out, columns=["portfolio", "ts", "equity", "net", "traded", "fee"])
 
-    cols = ["portfolio", "ts", "symbol", "direction", "confidence", "vol", "ret", "mult"]
-    return scan.streamed(rows.select(*cols), ["portfolio"], ["ts", "symbol"], run, ROLL_SCHEMA)
+    return scan.streamed(days, ["portfolio"], ["ts"], fold, ROLL_SCHEMA)
 
 
 # ---- verdicts --------------------------------------------------------------------------------
