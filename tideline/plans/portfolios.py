@@ -264,14 +264,17 @@ def _(t):
     return pf.evaluate_signals(fitted_signals(t, "boosted"), ["ts"], 0.0036)
 
 
-@query("P22_tsmom_lookback_grid", f"""WITH {v.PANEL}, {SIG.replace('SELECT symbol, ts, close, volume', f'SELECT symbol, ts, close, close / lag(close, 8) OVER ({H}) - 1 AS p8, close / lag(close, 26) OVER ({H}) - 1 AS p26, volume')}, gl AS (SELECT 8 AS lookback, ts, fwd, sigma, sign(p8) AS s FROM sig UNION ALL SELECT 26, ts, fwd, sigma, sign(p26) FROM sig),
+LOOKBACKS = (21, 63, 126)  # fixed values
+
+
+@query("P22_tsmom_lookback_grid", f"""WITH {v.PANEL}, {SIG.replace('SELECT symbol, ts, close, volume', 'SELECT symbol, ts, close, ' + ', '.join(f'close / lag(close, {k}) OVER ({H}) - 1 AS p{k}' for k in LOOKBACKS) + ', volume')}, gl AS ({' UNION ALL '.join(f'SELECT {k} AS lookback, ts, fwd, sigma, sign(p{k}) AS s FROM sig' for k in LOOKBACKS)}),
 g0 AS (SELECT *, s * (0.25 / sqrt(365)) / sigma AS raw FROM gl WHERE s <> 0 AND sigma > 0), g1 AS (SELECT *, count(*) OVER (PARTITION BY lookback, ts) AS n, sum(abs(raw)) OVER (PARTITION BY lookback, ts) AS g FROM g0), g2 AS (SELECT *, raw / n * CASE WHEN g / n > 1 THEN n / g ELSE 1 END AS w FROM g1),
 g3 AS (SELECT lookback, ts, sum(w * fwd) - 0.001 * sum(abs(w)) - 0.0084 * abs(sum(w)) AS net FROM g2 GROUP BY 1, 2) SELECT CAST(lookback AS INTEGER) AS lookback, count(*) AS n, {rsql('avg(net)')} AS mean, {rsql('median(net)')} AS median FROM g3 GROUP BY 1""")
 def _(t):
     s = sig(t)
-    p = scan.over_series(v.panel(t), lambda d, w: d.withColumns({"p8": ts.lag_return("close", 8, w), "p26": ts.lag_return("close", 26, w)}), back=26, chunk=YR)
-    s = s.join(p.select("symbol", "ts", "p8", "p26"), ["symbol", "ts"])
-    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("lookback"), F.signum(f"p{k}").alias("sign")) for k in (8, 26)]))
+    p = scan.over_series(v.panel(t), lambda d, w: d.withColumns({f"p{k}": ts.lag_return("close", k, w) for k in LOOKBACKS}), back=max(LOOKBACKS), chunk=YR)
+    s = s.join(p.select("symbol", "ts", *(f"p{k}" for k in LOOKBACKS)), ["symbol", "ts"])
+    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("lookback"), F.signum(f"p{k}").alias("sign")) for k in LOOKBACKS]))
     day = s.withColumn("g", grid).select("symbol", "ts", "fwd", "sigma", "g.lookback", "g.sign")
     e = cut_lineage(pf.book_economics(pf.vol_scaled(day, ["lookback", "ts"]), day, ["lookback", "ts"], "tsmom").where("net IS NOT NULL"))
     return e.groupBy("lookback").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("net")).alias("mean")).join(
@@ -406,11 +409,16 @@ def _(t):
     return pf.guardrail_points(grid_points(t), 1000.0, F.lit(0.1), F.lit(0.04)).select("event_id", "action", rnd("size").alias("size"), "approved", rnd("result").alias("result"))
 
 
-@query("P38_guardrail_grid", f"""WITH {SG}, {GATED}, {GRID}, gg AS (SELECT k, l, 1000 * mc * k > 0 AND coalesce(1000 * mc * k * vol * 2 * sqrt(168e0) <= 1000 * l, true) AS ok, CASE WHEN act = 'BUY' THEN fwd ELSE -fwd END > 0 AS win FROM gm, (SELECT unnest([0.05, 0.1, 0.25])::DOUBLE AS k), (SELECT unnest([0.01, 0.04])::DOUBLE AS l) WHERE fwd IS NOT NULL)
+# The grid of position shares and loss limits.
+KELLY = (0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40)
+LOSS_LIMITS = (0.01, 0.02, 0.03, 0.04, 0.05)
+
+
+@query("P38_guardrail_grid", f"""WITH {SG}, {GATED}, {GRID}, gg AS (SELECT k, l, 1000 * mc * k > 0 AND coalesce(1000 * mc * k * vol * 2 * sqrt(168e0) <= 1000 * l, true) AS ok, CASE WHEN act = 'BUY' THEN fwd ELSE -fwd END > 0 AS win FROM gm, (SELECT unnest({list(KELLY)})::DOUBLE AS k), (SELECT unnest({list(LOSS_LIMITS)})::DOUBLE AS l) WHERE fwd IS NOT NULL)
 SELECT k AS kelly, l AS loss_limit, count(*) FILTER (ok AND win) AS tp, count(*) FILTER (ok AND NOT win) AS fp, count(*) FILTER (NOT ok AND win) AS fn, {rsql('2 * count(*) FILTER (ok AND win) / nullif(2 * count(*) FILTER (ok AND win) + count(*) FILTER (ok AND NOT win) + count(*) FILTER (NOT ok AND win), 0)')} AS f1 FROM gg GROUP BY 1, 2""")
 def _(t):
     d = grid_points(t).where("fwd IS NOT NULL")
-    d = d.withColumn("kelly", F.explode(F.array(*[F.lit(x) for x in (0.05, 0.1, 0.25)]))).withColumn("loss_limit", F.explode(F.array(F.lit(0.01), F.lit(0.04))))
+    d = d.withColumn("kelly", F.explode(F.array(*[F.lit(x) for x in KELLY]))).withColumn("loss_limit", F.explode(F.array(*[F.lit(x) for x in LOSS_LIMITS])))
     p = pf.guardrail_points(d, 1000.0, F.col("kelly"), F.col("loss_limit"))
     return aggregates.confusion(p, ["kelly", "loss_limit"], F.col("approved"), F.col("profitable")).select("kelly", "loss_limit", "tp", "fp", "fn", rnd("f1").alias("f1"))
 
