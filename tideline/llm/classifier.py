@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import WHITE, Prefix, fold, ints, mixed, segment_sums, steps, words
 
 #: Labelled rows the vectors are learned from: those with the smallest hash of their id.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2500
 BUCKETS = 1 << 16
 #: Lengths of character n-grams, in bytes, within words and their edges.
 GRAMS = (2, 3, 4)
@@ -103,7 +103,7 @@ def labelled(labels: DataFrame, column: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = 5, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> Model:
     """Learns from at most `sample_rows` labelled documents outside fold 0, each with its whole text. Tasks count the
     features of their texts; the driver sees bucket counts of the sample alone (`buckets` numbers a document at most)."""
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, "<u2" if buckets <= 1 << 16 else "<u4"
     picked = labelled(labels, column).where(fold("doc_id", folds) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     known = {r[0]: r[1] for r in picked.collect()}
     chosen = spark.createDataFrame(list(known.items()), "doc_id bigint, label int")
@@ -115,10 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int
             for d in range(len(offs) - 1):
                 own = [b[np.searchsorted(p, offs[d]):np.searchsorted(p, offs[d + 1])] for b, p in found]
                 bags.append(np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([ints(batch, "doc_id"), pa.array([b.astype("<u4").tobytes() for b, _ in bags]), pa.array([(c / max(1, c.sum())).astype("<f4").tobytes() for _, c in bags])], ["doc_id", "bucket", "share"])
+            yield pa.RecordBatch.from_arrays([ints(batch, "doc_id"), pa.array([b.astype(kind).tobytes() for b, _ in bags]), pa.array([(c / max(1, c.sum())).astype("<f4").tobytes() for _, c in bags])], ["doc_id", "bucket", "share"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id").mapInArrow(run, "doc_id bigint, bucket binary, share binary")
-    bags = {r[0]: (np.frombuffer(r[1], "<u4").astype(np.int64), np.frombuffer(r[2], "<f4")) for r in sample.toLocalIterator()}
+    bags = {r[0]: (np.frombuffer(r[1], kind), np.frombuffer(r[2], "<f4")) for r in sample.toLocalIterator()}
     ids = sorted(bags)
     return train([bags[i] for i in ids], np.array([min(1, max(0, known[i])) for i in ids], np.int64), buckets)
 
