@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Prefix, ints, mixed, ranges, shards, stash, steps
+from tideline.llm.common import STEP_BYTES, Prefix, ints, mixed, ranges, shards, stash, steps
 
 #: Bytes of a repeated string; bytes of an anchor; what an anchor's surroundings hold on either side.
 LENGTH, ANCHOR = 50, 20
 SIDE = LENGTH - ANCHOR
 #: Bytes of text whose anchors a task gathers before it sends them.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 12 << 20
 FULL, TEXT = 1, 2
 #: Strings of an index, and strings that stream through it at once.
 STRINGS = 8192
@@ -109,7 +109,7 @@ def gathered(docs: DataFrame, parts: int) -> DataFrame:
                     pa.array([np.packbits(put).tobytes()]), pa.array([six(code[own][put])]), pa.array([six(around[own][put])]), pa.array([half[own][put].tobytes()])],
                     ["shard", "docs", "rows", "counts", "sent", "codes", "around", "halves"])
 
-        for batch, buf, offs in steps(batches, "text"):
+        for batch, buf, offs in steps(batches, "text", STEP_BYTES // 2):
             prefix = Prefix(buf)
             pos, code = anchors(prefix, offs)
             doc, _, _, around = surroundings(prefix, offs, pos)
@@ -322,7 +322,7 @@ def shared(docs: DataFrame) -> DataFrame:
     both = own.join(marks, "row", "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offs in steps(batches, "text"):
+        for batch, buf, offs in steps(batches, "text", STEP_BYTES // 2):
             prefix = Prefix(buf)
             pos, code = anchors(prefix, offs)
             doc, lo, hi, _ = surroundings(prefix, offs, pos)
@@ -339,7 +339,7 @@ def shared(docs: DataFrame) -> DataFrame:
     partly = pieces.groupBy("shard").applyInPandas(covered_by_smaller, "row bigint, start bigint").groupBy("row").agg(F.collect_list("start").alias("starts"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offs in steps(batches, "text"):
+        for batch, buf, offs in steps(batches, "text", STEP_BYTES // 2):
             prefix = Prefix(buf)
             pos, code = anchors(prefix, offs)
             doc, lo, hi, _ = surroundings(prefix, offs, pos)
@@ -376,7 +376,7 @@ def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 from `shared`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offs in steps(batches, "text"):
+        for batch, buf, offs in steps(batches, "text", STEP_BYTES // 2):
             raw, spans = buf.tobytes(), batch.column(batch.schema.get_field_index("spans")).to_pylist()
             yield pa.RecordBatch.from_arrays([
                 ints(batch, "doc_id"), pa.array(np.diff(offs)), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64()),
@@ -390,7 +390,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text stays null and is no source; rows with a null doc_id stay whole and are no source; repeated rows are cut alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offs in steps(batches, "text"):
+        for batch, buf, offs in steps(batches, "text", STEP_BYTES // 2):
             raw, spans = buf.tobytes(), batch.column(batch.schema.get_field_index("spans")).to_pylist()
             yield pa.RecordBatch.from_arrays([ints(batch, "row"), pa.array([kept_bytes(raw[a:b], s).decode("utf-8", "replace") for a, b, s in zip(offs, offs[1:], spans)])], ["row", "cut"])
 
