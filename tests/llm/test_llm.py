@@ -395,6 +395,14 @@ def test_substrings_equal_brute_force(spark, docs, clash, empty):
     assert spans_of(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)) == brute_spans(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_adjacent_copies_of_a_row_are_cut_alike(spark, parts):
+    rows = [(1, COPY + " " + PROSE), *[(2, "ahead of it " + COPY)] * 3, (3, PROSE + " " + COPY), (3, PROSE + " " + COPY)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    table = table if parts == 1 else table.repartition(parts, "doc_id")
+    assert spans_of(table) == brute_spans(rows)
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(8)
     text = lambda n: bytes(int(x) for x in rng.choice(list(b"ab"), n))

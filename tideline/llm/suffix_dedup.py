@@ -85,10 +85,10 @@ def gathered(docs: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size = entries = 0
 
         def rows():
-            code, around, doc, row, half = (np.concatenate(x) for x in zip(*held))
+            code, around, doc, row, entry, half = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((doc, around, code))
             c, a = code[order], around[order]
             first = np.concatenate([[True], (c[1:] != c[:-1]) | (a[1:] != a[:-1])]) if len(c) else np.zeros(0, bool)
@@ -102,8 +102,8 @@ def gathered(docs: DataFrame, parts: int) -> DataFrame:
                 own = order[cut[s]:cut[s + 1]]
                 if not len(own):
                     continue
-                d, r, put = doc[own], row[own], sent[own]
-                start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])]))
+                d, r, e, put = doc[own], row[own], entry[own], sent[own]
+                start = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))  # a repeated row has an entry for each copy
                 yield pa.RecordBatch.from_arrays([
                     pa.array([s], pa.int32()), pa.array([d[start].tobytes()]), pa.array([r[start].tobytes()]), pa.array([np.diff(np.append(start, len(own))).astype("<u4").tobytes()]),
                     pa.array([np.packbits(put).tobytes()]), pa.array([six(code[own][put])]), pa.array([six(around[own][put])]), pa.array([half[own][put].tobytes()])],
@@ -113,8 +113,9 @@ def gathered(docs: DataFrame, parts: int) -> DataFrame:
             prefix = Prefix(buf)
             pos, code = anchors(prefix, offs)
             doc, _, _, around = surroundings(prefix, offs, pos)
-            held.append((code, around, ints(batch, "doc_id").to_numpy(zero_copy_only=False)[doc], ints(batch, "row").to_numpy(zero_copy_only=False)[doc], halves(prefix, offs, pos, doc)))
+            held.append((code, around, ints(batch, "doc_id").to_numpy(zero_copy_only=False)[doc], ints(batch, "row").to_numpy(zero_copy_only=False)[doc], entries + doc, halves(prefix, offs, pos, doc)))
             size += len(buf)
+            entries += batch.num_rows
             if size > FLUSH_BYTES:
                 yield from rows()
                 held, size = [], 0
@@ -126,7 +127,8 @@ def gathered(docs: DataFrame, parts: int) -> DataFrame:
 
 def marked(parts: pd.DataFrame) -> pd.DataFrame:
     """For each document and shard the anchors (by rank there) that are FULL copies of a smaller document's surroundings,
-    and those that are first of their kind while other documents have the anchor and half of the surroundings (TEXT)."""
+    and those that are first of their kind while other documents have the anchor and half of the surroundings (TEXT). The
+    copies of a repeated row have equal marks, and only one of them is returned."""
     docs = [np.frombuffer(x, np.int64) for x in parts["docs"]]
     rows = [np.frombuffer(x, np.int64) for x in parts["rows"]]
     counts = np.concatenate([np.frombuffer(x, "<u4") for x in parts["counts"]]).astype(np.int64)
@@ -164,7 +166,9 @@ def marked(parts: pd.DataFrame) -> pd.DataFrame:
     cut = np.flatnonzero(np.concatenate([[True], owner[keep][1:] != owner[keep][:-1]])) if len(keep) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(keep))
     rank, value_all = rank[keep].astype("<u4"), value_all[keep]
-    return pd.DataFrame({"row": np.concatenate(rows)[owner[keep][cut]], "shard": parts["shard"].iloc[0], "ranks": [rank[x:y].tobytes() for x, y in zip(cut, ends)], "marks": [value_all[x:y].tobytes() for x, y in zip(cut, ends)]})
+    row, one = np.unique(np.concatenate(rows)[owner[keep][cut]], return_index=True)
+    cut, ends = cut[one], ends[one]
+    return pd.DataFrame({"row": row, "shard": parts["shard"].iloc[0], "ranks": [rank[x:y].tobytes() for x, y in zip(cut, ends)], "marks": [value_all[x:y].tobytes() for x, y in zip(cut, ends)]})
 
 
 def applied(marks: list, code: np.ndarray, parts: int) -> np.ndarray:
