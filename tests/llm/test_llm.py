@@ -229,6 +229,30 @@ def test_passages_of_copies_and_inserts(spark, docs, empty, clash):
         assert {(r["doc_id"], r["source_doc_id"]) for r in compact_windows.repeated_passages(table).collect()} == {(7, 6)}
 
 
+def test_reordered_passages_are_all_found():
+    rng = np.random.default_rng(21)
+    for trial in range(60):
+        passages = [rng.integers(1, 1 << 62, n).astype(np.uint64) for n in rng.integers(60, 90, rng.integers(2, 5))]
+
+        def laid(order):
+            at, parts, places = 0, [], {}
+            for k in order:
+                fill = rng.integers(1, 1 << 62, rng.choice([0, 4, 90])).astype(np.uint64)
+                places[k] = at + len(fill), at + len(fill) + len(passages[k])
+                parts += [fill, passages[k]]
+                at = places[k][1]
+            return np.concatenate(parts), places
+
+        one, first = laid(range(len(passages)))
+        two, second = laid(rng.permutation(len(passages)))
+        found = compact_windows.verified(one, two, 46, 0.8)
+        for k in range(len(passages)):
+            assert any(a <= first[k][0] and first[k][1] <= b and c <= second[k][0] and second[k][1] <= d for a, b, c, d, _ in found), (trial, k)
+        for a, b, c, d, jaccard in found:
+            x, y = set(one[a:b].tolist()), set(two[c:d].tolist())
+            assert jaccard == len(x & y) / len(x | y) >= 0.8
+
+
 def test_compact_windows_are_the_cartesian_tree():
     value = np.random.default_rng(4).integers(0, 30, 200).astype(np.uint64)
     offs = np.array([0, 90, 90, 93, 200])
