@@ -484,6 +484,22 @@ def test_filter_keeps_every_key():
     assert (filter_.count(rng.integers(0, 1 << 63, 5000, dtype=np.int64).astype(np.uint64)) > 0).mean() < 0.05
 
 
+def test_filter_grows_with_its_keys():
+    rng = np.random.default_rng(6)
+    keys = rng.integers(0, 1 << 63, 5000, dtype=np.int64).astype(np.uint64)
+    counts = rng.geometric(0.3, 5000) ** 2
+    bits = language_model.filled((keys[:3000], counts[:3000]), (keys[3000:], counts[3000:]), 64)
+    assert (language_model.Filter(bits[None, :], 1).count(keys) >= language_model.levels(counts)).all()
+
+
+def test_every_learned_ngram_is_in_the_model(spark):
+    rows = [(1, PROSE), (2, COPY), (3, "one two three " * 9)]
+    model, ones = language_model.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), filter_bits=64)
+    for _, text in rows:
+        codes, at = language_model.tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert (model.ngrams.count(codes) > 0).all() and (model.ngrams.count(language_model.bigrams(codes, at)[0]) > 0).all()
+
+
 def test_model_beats_its_base_on_held_out(spark):
     rows = [r for r in entry.queries()["op10_lm_scoring"](spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)

@@ -1,7 +1,7 @@
 """Bigram language model in a log-frequency Bloom filter, over exact unigram counts."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,9 +15,9 @@ from tideline.llm.common import LOWER, WHITE, Prefix, fold, ints, mixed, ranges,
 FLUSH_TOKENS = 5 << 19
 #: Most frequent words whose exact counts every task holds; other words' counts are joined.
 HEAD_WORDS = 1 << 19
-#: Bits of the filter, the bound of what is broadcast (32 MB).
+#: Least bits of the filter (32 MB), which every task holds; it grows with the insertions.
 FILTER_BITS = 1 << 28
-#: Bits that one inserted key may use; fewer would raise the error rate.
+#: Bits of the filter for each insertion; fewer would raise the error rate.
 BITS_PER_KEY = 8
 HASHES = 4
 #: Base of the logarithm that quantises counts.
@@ -58,25 +58,27 @@ class Filter:
     """Log-frequency Bloom filter. A key with level q is inserted as (key, 1) ... (key, q); a probe asks for level 1,
     2, ... until one is absent. Keys belong to segments, each with its own bits."""
 
-    def __init__(self, bits: np.ndarray, segments: int):
-        self.bits, self.segments = bits, segments
-        self.size = bits.shape[1] * 8
+    def __init__(self, bits: Sequence[np.ndarray], segments: int):
+        self.segments = segments
+        self.size = np.array([len(b) * 8 for b in bits], np.uint64)
+        self.start = np.cumsum([0] + [len(b) for b in bits])
+        self.bits = np.concatenate(list(bits))
 
     @staticmethod
-    def slots(keys: np.ndarray, level: np.ndarray, size: int) -> list[np.ndarray]:
+    def slots(keys: np.ndarray, level: np.ndarray, size: int | np.ndarray) -> list[np.ndarray]:
         h = mixed(keys + level.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         g = mixed(h ^ np.uint64(0x165667B19E3779F9)) | np.uint64(1)
-        return [(((h + np.uint64(i) * g) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64) for i in range(HASHES)]
+        return [(((h + np.uint64(i) * g) >> np.uint64(32)) * np.asarray(size, np.uint64) >> np.uint64(32)).astype(np.int64) for i in range(HASHES)]
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Level of every key, by repeated membership probes."""
         segment = segment_of(keys, self.segments)
         level, on, at = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        flat = self.bits.reshape(-1)
+        size, start = self.size[segment], self.start[segment]
         while len(on):
             here = np.ones(len(on), bool)
-            for slot in self.slots(keys[on], np.full(len(on), at), self.size):
-                here &= (flat[segment[on] * self.bits.shape[1] + (slot >> 3)] >> (slot & 7).astype(np.uint8)) & 1 > 0
+            for slot in self.slots(keys[on], np.full(len(on), at), size[on]):
+                here &= (self.bits[start[on] + (slot >> 3)] >> (slot & 7).astype(np.uint8)) & 1 > 0
             on = on[here]
             level[on] = at
             at += 1
@@ -87,17 +89,13 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
 
 
-def filled(words_: tuple, pairs: tuple, size: int) -> np.ndarray:
-    """Bits of one segment from (keys, counts) of words and of bigrams. Words enter first; keys enter by falling level
-    as long as all insertions stay within size / BITS_PER_KEY."""
-    bits, room = np.zeros(size // 8, np.uint8), size // BITS_PER_KEY
-    for keys, counts in (words_, pairs):
-        level = levels(counts)
-        by_level = np.bincount(level, minlength=2)
-        insertions = np.cumsum((by_level * np.arange(len(by_level)))[::-1])[::-1]
-        least = int(np.searchsorted(-insertions, -room))
-        keys, level = keys[level >= least], level[level >= least]
-        room -= int(level.sum())
+def filled(words_: tuple, pairs: tuple, least: int) -> np.ndarray:
+    """Bits of one segment from (keys, counts) of words and of bigrams: BITS_PER_KEY for each insertion, `least` at least.
+    All keys enter at all their levels."""
+    both = [(keys, levels(counts)) for keys, counts in (words_, pairs)]
+    bits = np.zeros((max(least, BITS_PER_KEY * sum(int(level.sum()) for _, level in both)) + 7) // 8, np.uint8)
+    size = len(bits) * 8
+    for keys, level in both:
         each = ranges(np.ones(len(level), np.int64), level)
         for slot in Filter.slots(np.repeat(keys, level), each, size):
             np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
@@ -192,8 +190,8 @@ def fit(docs: DataFrame, filter_bits: int = FILTER_BITS, head_words: int = HEAD_
     """Counts the n-grams of docs(text) and returns the model and the table (code, count) of all words.
 
     Every task sums the counts of its texts, then every segment of the keys sums those of all tasks and writes its own
-    bits. The filter and the head table have fixed sizes: bigrams of the lowest levels that don't fit are left to the
-    unigram estimate, and words outside the head are looked up in the table."""
+    bits. The filter has `filter_bits` at least and more where the insertions need it, so that every n-gram is in it; the
+    head table has a fixed size, and words outside the head are looked up in the table."""
     spark = docs.sparkSession
     segments = shards(spark)
     share = max(64, filter_bits // segments // 8 * 8)
@@ -207,7 +205,7 @@ def fit(docs: DataFrame, filter_bits: int = FILTER_BITS, head_words: int = HEAD_
 
     made = stash(counted(docs, segments).groupBy("segment").applyInPandas(segment, "code bigint, count bigint, segment bigint, bits binary"))
     ones = made.where("bits is null").select("code", "count")
-    bits = np.zeros((segments, share // 8), np.uint8)
+    bits = [np.zeros(share // 8, np.uint8)] * segments
     for row in made.where("bits is not null").select("segment", "bits").toLocalIterator():
         bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
     level = F.floor(F.log2("count"))
