@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import classifier, compact_windows, decontamination, language_model, minhash, packing, quality_rules, suffix_dedup, toxicity, wordpiece
+from tideline.llm import alignment, best_position, classifier, compact_windows, decontamination, language_model, minhash, packing, quality_rules, secret_scan, suffix_dedup, toxicity, wordpiece
 from tideline.llm.common import fold, table
 from tideline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -75,3 +75,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_substring_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")))
+
+
+@query("op12_secret_scan")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.fit(docs)))
+
+
+@query("op13_best_position_search", best_position.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_position.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
