@@ -27,6 +27,8 @@ BIN, BINS = 0.5, 4096
 LEAST_CUT = 12.0
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
+#: Strength of the smoothing: random strings have next to no order, so their pairs need much proof.
+PRIOR = {False: 256.0, True: 4.0}
 STATES = len(ALPHABET) + 1  # the last one stands before a string
 CLASSES = ("assign", "access", "hex", "ordinary")
 SYMBOL = np.full(256, -1, np.int64)
@@ -101,7 +103,7 @@ class Model:
         return float(gain[chain, end]), start, int(end)
 
     def added(self, text: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int, float]]:
-        """Stretches of a run that score the cut or more, best first, then those on either side of it."""
+        """Stretches of a run that score the cut or more, widened to RANDOM_CHARS: the best first, then those beside it."""
         open_ = [(lo, hi)]
         while open_:
             lo, hi = open_.pop()
@@ -109,8 +111,9 @@ class Model:
                 continue
             score, start, end = self.best(self.steps_of(text, lo, hi))
             if score >= self.cut:
-                if end - start >= RANDOM_CHARS:
-                    yield lo + start, lo + end, score
+                end = max(end, min(start + RANDOM_CHARS, hi - lo))
+                start = min(start, end - RANDOM_CHARS)
+                yield lo + start, lo + end, score
                 open_ += [(lo, lo + start), (lo + end, hi)]
 
 
@@ -118,9 +121,10 @@ def chains(counts: np.ndarray) -> np.ndarray:
     """Ratios from pair counts (class, STATES * STATES). Each row of a chain is smoothed by the class's symbol shares
     and those by a uniform alphabet, so that an empty class is a uniform random string."""
     logs = []
-    for c in counts.reshape(len(CLASSES), STATES, STATES).astype(float):
+    for name, c in zip(CLASSES, counts.reshape(len(CLASSES), STATES, STATES).astype(float)):
+        prior = PRIOR[name == CLASSES[-1]]
         shares = (c.sum(axis=0)[:-1] + 1.0) / (c.sum() + STATES - 1)
-        rows = (c[:, :-1] + 4.0 * shares) / (c.sum(axis=1, keepdims=True) + 4.0)
+        rows = (c[:, :-1] + prior * shares) / (c.sum(axis=1, keepdims=True) + prior)
         logs.append(np.log(np.concatenate([rows, np.ones((STATES, 1))], axis=1)))
     return np.stack([(x - logs[-1]).ravel() for x in logs[:-1]])
 
@@ -186,7 +190,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, spans) of every document: all matches of the patterns and what the models add outside of them, with
     kind, start and end in code points (end exclusive), score (null for patterns) and text, by start, then kind.
 
-    Added spans are the best-scoring stretches of RANDOM_CHARS symbols and a score of the cut or more. Null and empty
+    Added spans are the best-scoring stretches, of RANDOM_CHARS symbols at least and with a score of the cut or more. Null and empty
     texts have none; repeated rows are scanned each for itself; only doc_id and text are read, so further columns of
     any name do no harm; an empty table gives no rows. Spans of different kinds may overlap, those of one kind don't.
     """
