@@ -404,7 +404,7 @@ def brute_spans(rows):
 
 
 def spans_of(table):
-    return Counter(tuple(r) for r in suffix_dedup.digest(suffix_dedup.shared(table)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    return Counter(tuple(r) for r in suffix_dedup.digested(table).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
 
 
 def test_substrings_equal_brute_force(spark, docs, clash, empty):
@@ -534,5 +534,20 @@ def test_pipeline_stages(spark):
     assert sum(r["length"] for r in packed) == sum({r["doc_id"]: r["doc_tokens"] for r in packed}.values())
 
 
+def test_columns_of_any_name_pass_through_the_pipeline(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    names = ["row", "cut", "score", "n_words", "hits", "items", "node", "component", "component_id", "kept", "spans", "marks", "rest", "starts"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    given = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        given = stash(stage(spark, given, SF))
+        assert given.columns == [*docs.columns, *names] and dict(given.dtypes).keys() >= set(names)
+        rows = given.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names)
+    assert corpus_pipeline.STAGES[4][1](spark, given, SF).count() >= len(rows)
+
+
 def test_other_modules_do_not_need_this_package():
     assert not [m for m in sys.modules if m.startswith("tideline.") and not m.startswith("tideline.llm") and "llm" in getattr(sys.modules[m], "__dict__", {})]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import STEP_BYTES, byte_letters, ints, owners, ranges, segment_sums, stash, steps
 
 #: Text bytes whose links share one table of id pairs.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Letters of which both readers of the byte-level vocabulary are known to make the same words; other texts, and
 #: texts with white space without end, go to the slower one.
 PLAIN = re.compile("[\x00-ɏ‐-›€]*")
@@ -223,7 +223,7 @@ def chunked(docs: DataFrame, paths: tuple[str, str | None, str]) -> DataFrame:
                 pa.array([pairs[often].astype("<i8").tobytes()], pa.binary()), pa.array([counts[often].astype("<i8").tobytes()], pa.binary()),
             ], ["chunk", "docs", "n_links", "links", "pairs", "counts"])
 
-        for batch, buf, _ in steps(batches, "text", STEP_BYTES):
+        for batch, buf, _ in steps(batches, "text", STEP_BYTES // 2):
             found = Aligned.of(batch.column(batch.schema.get_field_index("text")).to_pylist(), byte_level, pieces)
             row = found.overlaps.row
             keys.append(found.a[row] << ID_BITS | found.b[found.overlaps.indices])
@@ -299,7 +299,7 @@ def links(docs: DataFrame, byte_level: str, pieces: str, ranks: str | None = Non
     group (n_bytes is 0 where the two only share the group). Edge cases are those of `align`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizers((byte_level, ranks, pieces))
-        for batch, _, _ in steps(batches, "text", STEP_BYTES):
+        for batch, _, _ in steps(batches, "text", STEP_BYTES // 2):
             found = Aligned.of(batch.column(batch.schema.get_field_index("text")).to_pylist(), *own)
             for k in range(batch.num_rows):
                 lo, hi = found.a_at[k:k + 2]

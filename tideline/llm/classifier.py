@@ -135,3 +135,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     schema = docs.select(*own, F.lit(0.0).alias("score")).schema
     return docs.select(*own).mapInArrow(run, schema)
+
+
+def at_least(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs with a score of `least` or more, columns as they are; edge cases are those of `score`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, buf, offs in steps(batches, "text"):
+            yield batch.filter(pa.array(shared.value.scores(buf, offs) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -44,6 +44,17 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bundled(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one struct `rest`, so that no name of theirs meets a working column's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("rest"))
+
+
+def unbundled(found: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that `bundled` took together, in their first order."""
+    return found.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in columns))
+
+
 def shards(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

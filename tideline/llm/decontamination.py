@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import LOWER, NOT_ALNUM, Prefix, mixed, ranges, steps, text_buffer, words
+from tideline.llm.common import LOWER, NOT_ALNUM, Prefix, bundled, mixed, ranges, steps, text_buffer, unbundled, words
 
 #: Text bytes of the items that are broadcast at once; more items make further blocks.
 BLOCK_BYTES = 8 << 20
@@ -160,7 +160,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: in
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The documents with no word inside an occurrence of an item window, with their own columns."""
-    return matches(docs, items, window).where(F.size("hits") == 0).select(*docs.columns)
+    return unbundled(matches(bundled(docs), items, window).where(F.size("hits") == 0), docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

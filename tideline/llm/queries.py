@@ -64,7 +64,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_suffix_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(suffix_dedup.shared(table(spark, sf_dir, "documents")))
+    return suffix_dedup.digested(table(spark, sf_dir, "documents"))
 
 
 @query("op5_token_counts")

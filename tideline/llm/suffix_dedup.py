@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import STEP_BYTES, Prefix, ints, mixed, ranges, shards, stash, steps
+from tideline.llm.common import STEP_BYTES, Prefix, bundled, ints, mixed, ranges, shards, stash, steps, unbundled
 
 #: Bytes of a repeated string; bytes of an anchor; what an anchor's surroundings hold on either side.
 LENGTH, ANCHOR = 50, 20
@@ -176,10 +176,10 @@ def applied(marks: list, code: np.ndarray, parts: int) -> np.ndarray:
     out = np.zeros(len(code), np.uint8)
     shard = shard_of(code, parts)
     order = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[order], np.arange(parts + 1))
-    for m in marks or ():
-        s = m["shard"]
-        own = order[cut[s]:cut[s + 1]]
+    own_shards = [m["shard"] for m in marks or ()]
+    lo, hi = (np.searchsorted(shard[order], own_shards, side) for side in ("left", "right"))
+    for m, a, b in zip(marks or (), lo, hi):
+        own = order[a:b]
         at = own[np.frombuffer(m["ranks"], "<u4")]
         out[at] = np.maximum(out[at], np.frombuffer(m["marks"], np.uint8))
     return out
@@ -310,9 +310,10 @@ def covered_by_smaller(parts: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"row": np.zeros(0, np.int64), "start": np.zeros(0, np.int64)})
 
 
-def shared(docs: DataFrame) -> DataFrame:
+def shared(docs: DataFrame, finish=None, schema: str = "doc_id bigint, row bigint, text string, spans array<array<bigint>>") -> DataFrame:
     """doc_id, text, `spans` of every row: the maximal byte ranges [start, end) that lie in LENGTH-byte strings which also start
-    in a document with a smaller doc_id.
+    in a document with a smaller doc_id. `finish(batch, text bytes, offsets, spans)` makes a batch of another `schema` of
+    them in the same worker, so that the texts need not pass through a second one.
 
     Equal strings have an anchor at the same place, so anchors with equal codes bring all candidates together. Where the
     surroundings are equal too, all of them are repeated; otherwise one copy of each kind goes to a run-length index of
@@ -363,9 +364,12 @@ def shared(docs: DataFrame) -> DataFrame:
                     np.add.at(cover, first + LENGTH, -1)
             inside = np.cumsum(cover[:-1]) > 0
             out = [np.flatnonzero(np.diff(np.concatenate([[0], inside[a:b].view(np.int8), [0]]))).reshape(-1, 2).tolist() for a, b in zip(offs[:-1], offs[1:])]
+            if finish is not None:
+                yield finish(batch, buf, offs, out)
+                continue
             yield pa.RecordBatch.from_arrays([ints(batch, "doc_id"), ints(batch, "row"), batch.column(batch.schema.get_field_index("text")), pa.array(out, pa.list_(pa.list_(pa.int64())))], ["doc_id", "row", "text", "spans"])
 
-    return both.join(partly, "row", "left").mapInArrow(spans, "doc_id bigint, row bigint, text string, spans array<array<bigint>>")
+    return both.join(partly, "row", "left").mapInArrow(spans, schema)
 
 
 def kept_bytes(text: bytes, spans: list) -> bytes:
@@ -376,28 +380,28 @@ def kept_bytes(text: bytes, spans: list) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 from `shared`."""
+def digested(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, from its spans."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offs in steps(batches, "text", STEP_BYTES // 2):
-            raw, spans = buf.tobytes(), batch.column(batch.schema.get_field_index("spans")).to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                ints(batch, "doc_id"), pa.array(np.diff(offs)), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64()),
-                pa.array([hashlib.sha256(kept_bytes(raw[a:b], s)).hexdigest() for a, b, s in zip(offs, offs[1:], spans)])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    def run(batch: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, spans: list) -> pa.RecordBatch:
+        raw = buf.tobytes()
+        return pa.RecordBatch.from_arrays([
+            ints(batch, "doc_id"), pa.array(np.diff(offs)), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64()),
+            pa.array([hashlib.sha256(kept_bytes(raw[a:b], s)).hexdigest() for a, b, s in zip(offs, offs[1:], spans)])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return shared(docs, run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the shared bytes cut out of their texts (a character cut in half leaves a replacement character). A null
-    text stays null and is no source; rows with a null doc_id stay whole and are no source; repeated rows are cut alike."""
+    text stays null and is no source; rows with a null doc_id stay whole and are no source; repeated rows are cut alike;
+    other columns stay as they are, whatever their names."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offs in steps(batches, "text", STEP_BYTES // 2):
-            raw, spans = buf.tobytes(), batch.column(batch.schema.get_field_index("spans")).to_pylist()
-            yield pa.RecordBatch.from_arrays([ints(batch, "row"), pa.array([kept_bytes(raw[a:b], s).decode("utf-8", "replace") for a, b, s in zip(offs, offs[1:], spans)])], ["row", "cut"])
+    def run(batch: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, spans: list) -> pa.RecordBatch:
+        raw, on = buf.tobytes(), [d for d, s in enumerate(spans) if s]
+        cut = [kept_bytes(raw[offs[d]:offs[d + 1]], spans[d]).decode("utf-8", "replace") for d in on]
+        return pa.RecordBatch.from_arrays([ints(batch, "row").take(pa.array(on, pa.int64())), pa.array(cut, pa.string())], ["row", "cut"])
 
-    cut = shared(docs).where(F.size("spans") > 0).dropDuplicates(["row"]).mapInArrow(run, "row bigint, cut string")
-    own = docs.withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    return own.join(cut, "row", "left").withColumn("text", F.coalesce("cut", "text")).select(*docs.columns)
+    cut = shared(docs, run, "row bigint, cut string").dropDuplicates(["row"])
+    own = bundled(docs).withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    return unbundled(own.join(cut, "row", "left").withColumn("text", F.coalesce("cut", "text")), docs.columns)
