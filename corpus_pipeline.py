@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the classifier, fitted on the labelled ones of these documents, gives a score of QUALITY or more."""
     start(spark)
     model = classifier.fit(docs, table(spark, sf_dir, "labels"), "quality")
-    return classifier.score(docs, model).where(F.col("score") >= QUALITY).select(*docs.columns)
+    return classifier.at_least(docs, model, QUALITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
