@@ -1,4 +1,4 @@
-"""Streaming jobs over the events table, compared with their batch meaning."""
+"""Streaming jobs over the events table, compared with their batch meaning."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -16,6 +16,19 @@ def stream(t):
     return jobs.event_stream(t.spark, t.sf_dir)
 
 
+def sliced(t, batches=6):
+    """The events in `batches` micro-batches of five days; every eleventh row comes one micro-batch late."""
+    path = fresh(t, "replay")
+    day = F.datediff("ts", F.lit("2024-01-01"))
+    arrival = F.least(F.greatest((day / 5).cast("int"), F.lit(0)) + (F.col("event_id") % 11 == 0).cast("int"), F.lit(batches - 1))
+    jobs.replay(t.events, arrival, path, 0, batches - 1)
+    return jobs.event_stream(t.spark, path, "*.parquet", 1)
+
+
+LATE = "12 days"
+SETTLED = "(SELECT max(ts) - INTERVAL 12 DAY FROM events)"
+
+
 @query("R01_incremental_dedup", "SELECT event_id, event_type, value FROM events")
 def _(t):
     s = stream(t)
@@ -48,20 +61,29 @@ def _(t):
     return jobs.drain(jobs.candles(stream(t), "24 hours", "2 hours", "1 hour")).select("symbol", "ts", "n", rnd("total", 4).alias("total"))
 
 
-@query("R05_delayed_outcomes", "SELECT a.event_id, b.event_id AS out_id FROM events a JOIN events b ON a.event_type = b.event_type AND b.ts >= a.ts + INTERVAL 24 HOUR AND b.ts < a.ts + INTERVAL 25 HOUR")
+@query("R05_delayed_outcomes", f"""WITH o AS (SELECT a.event_id, any_value(a.event_type) AS symbol, any_value(a.ts) AS ts, arg_min(b.event_id, row(b.ts, b.event_id)) AS out_id, arg_min(b.value, row(b.ts, b.event_id)) AS out_value
+FROM events a LEFT JOIN events b ON a.event_type = b.event_type AND b.ts >= a.ts + INTERVAL 24 HOUR AND b.ts < a.ts + INTERVAL 25 HOUR GROUP BY a.event_id)
+SELECT symbol, event_id, out_id, out_value FROM o WHERE to_timestamp((epoch_us(ts + INTERVAL 24 HOUR) // 21600000000) * 21600 + 21600 + 3600)::TIMESTAMP <= {SETTLED}""")
 def _(t):
-    a = stream(t).select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("close"))
-    d = jobs.outcomes(a, a, 24, "2 hours")
-    return jobs.drain(d).select(F.col("close").alias("event_id"), F.col("p_close").alias("out_id"))
+    s = sliced(t).select(F.col("event_type").alias("symbol"), "ts", "event_id", "value")
+    return jobs.drain(jobs.outcomes(s, 24, LATE))
 
 
 def stateful(t, processor, schema):
     return jobs.drain(jobs.keyed(stream(t), processor, schema))
 
 
-@query("R06_grid_rebalance", f"""WITH p AS (SELECT event_type AS symbol, event_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS n, row_number() OVER (PARTITION BY event_type, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 ORDER BY ts, event_id) AS k FROM events) SELECT symbol, event_id, CAST(n // 7 AS BIGINT) AS period, n % 7 <> 0 AS catch_up FROM p WHERE k = 1""")
+@query("R06_grid_rebalance", f"""WITH e AS (SELECT user_id AS book, event_id, ts, event_type AS asset, value + 1000 AS price, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {SETTLED}),
+r AS (SELECT *, n // 7 AS period FROM e QUALIFY row_number() OVER (PARTITION BY book, n // 7 ORDER BY ts, event_id) = 1),
+f AS (SELECT book, event_id, ts, period, n, lag(ts) OVER (PARTITION BY book ORDER BY ts) AS p_ts, lag(event_id) OVER (PARTITION BY book ORDER BY ts) AS p_id FROM r),
+a AS (SELECT f.book, f.event_id, f.period, f.n, e.asset, arg_max(e.price, row(e.ts, e.event_id)) AS price,
+  arg_max(e.price, row(e.ts, e.event_id)) FILTER (WHERE f.p_ts IS NOT NULL AND (e.ts, e.event_id) <= (f.p_ts, f.p_id)) AS base
+  FROM f JOIN e ON e.book = f.book AND (e.ts, e.event_id) <= (f.ts, f.event_id) GROUP BY ALL),
+d AS (SELECT *, coalesce(price / base, 0) / coalesce(sum(price / base) OVER k, 1) AS drift, count(*) OVER k AS assets FROM a WINDOW k AS (PARTITION BY book, event_id))
+SELECT CAST(book AS BIGINT) AS book, event_id, CAST(period AS BIGINT) AS period, any_value(n) % 7 <> 0 AS catch_up, count(*) AS assets, {rsql('sum(abs(1.0e0 / assets - drift))')} AS turnover FROM d GROUP BY book, event_id, period""")
 def _(t):
-    return stateful(t, jobs.GridRebalance(), "symbol string, event_id long, period long, catch_up boolean")
+    s = sliced(t).select(F.col("user_id").cast("long").alias("book"), "ts", "event_id", F.col("event_type").alias("asset"), (F.col("value") + 1000).alias("value"))
+    return jobs.drain(jobs.rebalances(s, "2024-01-01", LATE)).withColumn("turnover", rnd("turnover"))
 
 
 @query("R07_duplicate_run_guard", "SELECT event_type AS symbol, CAST(ts AS DATE) AS day FROM events GROUP BY 1, 2")
@@ -94,3 +116,18 @@ def _(t):
 @query("R11_staleness_guard", "SELECT user_id AS symbol, max(ts) AS newest, max(ts) < TIMESTAMP '2024-01-31' - INTERVAL 2 DAY AS hold FROM events GROUP BY 1")
 def _(t):
     return jobs.stale(t.events.select(F.col("user_id").alias("symbol"), "ts"), F.lit("2024-01-31").cast("timestamp_ntz"))
+
+
+@query("R11b_staleness_stream", f"""WITH e AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS symbol, ts FROM events), g AS (SELECT *, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS n FROM e)
+SELECT symbol, ts AS newest, ts + INTERVAL 2 DAY AS hold_from FROM g WHERE (n IS NULL OR n > ts + INTERVAL 2 DAY) AND ts + INTERVAL 2 DAY <= {SETTLED}""")
+def _(t):
+    return jobs.drain(jobs.holds(sliced(t).select(F.col("user_id").cast("string").alias("symbol"), "ts"), 2 * 86_400, LATE))
+
+
+@query("R12_session_windows", f"""WITH e AS (SELECT user_id, ts, value, CASE WHEN user_id % 2 = 0 THEN INTERVAL 20 HOUR ELSE INTERVAL 36 HOUR END AS gap FROM events),
+b AS (SELECT *, CASE WHEN ts > lag(ts) OVER k + gap THEN 1 ELSE 0 END AS cut FROM e WINDOW k AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b)
+SELECT user_id, count(*) AS n, {rsql('sum(value)', 4)} AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY user_id, k HAVING max(ts) + any_value(gap) <= {SETTLED}""")
+def _(t):
+    gap = F.when(F.col("user_id") % 2 == 0, "20 hours").otherwise("36 hours")
+    return jobs.drain(jobs.sessions(sliced(t), ["user_id"], gap, LATE)).withColumn("total", rnd("total", 4))

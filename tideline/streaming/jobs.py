@@ -1,13 +1,14 @@
 """Structured Streaming forms of the recurring jobs. Each equals its batch twin on the same data."""
 from __future__ import annotations
 
+import bisect
 import sys
 import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,9 +26,17 @@ def event_stream(spark: SparkSession, directory: str, glob: str = "events.parque
     return d.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant; the session is UTC
 
 
-def drain(stream: DataFrame, mode: str = "append", name: str = "out") -> DataFrame:
-    """Runs the stream over everything available into Parquet and reads the result."""
-    base = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def replay(rows: DataFrame, arrival: Column, path: str, first: int, last: int, files: int = 1) -> None:
+    """Writes the rows in the order of their arrival number, `files` files for each number from `first` to `last`, so
+    that a stream with as many files a trigger sees one micro-batch for each number."""
+    for k in range(first, last + 1):
+        rows.where(arrival == k).coalesce(files).write.mode("append").parquet(path)
+
+
+def drain(stream: DataFrame, mode: str = "append", name: str = "out", base: str | None = None) -> DataFrame:
+    """Runs the stream over everything available into Parquet and reads the result. A second run on the same `base`
+    goes on from its checkpoint."""
+    base = base or f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
     q = (stream.writeStream.format("parquet").option("path", f"{base}/data").option("checkpointLocation", f"{base}/state")
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -61,12 +70,201 @@ def late_upsert(stream: DataFrame, table: str, keys: list[str], version: str, pa
     drain_batches(stream, each, "late", "append")
 
 
-def outcomes(signals: DataFrame, prices: DataFrame, hours: int, delay: str) -> DataFrame:
-    """Signal joined to the price exactly ``hours`` later, as an interval join of two streams."""
-    s = signals.withWatermark("ts", delay)
-    p = prices.select(F.col("symbol").alias("p_symbol"), F.col("ts").alias("p_ts"), F.col("close").alias("p_close")).withWatermark("p_ts", delay)
-    on = (F.col("symbol") == F.col("p_symbol")) & (F.col("p_ts") >= F.col("ts") + F.expr(f"interval {hours} hours")) & (F.col("p_ts") < F.col("ts") + F.expr(f"interval {hours + 1} hours"))
-    return s.join(p, on).select("symbol", "ts", "close", "p_ts", "p_close")
+def sessions(stream: DataFrame, keys: list[str], gap: str | Column, delay: str) -> DataFrame:
+    """Runs of rows of a key that lie less than `gap` apart (a column may set it per row). Open sessions are merged in
+    the state across micro-batches, late rows within `delay` may join two of them, and a session is emitted once the
+    watermark is past its end. Rows of a task are merged before the shuffle, so a frequent key sends its sessions only."""
+    stream.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
+    w = F.session_window("ts", gap)
+    return stream.withWatermark("ts", delay).groupBy(*keys, w.alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("ts").cast("timestamp_ntz").alias("first_ts"), F.max("ts").cast("timestamp_ntz").alias("last_ts")).drop("w")
+
+
+MICROS = 1_000_000
+
+
+class Outcomes(StatefulProcessor):
+    """One outcome for every signal: the first price at or after its target time, within the tolerance; null if there is
+    none. A key holds a bucket of target times. Its signals and prices wait in list states; an event-time timer behind
+    the bucket settles them all at once, when no earlier row can come any more, so late rows change nothing."""
+
+    columns = ["symbol", "event_id", "out_id", "out_value"]
+
+    def __init__(self, bucket_s: int, tolerance_s: int):
+        self.bucket_s, self.tolerance_s = bucket_s, tolerance_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.signals = handle.getListState("signals", "at long, event_id long")
+        self.prices = handle.getListState("prices", "at long, event_id long, value double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            for kind, state, columns in (("signal", self.signals, ["at", "event_id"]), ("price", self.prices, ["at", "event_id", "value"])):
+                own = pdf.loc[pdf["kind"] == kind, columns]
+                if len(own):
+                    state.appendList(list(own.itertuples(index=False, name=None)))
+        self.handle.registerTimer((int(key[1]) + self.bucket_s + self.tolerance_s) * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        prices = sorted(tuple(p) for p in self.prices.get()) if self.prices.exists() else []
+        at, out = [p[0] for p in prices], []
+        for target, event_id in self.signals.get() if self.signals.exists() else ():
+            k = bisect.bisect_left(at, target)
+            found = k < len(at) and at[k] < target + self.tolerance_s * MICROS
+            out.append((key[0], event_id, prices[k][1] if found else None, prices[k][2] if found else None))
+        self.signals.clear()
+        self.prices.clear()
+        if out:
+            yield pd.DataFrame(out, columns=self.columns).astype({"out_id": "Int64", "out_value": "Float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def outcomes(stream: DataFrame, hours: int, delay: str, tolerance_s: int = 3600, bucket_s: int = 6 * 3600) -> DataFrame:
+    """(symbol, event_id, out_id, out_value): every row's value `hours` later, once that time has passed.
+
+    A row is a signal for the bucket of its target time and a price for its own bucket, and also for the bucket before,
+    if it is within reach of a target there. Keys are (symbol, bucket): a frequent symbol is spread over its buckets,
+    and the state of a bucket goes when it is settled."""
+    micros = F.unix_micros("ts")
+    bucket = lambda at: F.floor(at / F.lit(bucket_s * MICROS)) * bucket_s
+    parts = [F.struct(F.lit("signal").alias("kind"), bucket(micros + hours * 3600 * MICROS).alias("bucket"), (micros + hours * 3600 * MICROS).alias("at")),
+             F.struct(F.lit("price").alias("kind"), bucket(micros).alias("bucket"), micros.alias("at")),
+             F.struct(F.when(bucket(micros - tolerance_s * MICROS) < bucket(micros), "price").alias("kind"), (bucket(micros) - bucket_s).alias("bucket"), micros.alias("at"))]
+    rows = stream.withWatermark("ts", delay).select("symbol", "ts", "event_id", "value", F.explode(F.array(*parts)).alias("x")).select("symbol", "ts", "event_id", "value", "x.*").where("kind is not null")
+    return rows.groupBy("symbol", "bucket").transformWithStateInPandas(Outcomes(bucket_s, tolerance_s), "symbol string, event_id long, out_id long, out_value double", "Append", "eventTime")
+
+
+class _Ordered(StatefulProcessor):
+    """Handles a key's rows in time order whatever the micro-batch they come in: rows wait in a list state until an
+    event-time timer, at the end of their hour, says that no earlier one can come."""
+
+    row_schema = "at long, event_id long, asset string, value double"
+    step_ms = 3_600_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row_schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [r for pdf in rows for r in pdf[[c.split()[0] for c in self.row_schema.split(", ")]].itertuples(index=False, name=None)]
+        self.waiting.appendList(new)
+        for end in {(r[0] // 1000 // self.step_ms + 1) * self.step_ms for r in new}:
+            self.handle.registerTimer(end)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        later = [r for r in rows if r[0] >= end]
+        self.waiting.put(later) if later else self.waiting.clear()
+        out = [x for x in (self.step(key, r) for r in sorted(r for r in rows if r[0] < end)) if x is not None]
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def step(self, key, row: tuple) -> tuple | None:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class GridRebalance(_Ordered):
+    """First row of each period rebalances the book to equal weights of all assets seen; a missed grid day is caught up,
+    never re-anchored. The map state holds each asset's last price and, since the last rebalance, its weight and price
+    then; the turnover is measured against the weights as they have drifted."""
+
+    columns = ["book", "event_id", "period", "catch_up", "assets", "turnover"]
+
+    def __init__(self, anchor: str, days: int = 7):
+        self.anchor, self.days = pd.Timestamp(anchor).value // 86_400_000_000_000, days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.period = handle.getValueState("period", "period long")
+        self.held = handle.getMapState("held", "asset string", "price double, weight double, base double")
+
+    def step(self, key, row):
+        at, event_id, asset, value = row
+        held = {k[0]: tuple(v) for k, v in self.held.iterator()} if self.held.exists() else {}
+        weight, base = held.get(asset, (0.0, 0.0, value))[1:]
+        held[asset] = (value, weight, base)
+        day = at // (86_400 * MICROS) - self.anchor
+        period = day // self.days
+        if self.period.exists() and period <= self.period.get()[0]:
+            self.held.updateValue((asset,), held[asset])
+            return None
+        drift = {k: w * price / b for k, (price, w, b) in held.items()}
+        total = sum(drift.values()) or 1.0
+        target = 1.0 / len(held)
+        turnover = sum(abs(target - d / total) for d in drift.values())
+        for k, (price, _, _) in held.items():
+            self.held.updateValue((k,), (price, target, price))
+        self.period.update((period,))
+        return key[0], event_id, period, day % self.days != 0, len(held), turnover
+
+
+def rebalances(stream: DataFrame, anchor: str, delay: str, days: int = 7) -> DataFrame:
+    """stream(book, ts, event_id, asset, value) as one row for each rebalance of a book."""
+    d = stream.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    return d.groupBy("book").transformWithStateInPandas(GridRebalance(anchor, days), "book long, event_id long, period long, catch_up boolean, assets long, turnover double", "Append", "eventTime")
+
+
+class Staleness(StatefulProcessor):
+    """A hold row for every entry that no other one follows within the limit. With event-time timers the entries of the
+    last `limit` wait in a list state, so that entries of one micro-batch and late ones are judged by their own times.
+    With processing-time timers the clock of the cluster counts: the newest entry holds unless another one has come by
+    then, and the row appears without any new input."""
+
+    columns = ["symbol", "newest", "hold_from"]
+
+    def __init__(self, limit_s: int, by_clock: bool):
+        self.limit_s, self.by_clock = limit_s, by_clock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entries = handle.getListState("entries", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = sorted({int(x) for pdf in rows for x in pdf["at"]})
+        if self.by_clock:
+            seen = max([x for (x,) in self.entries.get()], default=new[-1]) if self.entries.exists() else new[-1]
+            self.entries.put([(max(seen, new[-1]),)])
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.limit_s * 1000)
+        else:
+            self.entries.appendList([(x,) for x in new])
+            for x in new:
+                self.handle.registerTimer(-(-x // 1000) + self.limit_s * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = sorted(x for (x,) in self.entries.get()) if self.entries.exists() else []
+        due = expiredTimerInfo.getExpiryTimeInMs() - self.limit_s * 1000
+        out = []
+        if self.by_clock:
+            out = [(held[-1], held[-1] + self.limit_s * MICROS)] if held else []
+        else:
+            own = [x for x in held if -(-x // 1000) == due]
+            out = [(x, x + self.limit_s * MICROS) for x in own[-1:] if not any(x < y <= x + self.limit_s * MICROS for y in held)]
+            later = [(x,) for x in held if -(-x // 1000) > due]
+            self.entries.put(later) if later else self.entries.clear()
+        if out:
+            yield pd.DataFrame([(key[0], *o) for o in out], columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def holds(stream: DataFrame, limit_s: int, delay: str, by_clock: bool = False) -> DataFrame:
+    """stream(symbol, ts) as (symbol, newest, hold_from): from when on a symbol holds, as its newest entry is too old."""
+    d = stream.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    found = d.groupBy("symbol").transformWithStateInPandas(Staleness(limit_s, by_clock), "symbol string, newest long, hold_from long", "Append", "processingTime" if by_clock else "eventTime")
+    return found.select("symbol", *(F.timestamp_micros(c).cast("timestamp_ntz").alias(c) for c in ("newest", "hold_from")))
 
 
 class _Keyed(StatefulProcessor):
@@ -151,23 +349,6 @@ class DrawdownAlert(_Keyed):
         return (peak, state[1]), None
 
 
-class GridRebalance(_Keyed):
-    """First row of each period rebalances; a missed grid day is caught up, never re-anchored."""
-
-    schema, columns = "period long", ["symbol", "event_id", "period", "catch_up"]
-    days = 7
-
-    def start(self):
-        return (-1,)
-
-    def step(self, state, key, row):
-        n = (pd.Timestamp(row.ts) - pd.Timestamp("2024-01-01")).days
-        period = n // self.days
-        if period > state[0]:
-            return (period,), (key[0], row.event_id, period, n % self.days != 0)
-        return state, None
-
-
 def keyed(stream: DataFrame, processor: _Keyed, schema: str, delay: str = "1 hour") -> DataFrame:
     d = stream.select(F.col("event_type").alias("symbol"), "ts", "event_id", "value").withWatermark("ts", delay)
     return d.groupBy("symbol").transformWithStateInPandas(processor, schema, "Append", "None")
