@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import cross, hurst, labels, ledger, models, pairs, portfolio, sampling, scan, shapes, signals, stats, text
+from tideline.operators import cross, custom, hurst, labels, ledger, models, pairs, portfolio, sampling, scan, shapes, signals, stats, text
 from tideline.operators import timeseries as ts
 from tideline.sources import readers, sinks
 
@@ -291,3 +291,64 @@ def test_tail_equals_full_pass(spark):
     assert len(tail) == 48
     for r in tail:
         assert r["garch_vol"] == pytest.approx(full[r["ts"]]["garch_vol"], rel=1e-12) and r["hurst"] == pytest.approx(full[r["ts"]]["hurst"])
+
+
+def test_similarity_multiplies_few_pairs_of_clustered_vectors(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(100, 32))
+    x = centres[rng.integers(0, 100, 20_000)] + 0.18 * rng.normal(size=(20_000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    work = spark.sparkContext.accumulator(0)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(8)
+    got = {r.id: r.neighbours for r in text.similar(d, "id", "v", 0.85, counts=True, work=work).collect()}
+    y = x.astype(np.float64)
+    want = np.concatenate([((y[a:a + 2000] @ y.T) >= 0.85).sum(1) - 1 for a in range(0, 20_000, 2000)])
+    assert [got[i] for i in range(20_000)] == want.tolist()
+    assert 0 < work.value < 0.05 * 20_000 ** 2 / 2
+
+
+def test_similarity_of_one_full_cell_is_cut_into_rings(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, 6))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    y = x.astype(np.float64)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(y @ y.T >= 0.9, 1)))}
+    work = spark.sparkContext.accumulator(0)
+    for pivots in (1, 3):
+        assert {(r.a, r.b) for r in text.similar(d, "id", "v", 0.9, pivots=pivots, block=20, work=work).collect()} == want
+    assert work.value < 2 * 600 * 600
+
+
+def test_custom_aggregate_merges_states_of_a_hot_key(spark):
+    class Range(custom.Aggregate):
+        inputs = ("v", "w")
+
+        def start(self):
+            return np.array([-np.inf, 0.0])
+
+        def fold(self, state, v, w):
+            return self.merge(state, np.array([v.max(), w.sum()])) if len(v) else state
+
+        def merge(self, a, b):
+            return np.array([max(a[0], b[0]), a[1] + b[1]])
+
+        def finish(self, state):
+            return None if np.isinf(state[0]) else float(state[0] + state[1])
+
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i % 10 else None if i % 20 else f"k{i % 70}", float(v), float(i % 3) if i % 7 else None) for i, v in enumerate(rng.normal(size=6000))]
+    d = spark.createDataFrame(rows, "k string, v double, w double").repartition(24)
+    out = custom.aggregate(d, ["k"], {"r": Range(), "t": custom.TailMean("v", 5), "l": custom.LogVariance("v")}, fan_in=4)
+    got = {r.k: r for r in out.collect()}
+    groups = {}
+    for k, v, w in rows:
+        groups.setdefault(k, []).append((v, w))
+    assert set(got) == set(groups) and None in got
+    for k, vs in groups.items():
+        used = [(v, w) for v, w in vs if w is not None]
+        logs = np.log([v for v, _ in vs if v > 0])
+        assert got[k].r == (pytest.approx(max(v for v, _ in used) + sum(w for _, w in used)) if used else None)
+        assert got[k].t == pytest.approx(np.mean(sorted(v for v, _ in vs)[-5:]))
+        assert got[k].l == (pytest.approx(logs.var(ddof=1)) if len(logs) > 1 else None)
+    assert custom.aggregate(d.limit(0), ["k"], {"r": Range()}).count() == 0

@@ -1,6 +1,7 @@
 """News-like text: cleaning, scanning, trust, similarity, clustering, and forward vectors."""
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -54,47 +55,93 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: (x / F.nullif(n, F.lit(0.0))).cast("float"))
 
 
+#: Most pivots, and the rows they are chosen from; both bound what is collected and sent to tasks.
+MAX_PIVOTS, PIVOT_SAMPLE = 4096, 16_384
+#: Rings of a cell that does not fit a block.
+RINGS = 32
+
+
 def _pivots(vectors: DataFrame, vec: str, k: int) -> np.ndarray:
-    rows = vectors.orderBy(F.xxhash64(F.col(vec))).limit(k).select(vec).collect()  # k rows, fixed size
-    return np.array([r[0] for r in rows], dtype=np.float64)
+    """k vectors far from each other: farthest-first over a sample of fixed size (the rows of smallest hash)."""
+    rows = vectors.orderBy(F.xxhash64(F.col(vec))).limit(max(k, min(PIVOT_SAMPLE, 8 * k))).select(vec).collect()
+    x = np.array([r[0] for r in rows], dtype=np.float64)
+    if len(x) <= k:
+        return x
+    chosen, gap = [0], np.full(len(x), np.inf)
+    norm = (x * x).sum(1)
+    for _ in range(k - 1):
+        gap = np.minimum(gap, norm + norm[chosen[-1]] - 2 * (x @ x[chosen[-1]]))
+        chosen.append(int(gap.argmax()))
+    return x[chosen]
+
+
+def _distances(x: np.ndarray, piv: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (piv * piv).sum(1)[None] - 2 * x @ piv.T, 0))
 
 
-def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots: int = 16, block: int = 2048, counts: bool = False) -> DataFrame:
+def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots: int | None = None, block: int = 2048, counts: bool = False, work=None) -> DataFrame:
     """Exact pairs (a < b, cosine >= threshold) of unit vectors, or with ``counts`` the number of
-    such partners per row.
+    such partners per row. ``work``, an accumulator, counts the multiplied pairs.
 
     Equal vectors are first collapsed to one with a multiplicity. Each vector then goes to the cell
-    of its nearest pivot, and as a guest to every cell it can still reach: by the triangle
-    inequality a partner's cell j needs d(x, pivot_j) - d(x, own pivot) <= 2*eps. Cells are cut into
-    blocks of bounded size and block pairs are multiplied as matrices, so no cell, however full,
-    sits in one task and only true partners are emitted. The number of pivots only prunes: any
-    value gives the same result."""
+    of its nearest pivot, and as a guest to every cell it can still reach by the triangle inequality:
+    a partner in cell j needs d(x, pivot_j) - d(x, own pivot) <= 2*eps, and d(x, pivot_j) <= the
+    cell's radius + eps. There are as many pivots as the root of the number of vectors (MAX_PIVOTS at
+    most). Cells are cut into rings by the distance to their pivot, which are blocks of bounded size;
+    only block pairs whose rings lie within eps of each other are multiplied as matrices, so no cell,
+    however full, sits in one task and only true partners are emitted. Pivots and blocks only
+    prune: any number gives the same result."""
     d = vectors.where(F.col(vec).isNotNull()).withColumn("_v", F.col(vec).cast("array<float>"))
     rep = cut_lineage(d.groupBy("_v").agg(F.min(ident).alias("_id"), F.count(F.lit(1)).alias("_m")))
-    piv = _pivots(rep, "_v", pivots)
+    piv = _pivots(rep, "_v", pivots or min(MAX_PIVOTS, max(16, math.isqrt(rep.count()))))
     if len(piv) == 0:
         piv = np.zeros((1, 1))
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
     idt = vectors.schema[ident].dataType.simpleString()
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("_size") / block)).cast("int")
 
-    def place(batches):
+    def homes(batches):
         for pdf in batches:
-            x = np.vstack(pdf["_v"].to_numpy()).astype(np.float64)
-            dist = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (piv * piv).sum(1)[None] - 2 * x @ piv.T, 0))
+            dist = _distances(np.vstack(pdf["_v"].to_numpy()).astype(np.float64), piv)
             home = dist.argmin(1)
-            reach = dist - dist[np.arange(len(x)), home][:, None] <= 2 * eps
+            yield pdf.assign(_hc=home.astype("int32"), _d=dist[np.arange(len(pdf)), home])
+
+    rep_type = f"_id {idt}, _m long, _v array<float>"
+    at_home = cut_lineage(rep.select("_id", "_m", "_v").mapInPandas(homes, f"{rep_type}, _hc int, _d double"))
+    cells = at_home.groupBy("_hc").agg(F.count(F.lit(1)).alias("_size"), F.max("_d").alias("_radius"))
+    known = {r["_hc"]: r for r in cells.collect()}  # one row per pivot
+    radius = np.array([known[j]["_radius"] if j in known else -1.0 for j in range(len(piv))])
+    # ring edges of each cell: as many as its size needs; equal distances share a ring, which a hash cuts further
+    full = {j: int(-(-r["_size"] // block)) for j, r in known.items()}
+    edges = {}
+    if any(n > 1 for n in full.values()):
+        big = at_home.where(F.col("_hc").isin([j for j, n in full.items() if n > 1]))
+        probs = big.groupBy("_hc").agg(F.percentile_approx("_d", F.array(*[F.lit(i / RINGS) for i in range(1, RINGS)]), 10_000).alias("q"))
+        edges = {r["_hc"]: np.unique(r["q"]) for r in probs.collect()}
+    nothing = np.zeros(0)
+
+    def place(batches):
+        for pdf in batches:
+            x, home, own = np.vstack(pdf["_v"].to_numpy()).astype(np.float64), pdf["_hc"].to_numpy(), pdf["_d"].to_numpy()
+            dist = _distances(x, piv)
+            reach = (dist - own[:, None] <= 2 * eps) & (dist <= radius[None, :] + eps) & (radius[None, :] >= 0)
             reach[np.arange(len(x)), home] = True
             i, j = np.nonzero(reach)
-            yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[i], "_m": pdf["_m"].to_numpy()[i], "_v": pdf["_v"].to_numpy()[i], "_cell": j.astype("int32"), "_home": home[i] == j, "_hc": home[i].astype("int32")})
-
-    placed = rep.mapInPandas(place, f"_id {idt}, _m long, _v array<float>, _cell int, _home boolean, _hc int")
-    size = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_size"))
-    placed = placed.join(F.broadcast(size), "_cell")  # one row per pivot
-    placed = placed.withColumn("_nb", n_blocks).withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int"))
-    # a host block meets every block of its cell; block pairs are tasks
-    host = placed.where("_home").select("_cell", F.col("_b").alias("_hb"), F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_gb"), F.lit(1).alias("_side"), "_id", "_m", "_v", "_hc")
-    guest = placed.select("_cell", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_hb"), F.col("_b").alias("_gb"), F.lit(0).alias("_side"), "_id", "_m", "_v", "_hc")
+            ring = np.array([np.searchsorted(edges.get(int(c), nothing), v) for c, v in zip(j, dist[i, j])], "int32")
+            ring[home[i] == j] = [np.searchsorted(edges.get(int(c), nothing), v) for c, v in zip(home[i[home[i] == j]], own[i[home[i] == j]])]
+            low = np.array([np.searchsorted(edges.get(int(c), nothing), v - eps) for c, v in zip(j, dist[i, j])], "int32")
+            high = np.array([np.searchsorted(edges.get(int(c), nothing), v + eps) for c, v in zip(j, dist[i, j])], "int32")
+            yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[i], "_m": pdf["_m"].to_numpy()[i], "_v": pdf["_v"].to_numpy()[i], "_cell": j.astype("int32"), "_home": home[i] == j,
+                                "_hc": home[i].astype("int32"), "_ring": ring, "_low": low, "_high": high})
+
+    placed = cut_lineage(at_home.mapInPandas(place, f"{rep_type}, _cell int, _home boolean, _hc int, _ring int, _low int, _high int"))
+    filled = placed.groupBy("_cell", "_ring").agg(F.count(F.lit(1)).alias("_size")).withColumn("_nb", F.ceil(F.col("_size") / block).cast("int")).select("_cell", "_ring", "_nb")
+    placed = placed.join(F.broadcast(filled), ["_cell", "_ring"]).withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int"))  # RINGS rows per pivot at most
+    # a host block meets the guest blocks of the rings within eps; block pairs are tasks
+    rings = filled.select("_cell", F.col("_ring").alias("_r"), F.col("_nb").alias("_n"))
+    host = placed.where("_home").join(F.broadcast(rings), "_cell").where(F.col("_r").between(F.col("_low"), F.col("_high")))
+    host = host.select("_cell", F.col("_ring").alias("_hr"), F.col("_b").alias("_hb"), F.col("_r").alias("_gr"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_gb"), F.lit(1).alias("_side"), "_id", "_m", "_v", "_hc")
+    guest = placed.join(F.broadcast(rings), "_cell").where(F.col("_r").between(F.col("_low"), F.col("_high")))
+    guest = guest.select("_cell", F.col("_r").alias("_hr"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_hb"), F.col("_ring").alias("_gr"), F.col("_b").alias("_gb"), F.lit(0).alias("_side"), "_id", "_m", "_v", "_hc")
     both = host.unionByName(guest)
     out_schema = f"a {idt}, partners long" if counts else f"a {idt}, b {idt}, cosine double"
 
@@ -105,6 +152,8 @@ def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots:
             return pd.DataFrame([], columns=cols)
         x, y = np.vstack(h["_v"].to_numpy()).astype(np.float64), np.vstack(g["_v"].to_numpy()).astype(np.float64)
         hid, gid, gm = h["_id"].to_numpy(), g["_id"].to_numpy(), g["_m"].to_numpy()
+        if work is not None:
+            work.add(len(x) * len(y))
         s = x @ y.T
         hit = (s >= threshold) & (hid[:, None] != gid[None, :])
         if counts:
@@ -117,7 +166,7 @@ def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots:
         a, b = np.minimum(hid[i], gid[j]), np.maximum(hid[i], gid[j])
         return pd.DataFrame({"a": a, "b": b, "cosine": s[i, j]})
 
-    found = both.groupBy("_cell", "_hb", "_gb").applyInPandas(multiply, out_schema)
+    found = both.groupBy("_cell", "_hr", "_hb", "_gr", "_gb").applyInPandas(multiply, out_schema)
     if not counts:
         return found
     n = found.groupBy("a").agg(F.sum("partners").alias("_p")).withColumnRenamed("a", "_id")
