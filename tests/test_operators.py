@@ -352,3 +352,25 @@ def test_custom_aggregate_merges_states_of_a_hot_key(spark):
         assert got[k].t == pytest.approx(np.mean(sorted(v for v, _ in vs)[-5:]))
         assert got[k].l == (pytest.approx(logs.var(ddof=1)) if len(logs) > 1 else None)
     assert custom.aggregate(d.limit(0), ["k"], {"r": Range()}).count() == 0
+
+
+def test_many_logistic_fits_equal_single_ones(spark):
+    rng = np.random.default_rng(8)
+    days = pd.date_range("2024-01-01", periods=60, freq="D")
+    x = rng.normal(size=(3000, 3)) * [1.0, 5.0, 0.1] + [0.0, 3.0, -1.0]
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(0.7 * x[:, 0] - 0.2 * x[:, 1] + 4 * x[:, 2])))).astype(int)
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(y=y, ts=days[np.arange(3000) % 60])
+    d = spark.createDataFrame(pdf, "a double, b double, c double, y int, ts timestamp_ntz").repartition(6)
+    calendar = days.to_numpy().astype("datetime64[us]")
+    dates = {k: calendar[(calendar < calendar[k]) | (calendar > calendar[k + 10])] for k in range(0, 50, 5)}
+    dates["none"] = calendar[:0]
+    fits = models.fit_logistic_many(d, ["a", "b", "c"], dates, c=dict.fromkeys(dates, 0.5))
+    assert set(fits) == set(dates) - {"none"}
+    for k in (0, 25):
+        one = models.freeze(models.fit_logistic(d.where(F.col("ts").isin([t.item() for t in dates[k]])), ["a", "b", "c"], c=0.5), ["a", "b", "c"])
+        for name in ("mean", "scale", "coef"):
+            assert fits[k][name] == pytest.approx(one[name], abs=1e-6)
+        assert fits[k]["intercept"] == pytest.approx(one["intercept"], abs=1e-6)
+    scored = models.score_many(d.withColumn("k", F.lit(0)), {0: fits[0]}, "k").toPandas()
+    z = fits[0]["intercept"] + ((scored[["a", "b", "c"]].to_numpy() - fits[0]["mean"]) / fits[0]["scale"]) @ fits[0]["coef"]
+    assert np.allclose(scored["p"], 1 / (1 + np.exp(-z)))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -47,6 +48,98 @@ def fit_logistic(train: DataFrame, features: Sequence[str], y: str = "y", c: flo
     return Pipeline(stages=[*_stages(features, True), lr]).fit(d.withColumn(y, F.col(y).cast("double")))
 
 
+def _sums(rows: DataFrame, features: Sequence[str], y: str, at: str, dates: list[np.ndarray], part) -> np.ndarray:
+    """Sum over all rows of part(x, y, member): one row of numbers for each fit. Tasks read the rows once for all
+    fits, whose training dates they know, and send one partial sum for each cell; the driver gets fits x numbers."""
+    def run(batches):
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([np.asarray(batch.column(c)) for c in features]).astype(float)
+            when, code = np.unique(np.asarray(batch.column(at).cast("timestamp[us]")).astype("datetime64[us]").astype(np.int64), return_inverse=True)
+            member = np.column_stack([np.isin(when, d, assume_unique=True) for d in dates])[code].astype(float)
+            own = part(x, np.asarray(batch.column(y)).astype(float), member)
+            total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["cell", "v"])
+
+    cells = rows.mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(max((r["cell"] for r in cells), default=-1) + 1)
+    for r in cells:
+        out[r["cell"]] = r["v"]
+    return out.reshape(len(dates), -1) if len(out) else np.zeros((len(dates), 0))
+
+
+def fit_logistic_many(train: DataFrame, features: Sequence[str], dates: dict, y: str = "y", at: str = "ts", c: float | dict = 1.0, balanced: bool = True,
+                      tol: float = 1e-10, most: int = 50) -> dict:
+    """One penalised logistic fit, as ``fit_logistic``, for every key of ``dates`` on the rows of its training dates
+    (datetime64 arrays, bounded by the calendar), all at once: {key: {features, mean, scale, coef, intercept}}.
+
+    Newton steps; one job a step sums the gradients, Hessians and losses of all fits in one pass over the rows, which
+    are not copied for a fit. A step that raises a fit's loss is halved for that fit. Fits without rows of both classes are left out."""
+    d = cut_lineage(train.dropna(subset=[*features, y]).select(*[F.col(f).cast("double").alias(f) for f in features], F.col(y).cast("double").alias(y), at))
+    keys, p = list(dates), len(features)
+    when = [np.sort(np.asarray(dates[k], "datetime64[us]").astype(np.int64)) for k in keys]
+    moments = _sums(d, features, y, at, when, lambda x, t, m: np.column_stack([m.sum(0), m.T @ t, m.T @ x, m.T @ (x * x)]))
+    if not moments.size:
+        return {}
+    good = np.flatnonzero((moments[:, 1] > 0) & (moments[:, 1] < moments[:, 0]) & (moments[:, 0] > 1))
+    keys, when, moments = [keys[i] for i in good], [when[i] for i in good], moments[good]
+    n, ones = moments[:, 0], moments[:, 1]
+    mean = moments[:, 2:2 + p] / n[:, None]
+    scale = np.sqrt(np.maximum(moments[:, 2 + p:] - n[:, None] * mean ** 2, 0) / (n - 1)[:, None])
+    inverse = np.divide(1.0, scale, out=np.zeros_like(scale), where=scale > 0)
+    weight = np.stack([n / (2 * (n - ones)), n / (2 * ones)], axis=1) if balanced else np.ones((len(keys), 2))
+    penalty = np.array([[0.0] + [1.0 / (c[k] if isinstance(c, dict) else c)] * p for k in keys])
+    beta = np.zeros((len(keys), p + 1))
+    last, step = np.full(len(keys), np.inf), np.zeros_like(beta)
+    live = np.ones(len(keys), bool)
+
+    def part(x, t, member, beta):
+        out = np.empty((len(beta), 1 + (p + 1) + (p + 1) ** 2))
+        for k in range(len(beta)):
+            on = member[:, k] > 0
+            z = np.column_stack([np.ones(on.sum()), (x[on] - mean[k]) * inverse[k]])
+            w, own = weight[k][t[on].astype(int)], t[on]
+            eta = z @ beta[k]
+            prob = 1 / (1 + np.exp(-eta))
+            out[k, 0] = (w * (np.logaddexp(0, eta) - own * eta)).sum()
+            out[k, 1:p + 2] = z.T @ (w * (prob - own))
+            out[k, p + 2:] = ((z * (w * prob * (1 - prob))[:, None]).T @ z).ravel()
+        return out
+
+    for _ in range(most):
+        sums = _sums(d, features, y, at, when, lambda x, t, m, b=beta.copy(): part(x, t, m, b))
+        loss = sums[:, 0] + 0.5 * (penalty * beta ** 2).sum(1)
+        worse = live & (loss > last + 1e-9 * np.abs(last))
+        step[worse] /= 2
+        beta[worse] -= step[worse]
+        for k in np.flatnonzero(live & ~worse):
+            hessian = sums[k, p + 2:].reshape(p + 1, p + 1) + np.diag(penalty[k])
+            step[k] = -np.linalg.solve(hessian, sums[k, 1:p + 2] + penalty[k] * beta[k])
+            live[k] = np.abs(step[k]).max() > tol
+            beta[k] += step[k]
+            last[k] = loss[k]
+        if not live.any():
+            break
+    return {k: {"features": list(features), "mean": mean[i].tolist(), "scale": scale[i].tolist(), "coef": beta[i, 1:].tolist(), "intercept": float(beta[i, 0])} for i, k in enumerate(keys)}
+
+
+def score_many(df: DataFrame, fits: dict, key: str, name: str = "p") -> DataFrame:
+    """Each row's probability from the fit of its key; rows of keys without a fit go. The fits are a table of one row each."""
+    if not fits:
+        return df.withColumn(name, F.lit(None).cast("double")).limit(0)
+    features = next(iter(fits.values()))["features"]
+    rows = [(k, f["intercept"], *f["coef"], *f["mean"], *f["scale"]) for k, f in fits.items()]
+    names = [f"_{part}{i}" for part in ("c", "m", "s") for i in range(len(features))]
+    table = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(key, df.schema[key].dataType), *[T.StructField(n, T.DoubleType()) for n in ("_b", *names)]]))
+    z = F.col("_b")
+    for i, f in enumerate(features):
+        z = z + F.when(F.col(f"_s{i}") > 0, F.col(f"_c{i}") * (F.col(f) - F.col(f"_m{i}")) / F.col(f"_s{i}")).otherwise(F.col(f) * 0)
+    return df.join(F.broadcast(table), key).withColumn(name, 1 / (1 + F.exp(-z))).drop("_b", *names)
+
+
 def fit_boosted(train: DataFrame, features: Sequence[str], y: str = "y", kind: str = "class", depth: int = 3, step: float = 0.05,
                 rounds: int = 20, validation: str | None = None):
     extra = [validation] if validation else []

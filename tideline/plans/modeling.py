@@ -1,11 +1,12 @@
 """Silver and gold rows, features, labels, splits, fits and scores."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tideline.functions import rules
 from tideline.operators import features as ft
-from tideline.operators import aggregates, bars, cross, hurst, joins, labels, models, scan, signals, splits
+from tideline.operators import aggregates, bars, cross, hurst, joins, labels, models, portfolio, scan, signals, splits
 from tideline.operators import timeseries as ts
 from tideline.plans import views as v
 from tideline.plans.registry import query, rnd, rsql
@@ -308,12 +309,13 @@ def _(t):
 def _(t):
     d = training(t)
     mem = cut_lineage(splits.hybrid(d, horizon=28))
-    train = d.join(mem.where("split = 'temporal_holdout' AND role = 'train'").select("ts"), "ts", "left_semi")
-    val = d.join(mem.where("split = 'temporal_holdout' AND role = 'val'").select("ts"), "ts", "left_semi")
-    s = models.score(models.fit_logistic(train, DOSSIER, c=0.1), val.dropna(subset=[*DOSSIER, "y"])).withColumn("split", F.lit("temporal_holdout"))
-    s = cut_lineage(s)
-    m = aggregates.confusion(s, ["split"], F.col("p") > 0.5, F.col("y") == 1)
-    return m.join(aggregates.auc_ap(s, ["split"], "p", "y"), "split")
+    dates = {r["split"]: np.array(r["days"], "datetime64[us]") for r in mem.where("role = 'train'").groupBy("split").agg(F.collect_set("ts").alias("days")).collect()}  # six calendars
+    val = d.dropna(subset=[*DOSSIER, "y"]).join(mem.where("role = 'val'").select("split", "ts"), "ts")
+    s = cut_lineage(models.score_many(val, models.fit_logistic_many(d, DOSSIER, dates, c=0.1), "split"))
+    m = aggregates.confusion(s, ["split"], F.col("p") > 0.5, F.col("y") == 1).join(aggregates.auc_ap(s, ["split"], "p", "y"), "split")
+    signal = s.withColumn("s", rules.from_probability(F.col("p"), 0.52, 0.48)).select("split", "symbol", "ts", (F.col("fwd") / 100).alias("fwd"), "s.direction", "s.confidence", F.col("rv_20d").alias("vol"))
+    net = portfolio.evaluate_signals(signal, ["split", "ts"], 0.0036).groupBy("split").agg(F.avg("net").alias("mean_net"), F.avg((F.col("net") > 0).cast("double")).alias("hit_rate"), F.count(F.lit(1)).alias("n_stamps"))
+    return m.join(net, "split", "left")
 
 
 ARTEFACT = {"features": ["ret_5d", "hl_range", "vol_z30", "rv_20d"], "coef": [0.2, -0.4, 0.1, -0.3], "mean": [0.1, 0.5, 0.0, 1.0], "scale": [0.5, 0.4, 1.0, 0.6], "intercept": 0.05}
@@ -335,11 +337,11 @@ def _(t):
     d = training(t).dropna(subset=[*DOSSIER, "y"])
     parts = splits.partition_dates(d, 0.2)
     d = cut_lineage(d.join(parts, "ts"))
-    out = None
-    for c in (0.01, 0.1, 1.0):
-        m = models.fit_logistic(d.where("part = 'iteration'"), DOSSIER, c=c)
-        s = models.score(m, d.where("part = 'confirmation'")).select(F.lit(c).alias("c"), "p", "y")
-        out = s if out is None else out.unionByName(s)
+    days = np.array([r[0] for r in parts.where("part = 'iteration'").select("ts").collect()], "datetime64[us]")  # the calendar
+    grid = {c: c for c in (0.01, 0.1, 1.0)}
+    fits = models.fit_logistic_many(d, DOSSIER, dict.fromkeys(grid, days), c=grid)
+    each = d.where("part = 'confirmation'").withColumn("c", F.explode(F.array(*map(F.lit, grid))))
+    out = models.score_many(each, fits, "c").select("c", "p", "y")
     return aggregates.auc_ap(cut_lineage(out), ["c"], "p", "y")
 
 

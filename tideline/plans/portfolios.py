@@ -1,6 +1,7 @@
 """Weights, orders, window economics, rebalanced series, grids and verdicts."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tideline.operators import aggregates, cross, joins, models, pairs, portfolio as pf, sampling, scan, signals
@@ -374,17 +375,13 @@ def _(t):
 @query("P31_sampled_window_evaluation")
 def _(t):
     d = training(t)
-    starts = sampling.window_starts(d.select("ts").distinct(), 112, 3, 42).collect()
-    out = None
-    for (t0,) in starts:  # a handful of windows: one purged fit each
-        at = F.lit(t0).cast("timestamp_ntz")
-        far = (F.col("ts") < at - F.expr("interval 28 days")) | (F.col("ts") > at + F.expr("interval 56 days"))
-        m = models.fit_logistic(d.where(far), DOSSIER)
-        s = models.score(m, d.where(F.col("ts") == at).dropna(subset=[*DOSSIER, "fwd"]))
-        s = s.select("symbol", "ts", "p", F.col("rv_20d").alias("rv"), (F.col("fwd") / 100).alias("fwd"))
-        e = pf.book_economics(pf.long_only(s, ["ts"], 3, 0.5), s, ["ts"], "long", cost=0.0046)
-        out = e if out is None else out.unionByName(e)
-    return out
+    starts = [r[0] for r in sampling.window_starts(d.select("ts").distinct(), 28, 40, 42).collect()]
+    days = np.array([r[0] for r in d.select("ts").distinct().collect()], "datetime64[us]")  # the calendar
+    day = np.timedelta64(1, "D")
+    fits = models.fit_logistic_many(d, DOSSIER, {t0: days[(days < np.datetime64(t0) - 28 * day) | (days > np.datetime64(t0) + 56 * day)] for t0 in starts})
+    s = models.score_many(d.dropna(subset=[*DOSSIER, "fwd"]), fits, "ts")
+    s = s.select("symbol", "ts", "p", F.col("rv_20d").alias("rv"), (F.col("fwd") / 100).alias("fwd"))
+    return pf.book_economics(pf.long_only(s, ["ts"], 3, 0.5), s, ["ts"], "long", cost=0.0046)
 
 
 @query("P32_acceptance_bars", f"""WITH {WIN}, l AS (SELECT * FROM win WHERE year(t0) >= 1996), s AS (SELECT cfg, median(net_pct) AS md, avg(net_pct) AS mn, median(net_pct) FILTER (bench_pct < 0) AS dn FROM l GROUP BY 1), y AS (SELECT cfg, min(m) AS wy FROM (SELECT cfg, year(t0), avg(net_pct) AS m FROM l GROUP BY 1, 2) GROUP BY 1), c AS (SELECT cfg, avg(net_pct) AS cr FROM win WHERE year(t0) = 1995 GROUP BY 1)
