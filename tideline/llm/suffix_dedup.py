@@ -16,10 +16,10 @@ from tideline.llm.common import STEP_BYTES, Prefix, bundled, ints, mixed, ranges
 LENGTH, ANCHOR = 50, 20
 SIDE = LENGTH - ANCHOR
 #: Bytes of text whose anchors a task gathers before it sends them.
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 8 << 20
 FULL, TEXT = 1, 2
 #: Strings of an index, and strings that stream through it at once.
-STRINGS = 8192
+STRINGS = 4096
 
 
 def slide(x: np.ndarray, width: int, op) -> np.ndarray:
