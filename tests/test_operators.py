@@ -374,3 +374,25 @@ def test_many_logistic_fits_equal_single_ones(spark):
     scored = models.score_many(d.withColumn("k", F.lit(0)), {0: fits[0]}, "k").toPandas()
     z = fits[0]["intercept"] + ((scored[["a", "b", "c"]].to_numpy() - fits[0]["mean"]) / fits[0]["scale"]) @ fits[0]["coef"]
     assert np.allclose(scored["p"], 1 / (1 + np.exp(-z)))
+
+
+def test_student_t_tail(spark):
+    from tideline.functions import normal
+
+    # closed forms: one degree of freedom is Cauchy, two has an algebraic tail, many are nearly normal
+    rows = [(t, nu) for t in (0.0, 0.1, 1.0, 2.5, 12.0, -2.5) for nu in (1.0, 2.0, 30.0, 1e6)]
+    got = spark.createDataFrame(rows, "t double, nu double").select("t", "nu", normal.t_two_sided(F.col("t"), F.col("nu")).alias("p")).collect()
+    for r in got:
+        t = abs(r.t)
+        if r.nu == 1:
+            assert r.p == pytest.approx(1 - 2 / math.pi * math.atan(t), abs=1e-12)
+        elif r.nu == 2:
+            assert r.p == pytest.approx(1 - t / math.sqrt(2 + t * t), abs=1e-12)
+        elif r.nu == 1e6:
+            assert r.p == pytest.approx(math.erfc(t / math.sqrt(2)), abs=1e-5)
+        else:  # Simpson's rule over the density
+            c = math.exp(math.lgamma(15.5) - math.lgamma(15)) / math.sqrt(30 * math.pi)
+            x = np.linspace(0, t, 2001)
+            f = c * (1 + x * x / 30) ** -15.5
+            area = t / 6000 * (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum())
+            assert r.p == pytest.approx(1 - 2 * area, abs=1e-9)

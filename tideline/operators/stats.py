@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import normal
 from tideline.operators import sampling, scan
+from tideline.operators import timeseries as ts
 from tideline.operators.timeseries import ratio
 
 MIN_OBS = 100
@@ -93,13 +94,29 @@ def sign_persistence(df: DataFrame, keys: Sequence[str], order: Sequence[str], x
     return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), F.when(F.count(F.lit(1)) >= MIN_OBS, F.avg(same)).alias("persistence"))
 
 
-def trend_premium(df: DataFrame, keys: Sequence[str], past: str, fwd: str) -> DataFrame:
-    """Mean forward return after an up and after a down past, their difference and sign agreement."""
-    d = df.where(F.col(past).isNotNull() & F.col(fwd).isNotNull())
+def trend_premium(df: DataFrame, keys: Sequence[str], past: str, fwd: str, min_rows: int = 30, min_side: int = 5) -> DataFrame:
+    """Mean forward return after an up and after a down past, their difference and the share of equal signs, over rows
+    with a past that is not 0. Null below ``min_rows`` rows; the means also where a side has under ``min_side`` rows."""
+    d = df.where(F.col(past).isNotNull() & F.col(fwd).isNotNull() & (F.col(past) != 0))
     up, dn = F.col(past) > 0, F.col(past) < 0
-    agree = F.when((F.col(past) != 0) & (F.col(fwd) != 0), (F.signum(past) == F.signum(fwd)).cast("double"))
-    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(up, F.col(fwd))).alias("after_up"), F.avg(F.when(dn, F.col(fwd))).alias("after_down"), F.avg(agree).alias("persistence"))
-    return g.withColumn("premium", F.col("after_up") - F.col("after_down"))
+    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(up).alias("_up"), F.avg(F.when(up, F.col(fwd))).alias("after_up"), F.avg(F.when(dn, F.col(fwd))).alias("after_down"),
+                             F.avg((F.signum(past) == F.signum(fwd)).cast("double")).alias("persistence"))
+    enough = F.col("n") >= min_rows
+    sides = enough & (F.col("_up") >= min_side) & (F.col("n") - F.col("_up") >= min_side)
+    g = g.withColumns({"persistence": F.when(enough, F.col("persistence")), "after_up": F.when(sides, F.col("after_up")), "after_down": F.when(sides, F.col("after_down"))})
+    return g.withColumn("premium", F.col("after_up") - F.col("after_down")).drop("_up")
+
+
+def stepped_returns(df: DataFrame, horizons: Sequence[int], value: str = "close", chunk: str | int = "month") -> DataFrame:
+    """(symbol, ts, h, past, fwd): for every horizon the rows h apart in each symbol, so that their returns don't overlap."""
+    far = max(horizons)
+
+    def build(d, w):
+        return d.withColumns({**{f"_p{h}": ts.lag_return(value, h, w) for h in horizons}, **{f"_f{h}": ts.lead_return(value, h, w) for h in horizons}})
+
+    d = scan.over_series(scan.number_rows(df, chunk=chunk), build, back=far, ahead=far, chunk=chunk)
+    parts = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"_p{h}").alias("past"), F.col(f"_f{h}").alias("fwd")) for h in horizons])
+    return d.select("symbol", "ts", "_pos", F.explode(parts).alias("_r")).select("symbol", "ts", "_pos", "_r.*").where("_pos > 0 AND _pos % h = 0").drop("_pos")
 
 
 # ---- resampling ------------------------------------------------------------------------------

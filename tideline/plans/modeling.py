@@ -4,7 +4,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tideline.functions import rules
+from tideline.functions import normal, rules
 from tideline.operators import features as ft
 from tideline.operators import aggregates, bars, cross, hurst, joins, labels, models, portfolio, scan, signals, splits
 from tideline.operators import timeseries as ts
@@ -24,17 +24,17 @@ def with_fx(t):
 # ---- rolling fits: no SQL form, checked against brute force in tests ---------------------------
 @query("M01_silver_feature_pass")
 def _(t):
-    return signals.silver(v.hourly(t), 100, 200).select("symbol", "ts", "ret", "log_ret", "spread", "hurst", "garch_vol", "regime", "regime_conf")
+    return signals.silver(v.hourly(t), 200, 500).select("symbol", "ts", "ret", "log_ret", "spread", "hurst", "garch_vol", "regime", "regime_conf")
 
 
 @query("M02_rolling_hurst")
 def _(t):
-    return hurst.rolling_hurst(v.hourly(t), 100).select("symbol", "ts", "hurst")
+    return hurst.rolling_hurst(v.hourly(t), 200).select("symbol", "ts", "hurst")
 
 
 @query("M03_rolling_garch_refit")
 def _(t):
-    return hurst.rolling_garch(ts.returns(v.hourly(t)), window=200).select("symbol", "ts", "garch_vol")
+    return hurst.rolling_garch(ts.returns(v.hourly(t)), window=500).select("symbol", "ts", "garch_vol")
 
 
 @query("M03_garch_fixed_parameters", f"""WITH {v.HOURLY}, r AS (SELECT symbol, ts, close / lag(close) OVER ({H}) - 1 AS ret FROM hourly), n AS (SELECT *, row_number() OVER ({H}) AS i FROM r WHERE ret IS NOT NULL)
@@ -45,7 +45,7 @@ def _(t):
 
 @query("M04_silver_tail_recompute")
 def _(t):
-    return signals.silver_tail(v.hourly(t), 48, 550, hurst_window=100, garch_window=200).select("symbol", "ts", "ret", "hurst", "garch_vol", "regime")
+    return signals.silver_tail(v.hourly(t), 48, 550, hurst_window=200, garch_window=500).select("symbol", "ts", "ret", "hurst", "garch_vol", "regime")
 
 
 # ---- catalogue ---------------------------------------------------------------------------------
@@ -241,21 +241,66 @@ def _(t):
 DOSSIER = ["ret_5d", "hl_range", "vol_z30", "rv_20d"]
 
 
-def study_frame(t):
-    d = ft.matrix(v.panel(t), ft.pick(ft.catalogue("Brand#1"), DOSSIER), **YR)
-    y = forward(t).select("symbol", "ts", "fwd")
-    return d.join(y, ["symbol", "ts"])
+STUDY = ["ret_1d", "ret_5d", "ret_21d", "abs_ret_1d", "ret_5d_z60", "hl_range", "hl_range_z30", "vol_z30", "rv_20d", "rel_ret_5d", "breadth_20d", "vol_rel"]
+_X = f"x AS (SELECT f.symbol, f.ts, {', '.join('f.' + c for c in STUDY)}, f.rv_20d AS rv, fw.fwd FROM f JOIN fw USING (symbol, ts) WHERE fw.fwd IS NOT NULL), l AS (UNPIVOT x ON {', '.join(STUDY)} INTO NAME feature VALUE val)"
+STUDIED = f"WITH {v.PANEL}, {v.FX}, {CATALOGUE}, {FWD}, {_X}"
+
+
+def ranked_sql(src, keys):
+    return f"(SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY val) + (count(*) OVER (PARTITION BY {keys}, val) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY {keys} ORDER BY fwd) + (count(*) OVER (PARTITION BY {keys}, fwd) - 1) / 2.0 AS ry FROM {src})"
+
 
+def study_long(t):
+    """(symbol, ts, rv, fwd, feature, value) of every studied feature."""
+    d = ft.matrix(v.panel(t), ft.pick(ft.catalogue("Brand#1"), STUDY), **YR)
+    d = d.join(forward(t).where("fwd IS NOT NULL").select("symbol", "ts", "fwd"), ["symbol", "ts"]).withColumn("rv", F.col("rv_20d"))
+    return cut_lineage(aggregates.unpivot(d, ["symbol", "ts", "rv", "fwd"], STUDY).where("value IS NOT NULL"))
 
-@query("M22_feature_dossier", f"""WITH {v.PANEL}, {v.FX}, {CATALOGUE}, {FWD}, x AS (SELECT f.ts, f.ret_5d, f.hl_range, f.vol_z30, f.rv_20d, fw.fwd FROM f JOIN fw USING (symbol, ts) WHERE fw.fwd IS NOT NULL),
-l AS (UNPIVOT x ON ret_5d, hl_range, vol_z30, rv_20d INTO NAME feature VALUE val),
-r AS (SELECT feature, val, fwd, rank() OVER (PARTITION BY feature ORDER BY val) + (count(*) OVER (PARTITION BY feature, val) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY feature ORDER BY fwd) + (count(*) OVER (PARTITION BY feature, fwd) - 1) / 2.0 AS ry FROM l)
-SELECT feature, count(*) AS n, {rsql('corr(rx, ry)', 5)} AS ic, {rsql('avg(val)', 5)} AS mean, {rsql('stddev_samp(val)', 5)} AS std FROM r GROUP BY 1""")
+
+# the p-value's oracle is the finite trigonometric series of Student's t, not the fraction
+@query("M22_feature_dossier", f"""{STUDIED}, s AS (SELECT feature, count(*) AS n, corr(rx, ry) AS ic, avg(val) AS mean, stddev_samp(val) AS std, skewness(val) AS skew FROM {ranked_sql('l', 'feature')} GROUP BY 1),
+o AS (SELECT feature, avg(CAST(abs(val - mean) > 3 * std AS INT)) AS outliers FROM l JOIN s USING (feature) GROUP BY 1),
+a AS (SELECT feature, n - 2 AS nu, atan(abs(ic) * sqrt((n - 2) / (1 - ic * ic)) / sqrt(n - 2)) AS th FROM s),
+k AS (SELECT feature, nu, th, unnest(range(1, CAST(nu // 2 AS BIGINT))) AS j FROM a),
+c AS (SELECT *, sum(CASE WHEN nu % 2 = 0 THEN ln((2e0 * j - 1) / (2 * j)) ELSE ln(2e0 * j / (2 * j + 1)) END) OVER (PARTITION BY feature ORDER BY j) AS lc FROM k),
+q AS (SELECT feature, sum(exp(lc + (2 * j + nu % 2) * ln(cos(th)))) AS tail FROM c WHERE nu % 2 = 0 OR j <= (nu - 3) // 2 GROUP BY 1),
+p AS (SELECT feature, greatest(0, 1 - CASE WHEN nu % 2 = 0 THEN sin(th) * (1 + tail) ELSE 2 / pi() * (th + sin(th) * (cos(th) + tail)) END) AS p_value FROM a JOIN q USING (feature))
+SELECT feature, n, {rsql('ic', 5)} AS ic, {rsql('p_value', 6)} AS p_value, {rsql('mean', 5)} AS mean, {rsql('std', 5)} AS std, {rsql('outliers', 5)} AS outliers FROM s JOIN o USING (feature) JOIN p USING (feature)""")
 def _(t):
-    long = cut_lineage(aggregates.unpivot(study_frame(t).where("fwd IS NOT NULL"), ["fwd"], DOSSIER))
+    long = study_long(t)
     ic = models.spearman(long, ["feature"], "value", "fwd")
-    m = long.groupBy("feature").agg(rnd(F.avg("value"), 5).alias("mean"), rnd(F.stddev_samp("value"), 5).alias("std"))
-    return ic.join(m, "feature").select("feature", "n", rnd("ic", 5).alias("ic"), "mean", "std")
+    m = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    out = long.join(F.broadcast(m), "feature").groupBy("feature").agg(F.avg((F.abs(F.col("value") - F.col("mean")) > 3 * F.col("std")).cast("double")).alias("outliers"))  # a row a feature
+    d = ic.join(m, "feature").join(out, "feature").withColumn("p_value", normal.correlation_p(F.col("ic"), F.col("n")))
+    return d.select("feature", "n", *[rnd(c, k).alias(c) for c, k in (("ic", 5), ("p_value", 6), ("mean", 5), ("std", 5), ("outliers", 5))])
+
+
+@query("M22b_ic_by_regime", f"""{STUDIED}, e AS (SELECT quantile_cont(rv, 1 / 3e0) AS a, quantile_cont(rv, 2 / 3e0) AS b FROM x), g AS (SELECT l.*, CASE WHEN rv <= a THEN 'low' WHEN rv <= b THEN 'mid' ELSE 'high' END AS regime FROM l, e WHERE rv IS NOT NULL)
+SELECT feature, regime, count(*) AS n, {rsql('corr(rx, ry)', 5)} AS ic FROM {ranked_sql('g', 'feature, regime')} GROUP BY 1, 2 HAVING count(*) > 100 AND count(DISTINCT val) > 1""")
+def _(t):
+    long = study_long(t)
+    rv = long.where("rv IS NOT NULL").select("symbol", "ts", "rv").distinct().withColumn("_g", F.lit(0))
+    cuts = scan.quantiles(rv, ["_g"], "rv", [1 / 3, 2 / 3], ["a", "b"]).drop("_g")
+    d = long.where("rv IS NOT NULL").crossJoin(F.broadcast(cuts))  # one-row side
+    d = cut_lineage(d.withColumn("regime", F.when(F.col("rv") <= F.col("a"), "low").when(F.col("rv") <= F.col("b"), "mid").otherwise("high")))
+    wide = d.groupBy("feature", "regime").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    ic = models.spearman(d, ["feature", "regime"], "value", "fwd").join(wide, ["feature", "regime"]).where("n > 100 AND _lo < _hi")
+    return ic.select("feature", "regime", "n", rnd("ic", 5).alias("ic"))
+
+
+@query("M22c_rate_by_decile", f"""{STUDIED}, e AS (SELECT feature, quantile_cont(val, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM l GROUP BY 1)
+SELECT feature, CAST(1 + len(list_filter(q, lambda z: z < val)) AS INTEGER) AS decile, count(*) AS n, {rsql('avg(CAST(fwd > 0 AS INT))', 5)} AS rate FROM l JOIN e USING (feature) GROUP BY 1, 2""")
+def _(t):
+    long = study_long(t)
+    names = [f"q{i}" for i in range(1, 10)]
+    edges = scan.quantiles(long.select("feature", "value"), ["feature"], "value", [i / 10 for i in range(1, 10)], names)
+    d = long.join(F.broadcast(edges), "feature").withColumn("decile", 1 + sum((F.col(q) < F.col("value")).cast("int") for q in names))  # a row a feature
+    return d.groupBy("feature", "decile").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg((F.col("fwd") > 0).cast("double")), 5).alias("rate"))
+
+
+@query("M22d_yearly_stability", f"{STUDIED} SELECT feature, CAST(year(ts) AS INTEGER) AS year, count(*) AS n, {rsql('avg(val)', 5)} AS mean, {rsql('stddev_samp(val)', 5)} AS std FROM l GROUP BY 1, 2")
+def _(t):
+    return study_long(t).groupBy("feature", F.year("ts").alias("year")).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("value"), 5).alias("mean"), rnd(F.stddev_samp("value"), 5).alias("std"))
 
 
 # ---- fits --------------------------------------------------------------------------------------

@@ -69,33 +69,35 @@ def _(t):
     return stats.sign_persistence(log_returns(t), ["symbol"], ["ts"], "x", "year").select("symbol", "n_pairs", rnd("persistence").alias("persistence"))
 
 
-@query("G07_trend_premium", f"""WITH {PRIORITY}, h AS ({" UNION ALL ".join(f"SELECT {h} AS h, close / lag(close, {h}) OVER ({H}) - 1 AS past, lead(close, {h}) OVER ({H}) / close - 1 AS fwd FROM pd" for h in (1, 5, 21))}), z AS (SELECT * FROM h WHERE past IS NOT NULL AND fwd IS NOT NULL)
-SELECT CAST(h AS INTEGER) AS h, count(*) AS n, {rsql('avg(fwd) FILTER (past > 0)')} AS after_up, {rsql('avg(fwd) FILTER (past < 0)')} AS after_down, {rsql('avg(fwd) FILTER (past > 0) - avg(fwd) FILTER (past < 0)')} AS premium FROM z GROUP BY 1""")
+HORIZONS = (1, 2, 3, 5, 10, 21, 42, 63, 126)
+
+
+@query("G07_trend_premium", f"""WITH {PRIORITY}, o AS (SELECT *, row_number() OVER ({H}) - 1 AS pos FROM pd), h AS ({" UNION ALL ".join(f"SELECT {h} AS h, pos, close / lag(close, {h}) OVER ({H}) - 1 AS past, lead(close, {h}) OVER ({H}) / close - 1 AS fwd FROM o" for h in HORIZONS)}),
+z AS (SELECT h, count(*) AS n, count(*) FILTER (past > 0) AS up, avg(fwd) FILTER (past > 0) AS a, avg(fwd) FILTER (past < 0) AS b, avg(CAST(sign(past) = sign(fwd) AS INT)) AS s FROM h WHERE pos >= h AND pos % h = 0 AND past <> 0 AND fwd IS NOT NULL GROUP BY 1)
+SELECT CAST(h AS INTEGER) AS h, n, {rsql('CASE WHEN n >= 30 THEN s END')} AS persistence, {", ".join(f"{rsql(f'CASE WHEN n >= 30 AND up >= 5 AND n - up >= 5 THEN {x} END')} AS {y}" for x, y in (("a", "after_up"), ("b", "after_down"), ("a - b", "premium")))} FROM z""")
 def _(t):
-    hs = (1, 5, 21)
-    d = scan.over_series(priority_daily(t), lambda d, w: d.withColumns({**{f"p{h}": ts.lag_return("close", h, w) for h in hs}, **{f"f{h}": ts.lead_return("close", h, w) for h in hs}}), back=21, ahead=21, chunk="year")
-    e = d.select(F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"p{h}").alias("past"), F.col(f"f{h}").alias("fwd")) for h in hs])).alias("r")).select("r.*")
-    return stats.trend_premium(e, ["h"], "past", "fwd").select("h", "n", rnd("after_up").alias("after_up"), rnd("after_down").alias("after_down"), rnd("premium").alias("premium"))
+    d = stats.stepped_returns(priority_daily(t), HORIZONS, chunk="year")
+    return stats.trend_premium(d, ["h"], "past", "fwd").select("h", "n", *[rnd(c).alias(c) for c in ("persistence", "after_up", "after_down", "premium")])
 
 
 @query("G08_wild_bootstrap")
 def _(t):
-    return stats.wild_bootstrap(cut_lineage(log_returns(t)), ["symbol"], ["ts"], "x", 5, 20, chunk="year")
+    return stats.wild_bootstrap(cut_lineage(log_returns(t)), ["symbol"], ["ts"], "x", 5, 200, chunk="year")
 
 
 @query("G09_block_bootstrap_median")
 def _(t):
-    return stats.block_bootstrap_median(cut_lineage(log_returns(t)), "x", 5, 20, chunk="year")
+    return stats.block_bootstrap_median(cut_lineage(log_returns(t)), "x", 5, 500, chunk="year")
 
 
 @query("G10_permutation_twin")
 def _(t):
-    return stats.permutation_twin(cut_lineage(log_returns(t)), ["symbol"], "x", ["ts"], 5, 5, chunk="year")
+    return stats.permutation_twin(cut_lineage(log_returns(t)), ["symbol"], "x", ["ts"], 5, 20, chunk="year")
 
 
 @query("G11_block_twin")
 def _(t):
-    return stats.block_twin(cut_lineage(log_returns(t)), ["symbol"], "x", ["ts"], 28, 5, chunk="year")
+    return stats.block_twin(cut_lineage(log_returns(t)), ["symbol"], "x", ["ts"], 28, 10, chunk="year")
 
 
 @query("G11_synthetic_twin_path")
@@ -142,7 +144,7 @@ def _(t):
 
 @query("G16_shape_silhouettes")
 def _(t):
-    return t.spark.createDataFrame(shapes.silhouette_by_k(catalogue(t), (2, 3)), "k int, silhouette double")
+    return t.spark.createDataFrame(shapes.silhouette_by_k(catalogue(t), range(2, 9)), "k int, silhouette double")
 
 
 @query("G17_forecast_regression", f"WITH {v.HOURLY}, {EWMA}, z AS (SELECT symbol, var AS f, lead(ret * ret) OVER ({H}) AS y FROM ev) SELECT symbol, {rsql('regr_slope(y, f)', 4)} AS b, {rsql('regr_r2(y, f)', 5)} AS r2, CAST(regr_count(y, f) AS BIGINT) AS n FROM z GROUP BY 1")
@@ -161,7 +163,7 @@ def _(t):
 @query("G19_structure_report")
 def _(t):
     x = cut_lineage(log_returns(t))
-    ci = stats.falsifier(stats.block_bootstrap_median(x, "x", 5, 10, chunk="year"))
+    ci = stats.falsifier(stats.block_bootstrap_median(x, "x", 5, 500, chunk="year"))
     per = stats.structure_table(x, ["symbol"], "x", 5, chunk="year")
     return per.crossJoin(F.broadcast(ci))  # one-row side
 
@@ -169,11 +171,11 @@ def _(t):
 @query("G20_shape_study")
 def _(t):
     p = cut_lineage(v.panel(t).select("symbol", "ts", "close"))
-    real = shapes.mountains(p, cut_lineage(shapes.pivots(p, (0.2, 0.35), chunk="year")), chunk="year").select("shape")
+    real = shapes.mountains(p, cut_lineage(shapes.pivots(p, (0.05, 0.10, 0.20, 0.35), chunk="year")), chunk="year").select("shape")
     twin = stats.synthetic_twin(p, 1, chunk="year").select("symbol", (F.timestamp_seconds(F.col("pos") * 604800)).cast("timestamp_ntz").alias("ts"), "close")
     twin = cut_lineage(twin)
-    fake = shapes.mountains(twin, cut_lineage(shapes.pivots(twin, (0.2, 0.35), chunk="year")), chunk="year").select("shape")
-    rows = [(n, k, s) for n, d in (("real", real), ("twin", fake)) for k, s in shapes.silhouette_by_k(d, (2, 3))]
+    fake = shapes.mountains(twin, cut_lineage(shapes.pivots(twin, (0.05, 0.10, 0.20, 0.35), chunk="year")), chunk="year").select("shape")
+    rows = [(n, k, s) for n, d in (("real", real), ("twin", fake)) for k, s in shapes.silhouette_by_k(d, range(2, 9))]
     return t.spark.createDataFrame(rows, "series string, k int, silhouette double")
 
 
