@@ -114,9 +114,9 @@ def stepped_returns(df: DataFrame, horizons: Sequence[int], value: str = "close"
     def build(d, w):
         return d.withColumns({**{f"_p{h}": ts.lag_return(value, h, w) for h in horizons}, **{f"_f{h}": ts.lead_return(value, h, w) for h in horizons}})
 
-    d = scan.over_series(scan.number_rows(df, chunk=chunk), build, back=far, ahead=far, chunk=chunk)
+    d = scan.over_series(scan.number_rows(df, chunk=chunk, name="row_no"), build, back=far, ahead=far, chunk=chunk)
     parts = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"_p{h}").alias("past"), F.col(f"_f{h}").alias("fwd")) for h in horizons])
-    return d.select("symbol", "ts", "_pos", F.explode(parts).alias("_r")).select("symbol", "ts", "_pos", "_r.*").where("_pos > 0 AND _pos % h = 0").drop("_pos")
+    return d.select("symbol", "ts", "row_no", F.explode(parts).alias("_r")).select("symbol", "ts", "row_no", "_r.*").where("row_no > 0 AND row_no % h = 0").drop("row_no")
 
 
 # ---- resampling ------------------------------------------------------------------------------
