@@ -229,6 +229,41 @@ def test_passages_of_copies_and_inserts(spark, docs, empty, clash):
         assert {(r["doc_id"], r["source_doc_id"]) for r in compact_windows.repeated_passages(table).collect()} == {(7, 6)}
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_exact_passages_are_connected_whatever_leads(spark, parts):
+    """Triples A < B < C: B and C share a passage word for word, A is a variant of it under the similarity."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(80):
+        passage = [f"p{w}" for w in rng.integers(0, 1 << 40, 60)]
+        variant = list(passage)
+        for at in rng.choice(60, 2 + k % 3, replace=False):
+            variant[at] = f"x{at}"
+        for j, body in enumerate((variant, passage, passage)):
+            pad = [[f"f{w}" for w in rng.integers(0, 1 << 40, rng.integers(0, 90))] for _ in range(2)]
+            rows.append((3 * k + j, " ".join(pad[0] + body + pad[1])))
+    found = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)).collect()
+    words_of = {d: t.split() for d, t in rows}
+    group = {d: d for d in words_of}
+    for r in sorted(found, key=lambda r: (r["doc_id"], r["source_doc_id"])):
+        assert r["source_doc_id"] // 3 == r["doc_id"] // 3 and r["source_doc_id"] < r["doc_id"]
+        if r["similarity"] == 1.0 and r["end"] - r["start"] == r["source_end"] - r["source_start"]:
+            assert words_of[r["doc_id"]][r["start"]:r["end"]] == words_of[r["source_doc_id"]][r["source_start"]:r["source_end"]]
+        one, two = group[r["doc_id"]], group[r["source_doc_id"]]
+        group = {d: min(one, two) if g in (one, two) else g for d, g in group.items()}
+    assert all(group[3 * k + 1] == group[3 * k + 2] for k in range(80))
+
+
+def test_codes_of_runs_are_those_of_their_values():
+    code = np.random.default_rng(3).integers(0, 3, 400).astype(np.uint64)
+    codes = compact_windows.run_codes(code, 4)
+    assert len(codes) == 397 and len(compact_windows.run_codes(code[:3], 4)) == 0
+    places: dict[bytes, set] = {}
+    for k, c in enumerate(codes):
+        places.setdefault(code[k:k + 4].tobytes(), set()).add(int(c))
+    assert all(len(v) == 1 for v in places.values()) and len(set.union(*places.values())) == len(places)
+
+
 def test_reordered_passages_are_all_found():
     rng = np.random.default_rng(21)
     for trial in range(60):
