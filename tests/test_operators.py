@@ -396,3 +396,18 @@ def test_student_t_tail(spark):
             f = c * (1 + x * x / 30) ** -15.5
             area = t / 6000 * (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum())
             assert r.p == pytest.approx(1 - 2 * area, abs=1e-9)
+
+
+def test_silhouettes_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.normal(3 * (i % 3), 1, 4)], -1 if i == 7 else 9 if i == 8 else i % 3) for i in range(40)]
+    got = {r["id"]: r["silhouette"] for r in text.silhouettes(spark.createDataFrame(rows, "id int, v array<double>, cluster_id int"), "v").collect()}
+    assert set(got) == {i for i, _, c in rows if c != -1}
+    far = lambda x, c, i: [sum((p - q) ** 2 for p, q in zip(x, y)) for j, y, k in rows if k == c and j != i]
+    for i, x, c in rows:
+        if c == -1:
+            continue
+        own = far(x, c, i)
+        b = min(np.mean(far(x, k, None)) for k in {0, 1, 2, 9} - {c})
+        assert abs(got[i] - (0 if not own else (b - np.mean(own)) / max(b, np.mean(own)))) < 1e-9
+    assert text.silhouettes(spark.createDataFrame(rows[:1], "id int, v array<double>, cluster_id int"), "v").first()["silhouette"] is None

@@ -249,6 +249,37 @@ def silhouette(df: DataFrame, vec: str, label: str = "cluster_id") -> float:
     return float(ClusteringEvaluator().evaluate(cut_lineage(d)))
 
 
+def silhouettes(df: DataFrame, vec: str, label: str = "cluster_id") -> DataFrame:
+    """Rows that are no noise with the silhouette of their squared distances: own and nearest other mean distance come
+    from counts, centroids and sums of squares. These make one row, as long as there are clusters; a row alone in its
+    cluster has 0, without a second cluster it is null."""
+    on = df.where(F.col(label) != -1)
+    long = on.select(label, F.posexplode(vec).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    per = long.groupBy(label, "i").agg(F.avg("x").alias("c"), F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * F.col("x")).alias("xx")).groupBy(label).agg(
+        F.max("n").alias("n"), F.sum("xx").alias("xx"), F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda e: e["c"]).alias("c"))
+    every = per.agg(F.collect_list(F.struct(F.col(label).alias("of"), "n", "xx", "c")).alias("_every"))
+    x = F.transform(vec, lambda v: v.cast("double"))
+    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda acc, y: acc + y)
+    d = on.crossJoin(F.broadcast(every)).withColumn("_x", x)  # one row
+    d = d.withColumn("_far", F.transform("_every", lambda e: F.struct(e["of"].alias("of"), e["n"].alias("n"), (dot(F.col("_x"), F.col("_x")) + e["xx"] / e["n"] - 2 * dot(F.col("_x"), e["c"])).alias("d"))))
+    own = F.filter("_far", lambda e: e["of"] == F.col(label))[0]
+    a = own["n"] * own["d"] / F.nullif(own["n"] - 1, F.lit(0))
+    b = F.array_min(F.transform(F.filter("_far", lambda e: e["of"] != F.col(label)), lambda e: e["d"]))
+    s = F.when(b.isNull(), F.lit(None)).when(own["n"] == 1, 0.0).otherwise((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)))
+    return d.withColumn("silhouette", s.cast("double")).drop("_every", "_x", "_far")
+
+
+def rank_clusterings(found: dict[str, DataFrame], vec: str) -> DataFrame:
+    """method, its cluster quality, mean silhouette and score, of clusterings given as tables with a cluster_id."""
+    rows = None
+    for method, df in found.items():
+        sil = silhouettes(df, vec).agg(F.avg("silhouette").alias("silhouette"))
+        one = cluster_quality(df, vec).crossJoin(F.broadcast(sil)).select(F.lit(method).alias("method"), "n_clusters", "n_noise", "silhouette", "davies_bouldin", "calinski_harabasz")  # one row each
+        rows = one if rows is None else rows.unionByName(one)
+    score = method_score(*[F.col(c) for c in ("silhouette", "davies_bouldin", "calinski_harabasz", "n_noise", "n_clusters")])
+    return rows.withColumn("score", score)
+
+
 def method_score(sil: Column, db: Column, ch: Column, n_noise: Column, n_clusters: Column) -> Column:
     noise = n_noise / F.greatest(n_noise + n_clusters, F.lit(1))
     z = F.lit(0.0)

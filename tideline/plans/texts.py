@@ -96,6 +96,22 @@ def _(t):
     return d.select("n_clusters", "n_clustered", rnd("calinski_harabasz", 4).alias("calinski_harabasz"), rnd("davies_bouldin", 4).alias("davies_bouldin"), "n_noise")
 
 
+@query("T10_silhouette", f"""WITH p AS (SELECT a.vec_id, a.label, b.label AS of, avg(power(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2)) AS d, count(*) AS n FROM embeddings a JOIN embeddings b ON true GROUP BY 1, 2, 3),
+s AS (SELECT label, max(CASE WHEN of = label THEN n END) AS n, max(CASE WHEN of = label THEN d * n END) / nullif(max(CASE WHEN of = label THEN n END) - 1, 0) AS a, min(CASE WHEN of <> label THEN d END) AS b FROM p GROUP BY vec_id, label)
+SELECT label, count(*) AS n, {rsql('avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)', 4)} AS silhouette FROM s GROUP BY 1""")
+def _(t):
+    d = text.silhouettes(t.embeddings, "embedding", "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("silhouette"))
+    return d.select("label", "n", rnd("silhouette", 4).alias("silhouette"))
+
+
+@query("T11_clusterings_ranked")
+def _(t):
+    k = max(2, int((t.embeddings.count() / 2) ** 0.5))
+    found = {"kmeans": text.kmeans(t.embeddings, "embedding", k), "bisecting": text.kmeans(t.embeddings, "embedding", k, bisecting=True), "labels": t.embeddings.withColumn("cluster_id", F.col("label"))}
+    d = text.rank_clusterings({m: cut_lineage(c.select("embedding", "cluster_id")) for m, c in found.items()}, "embedding")
+    return d.orderBy(F.desc("score"))
+
+
 @query("T11_method_ranking", f"""WITH m AS (SELECT source AS method, avg(quality) AS sil, avg(toxic) AS db, count(*) * 1e0 AS ch, count(*) FILTER (lang <> 'en') AS nn, count(DISTINCT lang) AS nc FROM documents JOIN labels USING (doc_id) GROUP BY 1),
 s AS (SELECT method, sil - 0.5 * db + ch / 1000 - CASE WHEN nn / greatest(nn + nc, 1) > 0.5 THEN 2 * nn / greatest(nn + nc, 1) ELSE nn / greatest(nn + nc, 1) END AS score FROM m) SELECT method, {rsql('score')} AS score FROM s""")
 def _(t):
