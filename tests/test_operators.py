@@ -93,6 +93,58 @@ def test_pivots_match_and_never_look_ahead(spark):
     assert all(len(r["shape"]) == 24 and min(r["shape"]) == 0 and max(r["shape"]) == pytest.approx(1) for r in m)
 
 
+def test_pivots_do_not_depend_on_the_pieces(spark):
+    rng = np.random.default_rng(3)
+    walk = np.round(100 * np.exp(np.cumsum(rng.normal(0, 0.03, 600))), 1)  # ties among the prices
+    paths = {"W": walk, "D": np.linspace(900, 100, 150), "U": np.linspace(100, 900, 150), "F": np.full(40, 7.0), "O": np.array([5.0])}
+    rows = [(k, datetime(2024, 1, 1) + timedelta(hours=i), float(x)) for k, c in paths.items() for i, x in enumerate(c)]
+    h = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double").repartition(5)
+    want = sorted((k, tol, *p) for k, c in paths.items() for tol in (0.05, 0.2) for p in brute_pivots(c, tol))
+    assert len(want) > 30
+    for size in (7, 64, 8192):
+        got = shapes.pivots(h, (0.05, 0.2), rows=size).collect()
+        assert sorted((r.symbol, r.tol, r.pos, r.kind, r.confirm_pos) for r in got) == want
+        assert all(r.close == paths[r.symbol][r.pos] and r.ts == rows[0][1] + timedelta(hours=r.pos) for r in got)
+    assert shapes.pivots(h.limit(0)).count() == 0
+
+
+def slow_pair_book(d, z_in, z_out, hl_min, hl_max):
+    """Rows held, by following one trade after the other."""
+    out, k = [], 0
+    d = d.reset_index(drop=True)
+    while k < len(d):
+        r = d.loc[k]
+        k += 1
+        if not (r.df_stat < pairs.CRITICAL_5 and hl_min <= r.half_life <= hl_max and abs(r.z) > z_in):
+            continue
+        start, side = k - 1, -1 if r.z > 0 else 1
+        out.append((r.ts, side))
+        while k < len(d):
+            now, k = d.loc[k], k + 1
+            if np.isnan(now.z):
+                continue
+            if abs(now.z) < z_out or k - 1 - start > 2 * r.half_life:
+                break
+            out.append((now.ts, side))
+    return out
+
+
+def test_pair_positions_do_not_depend_on_the_pieces(spark):
+    rng, frames = np.random.default_rng(5), []
+    for a, n in (("A", 500), ("B", 90), ("C", 1)):
+        z = rng.normal(0, 2.2, n)
+        z[rng.random(n) < 0.05] = np.nan
+        frames.append(pd.DataFrame({"a": a, "b": "Z", "ts": pd.date_range("2024-01-01", periods=n, freq="D"), "z": z, "half_life": rng.uniform(0.5, 12, n), "df_stat": rng.uniform(-6, -2, n)}))
+    d = pd.concat(frames, ignore_index=True)
+    want = sorted((a, ts, side) for a, g in d.groupby("a") for ts, side in slow_pair_book(g, 2.0, 0.5, 1, 10))
+    s = spark.createDataFrame(d).withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "z": F.when(~F.isnan("z"), F.col("z"))})
+    assert len(want) > 100
+    for size in (5, 8192):
+        got = pairs.spread_positions(s.repartition(4), hl_min=1, hl_max=10, rows=size).collect()
+        assert sorted((r.a, pd.Timestamp(r.ts), r.direction) for r in got) == want
+    assert pairs.spread_positions(s.limit(0)).count() == 0
+
+
 def fills(spark, rows):
     d = pd.DataFrame(rows, columns=["action", "quantity", "price"])
     d["ts"] = pd.date_range("2023-12-30", periods=len(d), freq="D")

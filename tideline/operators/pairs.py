@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tideline.operators import scan
 from tideline.operators.timeseries import ratio
@@ -52,26 +50,35 @@ def spread_statistics(series: DataFrame, n: int = 90, chunk: str = "month") -> D
     return d.where(F.col("_n") == n + 1).select("a", "b", "ts", "value_a", "value_b", "beta", "z", "half_life", "df_stat")
 
 
-def spread_positions(stats: DataFrame, z_in: float = 2.0, z_out: float = 0.5, hl_min: float = 2, hl_max: float = 30) -> DataFrame:
-    """Entry / exit state machine per pair over its dates (one row per pair and calendar step)."""
-    schema = T.StructType([stats.schema["a"], stats.schema["b"], stats.schema["ts"], T.StructField("direction", T.IntegerType()), T.StructField("z", T.DoubleType())])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        pos, rows = None, []
-        for i, (ts, z, hl, df) in enumerate(zip(pdf["ts"], pdf["z"], pdf["half_life"], pdf["df_stat"], strict=True)):
-            if pd.isna(z):
-                continue
-            if pos is None:
-                if df < CRITICAL_5 and hl == hl and hl_min <= hl <= hl_max and abs(z) > z_in:
-                    pos = (-1 if z > 0 else 1, i, hl)
-            elif abs(z) < z_out or i - pos[1] > 2 * pos[2]:
-                pos = None
-            if pos is not None:
-                rows.append((pdf["a"].iloc[0], pdf["b"].iloc[0], ts, pos[0], z))
-        return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-    return stats.select("a", "b", "ts", "z", "half_life", "df_stat").groupBy("a", "b").applyInPandas(walk, schema)
+def spread_trades(stats: DataFrame, z_in: float = 2.0, z_out: float = 0.5, hl_min: float = 2, hl_max: float = 30, chunk: str = "month", rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Trades (a, b, entry, exit, direction) of each pair, and its rows with their number ``_pos``.
+
+    Every row that may open a trade looks up its own exit, the first later row whose z is inside ``z_out`` or that lies
+    more than two half-lives of the opening row ahead (null: the series ends first); the trades are the rows reached by
+    jumping from exit to exit. Rows without z neither open nor close, but count as steps of the calendar."""
+    keys, ahead = ["a", "b"], int(2 * hl_max) + 1
+    d = scan.number_rows(stats.select("a", "b", "ts", "z", "half_life", "df_stat"), keys, chunk=chunk, name="_day").where("z IS NOT NULL")
+    hl, z = F.col("half_life"), F.col("z")
+
+    def closing(d, w):
+        later = F.collect_list(F.struct("_pos", "_day", (F.abs(z) < z_out).alias("calm"))).over(w.rowsBetween(1, ahead))
+        ends = F.filter(later, lambda r: r["calm"] | (r["_day"] - F.col("_day") > 2 * hl))
+        return d.withColumns({"entry": F.col("_pos"), "exit": F.get(ends, F.lit(0))["_pos"]})
+
+    opens = (F.col("df_stat") < CRITICAL_5) & hl.between(hl_min, hl_max) & (F.abs(z) > z_in)
+    seen = scan.over_series(d, closing, keys=keys, ahead=ahead, chunk=chunk)
+    may = seen.where(opens & ~F.isnan("half_life")).select("a", "b", "ts", "entry", "exit", F.when(z > 0, -1).otherwise(1).alias("direction"))
+    may = may.withColumn("_after", F.coalesce(F.col("exit"), F.col("entry") + ahead) + 1)  # an exit row opens nothing
+    taken = scan.chain(may, "entry", "_after", keys, chunk=chunk, rows=rows).drop("ts", "_after")
+    return taken, scan.number_rows(d, keys, chunk=chunk)
+
+
+def spread_positions(stats: DataFrame, z_in: float = 2.0, z_out: float = 0.5, hl_min: float = 2, hl_max: float = 30, chunk: str = "month", rows: int | None = None) -> DataFrame:
+    """Rows (a, b, ts, direction, z) on which a pair is held (``spread_trades``), the exit's row not included."""
+    trades, d = spread_trades(stats, z_in, z_out, hl_min, hl_max, chunk, rows)
+    last = F.coalesce(F.col("exit") - 1, F.col("entry") + int(2 * hl_max) + 1)
+    held = trades.select("a", "b", "direction", F.explode(F.sequence("entry", last)).alias("_pos"))
+    return held.join(d, ["a", "b", "_pos"]).select("a", "b", "ts", "direction", "z")
 
 
 def neutral_weights(positions: DataFrame) -> DataFrame:

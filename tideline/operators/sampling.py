@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators import scan
+
 
 def draw(x: Column, seed: int, salt: int = 12345) -> Column:
     """Integer in [0, 2^31) from a non-negative integer column; plain arithmetic, so any engine
@@ -18,12 +20,10 @@ def hash01(seed: int, *cols: str | Column) -> Column:
 
 def window_starts(dates: DataFrame, h: int, target: int, seed: int) -> DataFrame:
     """`target` seeded starts at least h days apart, or as many as fit: from a drawn offset under h days on, each next start
-    is the first date h days or more behind the last one; of these the ones with the smallest draws are taken. The
-    dates are one array, as there is one for each calendar step at most."""
-    day = F.datediff(F.to_date("ts"), F.lit("1990-01-01"))
-    every = dates.select(F.struct(day.alias("n"), "ts").alias("d")).agg(F.array_sort(F.collect_set("d")).alias("d"))
-    offset = draw(F.lit(seed), seed) % h
-    first = F.struct(F.array().cast(f"array<{dates.select(F.struct(day.alias('n'), 'ts').alias('d')).schema['d'].dataType.simpleString()}>").alias("kept"), (F.get("d", F.lit(0))["n"] + offset).cast("long").alias("next"))
-    chain = F.aggregate("d", first, lambda a, d: F.when(d["n"] >= a["next"], F.struct(F.array_append(a["kept"], d).alias("kept"), (d["n"] + h).cast("long").alias("next"))).otherwise(a), lambda a: a["kept"])
-    starts = every.select(F.explode(chain).alias("d")).select("d.*")
+    is the first date h days or more behind the last one; of these the ones with the smallest draws are taken."""
+    day = F.datediff(F.to_date("ts"), F.lit("1990-01-01")).cast("long")
+    d = dates.select(F.lit(0).alias("_g"), day.alias("n"), "ts").distinct()
+    first = d.groupBy("_g").agg((F.min("n") + draw(F.lit(seed), seed) % h).alias("_first"))
+    d = d.join(F.broadcast(first), "_g").where("n >= _first").withColumn("_then", F.col("n") + h)  # one row
+    starts = scan.chain(d, "n", "_then", ["_g"], ["n", "ts"], chunk=366)
     return starts.orderBy(draw(F.col("n"), seed), "ts").limit(target).select("ts")

@@ -10,10 +10,14 @@ symbol holds a third of all rows that task is the job. Everything here therefore
 ``running``       unbounded frames (cumulative sum/max/min/last): a local window per piece
                   plus a carry from the (tiny) table of piece totals
 ``affine_scan``   v[t] = a[t]*v[t-1] + b[t]: pieces compose, so this is a two-level scan
+``relay``         state machines: every piece says what it makes of any state, the answers are
+                  chained, then every piece runs from the state it really begins with
+``chain``         rows reached by jumping from row to row, as a relay
 ``number_by_value`` / ``quantiles``  exact ranks and quantiles in a group of any size
 """
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
@@ -245,6 +249,75 @@ def streamed(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn, schem
     return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(fn, schema)
 
 
+def relay(cut: DataFrame, keys: Sequence[str], summarise, step, start, replay, schema: T.StructType | str) -> DataFrame:
+    """State machine over pieces (``_pos``, ``_blk`` of ``pieces``), so that no task holds a series.
+
+    ``summarise(piece)`` says what the piece makes of any state it may begin with, ``step(state, summary)``
+    applies that, ``replay(piece, state)`` returns rows of ``schema`` for the state the piece begins with.
+    A piece is a pandas frame in order of position. Only the summaries of a series meet in one task, as a stream.
+    States and summaries travel pickled."""
+    keys = list(keys)
+    at = [*keys, "_blk"]
+
+    def carrying(name: str) -> T.StructType:
+        return T.StructType([*[cut.schema[k] for k in keys], T.StructField("_blk", T.LongType()), T.StructField(name, T.BinaryType())])
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos", ignore_index=True)
+        return pdf.loc[:0, at].assign(_sum=[pickle.dumps(summarise(pdf))])
+
+    def handed(batches):
+        key, state = None, start
+        for pdf in batches:
+            entry = []
+            for *now, summary in pdf[[*keys, "_sum"]].itertuples(index=False, name=None):
+                if now != key:
+                    key, state = now, start
+                entry.append(pickle.dumps(state))
+                state = step(state, pickle.loads(summary))
+            yield pdf[at].assign(_entry=entry)
+
+    def run(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        return replay(pdf.sort_values("_pos", ignore_index=True), pickle.loads(entry["_entry"].iloc[0]))
+
+    sums = cut.groupBy(*at).applyInPandas(summed, carrying("_sum"))
+    entries = streamed(sums, keys, ["_blk"], handed, carrying("_entry"))
+    return cut.groupBy(*at).cogroup(entries.groupBy(*at)).applyInPandas(run, schema)
+
+
+def chain(df: DataFrame, at: str, after: str, keys=("symbol",), order=("ts",), chunk: str | int = "month", rows: int | None = None) -> DataFrame:
+    """Rows reached by jumps: the first row of a key, then again and again the first row whose ``at`` is no less than
+    ``after`` of the row before. ``at`` is a whole number that never falls along ``order``, ``after`` one above it."""
+    names = df.columns
+
+    def jumps(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        here, then = pdf[at].to_numpy(np.int64), pdf[after].to_numpy(np.int64)
+        return here, then, np.searchsorted(here, then)
+
+    def summarise(pdf: pd.DataFrame):
+        here, then, hop = jumps(pdf)
+        last = np.where(hop < len(here), hop, np.arange(len(here)))
+        while not np.array_equal(last, last[last]):
+            last = last[last]
+        return here, then[last]
+
+    def step(state: int, summary) -> int:
+        here, leaving = summary
+        k = int(np.searchsorted(here, state))
+        return int(leaving[k]) if k < len(here) else state
+
+    def replay(pdf: pd.DataFrame, state: int) -> pd.DataFrame:
+        here, _, hop = jumps(pdf)
+        k, taken = int(np.searchsorted(here, state)), []
+        while k < len(here):
+            taken.append(k)
+            k = int(hop[k])
+        return pdf.iloc[taken][names]
+
+    cut = pieces(df, keys, order, chunk, rows)
+    return relay(cut, keys, summarise, step, np.iinfo(np.int64).min, replay, df.schema)
+
+
 def affine_scan(
     df: DataFrame,
     a: Column,

@@ -330,12 +330,18 @@ def _(t):
 
 
 def positions(t):
-    return cut_lineage(pairs.spread_positions(pair_stats(t), hl_min=0.2))
+    return cut_lineage(pairs.spread_positions(cut_lineage(pair_stats(t)), hl_min=0.2, chunk=YR))
 
 
-@query("P26_pair_state_machine")
+@query("P26_pair_state_machine", f"""WITH RECURSIVE {PRIORITY}, {PAIRS},
+m AS MATERIALIZED (SELECT a, b, ts, i, (last - m) / nullif(s, 0) AS z, CASE WHEN slope < -1e-6 THEN ln(2) / -slope END AS hl, sign(slope) * sqrt(r2 / (1 - r2) * 88) AS df FROM pw),
+e AS (SELECT o.a, o.b, o.i, any_value(CASE WHEN o.z > 0 THEN -1 ELSE 1 END) AS direction, coalesce(min(x.i) FILTER (WHERE abs(x.z) < 0.5 OR x.i - o.i > 2 * o.hl), 1000000000) AS ex
+  FROM m o LEFT JOIN m x ON x.a = o.a AND x.b = o.b AND x.i > o.i AND x.z IS NOT NULL WHERE o.df < -3.34 AND o.hl BETWEEN 0.2 AND 30 AND abs(o.z) > 2 GROUP BY 1, 2, 3),
+n AS MATERIALIZED (SELECT e.a, e.b, e.i, any_value(e.direction) AS direction, any_value(e.ex) AS ex, min(f.i) AS nxt FROM e LEFT JOIN e f ON f.a = e.a AND f.b = e.b AND f.i > e.ex GROUP BY 1, 2, 3),
+c AS (SELECT * FROM n WHERE i = (SELECT min(q.i) FROM n q WHERE q.a = n.a AND q.b = n.b) UNION ALL SELECT n.* FROM c JOIN n ON n.a = c.a AND n.b = c.b AND n.i = c.nxt)
+SELECT m.a, m.b, m.ts, c.direction, {rsql('m.z', 4)} AS z FROM c JOIN m ON m.a = c.a AND m.b = c.b AND m.i >= c.i AND m.i < c.ex WHERE m.z IS NOT NULL""")
 def _(t):
-    return positions(t)
+    return positions(t).select("a", "b", "ts", "direction", rnd("z", 4).alias("z"))
 
 
 @query("P29_dollar_neutral_pair_book")
