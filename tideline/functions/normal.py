@@ -1,22 +1,29 @@
-"""Normal distribution: Spark has no erf, so the CDF is an Arrow-vectorised function. Student's t as columns."""
+"""Normal distribution, whose CDF is a series of columns as Spark has no erf, and Student's t."""
 from __future__ import annotations
 
 import math
 from statistics import NormalDist
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_erf = np.vectorize(math.erf, otypes=[float])
 
+def cdf(z: Column | str, steps: int = 120) -> Column:
+    """Standard normal CDF by the all-positive series of the error function, each term x^2 / (n + 1/2) times the one
+    before. 0 or 1 beyond 8 standard deviations, null for null and NaN."""
+    z = F.nanvl(F.col(z) if isinstance(z, str) else z, F.lit(None).cast("double"))
+    x2 = z * z / 2
+    first = 2 * F.sqrt(x2 / math.pi) * F.exp(-x2)
+    start = F.struct(first.alias("term"), first.alias("sum"))
 
-@F.pandas_udf(T.DoubleType())
-def cdf(z: pd.Series) -> pd.Series:
-    out = 0.5 * (1 + _erf(z.to_numpy(dtype=float) / math.sqrt(2)))
-    return pd.Series(out).where(z.notna().to_numpy())
+    def add(s, n):
+        term = s["term"] * x2 / (n + 0.5)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    erf = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, add, lambda s: s["sum"])
+    return F.when(z > 8, 1.0).when(z < -8, 0.0).when(z.isNotNull(), 0.5 + 0.5 * F.signum(z) * F.least(erf, F.lit(1.0)))
 
 
 @F.pandas_udf(T.DoubleType())

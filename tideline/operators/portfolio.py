@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions import rules
-from tideline.operators import cross, scan
+from tideline.operators import cross, scan, stats
 from tideline.operators import timeseries as ts
 from tideline.operators.timeseries import ratio
 
@@ -21,6 +21,8 @@ ROUND_TRIP = 2 * 0.0005
 FUNDING_BUFFER, FUNDING_28D = 0.001, 0.0084
 VOL_FLOOR = 1e-4
 MIN_WEIGHT = 0.005
+SLICE_BARS = {"excess": 0.0, "drop_best": 0.0, "auc": 0.52}
+SPREAD_BARS = {"mean": 0.0, "positive": 0.55}
 BARS = {"mean": 1.0, "worst_year": -1.5, "crash_2021": -3.0, "when_down": 0.0}
 
 
@@ -207,9 +209,9 @@ def smooth(weights: DataFrame, dates: DataFrame, keys: Sequence[str], alpha: flo
 
 
 def performance(series: DataFrame, keys: Sequence[str], per_year: float, cost: float = FEE + SLIPPAGE, chunk: str = "month",
-                min_obs: int = 10) -> DataFrame:
-    """Report per key from (ts, net, bench, turnover): mean, total, Sharpe, drawdown, hit rate,
-    profit factor, benchmark with one entry cost, excess."""
+                min_obs: int = 10, trials: int = 1) -> DataFrame:
+    """Report per key from (ts, net, bench, turnover): mean, total, Sharpe, its probability against 0 and against the
+    best of ``trials`` tries, drawdown, hit rate, profit factor, benchmark with one entry cost, excess."""
     keys = list(keys)
     eq = ts.drawdown(ts.compound(series, "net", keys=keys, chunk=chunk), "equity", keys=keys, chunk=chunk)
     dd = eq.groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"))
@@ -219,7 +221,8 @@ def performance(series: DataFrame, keys: Sequence[str], per_year: float, cost: f
         F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), (F.product(1 + r) - 1).alias("total"),
         (ratio(F.avg(r), F.stddev_samp(r)) * per_year ** 0.5).alias("sharpe"), F.avg((r > 0).cast("double")).alias("hit_rate"),
         ratio(wins, losses).alias("profit_factor"), (F.avg("bench") - cost / F.count(F.lit(1))).alias("bench_mean"), F.avg("turnover").alias("turnover"))
-    return g.where(F.col("n") >= min_obs).join(dd, keys).withColumn("excess", F.col("mean") - F.col("bench_mean"))
+    likely = stats.psr(series, keys, "net").select(*keys, "psr").join(stats.deflated(series, keys, "net", trials).select(*keys, "dsr"), keys)
+    return g.where(F.col("n") >= min_obs).join(dd, keys).join(likely, keys).withColumn("excess", F.col("mean") - F.col("bench_mean"))
 
 
 def evaluate_signals(sig: DataFrame, keys: Sequence[str], fee: float, ret: str = "fwd", short_cap: float = 0.10) -> DataFrame:
@@ -296,6 +299,18 @@ def window_bars(windows: DataFrame, keys: Sequence[str], from_year: int = 2022)
     return d.withColumns({"w1": w1, "w2": w2, "w3": w3, "w4": w4, "verdict": w1 & w2 & w3 & w4})
 
 
+def slice_long(series: DataFrame, keys: Sequence[str], min_obs: int = 8, cost: float = FEE + SLIPPAGE) -> DataFrame:
+    """Per phase of a slice from (ts, net, bench): mean excess over a benchmark that pays one entry, the same without its
+    best period, profit factor. Phases under ``min_obs`` periods are left out."""
+    keys = list(keys)
+    d = scan.with_group(series, keys, _t0=F.min("ts"))
+    r = F.col("net")
+    d = d.withColumn("_e", r - F.col("bench") + F.when(F.col("ts") == F.col("_t0"), cost).otherwise(0.0))
+    wins, losses = F.sum(F.when(r > 0, r).otherwise(0.0)), F.sum(F.when(r < 0, -r).otherwise(0.0))
+    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_e").alias("excess"), drop_best_mean("_e").alias("drop_best"), ratio(wins, losses).alias("profit_factor"))
+    return g.where(F.col("n") >= min_obs)
+
+
 def drop_best_mean(x: str) -> Column:
     """Mean without the single best period."""
     return ratio(F.sum(x) - F.max(x), (F.count(x) - 1).cast("double"))

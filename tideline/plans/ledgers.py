@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators import aggregates, joins, ledger, scan
+from tideline.operators import aggregates, cross, joins, ledger, scan
 from tideline.operators import timeseries as ts
 from tideline.plans import views as v
 from tideline.plans.aggregates import USAGE, usage
@@ -127,15 +127,19 @@ def _(t):
 
 
 @query("P34_forward_auc", f"""{BASE}, f AS (SELECT a.symbol, a.ts, a.p, arg_min(b.close, b.ts) / a.close - 1 AS fwd FROM sig a JOIN sig b ON a.symbol = b.symbol AND b.ts BETWEEN a.ts + INTERVAL 28 DAY AND a.ts + INTERVAL 36 DAY GROUP BY a.symbol, a.ts, a.p, a.close),
-y AS (SELECT *, CAST(row_number() OVER (PARTITION BY ts ORDER BY fwd DESC, symbol DESC) <= count(*) OVER (PARTITION BY ts) / 2 AS INT) AS y FROM f), r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS mr FROM y)
-SELECT CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg, {rsql('(sum(mr) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y))')} AS auc FROM r""")
+y0 AS (SELECT *, CAST(row_number() OVER (PARTITION BY ts ORDER BY fwd DESC, symbol DESC) <= count(*) OVER (PARTITION BY ts) / 2 AS INT) AS y FROM f),
+y AS (SELECT 'overlapping' AS dates, p, y FROM y0 UNION ALL SELECT 'grid', p, y FROM y0 WHERE ts IN (SELECT ts FROM (SELECT ts, row_number() OVER (ORDER BY ts) AS k FROM (SELECT DISTINCT ts FROM sig)) WHERE k % 4 = 1)),
+r AS (SELECT dates, y, rank() OVER (PARTITION BY dates ORDER BY p) + (count(*) OVER (PARTITION BY dates, p) - 1) / 2.0 AS mr FROM y)
+SELECT dates, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg, {rsql('(sum(mr) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y))')} AS auc FROM r GROUP BY 1""")
 def _(t):
     from tideline.operators import labels
     s = sig(t).select("symbol", "ts", "close", "p")
     f = joins.first_within(s, s.select("symbol", "ts", "close"), ["symbol"], ["close"], 28, 8)
     f = f.withColumn("fwd", ts.ratio(F.col("next_close"), F.col("close")) - 1)
-    y = labels.upper_half(f, "fwd").withColumn("_g", F.lit(0))
-    return aggregates.auc_ap(cut_lineage(y), ["_g"], "p", "y").select("n_pos", "n_neg", rnd("auc").alias("auc"))
+    grid = cross.numbered_dates(s, "_i").select("ts", (F.col("_i") % 4 == 0).alias("_grid"))  # every fourth weekly step rebalances
+    y = labels.upper_half(f, "fwd").select("ts", "p", "y").join(grid, "ts")
+    y = y.withColumn("dates", F.explode(F.when(F.col("_grid"), F.array(F.lit("overlapping"), F.lit("grid"))).otherwise(F.array(F.lit("overlapping")))))
+    return aggregates.auc_ap(cut_lineage(y), ["dates"], "p", "y").select("dates", "n_pos", "n_neg", rnd("auc").alias("auc"))
 
 
 BK = f"""dk AS (SELECT ts, (row_number() OVER (ORDER BY ts) - 1) % 4 = 0 AS reb FROM (SELECT DISTINCT ts FROM sig)), tk0 AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY p DESC, symbol) AS k FROM sig WHERE p > 0.4), bw AS (SELECT symbol, tk0.ts, p / greatest(rv, 1e-4) / sum(p / greatest(rv, 1e-4)) OVER (PARTITION BY tk0.ts) AS w FROM tk0 JOIN dk ON tk0.ts = dk.ts WHERE k <= 3 AND reb)"""

@@ -4,13 +4,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tideline.operators import aggregates, cross, joins, models, pairs, portfolio as pf, sampling, scan, signals
+from tideline.functions.normal import expected_max_z
+from tideline.operators import aggregates, cross, joins, labels, models, pairs, portfolio as pf, sampling, scan, signals
 from tideline.operators import timeseries as ts
 from tideline.plans import views as v
 from tideline.plans.aggregates import WIN, windows_table
 from tideline.plans.joins import PRIORITIES, PRIORITY, priority_daily
 from tideline.plans.modeling import VOTE, training, DOSSIER, votes
-from tideline.plans.registry import query, rnd, rsql
+from tideline.plans.registry import cdf_sql, query, rnd, rsql
 from tideline.plans.scalars import GATED, MODULATE, SG, gated
 from tideline.plans.windows import EWMA, PATH, PX, paths, small_returns
 from tideline.session import cut_lineage
@@ -196,17 +197,18 @@ def _(t):
     return pf.clipped(sig(t), 0.004, 0.01).select("symbol", "ts", rnd("realised").alias("realised"), "early")
 
 
-PERF = f"""eq AS (SELECT *, exp(sum(ln(1 + net)) OVER (ORDER BY ts)) AS e FROM sr), dd AS (SELECT min(e / m - 1) AS max_drawdown FROM (SELECT e, max(e) OVER (ORDER BY ts) AS m FROM eq))
+PERF = f"""mo AS (SELECT count(*) AS n, avg(net) AS m, stddev_samp(net) AS sd, stddev_pop(net) AS sp FROM sr), mz AS (SELECT any_value(n) AS n, any_value(m / sd) AS q, avg(power((net - m) / sp, 3)) AS g3, avg(power((net - m) / sp, 4)) AS g4 FROM sr, mo),
+zz AS (SELECT q * sqrt(n - 1) / sc AS z0, (q - sqrt((1 + q * q / 2) / (n - 1)) * {expected_max_z(20)!r}) * sqrt(n - 1) / sc AS zd FROM (SELECT *, sqrt(greatest(1 - g3 * q + (g4 - 1) / 4 * q * q, 1e-12)) AS sc FROM mz)), eq AS (SELECT *, exp(sum(ln(1 + net)) OVER (ORDER BY ts)) AS e FROM sr), dd AS (SELECT min(e / m - 1) AS max_drawdown FROM (SELECT e, max(e) OVER (ORDER BY ts) AS m FROM eq))
 SELECT count(*) AS n, {rsql('avg(net)')} AS mean, {rsql('exp(sum(ln(1 + net))) - 1', 4)} AS total, {rsql('avg(net) / stddev_samp(net) * sqrt(52)', 4)} AS sharpe, {rsql('avg(CAST(net > 0 AS INT))')} AS hit_rate,
-{rsql('sum(CASE WHEN net > 0 THEN net ELSE 0 END) / sum(CASE WHEN net < 0 THEN -net ELSE 0 END)', 4)} AS profit_factor, {rsql('avg(bench) - 0.0046 / count(*)')} AS bench_mean, {rsql('avg(turnover)')} AS turnover, {rsql('any_value(max_drawdown)', 5)} AS max_drawdown FROM sr, dd"""
-PCOLS = [("mean", 6), ("total", 4), ("sharpe", 4), ("hit_rate", 6), ("profit_factor", 4), ("bench_mean", 6), ("turnover", 6), ("max_drawdown", 5)]
+{rsql('sum(CASE WHEN net > 0 THEN net ELSE 0 END) / sum(CASE WHEN net < 0 THEN -net ELSE 0 END)', 4)} AS profit_factor, {rsql('avg(bench) - 0.0046 / count(*)')} AS bench_mean, {rsql('avg(turnover)')} AS turnover, {rsql('any_value(max_drawdown)', 5)} AS max_drawdown, {rsql(f'any_value({cdf_sql("z0")})', 5)} AS psr, {rsql(f'any_value({cdf_sql("zd")})', 5)} AS dsr FROM sr, dd, zz"""
+PCOLS = [("mean", 6), ("total", 4), ("sharpe", 4), ("hit_rate", 6), ("profit_factor", 4), ("bench_mean", 6), ("turnover", 6), ("max_drawdown", 5), ("psr", 5), ("dsr", 5)]
 
 
 @query("P15_performance_report", f"{BASE}, {TOP}, {REB.format(w='wt')}, {PERF}")
 def _(t):
     s = sig(t).withColumn("_g", F.lit(0))
     d = cut_lineage(pf.rebalanced(pf.long_only(s, ["_g", "ts"], 3, 0.5), s, ["_g"], YR))
-    return pf.performance(d, ["_g"], 52, chunk=YR).select("n", *[rnd(x, k).alias(x) for x, k in PCOLS])
+    return pf.performance(d, ["_g"], 52, chunk=YR, trials=20).select("n", *[rnd(x, k).alias(x) for x, k in PCOLS])
 
 
 EVAL = "SELECT ts, {r1} AS net, {r2} AS gross, count(*) AS n FROM tw GROUP BY 1".format(r1=rsql("sum(w * fwd) - 2 * 0.0036 * sum(abs(w))"), r2=rsql("sum(abs(w))"))
@@ -265,10 +267,21 @@ def _(t):
     return pf.evaluate_signals(fitted_signals(t, "boosted"), ["ts"], 0.0036)
 
 
+# 40 seeded window starts at least 28 days apart, as sampling.window_starts draws them
+STARTS = f"""sd AS MATERIALIZED (SELECT DISTINCT ts, date_diff('day', DATE '1990-01-01', CAST(ts AS DATE)) AS n FROM sig),
+sc(ts, n) AS (SELECT min(ts), min(n) FROM sd WHERE n >= (SELECT min(n) FROM sd) + {(42 * 1103515245 + 42 * 12345) % 2147483648 % 28} UNION ALL SELECT x.ts, x.n FROM sc, LATERAL (SELECT min(ts) AS ts, min(n) AS n FROM sd WHERE sd.n >= sc.n + 28) x WHERE x.n IS NOT NULL),
+sw AS MATERIALIZED (SELECT ts FROM sc ORDER BY (n * 1103515245 + 42 * 12345) % 2147483648, ts LIMIT 40)"""
+
+
+def at_starts(s):
+    """Rows of the sampled window starts; these are 40 rows at most."""
+    return s.join(F.broadcast(sampling.window_starts(s.select("ts").distinct(), 28, 40, 42)), "ts")
+
+
 LOOKBACKS = (21, 63, 126)  # fixed values
 
 
-@query("P22_tsmom_lookback_grid", f"""WITH {v.PANEL}, {SIG.replace('SELECT symbol, ts, close, volume', 'SELECT symbol, ts, close, ' + ', '.join(f'close / lag(close, {k}) OVER ({H}) - 1 AS p{k}' for k in LOOKBACKS) + ', volume')}, gl AS ({' UNION ALL '.join(f'SELECT {k} AS lookback, ts, fwd, sigma, sign(p{k}) AS s FROM sig' for k in LOOKBACKS)}),
+@query("P22_tsmom_lookback_grid", f"""WITH RECURSIVE {v.PANEL}, {SIG.replace('SELECT symbol, ts, close, volume', 'SELECT symbol, ts, close, ' + ', '.join(f'close / lag(close, {k}) OVER ({H}) - 1 AS p{k}' for k in LOOKBACKS) + ', volume')}, {STARTS}, gl AS ({' UNION ALL '.join(f'SELECT {k} AS lookback, ts, fwd, sigma, sign(p{k}) AS s FROM sig WHERE ts IN (SELECT ts FROM sw)' for k in LOOKBACKS)}),
 g0 AS (SELECT *, s * (0.25 / sqrt(365)) / sigma AS raw FROM gl WHERE s <> 0 AND sigma > 0), g1 AS (SELECT *, count(*) OVER (PARTITION BY lookback, ts) AS n, sum(abs(raw)) OVER (PARTITION BY lookback, ts) AS g FROM g0), g2 AS (SELECT *, raw / n * CASE WHEN g / n > 1 THEN n / g ELSE 1 END AS w FROM g1),
 g3 AS (SELECT lookback, ts, sum(w * fwd) - 0.001 * sum(abs(w)) - 0.0084 * abs(sum(w)) AS net FROM g2 GROUP BY 1, 2) SELECT CAST(lookback AS INTEGER) AS lookback, count(*) AS n, {rsql('avg(net)')} AS mean, {rsql('median(net)')} AS median FROM g3 GROUP BY 1""")
 def _(t):
@@ -276,7 +289,7 @@ def _(t):
     p = scan.over_series(v.panel(t), lambda d, w: d.withColumns({f"p{k}": ts.lag_return("close", k, w) for k in LOOKBACKS}), back=max(LOOKBACKS), chunk=YR)
     s = s.join(p.select("symbol", "ts", *(f"p{k}" for k in LOOKBACKS)), ["symbol", "ts"])
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias("lookback"), F.signum(f"p{k}").alias("sign")) for k in LOOKBACKS]))
-    day = s.withColumn("g", grid).select("symbol", "ts", "fwd", "sigma", "g.lookback", "g.sign")
+    day = at_starts(s).withColumn("g", grid).select("symbol", "ts", "fwd", "sigma", "g.lookback", "g.sign")
     e = cut_lineage(pf.book_economics(pf.vol_scaled(day, ["lookback", "ts"]), day, ["lookback", "ts"], "tsmom").where("net IS NOT NULL"))
     return e.groupBy("lookback").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("net")).alias("mean")).join(
         scan.quantiles(e, ["lookback"], "net", [0.5], ["median"]), "lookback").select("lookback", "n", "mean", rnd("median").alias("median"))
@@ -433,14 +446,23 @@ def _(t):
     return quality.volume_audit(v.hourly(t), 240).select("symbol", "first_ts", "last_ts", "n", rnd("completeness").alias("completeness"), rnd("traded", 3).alias("traded"))
 
 
-@query("P40_spread_over_windows", f"""{BASE}, {LEGS}, m AS (SELECT 'ivol' AS mode, ts, w, fwd FROM lg UNION ALL SELECT 'ew', ts, w, fwd FROM le), e AS (SELECT mode, ts, sum(w * fwd) - 0.001 * sum(abs(w)) - 0.001 AS net FROM m GROUP BY 1, 2)
-SELECT mode, count(*) AS n, {rsql('median(net)')} AS median, {rsql('avg(net)')} AS mean, {rsql('avg(CAST(net > 0 AS INT))')} AS pct_positive FROM e GROUP BY 1""")
+@query("P40_spread_over_windows", f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, {LEGS}, {STARTS}, bn AS (SELECT ts, (avg(fwd) - {pf.ROUND_TRIP!r}) * 100 AS bench FROM sig WHERE ts IN (SELECT ts FROM sw) GROUP BY 1 HAVING count(*) >= 10),
+m AS (SELECT 'ivol' AS mode, ts, w, fwd FROM lg UNION ALL SELECT 'ew', ts, w, fwd FROM le), e AS (SELECT mode, ts, any_value(bench) AS bench, (sum(w * fwd) - 0.001 * sum(abs(w)) - 0.001) * 100 AS net, sum(CASE WHEN w > 0 THEN w * fwd ELSE 0 END) * 100 AS lo, sum(CASE WHEN w < 0 THEN w * fwd ELSE 0 END) * 100 AS sh FROM m JOIN bn USING (ts) GROUP BY 1, 2),
+al AS (SELECT mode, count(*) AS n, median(net) AS md, avg(net) AS mn, avg(CAST(net > 0 AS INT)) AS pos, avg(lo) AS lo, avg(sh) AS sh FROM e GROUP BY 1), la AS (SELECT mode, median(net) AS lmd, avg(net) AS lmn, median(net) FILTER (bench < 0) AS dn FROM e WHERE year(ts) >= 1994 GROUP BY 1),
+yr AS (SELECT mode, min(m) AS wy FROM (SELECT mode, year(ts), avg(net) AS m FROM e WHERE year(ts) >= 1994 GROUP BY 1, 2) GROUP BY 1), cr AS (SELECT mode, avg(net) AS cr FROM e WHERE year(ts) = 1993 GROUP BY 1),
+w AS (SELECT *, lmd > 0 AND lmn >= 1 AS w1, wy >= -1.5 AS w2, coalesce(cr >= -3, true) AS w3, coalesce(dn >= 0, false) AS w4 FROM al JOIN la USING (mode) JOIN yr USING (mode) LEFT JOIN cr USING (mode))
+SELECT mode, n, {rsql('md', 4)} AS median, {rsql('mn', 4)} AS mean, {rsql('pos')} AS pct_positive, {rsql('lo', 4)} AS long_leg, {rsql('sh', 4)} AS short_leg, {rsql('lmd', 4)} AS late_median, {rsql('lmn', 4)} AS late_mean, {rsql('wy', 4)} AS worst_year, {rsql('cr', 4)} AS crash, {rsql('dn', 4)} AS median_down, w1, w2, w3, w4, w1 AND w2 AND w3 AND w4 AS verdict FROM w""")
 def _(t):
-    s = sig(t)
+    s = cut_lineage(at_starts(sig(t)))
     w = pf.legs(s, ["ts"], 5, "ivol").withColumn("mode", F.lit("ivol")).unionByName(pf.legs(s, ["ts"], 5, "ew").withColumn("mode", F.lit("ew")))
     day = s.withColumn("mode", F.explode(F.array(F.lit("ivol"), F.lit("ew"))))
-    e = cut_lineage(pf.book_economics(w, day, ["mode", "ts"], "neutral"))
-    return aggregates.window_set(e, ["mode"], "net").select("mode", "n", *[rnd(x).alias(x) for x in ("median", "mean", "pct_positive")])
+    pct = lambda c, name: (F.col(c) * 100).alias(name)
+    e = cut_lineage(pf.book_economics(w, day, ["mode", "ts"], "neutral").where("n_universe >= 10").select(
+        "mode", F.col("ts").alias("t0"), pct("net", "net_pct"), pct("bench", "bench_pct"), pct("long_leg", "long_leg"), pct("short_leg", "short_leg")))
+    bars = pf.window_bars(e, ["mode"], 1994).withColumnsRenamed({"median": "late_median", "mean": "late_mean"})
+    d = aggregates.window_set(e, ["mode"]).join(e.groupBy("mode").agg(F.avg("long_leg").alias("long_leg"), F.avg("short_leg").alias("short_leg")), "mode").join(bars, "mode")
+    shown = ("median", "mean", "long_leg", "short_leg", "late_median", "late_mean", "worst_year", "crash", "median_down")
+    return d.select("mode", "n", *[rnd(x, 4).alias(x) for x in shown], rnd("pct_positive").alias("pct_positive"), "w1", "w2", "w3", "w4", "verdict")
 
 
 @query("P41_price_exit_grid")
@@ -454,19 +476,36 @@ def _(t):
     return aggregates.window_set(cut_lineage(out), ["k"], "net")
 
 
-@query("P42_one_shot_long_only", f"{BASE}, {PHASE}, x AS (SELECT phase, count(*) AS n, avg(net) AS m, (sum(net) - max(net)) / (count(*) - 1) AS db FROM pn GROUP BY 1 HAVING count(*) >= 8) SELECT count(*) AS n_phases, {rsql('avg(m)')} AS phase_mean, {rsql('avg(CAST(m > 0 AS INT))')} AS pct_positive, {rsql('min(db)')} AS worst_drop_best, avg(m) > 0 AND min(db) > 0 AS passed FROM x")
+@query("P42_one_shot_long_only", f"""{BASE}, {PHASE}, pe AS (SELECT phase, net, net - bench + CASE WHEN ts = min(ts) OVER (PARTITION BY phase) THEN 0.0046 ELSE 0 END AS e FROM pn JOIN (SELECT ts, avg(fwd) AS bench FROM sig GROUP BY 1) USING (ts)),
+x AS (SELECT phase, avg(e) AS ex, (sum(e) - max(e)) / (count(*) - 1) AS db, sum(CASE WHEN net > 0 THEN net ELSE 0 END) / nullif(sum(CASE WHEN net < 0 THEN -net ELSE 0 END), 0) AS pf FROM pe GROUP BY 1 HAVING count(*) >= 8),
+y AS (SELECT p, CAST(row_number() OVER (PARTITION BY ts ORDER BY fwd DESC, symbol DESC) <= count(*) OVER (PARTITION BY ts) / 2 AS INT) AS y FROM sig), r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS mr FROM y),
+au AS (SELECT (sum(mr) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS auc FROM r)
+SELECT count(*) AS n_phases, {rsql('avg(ex)')} AS excess_mean, {rsql('min(ex)')} AS excess_min, {rsql('max(ex)')} AS excess_max, {rsql('avg(db)')} AS drop_best_mean, count(*) FILTER (WHERE ex > 0) AS n_positive, count(*) FILTER (WHERE db > 0) AS n_positive_drop_best,
+{rsql('avg(pf)', 4)} AS profit_factor, {rsql('any_value(auc)')} AS auc, avg(ex) > 0 AS b1, avg(db) > 0 AS b2, any_value(auc) > 0.52 AS b3, avg(ex) > 0 AND avg(db) > 0 AND any_value(auc) > 0.52 AS passed FROM x, au""")
 def _(t):
-    g = phase_net(sig(t)).groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.avg("net").alias("m"), pf.drop_best_mean("net").alias("db")).where("n >= 8")
-    return g.agg(F.count(F.lit(1)).alias("n_phases"), rnd(F.avg("m")).alias("phase_mean"), rnd(F.avg((F.col("m") > 0).cast("double"))).alias("pct_positive"), rnd(F.min("db")).alias("worst_drop_best"),
-                 ((F.avg("m") > 0) & (F.min("db") > 0)).alias("passed"))
+    s = sig(t)
+    y = labels.upper_half(s.select("symbol", "ts", "p", "fwd"), "fwd").withColumn("_g", F.lit(0))
+    auc = aggregates.auc_ap(cut_lineage(y), ["_g"], "p", "y").select("auc")
+    g = pf.slice_long(cut_lineage(phase_net(s)), ["phase"]).agg(
+        F.count(F.lit(1)).alias("n_phases"), F.avg("excess").alias("excess_mean"), F.min("excess").alias("excess_min"), F.max("excess").alias("excess_max"), F.avg("drop_best").alias("drop_best_mean"),
+        F.count_if(F.col("excess") > 0).alias("n_positive"), F.count_if(F.col("drop_best") > 0).alias("n_positive_drop_best"), F.avg("profit_factor").alias("profit_factor"))
+    d = g.crossJoin(F.broadcast(auc))  # one row each
+    bars = {"b1": F.col("excess_mean") > pf.SLICE_BARS["excess"], "b2": F.col("drop_best_mean") > pf.SLICE_BARS["drop_best"], "b3": F.col("auc") > pf.SLICE_BARS["auc"]}
+    d = d.withColumns(bars).withColumn("passed", F.col("b1") & F.col("b2") & F.col("b3"))
+    return d.select("n_phases", "n_positive", "n_positive_drop_best", *[rnd(c).alias(c) for c in ("excess_mean", "excess_min", "excess_max", "drop_best_mean", "auc")], rnd("profit_factor", 4).alias("profit_factor"), "b1", "b2", "b3", "passed")
 
 
-@query("P43_one_shot_long_short", f"""{BASE}, {LEGS}, pz AS (SELECT ts, (row_number() OVER (ORDER BY ts) - 1) % 4 AS phase FROM (SELECT DISTINCT ts FROM sig)), e AS (SELECT phase, ts, sum(w * fwd) - 0.001 * sum(abs(w)) - 0.001 AS net, sum(CASE WHEN w > 0 THEN w * fwd ELSE 0 END) AS ll, sum(CASE WHEN w < 0 THEN w * fwd ELSE 0 END) AS sl FROM lg JOIN pz USING (ts) GROUP BY 1, 2)
-SELECT phase, count(*) AS n, {rsql('avg(net)')} AS mean, {rsql('avg(ll)')} AS long_leg, {rsql('avg(sl)')} AS short_leg FROM e GROUP BY 1""")
+@query("P43_one_shot_long_short", f"""{BASE}, {LEGS}, pz AS (SELECT ts, (row_number() OVER (ORDER BY ts) - 1) % 4 AS phase FROM (SELECT DISTINCT ts FROM sig)), e AS (SELECT phase, ts, sum(w * fwd) - 0.001 * sum(abs(w)) - 0.001 AS net, sum(CASE WHEN w > 0 THEN w * fwd ELSE 0 END) AS ll, sum(CASE WHEN w < 0 THEN w * fwd ELSE 0 END) AS sl FROM lg JOIN pz USING (ts) GROUP BY 1, 2),
+g AS (SELECT phase, count(*) AS n, avg(net) AS m, avg(ll) AS ll, avg(sl) AS sl FROM e GROUP BY 1), o AS (SELECT avg(m) AS pm, avg(CAST(m > 0 AS INT)) AS pp FROM g)
+SELECT phase, n, {rsql('m')} AS mean, {rsql('ll')} AS long_leg, {rsql('sl')} AS short_leg, {rsql('pm')} AS phase_mean, {rsql('pp')} AS phases_positive, pm > 0 AND pp >= 0.55 AS passed FROM g, o""")
 def _(t):
     d = phased(sig(t))
     e = pf.book_economics(pf.legs(d, ["phase", "ts"], 5, "ivol"), d, ["phase", "ts"], "neutral")
-    return e.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("net")).alias("mean"), rnd(F.avg("long_leg")).alias("long_leg"), rnd(F.avg("short_leg")).alias("short_leg"))
+    g = e.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.avg("net").alias("mean"), F.avg("long_leg").alias("long_leg"), F.avg("short_leg").alias("short_leg"))
+    g = cut_lineage(g)
+    g = scan.with_group(g, [], phase_mean=F.avg("mean"), phases_positive=F.avg((F.col("mean") > 0).cast("double")))
+    passed = (F.col("phase_mean") > pf.SPREAD_BARS["mean"]) & (F.col("phases_positive") >= pf.SPREAD_BARS["positive"])
+    return g.select("phase", "n", *[rnd(c).alias(c) for c in ("mean", "long_leg", "short_leg", "phase_mean", "phases_positive")], passed.alias("passed"))
 
 
 @query("P46_arm_evaluators")

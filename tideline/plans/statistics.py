@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.functions.normal import expected_max_z
 from tideline.operators import cross, joins, quality, scan, shapes, stats
 from tideline.operators import timeseries as ts
 from tideline.plans import views as v
 from tideline.plans.joins import PRIORITY, priority_daily
-from tideline.plans.registry import query, rnd, rsql
+from tideline.plans.registry import cdf_sql, query, rnd, rsql
 from tideline.plans.scalars import SG, signal_rows
 from tideline.plans.windows import EWMA, small_returns
 from tideline.session import cut_lineage
@@ -35,14 +36,17 @@ def _(t):
     return d.select("symbol", "n", rnd("sharpe").alias("sharpe"), rnd("skew", 5).alias("skew"), rnd("kurt", 5).alias("kurt"), rnd("z", 5).alias("z"))
 
 
-@query("G02_probabilistic_sharpe")
+SCALE = "sqrt(greatest(1 - g3 * sr + (g4 - 1) / 4 * sr * sr, 1e-12))"
+
+
+@query("G02_probabilistic_sharpe", f"WITH {PR}, {MOM}, z AS (SELECT *, sr * sqrt(n - 1) / {SCALE} AS z FROM ms) SELECT symbol, n, {rsql('sr')} AS sharpe, {rsql(cdf_sql('z'), 5)} AS psr FROM z")
 def _(t):
-    return stats.psr(log_returns(t), ["symbol"], "x").select("symbol", "n", "sharpe", "psr")
+    return stats.psr(log_returns(t), ["symbol"], "x").select("symbol", "n", rnd("sharpe").alias("sharpe"), rnd("psr", 5).alias("psr"))
 
 
-@query("G03_deflated_sharpe")
+@query("G03_deflated_sharpe", f"WITH {PR}, {MOM}, b AS (SELECT *, sqrt((1 + sr * sr / 2) / (n - 1)) * {expected_max_z(20)!r} AS benchmark FROM ms), z AS (SELECT *, (sr - benchmark) * sqrt(n - 1) / {SCALE} AS z FROM b) SELECT symbol, n, {rsql('sr')} AS sharpe, {rsql('benchmark')} AS benchmark, {rsql(cdf_sql('z'), 5)} AS dsr FROM z")
 def _(t):
-    return stats.deflated(log_returns(t), ["symbol"], "x", 20).select("symbol", "n", "sharpe", "benchmark", "dsr")
+    return stats.deflated(log_returns(t), ["symbol"], "x", 20).select("symbol", "n", rnd("sharpe").alias("sharpe"), rnd("benchmark").alias("benchmark"), rnd("dsr", 5).alias("dsr"))
 
 
 def vr_sql(q):
