@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.functions import normal
 from tideline.operators import cross, custom, hurst, labels, ledger, models, pairs, portfolio, sampling, scan, shapes, signals, stats, text
 from tideline.operators import timeseries as ts
 from tideline.sources import readers, sinks
@@ -145,6 +146,29 @@ def test_pair_positions_do_not_depend_on_the_pieces(spark):
     assert pairs.spread_positions(s.limit(0)).count() == 0
 
 
+def test_normal_cdf_column(spark):
+    z = [-40.0, -8.0, -3.0, -0.5, -1e-9, 0.0, 1e-9, 0.7, 2.0, 6.0, 8.0, 40.0]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select("z", normal.cdf("z").alias("p")).collect()
+    assert all(r.p == pytest.approx(0.5 * math.erfc(-r.z / math.sqrt(2)), abs=1e-13) for r in got)
+    none = spark.createDataFrame([(None,), (float("nan"),)], "z double").select(normal.cdf("z").alias("p")).collect()
+    assert [r.p for r in none] == [None, None]
+
+
+def test_slice_phases(spark):
+    d = [("a", datetime(2024, 1, 1) + timedelta(days=i), r, 0.01) for i, r in enumerate([0.05, -0.01, 0.02, 0.03])] + [("b", datetime(2024, 1, 1), 1.0, 0.0)]
+    got = portfolio.slice_long(spark.createDataFrame(d, "k string, ts timestamp_ntz, net double, bench double"), ["k"], min_obs=4, cost=0.004).collect()
+    assert [r.k for r in got] == ["a"] and got[0].n == 4
+    excess = [0.044, -0.02, 0.01, 0.02]  # the benchmark pays its entry in the first period
+    assert got[0].excess == pytest.approx(sum(excess) / 4) and got[0].drop_best == pytest.approx(0.01 / 3) and got[0].profit_factor == pytest.approx(10.0)
+
+
+def test_table_is_ensured_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert sinks.ensure_table(spark, path, "a long, b string").columns == ["a", "b"]
+    sinks.append(spark.range(3).selectExpr("id AS a", "'x' AS b"), path)
+    assert sinks.ensure_table(spark, path, "a long, b string").count() == 3
+
+
 def fills(spark, rows):
     d = pd.DataFrame(rows, columns=["action", "quantity", "price"])
     d["ts"] = pd.date_range("2023-12-30", periods=len(d), freq="D")

@@ -17,6 +17,7 @@ from tideline.functions import rules
 from tideline.operators import joins
 from tideline.operators.timeseries import ratio
 from tideline.session import cut_lineage
+from tideline.sources import sinks
 
 INJECTION_THRESHOLD = 0.5
 # Phrases that score a text as a possible instruction, with weights.
@@ -336,6 +337,20 @@ def fill_outcomes(log: DataFrame, candles: DataFrame, horizons: Sequence[int] =
     return d.withColumn("sealed", done).drop("_end", "_p0", *[f"_p{h}" for h in horizons])
 
 
+def log_forward(path: str, news: DataFrame, probes: DataFrame, candles: DataFrame, stamp: str) -> None:
+    """One run of the forward log at ``path``: rows that wait for outcomes get those that ``candles`` close by now, then
+    the vector of every probe is written without outcomes. A repeated run replaces its own rows, so the log stays the
+    same; ``stamp``, the time of the run, grows from run to run. Partitions are months of ``as_of``."""
+    none = F.lit(None)
+    at = F.lit(stamp).cast("timestamp_ntz")
+    vectors = forward_vectors(news, probes).select(
+        "symbol", "as_of", "n_news", "novelty", "sentiment", none.cast("double").alias("ret_24h"), none.cast("double").alias("ret_168h"), none.cast("timestamp_ntz").alias("scored_at"),
+        at.alias("created_at"), at.alias("written_at"), F.date_format("as_of", "yyyy-MM").alias("month"))
+    waiting = sinks.read_table(vectors.sparkSession, path, vectors.schema).where("scored_at IS NULL").join(probes, ["symbol", "as_of"], "left_anti")
+    scored = fill_outcomes(waiting, candles).withColumns({"scored_at": F.when(F.col("sealed"), at), "written_at": at}).select(*vectors.columns)
+    sinks.upsert(cut_lineage(vectors.unionByName(scored)), path, ["symbol", "as_of"], "written_at", ["month"])
+
+
 def forward_status(log: DataFrame, gate_days: int = 90) -> DataFrame:
     return log.agg(F.count_distinct(F.to_date("as_of")).alias("days"), F.count_distinct("symbol").alias("symbols"), F.count(F.lit(1)).alias("rows"),
                    F.count_if(F.col("sealed")).alias("sealed"), F.max("as_of").alias("latest"), (F.count_distinct(F.to_date("as_of")) >= gate_days).alias("gate_open"))

@@ -157,11 +157,13 @@ def candle_batch(t, cond, scale, version):
     return h.select("symbol", F.lit("1h").alias("timeframe"), "ts", *[(F.col(x) * scale).alias(x) for x in ("open", "high", "low", "close")], "volume", F.lit(version).cast("timestamp_ntz").alias("ingested_at")).withColumn("month", F.date_format("ts", "yyyy-MM"))
 
 
-@query("S14_fixed_schema_table", f"WITH {v.HOURLY} SELECT count(*) AS n FROM hourly")
+@query("S14_fixed_schema_table", f"WITH {v.HOURLY} SELECT symbol, count(*) AS n, 0::BIGINT AS n_before, {rsql('sum(volume)', 2)} AS volume FROM hourly GROUP BY 1")
 def _(t):
     path = fresh(t, "tables")
-    empty = sinks.read_table(t.spark, path, schemas.CANDLES)
-    return empty.unionByName(candle_batch(t, F.lit(True), 1.0, "2024-01-01").drop("month")).agg(F.count(F.lit(1)).alias("n"))
+    before = sinks.ensure_table(t.spark, path, schemas.CANDLES).count()
+    sinks.append(candle_batch(t, F.lit(True), 1.0, "2024-01-01").drop("month"), path)
+    kept = sinks.ensure_table(t.spark, path, schemas.CANDLES)  # a second time it is left as it is
+    return kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("volume"), 2).alias("volume")).withColumn("n_before", F.lit(before).cast("long"))
 
 
 @query("S15_upsert_by_key", f"WITH {v.HOURLY} SELECT symbol, ts, CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN close * 2 ELSE close END AS close FROM hourly")

@@ -8,6 +8,7 @@ from tideline.operators import text
 from tideline.plans import views as v
 from tideline.plans.registry import query, rnd, rsql
 from tideline.plans.scalars import CLEAN, TOPIC
+from tideline.plans.storage import fresh
 from tideline.session import cut_lineage
 
 WEIGHTS = {"src0": 1.0, "src1": 0.7, "src2": 0.6, "src3": 0.6}
@@ -190,8 +191,11 @@ def _(t):
     return text.forward_status(outcomes(t))
 
 
-@query("T18_forward_log_write", f"WITH {v.HOURLY}, {NEWS}, {VEC}, {OUT} SELECT symbol, as_of, n_news, {rsql('sentiment')} AS sentiment, {rsql('r24')} AS ret_24h FROM fv JOIN oc USING (symbol, as_of)")
+@query("T18_forward_log_write", f"WITH {v.HOURLY}, {NEWS}, {VEC}, {OUT} SELECT symbol, as_of, n_news, {rsql('sentiment')} AS sentiment, {rsql("CASE WHEN as_of < TIMESTAMP '2024-01-16' THEN r24 END")} AS ret_24h, as_of < TIMESTAMP '2024-01-16' AND r24 IS NOT NULL AND r168 IS NOT NULL AS scored FROM fv JOIN oc USING (symbol, as_of)")
 def _(t):
-    d = text.forward_vectors(news(t), probes(t)).join(outcomes(t), ["symbol", "as_of"])
-    d = d.dropDuplicates(["symbol", "as_of"])
-    return d.select("symbol", "as_of", "n_news", rnd("sentiment").alias("sentiment"), rnd("ret_24h").alias("ret_24h"))
+    path, n, p = fresh(t, "forward"), cut_lineage(news(t)), cut_lineage(probes(t))
+    prices, mid = cut_lineage(v.hourly(t).select("symbol", "ts", "close")), F.lit("2024-01-16").cast("timestamp_ntz")
+    text.log_forward(path, n, p.where(F.col("as_of") < mid), prices.where(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz")), "2024-01-16")
+    for stamp in ("2024-02-10", "2024-02-11"):  # the second run and its repetition
+        text.log_forward(path, n, p.where(F.col("as_of") >= mid), prices, stamp)
+    return t.spark.read.parquet(path).select("symbol", "as_of", "n_news", rnd("sentiment").alias("sentiment"), rnd("ret_24h").alias("ret_24h"), F.col("scored_at").isNotNull().alias("scored"))

@@ -22,6 +22,17 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def ensure_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table, written empty with its fixed schema first where there is none; what is there stays."""
+    try:
+        spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def newest(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_r")).select(*keys, "_r.*").select(*df.columns)
