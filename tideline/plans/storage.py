@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tideline import schemas
 from tideline.functions import rules
-from tideline.operators import quality, text
+from tideline.operators import quality, scan, text
+from tideline.operators import timeseries as ts
 from tideline.plans import views as v
 from tideline.plans.registry import query, rnd, rsql
 from tideline.session import cut_lineage, shared_dir
@@ -232,11 +233,22 @@ def _(t):
     return sinks.flag_by_prefix(sinks.flag_by_prefix(d, "run_id", "1", "logged"), "run_id", "1", "logged")
 
 
-@query("S23_backfill", f"WITH {v.HOURLY}, b AS (SELECT symbol FROM hourly GROUP BY 1 HAVING min(symbol) = 'error') SELECT symbol, ts, close FROM hourly WHERE symbol NOT IN (FROM b)")
+@query("S23_backfill", f"""WITH {v.HOURLY}, h AS (SELECT *, (dense_rank() OVER (ORDER BY symbol)) % 4 AS k FROM hourly WHERE ts < TIMESTAMP '2024-01-25')
+SELECT symbol, count(*) AS n_candles, CASE WHEN k = 1 THEN 0 ELSE count(*) END AS n_features, CASE k WHEN 1 THEN 'candles' WHEN 2 THEN 'features' END AS failed FROM h GROUP BY symbol, k""")
 def _(t):
-    h = hour_rows(t)
-    ok = h.groupBy("symbol").agg((F.min("symbol") != "error").alias("valid"))
-    return sinks.backfill(h, ok).select("symbol", "ts", "close")
+    names = v.hourly(t).select("symbol").distinct()
+    k = scan.number_rows(names.withColumn("_g", F.lit(0)), ["_g"], ["symbol"], "none").select("symbol", ((F.col("_pos") + 1) % 4).alias("k"))
+    h = v.hourly(t).join(k, "symbol").withColumn("ingested_at", F.lit("2024-02-01").cast("timestamp_ntz"))
+    turned = F.col("k") == 1  # every fourth symbol comes with high and low exchanged, the next with a volatility below 0
+    h = h.withColumns({"high": F.when(turned, F.col("low") - 1).otherwise(F.col("high")), "low": F.when(turned, F.col("high")).otherwise(F.col("low"))})
+
+    def silver(c):
+        d = ts.returns(c, chunk="month").join(F.broadcast(k), "symbol")  # a row a symbol
+        side = F.when(F.col("k") == 2, -1.0).otherwise(1.0)
+        made = d.withColumns({"hurst": rules.range_ratio(F.col("close"), F.col("low"), F.col("high")), "vol": side * (1 + rules.range_ratio(F.col("high"), F.col("low"), F.col("close")))})
+        return made.withColumns({"regime": rules.regime(F.col("hurst"))["label"], "computed_at": F.lit("2024-02-01").cast("timestamp_ntz")}).select("symbol", "ts", "ret_1", "hurst", "vol", "regime", "computed_at")
+
+    return sinks.backfill(h.drop("k"), fresh(t, "backfill"), "2024-01-01", "2024-01-25", silver)
 
 
 @query("S24_late_upsert", f"SELECT o_custkey AS symbol, o_orderdate AS ts, {rsql('arg_max(o_totalprice, o_orderkey)', 2)} AS rate FROM orders GROUP BY 1, 2")

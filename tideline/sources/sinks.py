@@ -3,12 +3,13 @@ batch touches: old and new rows meet, the newest per key stays, and the result i
 the shared folder before the partitions are replaced."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.operators import quality
 from tideline.session import cut_lineage
 
 
@@ -82,9 +83,25 @@ def archive(spark: SparkSession, path: str, target: str, schema) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
-def backfill(candles: DataFrame, valid: DataFrame) -> DataFrame:
-    """Candles of symbols whose validation row passed; the others are reported, not loaded."""
-    return candles.join(valid.where(~F.col("valid")).select("symbol"), "symbol", "left_anti")
+def backfill(candles: DataFrame, path: str, since, until, transform: Callable[[DataFrame], DataFrame], timeframe: str = "1h", chunk: str = "month") -> DataFrame:
+    """Loads [since, until) of all symbols in one chain and reports each: candles are upserted to ``path``/candles and
+    checked, ``transform`` of the symbols that pass goes to ``path``/features and is checked too. Returns (symbol,
+    n_candles, n_features, failed); ``failed`` names the check a symbol did not pass (null: none). A symbol that fails
+    does not stop the others. Both tables are partitioned by month, so candles carry ``ingested_at`` and features
+    ``computed_at`` as their versions."""
+    spark, keys = candles.sparkSession, ["symbol", "timeframe", "ts"]
+    lo, hi = F.lit(since).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz")
+    month = F.date_format("ts", "yyyy-MM")
+    batch = candles.where((F.col("ts") >= lo) & (F.col("ts") < hi)).withColumns({"timeframe": F.lit(timeframe), "month": month})
+    upsert(batch, f"{path}/candles", keys, "ingested_at", ["month"])
+    stored = read_table(spark, f"{path}/candles", batch.schema).join(batch.select("symbol").distinct(), "symbol", "left_semi")
+    first = cut_lineage(quality.candles(stored, timeframe, chunk).select("symbol", F.col("n").alias("n_candles"), "valid"))
+    made = transform(stored.join(first.where("valid").select("symbol"), "symbol", "left_semi")).withColumns({"timeframe": F.lit(timeframe), "month": month})
+    upsert(made, f"{path}/features", keys, "computed_at", ["month"])
+    kept = read_table(spark, f"{path}/features", made.schema).join(first.where("valid").select("symbol"), "symbol", "left_semi")
+    second = quality.features(kept).select("symbol", F.col("n").alias("n_features"), F.col("valid").alias("_sound"))
+    failed = F.when(~F.col("valid"), "candles").when(~F.coalesce("_sound", F.lit(False)), "features")
+    return first.join(second, "symbol", "left").select("symbol", "n_candles", F.coalesce("n_features", F.lit(0)).cast("long").alias("n_features"), failed.alias("failed"))
 
 
 def ingest(raw: DataFrame, since, until, symbol: Column, timeframe: str) -> DataFrame:
