@@ -487,3 +487,9 @@ def test_silhouettes_equal_brute_force(spark):
         b = min(np.mean(far(x, k, None)) for k in {0, 1, 2, 9} - {c})
         assert abs(got[i] - (0 if not own else (b - np.mean(own)) / max(b, np.mean(own)))) < 1e-9
     assert text.silhouettes(spark.createDataFrame(rows[:1], "id int, v array<double>, cluster_id int"), "v").first()["silhouette"] is None
+
+
+def test_guardrail_points_divide_by_zero_as_their_sql(spark):
+    d = spark.createDataFrame([(0.0, 5.0), (0.0, 0.0), (2.0, 5.0), (None, 5.0)], "a double, b double")
+    r = d.select(ts.ieee_ratio(F.col("b"), F.col("a")).alias("r")).collect()
+    assert r[0].r == math.inf and math.isnan(r[1].r) and r[2].r == 2.5 and r[3].r is None

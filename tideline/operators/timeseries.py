@@ -19,6 +19,11 @@ def ratio(num: Column, den: Column) -> Column:
     return num / F.nullif(den, F.lit(0.0))
 
 
+def ieee_ratio(num: Column, den: Column) -> Column:
+    """num / den as floating-point numbers have it: infinite over zero, NaN for zero over zero, null only for nulls."""
+    return F.when(den == 0, num * F.pow(den, F.lit(-1.0))).otherwise(ratio(num, den))
+
+
 # ---- column builders used inside scan.over_series ---------------------------------------------
 def lag_return(x: str | Column, k: int, w) -> Column:
     """Simple return over the last k rows."""
