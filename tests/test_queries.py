@@ -27,3 +27,7 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_lookback_grid_takes_all_dates(spark):
+    assert min(r["n"] for r in entry.queries()["P22_tsmom_lookback_grid"](spark, SF).collect()) > 40  # more than the sampled window starts
