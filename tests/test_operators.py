@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import normal
-from tideline.operators import cross, custom, hurst, labels, ledger, models, pairs, portfolio, sampling, scan, shapes, signals, stats, text
+from tideline.operators import aggregates, cross, custom, hurst, labels, ledger, models, pairs, portfolio, sampling, scan, shapes, signals, stats, text
 from tideline.operators import timeseries as ts
 from tideline.sources import readers, sinks
 
@@ -493,3 +493,22 @@ def test_guardrail_points_divide_by_zero_as_their_sql(spark):
     d = spark.createDataFrame([(0.0, 5.0), (0.0, 0.0), (2.0, 5.0), (None, 5.0)], "a double, b double")
     r = d.select(ts.ieee_ratio(F.col("b"), F.col("a")).alias("r")).collect()
     assert r[0].r == math.inf and math.isnan(r[1].r) and r[2].r == 2.5 and r[3].r is None
+
+
+def _unsteady(spark, n=400):
+    """Values whose last bits change with every evaluation, as sums of doubles in the order of a shuffle do."""
+    @F.pandas_udf("double")
+    def noisy(x: pd.Series) -> pd.Series:
+        return x * (1 + np.random.default_rng().uniform(-1e-13, 1e-13, len(x)))
+
+    return spark.range(n).select(F.lit(1).alias("g"), F.col("id").cast("string").alias("symbol"), noisy.asNondeterministic()((F.col("id") % 5 + 1).cast("double")).alias("x"))
+
+
+def test_buckets_of_unsteady_values_are_whole(spark):
+    r = cross.buckets(_unsteady(spark, 20_000), ["g"], "x", 20, "q").groupBy("q").count().collect()
+    assert {x["q"]: x["count"] for x in r} == {q: 1000 for q in range(1, 21)}
+
+
+def test_window_set_of_unsteady_values(spark):
+    r = aggregates.window_set(_unsteady(spark), ["g"], "x").collect()
+    assert len(r) == 1 and r[0]["n"] == 400 and abs(r[0]["median"] - 3) < 1e-9

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import cross, scan
 from tideline.operators.timeseries import ratio
+from tideline.session import cut_lineage
 
 
 def base_rates(df: DataFrame, group: Sequence[str], y: str = "y") -> DataFrame:
@@ -38,7 +39,7 @@ def mode(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def decile_table(df: DataFrame, feature: str, y: str, k: int = 10) -> DataFrame:
     """Target rate per equal-count bucket of the feature (ties ordered by symbol)."""
-    d = df.where(F.col(feature).isNotNull() & F.col(y).isNotNull()).withColumn("_g", F.lit(0))
+    d = df.where(F.col(feature).isNotNull() & F.col(y).isNotNull()).select(feature, y, "row_key", F.lit(0).alias("_g"))
     d = cross.buckets(d, ["_g"], feature, k, "bucket", tie="row_key")
     return d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("rate"), F.avg(feature).alias("mean_x"))
 
@@ -118,7 +119,9 @@ def auc_ap(df: DataFrame, keys: Sequence[str], score: str, y: str, scale: float
 
 
 def window_set(windows: DataFrame, keys: Sequence[str], value: str = "net_pct") -> DataFrame:
-    """Median/mean/std/share positive/min/max over a set of evaluation windows."""
+    """Median/mean/std/share positive/min/max over a set of evaluation windows. The median reads the windows several
+    times, and their means may come out with another last bit each time, so they are fixed first."""
+    windows = cut_lineage(windows.select(*keys, value))
     med = scan.quantiles(windows, keys, value, [0.5], ["median"])
     g = windows.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),

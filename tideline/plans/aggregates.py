@@ -231,7 +231,7 @@ def windows_table(t):
 y AS (SELECT cfg, min(m) AS worst FROM (SELECT cfg, year(t0), avg(net_pct) AS m FROM win GROUP BY 1, 2) GROUP BY 1)
 SELECT cfg, n, {", ".join(f"{rsql(x, 5)} AS {x}" for x in ("median", "mean", "std", "pct_positive", "min", "max"))}, {rsql('worst', 5)} AS worst_year, median > 0 AND pct_positive >= 0.55 AND worst >= -1 AS passed FROM s JOIN y USING (cfg)""")
 def _(t):
-    w = windows_table(t)
+    w = cut_lineage(windows_table(t))
     s = agg.window_set(w, ["cfg"])
     y = agg.by_year(w, ["cfg"]).groupBy("cfg").agg(F.min("mean").alias("worst"))
     ok = (F.col("median") > 0) & (F.col("pct_positive") >= 0.55) & (F.col("worst") >= -1)
