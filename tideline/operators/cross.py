@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import scan
 from tideline.operators import timeseries as ts
+from tideline.session import cut_lineage
 
 
 def ranks(df: DataFrame, keys: Sequence[str], value: str, tie: str = "symbol") -> DataFrame:
@@ -21,8 +22,9 @@ def ranks(df: DataFrame, keys: Sequence[str], value: str, tie: str = "symbol") -
 
 
 def buckets(df: DataFrame, keys: Sequence[str], value: str, k: int, name: str, tie: str = "symbol") -> DataFrame:
-    """1..k equal-count groups: floor(k * position / n) + 1."""
-    d = ranks(df, keys, value, tie)
+    """1..k equal-count groups: floor(k * position / n) + 1. The ranks read their rows several times, and a sum of
+    doubles may come out with another last bit each time, so the rows are fixed first."""
+    d = ranks(cut_lineage(df), keys, value, tie)
     return d.withColumn(name, (F.floor((F.col("rank_asc") - 1) * float(k) / F.col("n_group")) + 1).cast("long")).drop(
         "rank_asc", "rank_desc")
 
