@@ -512,3 +512,21 @@ def test_buckets_of_unsteady_values_are_whole(spark):
 def test_window_set_of_unsteady_values(spark):
     r = aggregates.window_set(_unsteady(spark), ["g"], "x").collect()
     assert len(r) == 1 and r[0]["n"] == 400 and abs(r[0]["median"] - 3) < 1e-9
+
+
+def test_similarity_without_pruning_sends_no_vector_to_every_cell(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(2000, 16))
+    x[100:110] = x[100]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    y = x.astype(np.float64)
+    hits = y @ y.T >= 0.35
+    for block in (150, 2048):
+        work = spark.sparkContext.accumulator(0)
+        got = {r.id: r.neighbours for r in text.similar(d, "id", "v", 0.35, block=block, counts=True, work=work).collect()}
+        assert [got[i] for i in range(2000)] == (hits.sum(1) - 1).tolist()
+        assert work.value < 0.6 * 2000 ** 2 or block == 2048  # all cells: every pair twice
+    keep = np.r_[0:101, 110:2000]
+    want = {(int(keep[i]), int(keep[j])) for i, j in zip(*np.nonzero(np.triu(hits[np.ix_(keep, keep)], 1)))}
+    assert {(r.a, r.b) for r in text.similar(d.where("id <= 100 OR id >= 110"), "id", "v", 0.35, block=150).collect()} == want

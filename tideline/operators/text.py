@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -60,6 +60,9 @@ def unit(v: Column) -> Column:
 MAX_PIVOTS, PIVOT_SAMPLE = 4096, 16_384
 #: Rings of a cell that does not fit a block.
 RINGS = 32
+#: Entries of a matrix that a task holds at once; most vectors of a block where all block pairs are multiplied; and how many
+#: multiplied pairs of vectors take as long as a vector's copy.
+ENTRIES, WIDE_BLOCK, COPY = 1 << 21, 16_384, 256
 
 
 def _pivots(vectors: DataFrame, vec: str, k: int) -> np.ndarray:
@@ -80,6 +83,51 @@ def _distances(x: np.ndarray, piv: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (piv * piv).sum(1)[None] - 2 * x @ piv.T, 0))
 
 
+def _strips(pdf: pd.DataFrame, width: int):
+    """The rows in parts, as many at once as make ENTRIES entries with ``width`` columns."""
+    rows = max(1, ENTRIES // max(1, width))
+    for k in range(0, len(pdf), rows):
+        yield pdf.iloc[k:k + rows]
+
+
+def _block_pairs(rep: DataFrame, n: int, block: int, idt: str, threshold: float, counts: bool, work) -> DataFrame:
+    """Pairs or partner counts of all n rows of rep(_id, _m, _v): blocks of bounded size, every pair of them a product that
+    is made strip by strip."""
+    blocks = max(1, -(-n // min(WIDE_BLOCK, max(block, -(-n // 16)))))
+    b, k = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    both = rep.select("_id", "_m", "_v", b.alias("_b"), k.alias("_k")).select("_id", "_m", "_v", "_b", F.least("_b", "_k").alias("_p"), F.greatest("_b", "_k").alias("_q"))
+
+    def multiply(batches):
+        pdf = pd.concat(list(batches), ignore_index=True)
+        p, q = int(pdf["_p"].iloc[0]), int(pdf["_q"].iloc[0])
+        h, g = pdf[pdf["_b"] == p], pdf[pdf["_b"] == q]
+        if h.empty or g.empty:
+            return
+        y, gid, gm = np.vstack(g["_v"].to_numpy()).astype(np.float64), g["_id"].to_numpy(), g["_m"].to_numpy()
+        theirs = np.zeros(len(g), "int64")
+        for part in _strips(h, len(g)):
+            hid = part["_id"].to_numpy()
+            if work is not None:
+                work.add(len(part) * len(g))
+            s = np.vstack(part["_v"].to_numpy()).astype(np.float64) @ y.T
+            i, j = np.nonzero(s >= threshold)
+            keep = hid[i] < gid[j] if p == q else slice(None)
+            i, j = i[keep], j[keep]
+            if counts:
+                own = np.bincount(i, gm[j], len(part)).astype("int64")
+                theirs += np.bincount(j, part["_m"].to_numpy()[i], len(g)).astype("int64")
+                yield pd.DataFrame({"a": hid[own > 0], "partners": own[own > 0]})
+            else:
+                yield pd.DataFrame({"a": np.minimum(hid[i], gid[j]), "b": np.maximum(hid[i], gid[j]), "cosine": s[i, j]})
+        if counts:
+            yield pd.DataFrame({"a": gid[theirs > 0], "partners": theirs[theirs > 0]})
+
+    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return multiply(batches)
+
+    return both.groupBy("_p", "_q").applyInPandas(grouped, f"a {idt}, partners long" if counts else f"a {idt}, b {idt}, cosine double")
+
+
 def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots: int | None = None, block: int = 2048, counts: bool = False, work=None) -> DataFrame:
     """Exact pairs (a < b, cosine >= threshold) of unit vectors, or with ``counts`` the number of
     such partners per row. ``work``, an accumulator, counts the multiplied pairs.
@@ -91,7 +139,8 @@ def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots:
     most). Cells are cut into rings by the distance to their pivot, which are blocks of bounded size;
     only block pairs whose rings lie within eps of each other are multiplied as matrices, so no cell,
     however full, sits in one task and only true partners are emitted. Pivots and blocks only
-    prune: any number gives the same result."""
+    prune: any number gives the same result. Where the cells would prune too little to be worth their copies (counted
+    before any is made, unless ``pivots`` is given), all pairs of blocks are multiplied."""
     d = vectors.where(F.col(vec).isNotNull()).withColumn("_v", F.col(vec).cast("array<float>"))
     rep = cut_lineage(d.groupBy("_v").agg(F.min(ident).alias("_id"), F.count(F.lit(1)).alias("_m")))
     piv = _pivots(rep, "_v", pivots or min(MAX_PIVOTS, max(16, math.isqrt(rep.count()))))
@@ -102,15 +151,43 @@ def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots:
 
     def homes(batches):
         for pdf in batches:
-            dist = _distances(np.vstack(pdf["_v"].to_numpy()).astype(np.float64), piv)
-            home = dist.argmin(1)
-            yield pdf.assign(_hc=home.astype("int32"), _d=dist[np.arange(len(pdf)), home])
+            for part in _strips(pdf, len(piv)):
+                dist = _distances(np.vstack(part["_v"].to_numpy()).astype(np.float64), piv)
+                home = dist.argmin(1)
+                yield part.assign(_hc=home.astype("int32"), _d=dist[np.arange(len(part)), home])
 
     rep_type = f"_id {idt}, _m long, _v array<float>"
     at_home = cut_lineage(rep.select("_id", "_m", "_v").mapInPandas(homes, f"{rep_type}, _hc int, _d double"))
     cells = at_home.groupBy("_hc").agg(F.count(F.lit(1)).alias("_size"), F.max("_d").alias("_radius"))
     known = {r["_hc"]: r for r in cells.collect()}  # one row per pivot
     radius = np.array([known[j]["_radius"] if j in known else -1.0 for j in range(len(piv))])
+
+    def reached(x, home, own):
+        """Distances to the pivots, and the cells a vector goes to."""
+        dist = _distances(x, piv)
+        reach = (dist - own[:, None] <= 2 * eps) & (dist <= radius[None, :] + eps) & (radius[None, :] >= 0)
+        reach[np.arange(len(x)), home] = True
+        return dist, reach
+
+    def guests(batches):
+        n = np.zeros(len(piv), "int64")
+        for pdf in batches:
+            for part in _strips(pdf, len(piv)):
+                n += reached(np.vstack(part["_v"].to_numpy()).astype(np.float64), part["_hc"].to_numpy(), part["_d"].to_numpy())[1].sum(0)
+        yield pd.DataFrame({"_hc": np.arange(len(piv), dtype="int32"), "_n": n})
+
+    def counted(found):
+        n = found.groupBy("a").agg(F.sum("partners").alias("_p")).withColumnRenamed("a", "_id")
+        per = rep.join(n, "_id", "left").select("_v", (F.coalesce("_p", F.lit(0)) + F.col("_m") - 1).cast("long").alias("neighbours"))
+        return d.join(per, "_v").select(ident, "neighbours")
+
+    if pivots is None:
+        n = sum(r["_size"] for r in known.values())
+        visits = {r["_hc"]: r["_n"] for r in at_home.select("_v", "_hc", "_d").mapInPandas(guests, "_hc int, _n long").groupBy("_hc").agg(F.sum("_n").alias("_n")).collect()}  # one row per pivot
+        by_cells = sum(r["_size"] * visits[j] for j, r in known.items()) + COPY * sum(visits.values())
+        if by_cells >= n * n / 2 + COPY * n * -(-n // WIDE_BLOCK):
+            found = _block_pairs(rep, n, block, idt, threshold, counts, work)
+            return counted(found) if counts else found
     # ring edges of each cell: as many as its size needs; equal distances share a ring, which a hash cuts further
     full = {j: int(-(-r["_size"] // block)) for j, r in known.items()}
     edges = {}
@@ -122,17 +199,19 @@ def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots:
 
     def place(batches):
         for pdf in batches:
-            x, home, own = np.vstack(pdf["_v"].to_numpy()).astype(np.float64), pdf["_hc"].to_numpy(), pdf["_d"].to_numpy()
-            dist = _distances(x, piv)
-            reach = (dist - own[:, None] <= 2 * eps) & (dist <= radius[None, :] + eps) & (radius[None, :] >= 0)
-            reach[np.arange(len(x)), home] = True
-            i, j = np.nonzero(reach)
-            ring = np.array([np.searchsorted(edges.get(int(c), nothing), v) for c, v in zip(j, dist[i, j])], "int32")
-            ring[home[i] == j] = [np.searchsorted(edges.get(int(c), nothing), v) for c, v in zip(home[i[home[i] == j]], own[i[home[i] == j]])]
-            low = np.array([np.searchsorted(edges.get(int(c), nothing), v - eps) for c, v in zip(j, dist[i, j])], "int32")
-            high = np.array([np.searchsorted(edges.get(int(c), nothing), v + eps) for c, v in zip(j, dist[i, j])], "int32")
-            yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[i], "_m": pdf["_m"].to_numpy()[i], "_v": pdf["_v"].to_numpy()[i], "_cell": j.astype("int32"), "_home": home[i] == j,
-                                "_hc": home[i].astype("int32"), "_ring": ring, "_low": low, "_high": high})
+            for part in _strips(pdf, len(piv) * 16):
+                yield placed_part(part)
+
+    def placed_part(pdf):
+        x, home, own = np.vstack(pdf["_v"].to_numpy()).astype(np.float64), pdf["_hc"].to_numpy(), pdf["_d"].to_numpy()
+        dist, reach = reached(x, home, own)
+        i, j = np.nonzero(reach)
+        ring = np.array([np.searchsorted(edges.get(int(c), nothing), v) for c, v in zip(j, dist[i, j])], "int32")
+        ring[home[i] == j] = [np.searchsorted(edges.get(int(c), nothing), v) for c, v in zip(home[i[home[i] == j]], own[i[home[i] == j]])]
+        low = np.array([np.searchsorted(edges.get(int(c), nothing), v - eps) for c, v in zip(j, dist[i, j])], "int32")
+        high = np.array([np.searchsorted(edges.get(int(c), nothing), v + eps) for c, v in zip(j, dist[i, j])], "int32")
+        return pd.DataFrame({"_id": pdf["_id"].to_numpy()[i], "_m": pdf["_m"].to_numpy()[i], "_v": pdf["_v"].to_numpy()[i], "_cell": j.astype("int32"), "_home": home[i] == j,
+                             "_hc": home[i].astype("int32"), "_ring": ring, "_low": low, "_high": high})
 
     placed = cut_lineage(at_home.mapInPandas(place, f"{rep_type}, _cell int, _home boolean, _hc int, _ring int, _low int, _high int"))
     filled = placed.groupBy("_cell", "_ring").agg(F.count(F.lit(1)).alias("_size")).withColumn("_nb", F.ceil(F.col("_size") / block).cast("int")).select("_cell", "_ring", "_nb")
@@ -168,11 +247,7 @@ def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots:
         return pd.DataFrame({"a": a, "b": b, "cosine": s[i, j]})
 
     found = both.groupBy("_cell", "_hr", "_hb", "_gr", "_gb").applyInPandas(multiply, out_schema)
-    if not counts:
-        return found
-    n = found.groupBy("a").agg(F.sum("partners").alias("_p")).withColumnRenamed("a", "_id")
-    per = rep.join(n, "_id", "left").select("_v", (F.coalesce("_p", F.lit(0)) + F.col("_m") - 1).cast("long").alias("neighbours"))
-    return d.join(per, "_v").select(ident, "neighbours")
+    return counted(found) if counts else found
 
 
 def trust(df: DataFrame, weights: dict[str, float] | None = None, default: float = 0.5) -> Column:
@@ -209,7 +284,7 @@ def dbscan(vectors: DataFrame, ident: str, vec: str, cosine: float, min_samples:
     """Density clusters of unit vectors (eps as a cosine): core rows joined through near pairs, the
     rest attached to the smallest neighbouring cluster or noise (-1). Equal vectors count with
     their multiplicity and share one label."""
-    d = vectors.where(F.col(vec).isNotNull()).withColumn("_v", F.col(vec).cast("array<float>"))
+    d = vectors.where(F.col(vec).isNotNull()).select(ident, F.col(vec).cast("array<float>").alias("_v"))
     rep = cut_lineage(d.groupBy("_v").agg(F.min(ident).alias("id"), F.count(F.lit(1)).alias("m")))
     pairs = cut_lineage(similar(rep.select("id", "_v"), "id", "_v", cosine))
     sides = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
