@@ -530,3 +530,11 @@ def test_similarity_without_pruning_sends_no_vector_to_every_cell(spark):
     keep = np.r_[0:101, 110:2000]
     want = {(int(keep[i]), int(keep[j])) for i, j in zip(*np.nonzero(np.triu(hits[np.ix_(keep, keep)], 1)))}
     assert {(r.a, r.b) for r in text.similar(d.where("id <= 100 OR id >= 110"), "id", "v", 0.35, block=150).collect()} == want
+
+
+def test_feature_moments_shuffle_single_rows(spark):
+    d = spark.createDataFrame([(float(k % 7), None if k % 4 == 0 else 1.0 * k) for k in range(100)] + [(1000.0, 1.0)], "a double, b double")
+    m = aggregates.moments(d, ["a", "b"])
+    got = {r["feature"]: r for r in m.collect()}
+    assert got["a"]["outliers"] == pytest.approx(1 / 101) and got["b"]["coverage"] == pytest.approx(76 / 101)
+    assert got["a"]["mean"] == pytest.approx(np.mean([k % 7 for k in range(100)] + [1000])) and "hashpartitioning" not in m._jdf.queryExecution().executedPlan().toString()

@@ -60,14 +60,14 @@ def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFrame
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Mean, std, skew, share beyond three sigmas and coverage of each column."""
-    long = unpivot(df, [], cols)
-    stats = long.groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.skewness("value").alias("skew"),
-        (F.count("value") / F.count(F.lit(1))).alias("coverage"))
-    far = F.avg((F.abs(F.col("value") - F.col("mean")) > 3 * F.col("std")).cast("double")).alias("outliers")
-    tails = long.join(stats, "feature").where("value IS NOT NULL").groupBy("feature").agg(far)
-    return stats.join(tails, "feature")
+    """Mean, std, skew, share beyond three sigmas and coverage of each column, from two passes that shuffle one row a task."""
+    d = df.select(*[F.col(x).cast("double").alias(x) for x in cols])
+    stats = {"mean": F.avg, "std": F.stddev_samp, "skew": F.skewness, "coverage": lambda x: F.count(x) / F.count(F.lit(1))}
+    one = d.agg(*[F.struct(*[f(x).alias(k) for k, f in stats.items()]).alias(f"_{x}") for x in cols])
+    far = d.crossJoin(F.broadcast(one)).agg(  # one row
+        *[F.avg((F.abs(F.col(x) - F.col(f"_{x}.mean")) > 3 * F.col(f"_{x}.std")).cast("double")).alias(f"_far_{x}") for x in cols])
+    items = F.array(*[F.struct(F.lit(x).alias("feature"), F.col(f"_{x}").alias("_s"), F.col(f"_far_{x}").alias("outliers")) for x in cols])
+    return one.crossJoin(F.broadcast(far)).select(F.explode(items).alias("r")).select("r.feature", "r._s.*", "r.outliers")  # one row x one row
 
 
 def compounded(ret: str) -> Column:
