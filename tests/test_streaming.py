@@ -92,3 +92,81 @@ def test_staleness_by_the_clock_needs_no_new_input(spark, folder):
         assert {r["symbol"] for r in spark.table(name).collect()} == {"a", "b"}
     finally:
         q.stop()
+
+
+class _State:
+    """A state variable in memory."""
+
+    def __init__(self):
+        self.rows, self.calls = None, 0
+
+    def exists(self):
+        self.calls += 1
+        return self.rows is not None
+
+    def get(self):
+        self.calls += 1
+        return self.rows
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = rows
+
+    update = put
+
+    def appendList(self, rows):
+        self.put((self.rows or []) + list(rows))
+
+    def clear(self):
+        self.put(None)
+
+
+class _Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getListState(self, name, *schema):
+        return self.states.setdefault(name, _State())
+
+    getValueState = getMapState = getListState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 10**12
+
+
+def test_a_key_needs_one_timer_for_many_entries():
+    handle = _Handle()
+    p = jobs.Staleness(60, False)
+    p.init(handle)
+    list(p.handleInputRows(("a",), iter([pd.DataFrame({"at": [100_000_000 * k for k in range(1000)]})]), handle))
+    assert handle.timers == [60_000]
+    out = pd.concat(list(p.handleExpiredTimer(("a",), handle, None)))
+    assert len(out) == 1000 and handle.timers == [60_000] and handle.states["entries"].calls < 8
+
+
+def test_ordered_rows_need_one_timer_for_many_hours():
+    handle = _Handle()
+    p = jobs.GridRebalance("1970-01-01")
+    p.init(handle)
+    rows = pd.DataFrame({"at": [3_600_000_000 * k for k in range(400)], "event_id": range(400), "asset": "x", "value": 1.0})
+    list(p.handleInputRows((1,), iter([rows]), handle))
+    assert handle.timers == [3_600_000] and handle.states["waiting"].calls < 4
+
+
+def test_keyed_results_leave_in_parts():
+    handle, n = _Handle(), 20_000
+    p = jobs.RunningSpend()
+    p.init(handle)
+    rows = pd.DataFrame({"symbol": "a", "ts": pd.date_range("2024-01-01", periods=n, freq="s")[::-1], "event_id": range(n), "value": 1.0})
+    out = list(p.handleInputRows(("a",), iter([rows[:7000], rows[7000:]]), handle))
+    assert len(out) == 3 and pd.concat(out)["spent"].tolist() == [float(k + 1) for k in range(n)] and pd.concat(out)["event_id"].iloc[0] == n - 1
+
+
+def test_totals_sort_nothing(spark):
+    d = spark.createDataFrame([("a", START.to_pydatetime(), 1.0), ("a", (START + pd.Timedelta("30min")).to_pydatetime(), 2.0)], "event_type string, ts timestamp, value double")
+    t = jobs.totals(d, "2 hours", "1 hour", "1 hour")
+    assert "SortAggregate" not in t._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["n"], r["total"]) for r in t.collect()) == [(2, 3.0), (2, 3.0)]

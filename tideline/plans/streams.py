@@ -58,7 +58,7 @@ def _(t):
 @query("R04_sliding_window", f"""WITH w AS (SELECT event_type AS symbol, CAST(date_trunc('hour', ts) AS TIMESTAMP) - INTERVAL 1 HOUR * k AS ts, value FROM events, (SELECT unnest(range(24)) AS k))
 SELECT symbol, CAST(ts AS TIMESTAMP) AS ts, count(*) AS n, {rsql('sum(value)', 4)} AS total FROM w WHERE ts + INTERVAL 24 HOUR <= {CLOSED} GROUP BY 1, 2""")
 def _(t):
-    return jobs.drain(jobs.candles(stream(t), "24 hours", "2 hours", "1 hour")).select("symbol", "ts", "n", rnd("total", 4).alias("total"))
+    return jobs.drain(jobs.totals(stream(t), "24 hours", "2 hours", "1 hour")).select("symbol", "ts", "n", rnd("total", 4).alias("total"))
 
 
 @query("R05_delayed_outcomes", f"""WITH o AS (SELECT a.event_id, any_value(a.event_type) AS symbol, any_value(a.ts) AS ts, arg_min(b.event_id, row(b.ts, b.event_id)) AS out_id, arg_min(b.value, row(b.ts, b.event_id)) AS out_value

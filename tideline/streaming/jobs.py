@@ -4,8 +4,9 @@ from __future__ import annotations
 import bisect
 import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,13 @@ def candles(stream: DataFrame, width: str, delay: str, slide: str | None = None)
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("event_type").alias("symbol"), F.col("w.start").cast("timestamp_ntz").alias("ts"), F.col("w.end").cast("timestamp_ntz").alias("ts_end"), "open", "high", "low", "close", "n", "total")
 
 
+def totals(stream: DataFrame, width: str, delay: str, slide: str) -> DataFrame:
+    """Count and sum of overlapping buckets, emitted once the watermark has closed them. Both are numbers of fixed size, so
+    a task folds the copies of its rows into one entry a bucket and sorts nothing."""
+    return stream.withWatermark("ts", delay).groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(
+        F.col("event_type").alias("symbol"), F.col("w.start").cast("timestamp_ntz").alias("ts"), F.col("w.end").cast("timestamp_ntz").alias("ts_end"), "n", "total")
+
+
 def late_upsert(stream: DataFrame, table: str, keys: list[str], version: str, partition: list[str], recompute: Callable[[DataFrame], DataFrame]) -> None:
     """Each micro-batch recomputes the rows its keys affect and replaces them by key."""
 
@@ -140,7 +148,8 @@ def outcomes(stream: DataFrame, hours: int, delay: str, tolerance_s: int = 3600,
 
 class _Ordered(StatefulProcessor):
     """Handles a key's rows in time order whatever the micro-batch they come in: rows wait in a list state until an
-    event-time timer, at the end of their hour, says that no earlier one can come."""
+    event-time timer, at the end of their hour, says that no earlier one can come. A key needs one timer, for its earliest
+    hour: it handles all hours that have ended by then at once."""
 
     row_schema = "at long, event_id long, asset string, value double"
     step_ms = 3_600_000
@@ -149,23 +158,31 @@ class _Ordered(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.row_schema)
 
+    def due(self, row: tuple) -> int:
+        return (row[0] // 1000 // self.step_ms + 1) * self.step_ms
+
     def handleInputRows(self, key, rows, timerValues):
         new = [r for pdf in rows for r in pdf[[c.split()[0] for c in self.row_schema.split(", ")]].itertuples(index=False, name=None)]
         self.waiting.appendList(new)
-        for end in {(r[0] // 1000 // self.step_ms + 1) * self.step_ms for r in new}:
-            self.handle.registerTimer(end)
+        self.handle.registerTimer(min(map(self.due, new)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        later = [r for r in rows if r[0] >= end]
-        self.waiting.put(later) if later else self.waiting.clear()
-        out = [x for x in (self.step(key, r) for r in sorted(r for r in rows if r[0] < end)) if x is not None]
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        ready, later = [r for r in rows if self.due(r) <= now], [r for r in rows if self.due(r) > now]
+        if later:
+            if ready:
+                self.waiting.put(later)
+            self.handle.registerTimer(self.due(later[0]))
+        else:
+            self.waiting.clear()
+        out = list(self.steps(key, ready)) if ready else []
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
-    def step(self, key, row: tuple) -> tuple | None:
+    def steps(self, key, rows: list[tuple]) -> Iterator[tuple]:
+        """What the rows, in order, make; the state is read and written once."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -187,24 +204,29 @@ class GridRebalance(_Ordered):
         self.period = handle.getValueState("period", "period long")
         self.held = handle.getMapState("held", "asset string", "price double, weight double, base double")
 
-    def step(self, key, row):
-        at, event_id, asset, value = row
+    def steps(self, key, rows):
         held = {k[0]: tuple(v) for k, v in self.held.iterator()} if self.held.exists() else {}
-        weight, base = held.get(asset, (0.0, 0.0, value))[1:]
-        held[asset] = (value, weight, base)
-        day = at // (86_400 * MICROS) - self.anchor
-        period = day // self.days
-        if self.period.exists() and period <= self.period.get()[0]:
-            self.held.updateValue((asset,), held[asset])
-            return None
-        drift = {k: w * price / b for k, (price, w, b) in held.items()}
-        total = sum(drift.values()) or 1.0
-        target = 1.0 / len(held)
-        turnover = sum(abs(target - d / total) for d in drift.values())
-        for k, (price, _, _) in held.items():
-            self.held.updateValue((k,), (price, target, price))
-        self.period.update((period,))
-        return key[0], event_id, period, day % self.days != 0, len(held), turnover
+        was, done = dict(held), self.period.get()[0] if self.period.exists() else None
+        last = done
+        for at, event_id, asset, value in rows:
+            weight, base = held.get(asset, (0.0, 0.0, value))[1:]
+            held[asset] = (value, weight, base)
+            day = at // (86_400 * MICROS) - self.anchor
+            period = day // self.days
+            if last is not None and period <= last:
+                continue
+            drift = {k: w * price / b for k, (price, w, b) in held.items()}
+            total = sum(drift.values()) or 1.0
+            target = 1.0 / len(held)
+            turnover = sum(abs(target - d / total) for d in drift.values())
+            held = {k: (price, target, price) for k, (price, _, _) in held.items()}
+            last = period
+            yield key[0], event_id, period, day % self.days != 0, len(held), turnover
+        for k, v in held.items():
+            if was.get(k) != v:
+                self.held.updateValue((k,), v)
+        if last != done:
+            self.period.update((last,))
 
 
 def rebalances(stream: DataFrame, anchor: str, delay: str, days: int = 7) -> DataFrame:
@@ -215,7 +237,8 @@ def rebalances(stream: DataFrame, anchor: str, delay: str, days: int = 7) -> Dat
 
 class Staleness(StatefulProcessor):
     """A hold row for every entry that no other one follows within the limit. With event-time timers the entries of the
-    last `limit` wait in a list state, so that entries of one micro-batch and late ones are judged by their own times.
+    last `limit` wait in a list state, so that entries of one micro-batch and late ones are judged by their own times; a
+    key's timer stands for its earliest entry and judges all that are due by then.
     With processing-time timers the clock of the cluster counts: the newest entry holds unless another one has come by
     then, and the row appears without any new input."""
 
@@ -224,6 +247,9 @@ class Staleness(StatefulProcessor):
     def __init__(self, limit_s: int, by_clock: bool):
         self.limit_s, self.by_clock = limit_s, by_clock
 
+    def due(self, at: int) -> int:
+        return -(-at // 1000) + self.limit_s * 1000
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.entries = handle.getListState("entries", "at long")
@@ -238,21 +264,26 @@ class Staleness(StatefulProcessor):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.limit_s * 1000)
         else:
             self.entries.appendList([(x,) for x in new])
-            for x in new:
-                self.handle.registerTimer(-(-x // 1000) + self.limit_s * 1000)
+            self.handle.registerTimer(self.due(new[0]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         held = sorted(x for (x,) in self.entries.get()) if self.entries.exists() else []
-        due = expiredTimerInfo.getExpiryTimeInMs() - self.limit_s * 1000
         out = []
         if self.by_clock:
             out = [(held[-1], held[-1] + self.limit_s * MICROS)] if held else []
         else:
-            own = [x for x in held if -(-x // 1000) == due]
-            out = [(x, x + self.limit_s * MICROS) for x in own[-1:] if not any(x < y <= x + self.limit_s * MICROS for y in held)]
-            later = [(x,) for x in held if -(-x // 1000) > due]
-            self.entries.put(later) if later else self.entries.clear()
+            held = sorted(set(held))
+            now, limit = timerValues.getCurrentWatermarkInMs(), self.limit_s * MICROS
+            ready = [x for x in held if self.due(x) <= now]
+            out = [(x, x + limit) for x, y in zip(ready, [*held[1:], None]) if y is None or y > x + limit]
+            later = held[len(ready):]
+            if later:
+                if ready:
+                    self.entries.put([(x,) for x in later])
+                self.handle.registerTimer(self.due(later[0]))
+            else:
+                self.entries.clear()
         if out:
             yield pd.DataFrame([(key[0], *o) for o in out], columns=self.columns)
 
@@ -268,9 +299,11 @@ def holds(stream: DataFrame, limit_s: int, delay: str, by_clock: bool = False) -
 
 
 class _Keyed(StatefulProcessor):
-    """One value state per key; rows of a micro-batch are handled in time order."""
+    """One value state per key; rows of a micro-batch are handled in time order. Of a key's rows only three numbers each
+    are held at once; their results leave in parts."""
 
     schema = "x double"
+    part_rows = 8192
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", self.schema)
@@ -282,15 +315,20 @@ class _Keyed(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        parts = [(pdf["ts"].to_numpy("datetime64[ns]").copy(), pdf["event_id"].to_numpy("int64").copy(), pdf["value"].to_numpy("float64").copy()) for pdf in rows]
+        at, ident, value = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.lexsort((ident, at))
         state = tuple(self.state.get()) if self.state.exists() else self.start()
-        out = []
-        for row in pdf.itertuples(index=False):
-            state, emit = self.step(state, key, row)
-            if emit is not None:
-                out.append(emit)
+        for k in range(0, len(order), self.part_rows):
+            part = order[k:k + self.part_rows]
+            out = []
+            for row in pd.DataFrame({"ts": at[part], "event_id": ident[part], "value": value[part]}).itertuples(index=False):
+                state, emit = self.step(state, key, row)
+                if emit is not None:
+                    out.append(emit)
+            yield pd.DataFrame(out, columns=self.columns)
         self.state.update(state)
-        yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
