@@ -188,6 +188,24 @@ def test_netting_flips_to_short_and_back(spark):
     assert r.entry_price == pytest.approx((3 * 110 + 90) / 4) and r.realised == pytest.approx(20 + (105 - 80))
 
 
+def test_short_series_take_one_exchange_and_equal_the_pieces(spark):
+    rng = np.random.default_rng(5)
+    n = 300
+    d = pd.DataFrame({"action": rng.choice(["BUY", "SELL"], n), "quantity": rng.integers(1, 9, n).astype(float), "price": rng.uniform(10, 20, n).round(2), "account": rng.integers(0, 6, n), "symbol": rng.choice(["X", "Y"], n)})
+    d["ts"] = pd.date_range("2023-12-01", periods=n, freq="6h")
+    d = d.assign(status="FILLED", fee=0.5, cost=d.quantity * d.price)
+    f = spark.createDataFrame(d, "action string, quantity double, price double, account long, symbol string, ts timestamp_ntz, status string, fee double, cost double")
+    for name, of in (("cost", ledger.cost_summary), ("net", ledger.positions)):
+        folded, cut, both = (of(f, rows=rows) for rows in (1000, 3, 25))  # 25: some series in one piece, some in two
+        keys = ["account", "symbol"]
+        want = folded.toPandas().sort_values(keys, ignore_index=True)
+        for other in (cut, both):
+            pd.testing.assert_frame_equal(want, other.select(*folded.columns).toPandas().sort_values(keys, ignore_index=True))
+        assert folded._jdf.queryExecution().sparkPlan().toString().count("Exchange") + folded._jdf.queryExecution().optimizedPlan().toString().count("Repartition") <= 2, name
+    rows = ledger.net_positions(f).groupBy("account", "symbol").agg(F.sum("realised").alias("r")).join(ledger.positions(f), ["account", "symbol"])
+    assert rows.where("abs(r - realised) > 1e-9").isEmpty()
+
+
 def test_roll_forward_matches_hand_computation(spark):
     rows = [("p", "2024-01-01", "A", "BUY", 0.5, 0.1, 0.10, 1.0), ("p", "2024-01-02", "A", "BUY", 0.5, 0.1, -0.05, 1.0), ("p", "2024-01-03", "A", "HOLD", 0.0, 0.1, 0.0, 1.0)]
     d = spark.createDataFrame(pd.DataFrame(rows, columns="portfolio ts symbol direction confidence vol ret mult".split()).assign(ts=lambda x: pd.to_datetime(x.ts)))

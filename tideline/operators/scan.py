@@ -10,6 +10,7 @@ symbol holds a third of all rows that task is the job. Everything here therefore
 ``running``       unbounded frames (cumulative sum/max/min/last): a local window per piece
                   plus a carry from the (tiny) table of piece totals
 ``affine_scan``   v[t] = a[t]*v[t-1] + b[t]: pieces compose, so this is a two-level scan
+``folds``         states along short series in one exchange; ``split_long`` tells the long ones, which need pieces
 ``relay``         state machines: every piece says what it makes of any state, the answers are
                   chained, then every piece runs from the state it really begins with
 ``chain``         rows reached by jumping from row to row, as a relay
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.session import cut_lineage
+
 BLOCK_ROWS = 8192  # rows of one series handled by one task
 EDGES = 64  # value buckets per group for exact ranking, at least; as many as shuffle partitions
 
@@ -249,6 +252,49 @@ def streamed(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn, schem
     return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(fn, schema)
 
 
+def split_long(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of series of at most ``rows`` rows, which need no pieces, and rows of the longer ones (None if there are none).
+    Rows with a null key are in neither."""
+    size = rows or BLOCK_ROWS
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    long = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size).drop("_n"))
+    if long.isEmpty():
+        return df, None
+    return df.join(long, list(keys), "left_anti"), df.join(long, list(keys), "left_semi")
+
+
+def folds(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: dict[str, Column], start: tuple, step: Callable[..., tuple], names: Sequence[str], last: bool = False) -> DataFrame:
+    """States ``names`` (doubles) that ``state = step(*state, *inputs)`` takes along each series from ``start``: behind every
+    row, or with ``last`` one row a key with its last state. One exchange and one sort; a series is read by one task, which
+    keeps its state alone, so long ones are better cut into pieces. A NaN state is null in the result."""
+    keys, names, kept = list(keys), list(names), df.columns
+    d = df.withColumns({f"_i{k}": c.cast("double") for k, c in enumerate(inputs.values())})
+    values = [f"_i{k}" for k in range(len(inputs))]
+    if last:
+        d = d.select(*dict.fromkeys([*keys, *order, *values]))
+    states = [T.StructField(n, T.DoubleType()) for n in names]
+    schema = T.StructType([*([df.schema[k] for k in keys] if last else df.schema.fields), *states])
+
+    def run(batches):
+        key, state = None, start
+        for pdf in batches:
+            out = []
+            for now, *x in zip(zip(*(pdf[k].tolist() for k in keys)), *(pdf[v].tolist() for v in values)):
+                if now != key:
+                    if last and key is not None:
+                        out.append((*key, *state))
+                    key, state = now, start
+                state = step(*state, *x)
+                if not last:
+                    out.append(state)
+            yield pd.DataFrame(out, columns=schema.names) if last else pd.concat([pdf[kept], pd.DataFrame(out, columns=names, index=pdf.index)], axis=1)
+        if last and key is not None:
+            yield pd.DataFrame([(*key, *state)], columns=schema.names)
+
+    return streamed(d, keys, order, run, schema)
+
+
 def relay(cut: DataFrame, keys: Sequence[str], summarise, step, start, replay, schema: T.StructType | str) -> DataFrame:
     """State machine over pieces (``_pos``, ``_blk`` of ``pieces``), so that no task holds a series.
 
