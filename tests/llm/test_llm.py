@@ -229,6 +229,26 @@ def test_passages_of_copies_and_inserts(spark, docs, empty, clash):
         assert {(r["doc_id"], r["source_doc_id"]) for r in compact_windows.repeated_passages(table).collect()} == {(7, 6)}
 
 
+def test_near_passages_are_connected_whatever_leads(spark):
+    """Triples A < B < C: B and C have a passage at 0.8 without 50 equal words, A a variant of it under the similarity to both."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(60):
+        passage = [f"p{w}" for w in rng.integers(0, 1 << 40, 100)]
+        for j, edits in enumerate(((12, 37, 62, 87), (31,), (66,))):
+            body = [f"x{k}.{j}.{at}" if at in edits else w for at, w in enumerate(passage)]
+            rows.append((3 * k + j, " ".join(body + [f"f{w}" for w in rng.integers(0, 1 << 40, 40)])))
+    found = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert all(r["source_doc_id"] // 3 == r["doc_id"] // 3 and r["similarity"] >= 0.8 for r in found)
+    linked = {(r["source_doc_id"], r["doc_id"]) for r in found}
+    assert sum((3 * k + 1, 3 * k + 2) in linked for k in range(60)) >= 58  # 0.2 ** 4 of such pairs share no minimum
+
+
+def test_common_counts_elements_of_every_pair():
+    lists = [np.array(x, np.uint16) for x in ([1, 1, 2], [1, 3], [4], [])]
+    assert compact_windows.common(lists).tolist() == [[3, 2, 0, 0], [1, 2, 0, 0], [0, 0, 1, 0], [0, 0, 0, 0]]
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_exact_passages_are_connected_whatever_leads(spark, parts):
     """Triples A < B < C: B and C share a passage word for word, A is a variant of it under the similarity."""
