@@ -492,6 +492,12 @@ def test_student_t_tail(spark):
             assert r.p == pytest.approx(1 - 2 * area, abs=1e-9)
 
 
+def test_silhouettes_carry_no_centroids_on_rows(spark):
+    d = spark.createDataFrame([(i, [float(i % 7), float(i % 3)], i % 4) for i in range(40)], "id int, v array<double>, cluster_id int")
+    plan = text.silhouettes(d, "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInPandas" in plan
+
+
 def test_silhouettes_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(v) for v in rng.normal(3 * (i % 3), 1, 4)], -1 if i == 7 else 9 if i == 8 else i % 3) for i in range(40)]

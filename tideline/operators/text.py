@@ -305,13 +305,13 @@ def cluster_quality(df: DataFrame, vec: str, label: str = "cluster_id") -> DataF
     glob = long.groupBy("i").agg(F.avg("x").alias("g"))
     per = cen.join(glob, "i").groupBy(label).agg(
         F.max("n").alias("n"), F.sum(F.col("xx") - F.col("n") * F.col("c") * F.col("c")).alias("within"), F.sum(F.col("n") * F.pow(F.col("c") - F.col("g"), 2)).alias("between"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("i", "c")))).alias("cen"))
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda e: e["c"]).alias("cen"))
     dist = df.where(F.col(label) != -1).join(per.select(label, "cen"), label)
-    sq = F.aggregate(F.transform(vec, lambda x, i: x - F.element_at("cen", i)), F.lit(0.0), lambda a, x: a + x * x)
+    sq = F.aggregate(F.zip_with(vec, "cen", lambda x, c: x - c), F.lit(0.0), lambda a, x: a + x * x)
     spread = dist.groupBy(label).agg(F.avg(F.sqrt(sq)).alias("s"))
     c = per.join(spread, label)
     a, b = c.select(F.col(label).alias("l1"), F.col("s").alias("s1"), F.col("cen").alias("c1")), c.select(F.col(label).alias("l2"), F.col("s").alias("s2"), F.col("cen").alias("c2"))
-    gap = F.sqrt(F.aggregate(F.map_entries("c1"), F.lit(0.0), lambda acc, e: acc + F.pow(e["value"] - F.element_at("c2", e["key"]), 2)))
+    gap = F.sqrt(F.aggregate(F.zip_with("c1", "c2", lambda x, y: x - y), F.lit(0.0), lambda acc, x: acc + x * x))
     # centroids only: k rows, k is the number of clusters
     db = a.join(b, F.col("l1") != F.col("l2")).groupBy("l1").agg(F.max((F.col("s1") + F.col("s2")) / F.nullif(gap, F.lit(0.0))).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
     k, n = F.count(F.lit(1)), F.sum("n")
@@ -327,22 +327,40 @@ def silhouette(df: DataFrame, vec: str, label: str = "cluster_id") -> float:
 
 def silhouettes(df: DataFrame, vec: str, label: str = "cluster_id") -> DataFrame:
     """Rows that are no noise with the silhouette of their squared distances: own and nearest other mean distance come
-    from counts, centroids and sums of squares. These make one row, as long as there are clusters; a row alone in its
-    cluster has 0, without a second cluster it is null."""
+    from counts, centroids and sums of squares: one row a cluster, fetched and sent to every task, where the distances are
+    matrix products. A row alone in its cluster has 0, without a second cluster it is null."""
     on = df.where(F.col(label) != -1)
     long = on.select(label, F.posexplode(vec).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     per = long.groupBy(label, "i").agg(F.avg("x").alias("c"), F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * F.col("x")).alias("xx")).groupBy(label).agg(
         F.max("n").alias("n"), F.sum("xx").alias("xx"), F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda e: e["c"]).alias("c"))
-    every = per.agg(F.collect_list(F.struct(F.col(label).alias("of"), "n", "xx", "c")).alias("_every"))
-    x = F.transform(vec, lambda v: v.cast("double"))
-    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda acc, y: acc + y)
-    d = on.crossJoin(F.broadcast(every)).withColumn("_x", x)  # one row
-    d = d.withColumn("_far", F.transform("_every", lambda e: F.struct(e["of"].alias("of"), e["n"].alias("n"), (dot(F.col("_x"), F.col("_x")) + e["xx"] / e["n"] - 2 * dot(F.col("_x"), e["c"])).alias("d"))))
-    own = F.filter("_far", lambda e: e["of"] == F.col(label))[0]
-    a = own["n"] * own["d"] / F.nullif(own["n"] - 1, F.lit(0))
-    b = F.array_min(F.transform(F.filter("_far", lambda e: e["of"] != F.col(label)), lambda e: e["d"]))
-    s = F.when(b.isNull(), F.lit(None)).when(own["n"] == 1, 0.0).otherwise((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)))
-    return d.withColumn("silhouette", s.cast("double")).drop("_every", "_x", "_far")
+    every = per.collect()  # one row a cluster
+    index = {r[label]: i for i, r in enumerate(every)}
+    n, centre = np.array([r["n"] for r in every], float), np.array([r["c"] for r in every], float)
+    mean = np.array([r["xx"] for r in every]) / n
+    schema = T.StructType([*on.schema.fields, T.StructField("silhouette", T.DoubleType())])
+    step = max(1, (4 << 20) // max(len(every), 1))  # distances held at once
+
+    def score(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        far = (x * x).sum(axis=1)[:, None] + mean - 2 * (x @ centre.T)
+        rows, size = np.arange(len(x)), n[at]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a = size * far[rows, at] / (size - 1)
+            far[rows, at] = np.inf
+            b = far.min(axis=1)
+            s = np.where(size == 1, 0.0, (b - a) / np.maximum(a, b))
+        return np.where(np.isfinite(b) & np.isfinite(s), s, np.nan)
+
+    def run(batches):
+        for pdf in batches:
+            out = np.full(len(pdf), np.nan)
+            known = np.flatnonzero(pdf[vec].notna().to_numpy() & pdf[label].isin(index).to_numpy())
+            for lo in range(0, len(known), step):
+                rows = known[lo:lo + step]
+                x = np.vstack(pdf[vec].to_numpy()[rows]).astype(float)
+                out[rows] = score(x, np.array([index[v] for v in pdf[label].to_numpy()[rows].tolist()]))
+            yield pdf.assign(silhouette=out)
+
+    return on.mapInPandas(run, schema)
 
 
 def rank_clusterings(found: dict[str, DataFrame], vec: str) -> DataFrame:
