@@ -482,6 +482,18 @@ def test_adjacent_copies_of_a_row_are_cut_alike(spark, parts):
     assert spans_of(table) == brute_spans(rows)
 
 
+@pytest.mark.parametrize("parts", [2, 40])
+def test_marks_are_a_row_a_document_in_any_number_of_shards(spark, parts):
+    rng = np.random.default_rng(4)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 10**9, 900))
+    rows = [(d, d, text if d % 2 else text[::-1]) for d in range(24)]
+    table = spark.createDataFrame(rows, "doc_id bigint, row bigint, text string").repartition(3)
+    found = suffix_dedup.marks(table, parts).collect()
+    assert sorted(r["row"] for r in found) == list(range(2, 24))
+    assert {len(r["marks"]) for r in found} == {len(suffix_dedup.anchors(suffix_dedup.Prefix(b), np.array([0, len(b)]))[0]) for b in (np.frombuffer(t.encode(), np.uint8) for t in (text, text[::-1]))}
+    assert {len(r["shards"]) // 4 for r in found} <= set(range(1, parts + 1))
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(8)
     text = lambda n: bytes(int(x) for x in rng.choice(list(b"ab"), n))

@@ -125,10 +125,11 @@ def gathered(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(run, "shard int, docs binary, rows binary, counts binary, sent binary, codes binary, around binary, halves binary")
 
 
-def marked(parts: pd.DataFrame) -> pd.DataFrame:
-    """For each document and shard the anchors (by rank there) that are FULL copies of a smaller document's surroundings,
-    and those that are first of their kind while other documents have the anchor and half of the surroundings (TEXT). The
-    copies of a repeated row have equal marks, and only one of them is returned."""
+def marked(parts: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """A shard's anchors (by rank there) that are FULL copies of a smaller document's surroundings, and those that are
+    first of their kind while other documents have the anchor and half of the surroundings (TEXT): packed by document
+    (row), and a row for each bucket of documents. The copies of a repeated row have equal marks, and only one of them is
+    returned."""
     docs = [np.frombuffer(x, np.int64) for x in parts["docs"]]
     rows = [np.frombuffer(x, np.int64) for x in parts["rows"]]
     counts = np.concatenate([np.frombuffer(x, "<u4") for x in parts["counts"]]).astype(np.int64)
@@ -167,21 +168,64 @@ def marked(parts: pd.DataFrame) -> pd.DataFrame:
     ends = np.append(cut[1:], len(keep))
     rank, value_all = rank[keep].astype("<u4"), value_all[keep]
     row, one = np.unique(np.concatenate(rows)[owner[keep][cut]], return_index=True)
-    cut, ends = cut[one], ends[one]
-    return pd.DataFrame({"row": row, "shard": parts["shard"].iloc[0], "ranks": [rank[x:y].tobytes() for x, y in zip(cut, ends)], "marks": [value_all[x:y].tobytes() for x, y in zip(cut, ends)]})
-
-
-def applied(marks: list, code: np.ndarray, parts: int) -> np.ndarray:
-    """The mark of each anchor of one document."""
+    bucket = row % buckets
+    order = np.argsort(bucket, kind="stable")
+    row, bucket, cut, n = row[order], bucket[order], cut[one][order], (ends - cut)[one][order]
+    own = ranges(cut, n)
+    rank, value_all, at = rank[own], value_all[own], np.concatenate([[0], np.cumsum(n)])
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(row) else np.zeros(0, np.int64)
+    pieces = list(zip(edge, np.append(edge[1:], len(row))))
+    return pd.DataFrame({
+        "bucket": bucket[edge], "shard": parts["shard"].iloc[0], "rows": [row[x:y].tobytes() for x, y in pieces], "counts": [n[x:y].astype("<u4").tobytes() for x, y in pieces],
+        "ranks": [rank[at[x]:at[y]].tobytes() for x, y in pieces], "marks": [value_all[at[x]:at[y]].tobytes() for x, y in pieces]})
+
+
+def merged(parts: pd.DataFrame) -> pd.DataFrame:
+    """One row a document: the shards that mark it, how many of its anchors each of them marks, and those."""
+    row, n, rank, value = (np.concatenate([np.frombuffer(x, t) for x in parts[c]]) for c, t in (("rows", np.int64), ("counts", "<u4"), ("ranks", "<u4"), ("marks", np.uint8)))
+    shard = np.repeat(parts["shard"].to_numpy(), [len(x) // 8 for x in parts["rows"]]).astype("<u4")
+    n = n.astype(np.int64)
+    order = np.argsort(row, kind="stable")
+    own = ranges((np.cumsum(n) - n)[order], n[order])
+    row, shard, n, rank, value = row[order], shard[order], n[order], rank[own], value[own]
+    at = np.concatenate([[0], np.cumsum(n)])
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    pieces = list(zip(first, np.append(first[1:], len(row))))
+    n = n.astype("<u4")
+    return pd.DataFrame({
+        "row": row[first], "shards": [shard[x:y].tobytes() for x, y in pieces], "counts": [n[x:y].tobytes() for x, y in pieces],
+        "ranks": [rank[at[x]:at[y]].tobytes() for x, y in pieces], "marks": [value[at[x]:at[y]].tobytes() for x, y in pieces]})
+
+
+MARKS = "row bigint, shards binary, counts binary, ranks binary, marks binary"
+
+
+def marks(docs: DataFrame, parts: int) -> DataFrame:
+    """MARKS of docs(doc_id, row, text). Shards and buckets exchange one packed row each, whatever documents they share."""
+    found = gathered(docs, parts).groupBy("shard").applyInPandas(lambda pdf: marked(pdf, parts), "bucket int, shard int, rows binary, counts binary, ranks binary, marks binary")
+    return found.groupBy("bucket").applyInPandas(merged, MARKS)
+
+
+def packed(batch: pa.RecordBatch, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of packed ones, and how many each row has."""
+    column = batch.column(batch.schema.get_field_index(name)).fill_null(b"").cast(pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = data[offs[0]:offs[-1]].to_pybytes() if data is not None else b""
+    return np.frombuffer(raw, kind), np.diff(offs) // np.dtype(kind).itemsize
+
+
+def applied(batch: pa.RecordBatch, doc: np.ndarray, code: np.ndarray, parts: int) -> np.ndarray:
+    """The mark of each anchor (document in the batch and code) of a batch with MARKS."""
     out = np.zeros(len(code), np.uint8)
-    shard = shard_of(code, parts)
-    order = np.argsort(shard, kind="stable")
-    own_shards = [m["shard"] for m in marks or ()]
-    lo, hi = (np.searchsorted(shard[order], own_shards, side) for side in ("left", "right"))
-    for m, a, b in zip(marks or (), lo, hi):
-        own = order[a:b]
-        at = own[np.frombuffer(m["ranks"], "<u4")]
-        out[at] = np.maximum(out[at], np.frombuffer(m["marks"], np.uint8))
+    shards_, n = packed(batch, "shards", "<u4")
+    if not len(shards_):
+        return out
+    counts, rank, value = (packed(batch, c, t)[0] for c, t in (("counts", "<u4"), ("ranks", "<u4"), ("marks", np.uint8)))
+    slot = doc * parts + shard_of(code, parts)
+    order = np.argsort(slot, kind="stable")
+    start = np.searchsorted(slot[order], np.repeat(np.arange(len(n)), n) * parts + shards_)
+    out[order[np.repeat(start, counts) + rank]] = value
     return out
 
 
@@ -289,25 +333,39 @@ class RunIndex:
 
 
 def covered_by_smaller(parts: pd.DataFrame) -> pd.DataFrame:
-    """Starts of the LENGTH bytes within the shard's surroundings that a smaller document's have too. Anchors with
-    different codes share none, so the shard is indexed in runs of about STRINGS strings that end between two codes."""
+    """Starts [start, stop) of the LENGTH bytes within the shard's surroundings that a smaller document's have too. Anchors
+    with different codes share none, so the shard is indexed in runs of about STRINGS strings that end between two codes.
+    A code's largest document is smaller than none and its smallest has none below: the one is not indexed, the other not
+    looked up."""
     parts = parts.sort_values("code", kind="stable")
     code, doc, row, begin = (parts[c].to_numpy(np.int64) for c in ("code", "doc_id", "row", "start"))
     strings = parts["around"].to_numpy()
-    last = np.append(np.flatnonzero(code[1:] != code[:-1]) + 1, len(code))  # ends of the codes
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    n = np.diff(np.append(first, len(code)))
+    low, high = (np.repeat(op.reduceat(doc, first), n) for op in (np.minimum, np.maximum))
+    kept, asked = np.flatnonzero(doc < high), np.flatnonzero(doc > low)
+    last = np.append(first[1:], len(code))  # ends of the codes
+    ends = np.searchsorted(kept, last)  # of their strings in the index
     out, at = [], 0
-    while at < len(code):
-        to = int(last[np.searchsorted(last, min(at + STRINGS, len(code)))])
-        _, one = np.unique(np.stack([code[at:to], doc[at:to], np.array([hash(s) for s in strings[at:to]])]), axis=1, return_index=True)
-        index = RunIndex(list(strings[at:to][one]), doc[at:to][one])
-        for lo in range(at, to, STRINGS):
-            own = slice(lo, min(lo + STRINGS, to))
+    while at < len(kept):
+        k = int(np.searchsorted(ends, min(at + STRINGS, len(kept))))
+        to = int(ends[k])
+        own = kept[at:to]
+        _, one = np.unique(np.stack([code[own], doc[own], np.array([hash(s) for s in strings[own]])]), axis=1, return_index=True)
+        index = RunIndex(list(strings[own][one]), doc[own][one])
+        lo, hi = np.searchsorted(asked, [first[np.searchsorted(last, own[0], "right")], last[k]])
+        for a in range(lo, hi, STRINGS):
+            own = asked[a:min(a + STRINGS, hi)]
             lengths, places = index.matching_statistics(list(strings[own]))
-            i, col = np.nonzero((lengths >= LENGTH) & (index.smallest[places] < doc[own, None]))
             size = np.array([len(s) for s in strings[own]])
-            out.append(pd.DataFrame({"row": row[own][i], "start": begin[own][i] + col - (lengths.shape[1] - size[i])}).drop_duplicates())
+            hit = (lengths >= LENGTH) & (index.smallest[places] < doc[own, None])
+            edge = np.diff(hit.astype(np.int8), axis=1, prepend=0, append=0)
+            i, start = np.nonzero(edge > 0)
+            _, stop = np.nonzero(edge < 0)
+            far = begin[own][i] - (lengths.shape[1] - size[i])
+            out.append(pd.DataFrame({"row": row[own][i], "start": far + start, "stop": far + stop}).drop_duplicates())
         at = to
-    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"row": np.zeros(0, np.int64), "start": np.zeros(0, np.int64)})
+    return pd.concat(out) if out else pd.DataFrame({"row": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "stop": np.zeros(0, np.int64)})
 
 
 def shared(docs: DataFrame, finish=None, schema: str = "doc_id bigint, row bigint, text string, spans array<array<bigint>>") -> DataFrame:
@@ -322,46 +380,35 @@ def shared(docs: DataFrame, finish=None, schema: str = "doc_id bigint, row bigin
     parts = shards(spark)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     usable = own.where(F.col("doc_id").isNotNull())
-    marks = stash(gathered(usable.select("doc_id", "row", "text"), parts).groupBy("shard").applyInPandas(marked, "row bigint, shard int, ranks binary, marks binary"))
-    marks = marks.groupBy("row").agg(F.collect_list(F.struct("shard", "ranks", "marks")).alias("marks"))
-    both = own.join(marks, "row", "left")
+    both = own.join(stash(marks(usable.select("doc_id", "row", "text"), parts)), "row", "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offs in steps(batches, "text", STEP_BYTES // 2):
             prefix = Prefix(buf)
             pos, code = anchors(prefix, offs)
             doc, lo, hi, _ = surroundings(prefix, offs, pos)
-            at = np.searchsorted(doc, np.arange(len(offs)))
-            found = batch.column(batch.schema.get_field_index("marks")).to_pylist()
-            pick = [at[d] + np.flatnonzero(applied(found[d], code[at[d]:at[d + 1]], parts) == TEXT) for d in range(len(found)) if found[d]]
-            pick = np.concatenate(pick) if pick else np.zeros(0, np.int64)
+            pick = np.flatnonzero(applied(batch, doc, code, parts) == TEXT)
             raw = buf.tobytes()
             yield pa.RecordBatch.from_arrays([
                 pa.array(shard_of(code[pick], parts).astype(np.int32)), pa.array(code[pick].view(np.int64)), ints(batch, "doc_id").take(pa.array(doc[pick])), ints(batch, "row").take(pa.array(doc[pick])),
                 pa.array(lo[pick] - offs[doc[pick]]), pa.array([raw[a:b] for a, b in zip(lo[pick], hi[pick])], pa.binary())], ["shard", "code", "doc_id", "row", "start", "around"])
 
     pieces = both.mapInArrow(texts, "shard int, code bigint, doc_id bigint, row bigint, start bigint, around binary")
-    partly = pieces.groupBy("shard").applyInPandas(covered_by_smaller, "row bigint, start bigint").groupBy("row").agg(F.collect_list("start").alias("starts"))
+    partly = pieces.groupBy("shard").applyInPandas(covered_by_smaller, "row bigint, start bigint, stop bigint").groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offs in steps(batches, "text", STEP_BYTES // 2):
             prefix = Prefix(buf)
             pos, code = anchors(prefix, offs)
             doc, lo, hi, _ = surroundings(prefix, offs, pos)
-            at = np.searchsorted(doc, np.arange(len(offs)))
-            found = batch.column(batch.schema.get_field_index("marks")).to_pylist()
-            starts = batch.column(batch.schema.get_field_index("starts")).to_pylist()
-            cover = np.zeros(len(buf) + 1, np.int64)
-            for d in range(len(found)):
-                if found[d]:
-                    full = at[d] + np.flatnonzero(applied(found[d], code[at[d]:at[d + 1]], parts) == FULL)
-                    full = full[hi[full] - lo[full] >= LENGTH]
-                    np.add.at(cover, lo[full], 1)
-                    np.add.at(cover, hi[full], -1)
-                if starts[d]:
-                    first = offs[d] + np.array(starts[d], np.int64)
-                    np.add.at(cover, first, 1)
-                    np.add.at(cover, first + LENGTH, -1)
+            full = np.flatnonzero(applied(batch, doc, code, parts) == FULL)
+            full = full[hi[full] - lo[full] >= LENGTH]
+            begin, end = [lo[full]], [hi[full]]
+            for name, ends, more in (("starts", begin, 0), ("stops", end, LENGTH - 1)):
+                column = batch.column(batch.schema.get_field_index(name))
+                n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                ends.append(np.repeat(offs[:-1], n) + column.flatten().to_numpy(zero_copy_only=False) + more)
+            cover = np.bincount(np.concatenate(begin), minlength=len(buf) + 1) - np.bincount(np.concatenate(end), minlength=len(buf) + 1)
             inside = np.cumsum(cover[:-1]) > 0
             out = [np.flatnonzero(np.diff(np.concatenate([[0], inside[a:b].view(np.int8), [0]]))).reshape(-1, 2).tolist() for a, b in zip(offs[:-1], offs[1:])]
             if finish is not None:
