@@ -210,6 +210,19 @@ def test_words_encode_as_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_cache_is_given_back_when_no_task_follows():
+    encode = packing.WordEncoder(word_vocabulary())
+    want = encode([b"some words, (again) some words"])
+    encode.rest(0.05)
+    encode.work()
+    encode.timer.join()
+    assert encode.cache and encode.parts
+    encode.rest(0.05)
+    encode.timer.join()
+    assert not encode.cache and not encode.parts
+    assert encode([b"some words, (again) some words"]) == want
+
+
 # --- passages
 
 def test_passages_of_copies_and_inserts(spark, docs, empty, clash):

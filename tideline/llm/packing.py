@@ -4,6 +4,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from tideline.llm.common import STEP_BYTES, byte_letters, ints, steps
 
 #: Word cache of a Python worker; it starts anew when it is full.
 CACHE_WORDS = 1_200_000
+#: Seconds without a task after which a worker gives its cache back, as workers live on into steps that have no use for it.
+IDLE_S = 3
 #: Words that normalise by lower-casing alone and that the tokenizer splits into their letters and their other characters.
 PLAIN = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, "
@@ -31,6 +34,22 @@ class WordEncoder:
 
         self.tokenizer, self.cache, self.parts = Tokenizer.from_file(path), {}, {}
         self.letters = dict(enumerate(byte_letters()))
+        self.timer: threading.Timer | None = None
+
+    def work(self) -> None:
+        """A task begins."""
+        if self.timer is not None:
+            self.timer.cancel()
+
+    def rest(self, seconds: float = IDLE_S) -> None:
+        """A task has ended."""
+        self.work()
+        self.timer = threading.Timer(seconds, self.forget)
+        self.timer.daemon = True
+        self.timer.start()
+
+    def forget(self) -> None:
+        self.cache, self.parts = {}, {}
 
     def part(self, text: str) -> bytes:
         """Ids of a piece that the pattern leaves whole."""
@@ -41,12 +60,12 @@ class WordEncoder:
         plain = PLAIN.fullmatch(raw.decode("utf-8").lower())
         if plain is None:
             return np.array(self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-        rest = plain[2]
-        if rest not in self.parts:
-            if len(self.parts) > 50_000:
-                self.parts.clear()
-            self.parts[rest] = self.part(rest) if rest else b""
-        return self.part(plain[1]) + self.parts[rest]
+        rest, parts = plain[2], self.parts
+        if rest not in parts:
+            if len(parts) > 50_000:
+                parts.clear()
+            parts[rest] = self.part(rest) if rest else b""
+        return self.part(plain[1]) + parts[rest]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
@@ -63,7 +82,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One per Python worker: tasks that follow find its cache warm; ids don't depend on it."""
+    """One per Python worker: tasks that follow at once find its cache warm; ids don't depend on it."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -178,13 +197,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...
             for at in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at:at + 2000]), kinds)], names)
 
-        for batch, buf, offs in steps(batches, "text", STEP_BYTES):
-            raw = buf.tobytes()
-            for doc, ids in zip(ints(batch, "doc_id").to_pylist(), encode([raw[a:b] for a, b in zip(offs, offs[1:])])):
-                packer.add(doc, ids + end)
-            packer.close()
+        encode.work()
+        try:
+            for batch, buf, offs in steps(batches, "text", STEP_BYTES):
+                raw = buf.tobytes()
+                for doc, ids in zip(ints(batch, "doc_id").to_pylist(), encode([raw[a:b] for a, b in zip(offs, offs[1:])])):
+                    packer.add(doc, ids + end)
+                packer.close()
+                yield from rows()
+            packer.finish()
             yield from rows()
-        packer.finish()
-        yield from rows()
+        finally:
+            encode.rest()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
