@@ -556,6 +556,22 @@ def test_similarity_without_pruning_sends_no_vector_to_every_cell(spark):
     assert {(r.a, r.b) for r in text.similar(d.where("id <= 100 OR id >= 110"), "id", "v", 0.35, block=150).collect()} == want
 
 
+def _unit_rows(n, dims, seed):
+    x = np.random.default_rng(seed).normal(size=(n, dims))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+@pytest.mark.parametrize("threshold, kw", [(0.35, {"block": 40}), (0.9, {"pivots": 4, "block": 20}), (0.9, {})])
+def test_similar_pairs_hold_copies_and_long_vectors(spark, threshold, kw):
+    x = _unit_rows(400, 8, 14)
+    x[50:90] = x[7]
+    x[100] *= 5  # its partners lie further away than those of unit vectors
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[7].tolist()), (400, None)], "id long, v array<float>")
+    y = x.astype(np.float64)
+    want = sorted((int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(y @ y.T >= threshold, 1))))
+    assert sorted((r.a, r.b) for r in text.similar(d, "id", "v", threshold, **kw).collect()) == want
+
+
 def test_feature_moments_shuffle_single_rows(spark):
     d = spark.createDataFrame([(float(k % 7), None if k % 4 == 0 else 1.0 * k) for k in range(100)] + [(1000.0, 1.0)], "a double, b double")
     m = aggregates.moments(d, ["a", "b"])

@@ -60,9 +60,9 @@ def unit(v: Column) -> Column:
 MAX_PIVOTS, PIVOT_SAMPLE = 4096, 16_384
 #: Rings of a cell that does not fit a block.
 RINGS = 32
-#: Entries of a matrix that a task holds at once; most vectors of a block where all block pairs are multiplied; and how many
-#: multiplied pairs of vectors take as long as a vector's copy.
-ENTRIES, WIDE_BLOCK, COPY = 1 << 21, 16_384, 256
+#: Entries of a matrix that a task holds at once; most vectors and bytes of a block where all block pairs are multiplied; and
+#: how many multiplied pairs of vectors take as long as a vector's copy.
+ENTRIES, WIDE_BLOCK, BLOCK_BYTES, COPY = 1 << 21, 16_384, 8 << 20, 256
 
 
 def _pivots(vectors: DataFrame, vec: str, k: int) -> np.ndarray:
@@ -83,84 +83,180 @@ def _distances(x: np.ndarray, piv: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (piv * piv).sum(1)[None] - 2 * x @ piv.T, 0))
 
 
-def _strips(pdf: pd.DataFrame, width: int):
-    """The rows in parts, as many at once as make ENTRIES entries with ``width`` columns."""
+def _strips(n: int, width: int):
+    """Slices of n rows, as many rows at once as make ENTRIES entries with ``width`` columns."""
     rows = max(1, ENTRIES // max(1, width))
-    for k in range(0, len(pdf), rows):
-        yield pdf.iloc[k:k + rows]
+    for k in range(0, n, rows):
+        yield slice(k, min(k + rows, n))
 
 
-def _block_pairs(rep: DataFrame, n: int, block: int, idt: str, threshold: float, counts: bool, work) -> DataFrame:
-    """Pairs or partner counts of all n rows of rep(_id, _m, _v): blocks of bounded size, every pair of them a product that
-    is made strip by strip."""
-    blocks = max(1, -(-n // min(WIDE_BLOCK, max(block, -(-n // 16)))))
-    b, k = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    both = rep.select("_id", "_m", "_v", b.alias("_b"), k.alias("_k")).select("_id", "_m", "_v", "_b", F.least("_b", "_k").alias("_p"), F.greatest("_b", "_k").alias("_q"))
+def _parts(pdf: pd.DataFrame, width: int):
+    for k in _strips(len(pdf), width):
+        yield pdf.iloc[k]
 
-    def multiply(batches):
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels (each node's root, a root is its own) after the edges a-b have joined their trees."""
+    while True:
+        x, y = label[a], label[b]
+        on = x != y
+        if not on.any():
+            return label
+        a, b, x, y = a[on], b[on], x[on], y[on]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
+
+
+SCHEMAS = {"pairs": "a {0}, b {0}, cosine double", "counts": "a {0}, partners long", "links": "a {0}, b {0}, core boolean"}
+
+
+def _packed(rep: DataFrame, blocks: int, idt: str, threshold: float, kind: str, dtype: type) -> DataFrame:
+    """A row for each block of rep(_id, _m, _v, _c), alone in its partition. For links it holds what each core row is joined to
+    inside the block."""
+    rows = rep.withColumn("_p", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
+
+    def pack(batches):
         pdf = pd.concat(list(batches), ignore_index=True)
-        p, q = int(pdf["_p"].iloc[0]), int(pdf["_q"].iloc[0])
-        h, g = pdf[pdf["_b"] == p], pdf[pdf["_b"] == q]
-        if h.empty or g.empty:
+        if pdf.empty:
             return
-        y, gid, gm = np.vstack(g["_v"].to_numpy()).astype(np.float64), g["_id"].to_numpy(), g["_m"].to_numpy()
-        theirs = np.zeros(len(g), "int64")
-        for part in _strips(h, len(g)):
-            hid = part["_id"].to_numpy()
+        x, core = np.vstack(pdf["_v"].to_numpy()).astype(dtype), pdf["_c"].to_numpy(bool)
+        root = np.arange(len(pdf), dtype="int32")
+        if kind == "links":
+            own, y = np.flatnonzero(core), x[core].astype(np.float64)
+            for k in _strips(len(own), len(own)):
+                i, j = np.nonzero(y[k] @ y.T >= threshold)
+                root = _merged(root, own[i + k.start], own[j])
+        yield pd.DataFrame({"_p": [int(pdf["_p"].iloc[0])], "_ids": [pdf["_id"].to_numpy()], "_ms": [pdf["_m"].to_numpy("int64").tobytes()], "_vs": [x.tobytes()], "_cs": [core.tobytes()], "_rs": [root.tobytes()]})
+
+    return cut_lineage(rows.repartitionById(blocks, "_p").mapInPandas(pack, f"_p int, _ids array<{idt}>, _ms binary, _vs binary, _cs binary, _rs binary"))
+
+
+def _block_pairs(rep: DataFrame, n: int, dim: int, block: int, idt: str, threshold: float, kind: str, work) -> DataFrame:
+    """What `_matches` returns, of all n rows of rep: blocks of bounded size, every pair of them a product that is made strip
+    by strip. Each block is written once, and the task of a pair reads its two: no vector is copied through a shuffle."""
+    dtype = np.float64 if dict(rep.dtypes)["_v"] == "array<double>" else np.float32
+    width = min(WIDE_BLOCK, max(block, -(-n // 16)), max(1, BLOCK_BYTES // max(1, dim * np.dtype(dtype).itemsize)))
+    packed = _packed(rep, max(1, -(-n // width)), idt, threshold, kind, dtype)
+    other = packed.select(*[F.col(c).alias(f"q{c}") for c in packed.columns])
+
+    def unpacked(ids, ms, vs, cs, rs):
+        ids = np.asarray(ids)
+        return ids, np.frombuffer(ms, "int64"), np.frombuffer(vs, dtype).reshape(len(ids), -1).astype(np.float64), np.frombuffer(cs, bool), np.frombuffer(rs, "int32")
+
+    def multiply(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False, name=None):
+                yield from {"pairs": pairs, "counts": counts, "links": links}[kind](unpacked(*r[1:6]), unpacked(*r[7:]), r[0] == r[6])
+
+    def strips(x, y):
+        for k in _strips(len(x), len(y)):
             if work is not None:
-                work.add(len(part) * len(g))
-            s = np.vstack(part["_v"].to_numpy()).astype(np.float64) @ y.T
-            i, j = np.nonzero(s >= threshold)
-            keep = hid[i] < gid[j] if p == q else slice(None)
+                work.add((k.stop - k.start) * len(y))
+            i, j = np.divmod(np.flatnonzero((s := x[k] @ y.T).ravel() >= threshold), len(y))
+            yield i + k.start, j, s[i, j]
+
+    def pairs(one, two, same):
+        hid, gid = one[0], two[0]
+        for i, j, cosine in strips(one[2], two[2]):
+            keep = hid[i] < gid[j] if same else slice(None)
+            i, j = i[keep], j[keep]
+            yield pd.DataFrame({"a": np.minimum(hid[i], gid[j]), "b": np.maximum(hid[i], gid[j]), "cosine": cosine[keep]})
+
+    def counts(one, two, same):
+        ours, theirs = np.zeros(len(one[0]), "int64"), np.zeros(len(two[0]), "int64")
+        for i, j, _ in strips(one[2], two[2]):
+            keep = one[0][i] < two[0][j] if same else slice(None)
             i, j = i[keep], j[keep]
-            if counts:
-                own = np.bincount(i, gm[j], len(part)).astype("int64")
-                theirs += np.bincount(j, part["_m"].to_numpy()[i], len(g)).astype("int64")
-                yield pd.DataFrame({"a": hid[own > 0], "partners": own[own > 0]})
-            else:
-                yield pd.DataFrame({"a": np.minimum(hid[i], gid[j]), "b": np.maximum(hid[i], gid[j]), "cosine": s[i, j]})
-        if counts:
-            yield pd.DataFrame({"a": gid[theirs > 0], "partners": theirs[theirs > 0]})
+            ours += np.bincount(i, two[1][j], len(ours)).astype("int64")
+            theirs += np.bincount(j, one[1][i], len(theirs)).astype("int64")
+        for ids, found in ((one[0], ours), (two[0], theirs)):
+            yield pd.DataFrame({"a": ids[found > 0], "partners": found[found > 0]})
+
+    def links(one, two, same):
+        (hid, _, x, ours, hr), (gid, _, y, theirs, gr) = one, two
+        if same:  # the block's own trees are known
+            up = np.flatnonzero(hr != np.arange(len(hr)))
+            yield pd.DataFrame({"a": hid[up], "b": hid[hr[up]], "core": True})
+        ids, roots = np.concatenate([hid, gid]), np.concatenate([hr, gr + len(hr)]).astype("int64")
+        label = np.arange(len(ids))
+        rows = np.flatnonzero(~ours) if same else np.arange(len(hid))
+        for i, j, _ in strips(x[rows], y):
+            i = rows[i]
+            both, left, right = ours[i] & theirs[j], ~ours[i] & theirs[j], ours[i] & ~theirs[j]
+            label = _merged(label, roots[i[both]], roots[j[both] + len(hr)])
+            yield pd.DataFrame({"a": np.concatenate([hid[i[left]], gid[j[right]]]), "b": np.concatenate([gid[j[left]], hid[i[right]]]), "core": False})
+        up = np.flatnonzero(label != np.arange(len(ids)))
+        yield pd.DataFrame({"a": ids[up], "b": ids[label[up]], "core": True})
+
+    both = packed.hint("shuffle_replicate_nl").join(other, F.col("_p") <= F.col("q_p"))
+    return both.mapInPandas(multiply, SCHEMAS[kind].format(idt))
+
 
-    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return multiply(batches)
+def _collapsed(d: DataFrame, ident: str) -> DataFrame:
+    """Equal vectors as one row with a multiplicity."""
+    return cut_lineage(d.groupBy("_v").agg(F.min(ident).alias("_id"), F.count(F.lit(1)).alias("_m")).select("_id", "_m", "_v", F.lit(False).alias("_c")))
 
-    return both.groupBy("_p", "_q").applyInPandas(grouped, f"a {idt}, partners long" if counts else f"a {idt}, b {idt}, cosine double")
+
+def _vectors(vectors: DataFrame, vec: str) -> DataFrame:
+    double = dict(vectors.dtypes)[vec] == "array<double>"
+    return vectors.where(F.col(vec).isNotNull()).withColumn("_v", F.col(vec).cast("array<double>" if double else "array<float>"))
 
 
 def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots: int | None = None, block: int = 2048, counts: bool = False, work=None) -> DataFrame:
-    """Exact pairs (a < b, cosine >= threshold) of unit vectors, or with ``counts`` the number of
+    """Exact pairs (a < b, cosine >= threshold) of vectors, copies among them, or with ``counts`` the number of
     such partners per row. ``work``, an accumulator, counts the multiplied pairs.
 
-    Equal vectors are first collapsed to one with a multiplicity. Each vector then goes to the cell
+    For counts, equal vectors are first collapsed to one with a multiplicity; pairs are those of all rows, so each row
+    stands for itself. Rows without an id are in no pair. The rest is done by `_matches`."""
+    d = _vectors(vectors, vec)
+    if not counts:
+        rows = d.where(F.col(ident).isNotNull()).select(F.col(ident).alias("_id"), F.lit(1).cast("long").alias("_m"), "_v", F.lit(False).alias("_c"))
+        return _matches(cut_lineage(rows), threshold, pivots, block, "pairs", work)
+    rep = _collapsed(d, ident)
+    n = _matches(rep, threshold, pivots, block, "counts", work).groupBy("a").agg(F.sum("partners").alias("_p")).withColumnRenamed("a", "_id")
+    per = rep.join(n, "_id", "left").select("_v", (F.coalesce("_p", F.lit(0)) + F.col("_m") - 1).cast("long").alias("neighbours"))
+    return d.join(per, "_v").select(ident, "neighbours")
+
+
+def _matches(rep: DataFrame, threshold: float, pivots: int | None, block: int, kind: str, work=None) -> DataFrame:
+    """Of the rows of rep(_id, _m, _v, _c) with a product of `threshold` or more: all pairs, for each row the sum of its
+    partners' _m ("counts"), or "links": trees that connect the core rows (_c) as all their pairs do, and all pairs of a
+    row that is no core (a) with one that is (b). Trees are as many rows as nodes for each product, whatever its pairs.
+
+    Each vector goes to the cell
     of its nearest pivot, and as a guest to every cell it can still reach by the triangle inequality:
     a partner in cell j needs d(x, pivot_j) - d(x, own pivot) <= 2*eps, and d(x, pivot_j) <= the
-    cell's radius + eps. There are as many pivots as the root of the number of vectors (MAX_PIVOTS at
+    cell's radius + eps. The longest vector sets eps, which is the largest distance of partners. There are as many pivots as the
+    root of the number of vectors (MAX_PIVOTS at
     most). Cells are cut into rings by the distance to their pivot, which are blocks of bounded size;
     only block pairs whose rings lie within eps of each other are multiplied as matrices, so no cell,
     however full, sits in one task and only true partners are emitted. Pivots and blocks only
     prune: any number gives the same result. Where the cells would prune too little to be worth their copies (counted
     before any is made, unless ``pivots`` is given), all pairs of blocks are multiplied."""
-    d = vectors.where(F.col(vec).isNotNull()).withColumn("_v", F.col(vec).cast("array<float>"))
-    rep = cut_lineage(d.groupBy("_v").agg(F.min(ident).alias("_id"), F.count(F.lit(1)).alias("_m")))
     piv = _pivots(rep, "_v", pivots or min(MAX_PIVOTS, max(16, math.isqrt(rep.count()))))
     if len(piv) == 0:
         piv = np.zeros((1, 1))
-    eps = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    idt = vectors.schema[ident].dataType.simpleString()
+    idt, vt = dict(rep.dtypes)["_id"], dict(rep.dtypes)["_v"]
 
     def homes(batches):
         for pdf in batches:
-            for part in _strips(pdf, len(piv)):
-                dist = _distances(np.vstack(part["_v"].to_numpy()).astype(np.float64), piv)
+            for part in _parts(pdf, len(piv)):
+                x = np.vstack(part["_v"].to_numpy()).astype(np.float64)
+                dist = _distances(x, piv)
                 home = dist.argmin(1)
-                yield part.assign(_hc=home.astype("int32"), _d=dist[np.arange(len(part)), home])
+                yield part.assign(_hc=home.astype("int32"), _d=dist[np.arange(len(part)), home], _q=(x * x).sum(1))
 
-    rep_type = f"_id {idt}, _m long, _v array<float>"
-    at_home = cut_lineage(rep.select("_id", "_m", "_v").mapInPandas(homes, f"{rep_type}, _hc int, _d double"))
-    cells = at_home.groupBy("_hc").agg(F.count(F.lit(1)).alias("_size"), F.max("_d").alias("_radius"))
+    rep_type = f"_id {idt}, _m long, _v {vt}, _c boolean"
+    at_home = cut_lineage(rep.select("_id", "_m", "_v", "_c").mapInPandas(homes, f"{rep_type}, _hc int, _d double, _q double"))
+    cells = at_home.groupBy("_hc").agg(F.count(F.lit(1)).alias("_size"), F.max("_d").alias("_radius"), F.max("_q").alias("_q"))
     known = {r["_hc"]: r for r in cells.collect()}  # one row per pivot
     radius = np.array([known[j]["_radius"] if j in known else -1.0 for j in range(len(piv))])
+    square = max((r["_q"] for r in known.values()), default=1.0)
+    eps = float(np.sqrt(max(0.0, 2 * square - 2 * threshold))) + 1e-6 * max(1.0, math.sqrt(square))
 
     def reached(x, home, own):
         """Distances to the pivots, and the cells a vector goes to."""
@@ -172,22 +268,16 @@ def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots:
     def guests(batches):
         n = np.zeros(len(piv), "int64")
         for pdf in batches:
-            for part in _strips(pdf, len(piv)):
+            for part in _parts(pdf, len(piv)):
                 n += reached(np.vstack(part["_v"].to_numpy()).astype(np.float64), part["_hc"].to_numpy(), part["_d"].to_numpy())[1].sum(0)
         yield pd.DataFrame({"_hc": np.arange(len(piv), dtype="int32"), "_n": n})
 
-    def counted(found):
-        n = found.groupBy("a").agg(F.sum("partners").alias("_p")).withColumnRenamed("a", "_id")
-        per = rep.join(n, "_id", "left").select("_v", (F.coalesce("_p", F.lit(0)) + F.col("_m") - 1).cast("long").alias("neighbours"))
-        return d.join(per, "_v").select(ident, "neighbours")
-
     if pivots is None:
         n = sum(r["_size"] for r in known.values())
         visits = {r["_hc"]: r["_n"] for r in at_home.select("_v", "_hc", "_d").mapInPandas(guests, "_hc int, _n long").groupBy("_hc").agg(F.sum("_n").alias("_n")).collect()}  # one row per pivot
         by_cells = sum(r["_size"] * visits[j] for j, r in known.items()) + COPY * sum(visits.values())
-        if by_cells >= n * n / 2 + COPY * n * -(-n // WIDE_BLOCK):
-            found = _block_pairs(rep, n, block, idt, threshold, counts, work)
-            return counted(found) if counts else found
+        if by_cells >= n * n / 2 + COPY * n:
+            return _block_pairs(rep, n, piv.shape[1], block, idt, threshold, kind, work)
     # ring edges of each cell: as many as its size needs; equal distances share a ring, which a hash cuts further
     full = {j: int(-(-r["_size"] // block)) for j, r in known.items()}
     edges = {}
@@ -199,7 +289,7 @@ def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots:
 
     def place(batches):
         for pdf in batches:
-            for part in _strips(pdf, len(piv) * 16):
+            for part in _parts(pdf, len(piv) * 16):
                 yield placed_part(part)
 
     def placed_part(pdf):
@@ -210,7 +300,7 @@ def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots:
         ring[home[i] == j] = [np.searchsorted(edges.get(int(c), nothing), v) for c, v in zip(home[i[home[i] == j]], own[i[home[i] == j]])]
         low = np.array([np.searchsorted(edges.get(int(c), nothing), v - eps) for c, v in zip(j, dist[i, j])], "int32")
         high = np.array([np.searchsorted(edges.get(int(c), nothing), v + eps) for c, v in zip(j, dist[i, j])], "int32")
-        return pd.DataFrame({"_id": pdf["_id"].to_numpy()[i], "_m": pdf["_m"].to_numpy()[i], "_v": pdf["_v"].to_numpy()[i], "_cell": j.astype("int32"), "_home": home[i] == j,
+        return pd.DataFrame({"_id": pdf["_id"].to_numpy()[i], "_m": pdf["_m"].to_numpy()[i], "_v": pdf["_v"].to_numpy()[i], "_c": pdf["_c"].to_numpy()[i], "_cell": j.astype("int32"), "_home": home[i] == j,
                              "_hc": home[i].astype("int32"), "_ring": ring, "_low": low, "_high": high})
 
     placed = cut_lineage(at_home.mapInPandas(place, f"{rep_type}, _cell int, _home boolean, _hc int, _ring int, _low int, _high int"))
@@ -219,15 +309,14 @@ def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots:
     # a host block meets the guest blocks of the rings within eps; block pairs are tasks
     rings = filled.select("_cell", F.col("_ring").alias("_r"), F.col("_nb").alias("_n"))
     host = placed.where("_home").join(F.broadcast(rings), "_cell").where(F.col("_r").between(F.col("_low"), F.col("_high")))
-    host = host.select("_cell", F.col("_ring").alias("_hr"), F.col("_b").alias("_hb"), F.col("_r").alias("_gr"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_gb"), F.lit(1).alias("_side"), "_id", "_m", "_v", "_hc")
+    host = host.select("_cell", F.col("_ring").alias("_hr"), F.col("_b").alias("_hb"), F.col("_r").alias("_gr"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_gb"), F.lit(1).alias("_side"), "_id", "_m", "_v", "_c", "_hc")
     guest = placed.join(F.broadcast(rings), "_cell").where(F.col("_r").between(F.col("_low"), F.col("_high")))
-    guest = guest.select("_cell", F.col("_r").alias("_hr"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_hb"), F.col("_ring").alias("_gr"), F.col("_b").alias("_gb"), F.lit(0).alias("_side"), "_id", "_m", "_v", "_hc")
+    guest = guest.select("_cell", F.col("_r").alias("_hr"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_hb"), F.col("_ring").alias("_gr"), F.col("_b").alias("_gb"), F.lit(0).alias("_side"), "_id", "_m", "_v", "_c", "_hc")
     both = host.unionByName(guest)
-    out_schema = f"a {idt}, partners long" if counts else f"a {idt}, b {idt}, cosine double"
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         h, g = pdf[pdf["_side"] == 1], pdf[pdf["_side"] == 0]
-        cols = ["a", "partners"] if counts else ["a", "b", "cosine"]
+        cols = [c.split()[0] for c in SCHEMAS[kind].split(", ")]
         if h.empty or g.empty:
             return pd.DataFrame([], columns=cols)
         x, y = np.vstack(h["_v"].to_numpy()).astype(np.float64), np.vstack(g["_v"].to_numpy()).astype(np.float64)
@@ -236,9 +325,18 @@ def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots:
             work.add(len(x) * len(y))
         s = x @ y.T
         hit = (s >= threshold) & (hid[:, None] != gid[None, :])
-        if counts:
+        if kind == "counts":
             n = (hit * gm[None, :]).sum(1)
             return pd.DataFrame({"a": hid[n > 0], "partners": n[n > 0]})
+        if kind == "links":
+            ours, theirs = h["_c"].to_numpy(bool), g["_c"].to_numpy(bool)
+            ids, node = np.unique(np.concatenate([hid, gid]), return_inverse=True)
+            i, j = np.nonzero(hit & ours[:, None] & theirs[None, :])
+            label = _merged(np.arange(len(ids)), node[i], node[j + len(hid)])
+            up = np.flatnonzero(label != np.arange(len(ids)))
+            i, j = np.nonzero(hit & ~ours[:, None] & theirs[None, :])
+            k, m = np.nonzero(hit & ours[:, None] & ~theirs[None, :])
+            return pd.DataFrame({"a": np.concatenate([ids[up], hid[i], gid[m]]), "b": np.concatenate([ids[label[up]], gid[j], hid[k]]), "core": np.arange(len(up) + len(i) + len(k)) < len(up)})
         # a pair whose homes differ is met in both home cells; keep it in the lower one's
         ghc, hc = g["_hc"].to_numpy(), h["_hc"].to_numpy()
         hit &= (hc[:, None] < ghc[None, :]) | ((hc[:, None] == ghc[None, :]) & (hid[:, None] < gid[None, :]))
@@ -246,8 +344,7 @@ def similar(vectors: DataFrame, ident: str, vec: str, threshold: float, pivots:
         a, b = np.minimum(hid[i], gid[j]), np.maximum(hid[i], gid[j])
         return pd.DataFrame({"a": a, "b": b, "cosine": s[i, j]})
 
-    found = both.groupBy("_cell", "_hr", "_hb", "_gr", "_gb").applyInPandas(multiply, out_schema)
-    return counted(found) if counts else found
+    return both.groupBy("_cell", "_hr", "_hb", "_gr", "_gb").applyInPandas(multiply, SCHEMAS[kind].format(idt))
 
 
 def trust(df: DataFrame, weights: dict[str, float] | None = None, default: float = 0.5) -> Column:
