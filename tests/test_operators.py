@@ -572,6 +572,41 @@ def test_similar_pairs_hold_copies_and_long_vectors(spark, threshold, kw):
     assert sorted((r.a, r.b) for r in text.similar(d, "id", "v", threshold, **kw).collect()) == want
 
 
+def _dbscan(x, cosine, least):
+    """Labels by the definition."""
+    hit = x @ x.T >= cosine
+    np.fill_diagonal(hit, True)
+    core = hit.sum(1) >= least
+    label = np.where(core, np.arange(len(x)), len(x))
+    while True:
+        new = np.where(core, np.where(hit & core[None, :], label[None, :], len(x)).min(1), label)
+        if (new == label).all():
+            break
+        label = new
+    near = np.where(hit & core[None, :], label[None, :], len(x)).min(1)
+    return np.where(near == len(x), -1, near).tolist()
+
+
+@pytest.mark.parametrize("cosine, block", [(0.6, 30), (0.6, 2048), (0.95, 2048)])
+def test_density_clusters_write_no_pairs(spark, monkeypatch, cosine, block):
+    centres = _unit_rows(12, 8, 15)
+    x = np.vstack([centres[np.arange(600) % 12] + 0.12 * np.random.default_rng(16).normal(size=(600, 8)), _unit_rows(100, 8, 17)])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x[20:30] = x[3]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    own, written = text._matches, {}
+
+    def matches(rep, threshold, pivots, _, kind, work=None):
+        written[kind] = own(rep, threshold, pivots, block, kind, work)
+        return written[kind]
+
+    monkeypatch.setattr(text, "_matches", matches)
+    got = {r.id: r.cluster_id for r in text.dbscan(d, "id", "v", cosine, 4).collect()}
+    assert [got[i] for i in range(700)] == _dbscan(x.astype(np.float64), cosine, 4)
+    pairs = int(np.triu(x.astype(np.float64) @ x.astype(np.float64).T >= cosine, 1).sum())
+    assert cosine == 0.95 or written["links"].count() < pairs / 4
+
+
 def test_feature_moments_shuffle_single_rows(spark):
     d = spark.createDataFrame([(float(k % 7), None if k % 4 == 0 else 1.0 * k) for k in range(100)] + [(1000.0, 1.0)], "a double, b double")
     m = aggregates.moments(d, ["a", "b"])

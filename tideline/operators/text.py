@@ -380,18 +380,19 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> Data
 def dbscan(vectors: DataFrame, ident: str, vec: str, cosine: float, min_samples: int) -> DataFrame:
     """Density clusters of unit vectors (eps as a cosine): core rows joined through near pairs, the
     rest attached to the smallest neighbouring cluster or noise (-1). Equal vectors count with
-    their multiplicity and share one label."""
-    d = vectors.where(F.col(vec).isNotNull()).select(ident, F.col(vec).cast("array<float>").alias("_v"))
-    rep = cut_lineage(d.groupBy("_v").agg(F.min(ident).alias("id"), F.count(F.lit(1)).alias("m")))
-    pairs = cut_lineage(similar(rep.select("id", "_v"), "id", "_v", cosine))
-    sides = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    m = rep.select(F.col("id").alias("b"), "m")
-    near = sides.join(m, "b").groupBy("a").agg(F.sum("m").alias("_k")).withColumnRenamed("a", "id")
-    core = cut_lineage(rep.join(near, "id", "left").where(F.coalesce("_k", F.lit(0)) + F.col("m") >= min_samples).select("id"))
-    ce = sides.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    lab = components(ce, core)
-    edge = sides.join(lab.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("_l")).withColumnRenamed("a", "id")
-    full = rep.select("id", "_v").join(lab, "id", "left").join(edge, "id", "left").select("_v", F.coalesce("label", "_l", F.lit(-1)).cast("long").alias("cluster_id"))
+    their multiplicity and share one label.
+
+    Near pairs are not written: one pass counts them, a second one keeps trees of what connects core rows and the
+    pairs of other rows, which are fewer than ``min_samples`` each."""
+    d = _vectors(vectors.select(ident, vec), vec).select(ident, "_v")
+    rep = _collapsed(d, ident)
+    near = _matches(rep, cosine, None, 2048, "counts").groupBy("a").agg(F.sum("partners").alias("_k")).withColumnRenamed("a", "_id")
+    rep = cut_lineage(rep.drop("_c").join(near, "_id", "left").select("_id", "_m", "_v", (F.coalesce("_k", F.lit(0)) + F.col("_m") >= min_samples).alias("_c")))
+    links = cut_lineage(_matches(rep, cosine, None, 2048, "links"))
+    core = rep.where("_c").select(F.col("_id").alias("id"))
+    lab = components(links.where("core"), core)
+    edge = links.where("not core").join(lab.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("_l")).withColumnRenamed("a", "id")
+    full = rep.select(F.col("_id").alias("id"), "_v").join(lab, "id", "left").join(edge, "id", "left").select("_v", F.coalesce("label", "_l", F.lit(-1)).cast("long").alias("cluster_id"))
     return d.join(full, "_v").select(ident, "cluster_id")
 
 
