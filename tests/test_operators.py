@@ -556,6 +556,24 @@ def test_similarity_without_pruning_sends_no_vector_to_every_cell(spark):
     assert {(r.a, r.b) for r in text.similar(d.where("id <= 100 OR id >= 110"), "id", "v", 0.35, block=150).collect()} == want
 
 
+def test_exact_sums_do_not_depend_on_the_order(spark):
+    parts = {"a": [0.1, 0.2, 0.3], "b": [0.3, 0.2, 0.1], "c": [0.3, 0.3], "d": [0.6, None], "nan": [0.6, float("nan")], "big": [1e30, 1.0], "none": [None]}
+    d = spark.createDataFrame([(k, x) for k, xs in parts.items() for x in xs], "k string, x double")
+    got = {r.k: r.x for r in d.groupBy("k").agg(aggregates.exact_sum("x").alias("x")).collect()}
+    assert [got[k] for k in "abcd"] == [0.6] * 4 and got["nan"] != got["nan"] and got["big"] == 1e30 and got["none"] is None
+
+
+def test_quintiles_of_equal_sums_go_by_symbol(spark, tmp_path):
+    day = pd.Timestamp("2024-01-05")
+    parts = [[0.1, 0.2, 0.3], [0.3, 0.2, 0.1], [0.3, 0.3], [0.6], [0.2, 0.2, 0.2]]
+    rows = [(i, day.to_pydatetime(), u, "view", x, None) for i, (u, x) in enumerate((u, x) for u, xs in enumerate(parts) for x in xs)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    import __spark_entry__ as entry
+
+    got = {r.symbol: r.quintile for r in entry.queries()["W13_quintiles_per_month"](spark, str(tmp_path)).collect()}
+    assert got == {str(u): u + 1 for u in range(5)}
+
+
 def _unit_rows(n, dims, seed):
     x = np.random.default_rng(seed).normal(size=(n, dims))
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)

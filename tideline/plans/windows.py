@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators import cross, scan
+from tideline.operators import aggregates, cross, scan
 from tideline.operators import timeseries as ts
 from tideline.plans import views as v
 from tideline.plans.registry import query, rnd, rsql
@@ -128,8 +128,8 @@ def _(t):
 r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY x, symbol) - 1 AS k, count(*) OVER (PARTITION BY month) AS n FROM m)
 SELECT symbol, month, CAST(floor(k * 5.0 / n) AS BIGINT) + 1 AS quintile FROM r""")
 def _(t):
-    m = v.user_daily(t).groupBy("symbol", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month")).agg(
-        F.sum("quote_volume").alias("x"))
+    m = v.ticks(t, "user_id").groupBy("symbol", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month")).agg(
+        aggregates.exact_sum("price").alias("x"))
     return cross.buckets(m, ["month"], "x", 5, "quintile").select("symbol", "month", "quintile")
 
 
