@@ -156,6 +156,19 @@ def test_ordered_rows_need_one_timer_for_many_hours():
     assert handle.timers == [3_600_000] and handle.states["waiting"].calls < 4
 
 
+def test_many_books_share_the_calls_of_one_key():
+    handle = _Handle()
+    p = jobs.GridRebalance("1970-01-01")
+    p.init(handle)
+    day = 86_400_000_000
+    for asset, at in (("x", 0), ("y", 8 * day)):
+        rows = pd.DataFrame({"book": range(500), "at": at, "event_id": range(500), "asset": asset, "value": 1.0})
+        list(p.handleInputRows((3,), iter([rows[:200], rows[200:]]), handle))
+    out = pd.concat(list(p.handleExpiredTimer((3,), handle, None)))
+    assert len(out) == 1000 and set(zip(out["period"], out["assets"])) == {(0, 1), (1, 2)} and out.groupby("book").size().eq(2).all()
+    assert handle.timers == [3_600_000, 8 * 86_400_000 + 3_600_000] and sum(s.calls for s in handle.states.values()) < 10
+
+
 def test_keyed_results_leave_in_parts():
     handle, n = _Handle(), 20_000
     p = jobs.RunningSpend()

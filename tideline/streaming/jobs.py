@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import bisect
+import pickle
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -147,42 +148,56 @@ def outcomes(stream: DataFrame, hours: int, delay: str, tolerance_s: int = 3600,
 
 
 class _Ordered(StatefulProcessor):
-    """Handles a key's rows in time order whatever the micro-batch they come in: rows wait in a list state until an
+    """Handles rows in time order whatever the micro-batch they come in: rows wait in a list state until an
     event-time timer, at the end of their hour, says that no earlier one can come. A key needs one timer, for its earliest
-    hour: it handles all hours that have ended by then at once."""
+    hour: it handles all hours that have ended by then at once. A key holds many books, and its rows wait as a few packed
+    arrays: a call of the state costs as much as thousands of rows."""
 
-    row_schema = "at long, event_id long, asset string, value double"
+    columns_in = ["book", "at", "event_id", "asset", "value"]
     step_ms = 3_600_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.waiting = handle.getListState("waiting", "rows binary")
 
-    def due(self, row: tuple) -> int:
-        return (row[0] // 1000 // self.step_ms + 1) * self.step_ms
+    def due(self, at):
+        return (at // 1000 // self.step_ms + 1) * self.step_ms
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [r for pdf in rows for r in pdf[[c.split()[0] for c in self.row_schema.split(", ")]].itertuples(index=False, name=None)]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(min(map(self.due, new)))
+        packed, earliest = [], []
+        for pdf in rows:
+            pdf = pdf if "book" in pdf else pdf.assign(book=key[0])  # a key of one book
+            if len(pdf):
+                packed.append((pickle.dumps([pdf[c].to_numpy() for c in self.columns_in]),))
+                earliest.append(int(pdf["at"].min()))
+        if packed:
+            self.waiting.appendList(packed)
+            self.handle.registerTimer(self.due(min(earliest)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        ready, later = [r for r in rows if self.due(r) <= now], [r for r in rows if self.due(r) > now]
-        if later:
-            if ready:
-                self.waiting.put(later)
-            self.handle.registerTimer(self.due(later[0]))
+        parts = [pickle.loads(x) for (x,) in self.waiting.get()] if self.waiting.exists() else []
+        if not parts:
+            return
+        book, at, event_id, asset, value = rows = [np.concatenate(x) for x in zip(*parts)]
+        ready = self.due(at) <= now
+        if not ready.all():
+            if ready.any():
+                self.waiting.put([(pickle.dumps([x[~ready] for x in rows]),)])
+            self.handle.registerTimer(self.due(int(at[~ready].min())))
         else:
             self.waiting.clear()
-        out = list(self.steps(key, ready)) if ready else []
+        if not ready.any():
+            return
+        order = np.lexsort((value, pd.factorize(asset, sort=True)[0], event_id, at, book))
+        order = order[ready[order]]
+        out = list(self.steps(*(x[order] for x in rows)))
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
-    def steps(self, key, rows: list[tuple]) -> Iterator[tuple]:
-        """What the rows, in order, make; the state is read and written once."""
+    def steps(self, book, at, event_id, asset, value) -> Iterator[tuple]:
+        """What the rows, ordered by book and time, make; the state is read and written once."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -191,8 +206,8 @@ class _Ordered(StatefulProcessor):
 
 class GridRebalance(_Ordered):
     """First row of each period rebalances the book to equal weights of all assets seen; a missed grid day is caught up,
-    never re-anchored. The map state holds each asset's last price and, since the last rebalance, its weight and price
-    then; the turnover is measured against the weights as they have drifted."""
+    never re-anchored. The state holds of each book its last period and of each of its assets the last price and, since the last
+    rebalance, its weight and price then; the turnover is measured against the weights as they have drifted."""
 
     columns = ["book", "event_id", "period", "catch_up", "assets", "turnover"]
 
@@ -201,38 +216,40 @@ class GridRebalance(_Ordered):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.period = handle.getValueState("period", "period long")
-        self.held = handle.getMapState("held", "asset string", "price double, weight double, base double")
-
-    def steps(self, key, rows):
-        held = {k[0]: tuple(v) for k, v in self.held.iterator()} if self.held.exists() else {}
-        was, done = dict(held), self.period.get()[0] if self.period.exists() else None
-        last = done
-        for at, event_id, asset, value in rows:
-            weight, base = held.get(asset, (0.0, 0.0, value))[1:]
-            held[asset] = (value, weight, base)
-            day = at // (86_400 * MICROS) - self.anchor
-            period = day // self.days
-            if last is not None and period <= last:
-                continue
-            drift = {k: w * price / b for k, (price, w, b) in held.items()}
-            total = sum(drift.values()) or 1.0
-            target = 1.0 / len(held)
-            turnover = sum(abs(target - d / total) for d in drift.values())
-            held = {k: (price, target, price) for k, (price, _, _) in held.items()}
-            last = period
-            yield key[0], event_id, period, day % self.days != 0, len(held), turnover
-        for k, v in held.items():
-            if was.get(k) != v:
-                self.held.updateValue((k,), v)
-        if last != done:
-            self.period.update((last,))
+        self.books = handle.getValueState("books", "held binary")
+
+    def steps(self, book, at, event_id, asset, value):
+        books = pickle.loads(self.books.get()[0]) if self.books.exists() else {}
+        days = at // (86_400 * MICROS) - self.anchor
+        first = np.flatnonzero(np.concatenate([[True], book[1:] != book[:-1]]))
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(book)]):
+            own = book[lo].item()
+            last, held = books.get(own, (None, {}))
+            for k, day, price, name in zip(range(lo, hi), days[lo:hi].tolist(), value[lo:hi].tolist(), asset[lo:hi]):
+                weight, base = held[name][1:] if name in held else (0.0, price)
+                held[name] = (price, weight, base)
+                period = day // self.days
+                if last is not None and period <= last:
+                    continue
+                drift = {k: w * now / b for k, (now, w, b) in held.items()}
+                total = sum(drift.values()) or 1.0
+                target = 1.0 / len(held)
+                turnover = sum(abs(target - d / total) for d in drift.values())
+                held = {k: (now, target, now) for k, (now, _, _) in held.items()}
+                last = period
+                yield own, event_id[k].item(), period, day % self.days != 0, len(held), turnover
+            books[own] = (last, held)
+        self.books.update((pickle.dumps(books),))
+
+
+#: Keys that the books of a stream are dealt to.
+BOOK_KEYS = 1024
 
 
 def rebalances(stream: DataFrame, anchor: str, delay: str, days: int = 7) -> DataFrame:
-    """stream(book, ts, event_id, asset, value) as one row for each rebalance of a book."""
-    d = stream.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
-    return d.groupBy("book").transformWithStateInPandas(GridRebalance(anchor, days), "book long, event_id long, period long, catch_up boolean, assets long, turnover double", "Append", "eventTime")
+    """stream(book, ts, event_id, asset, value) as one row for each rebalance of a book. Rows without a book or time make none."""
+    d = stream.where("book is not null and ts is not null").withWatermark("ts", delay).withColumn("at", F.unix_micros("ts")).withColumn("part", F.pmod(F.xxhash64("book"), F.lit(BOOK_KEYS)).cast("int"))
+    return d.groupBy("part").transformWithStateInPandas(GridRebalance(anchor, days), "book long, event_id long, period long, catch_up boolean, assets long, turnover double", "Append", "eventTime")
 
 
 class Staleness(StatefulProcessor):
