@@ -257,6 +257,30 @@ def test_near_passages_are_connected_whatever_leads(spark):
     assert sum((3 * k + 1, 3 * k + 2) in linked for k in range(60)) >= 58  # 0.2 ** 4 of such pairs share no minimum
 
 
+def test_passages_are_found_between_documents_that_others_connect(spark):
+    """Triples as above, where A shares another passage word for word with B, and one with C."""
+    rng = np.random.default_rng(13)
+    fresh = lambda n: [f"f{w}" for w in rng.integers(0, 1 << 40, n)]
+    rows = []
+    for k in range(60):
+        passage, one, two = fresh(100), fresh(70), fresh(70)
+        for j, (edits, more) in enumerate((((12, 37, 62, 87), one + fresh(30) + two), ((31,), one), ((66,), two))):
+            rows.append((3 * k + j, " ".join([f"x{k}.{j}.{at}" if at in edits else w for at, w in enumerate(passage)] + fresh(60) + more)))
+    found = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    pairs = {(r["source_doc_id"], r["doc_id"]) for r in found if r["start"] < 40 and r["end"] > 60 and r["source_start"] < 40}
+    assert sum((3 * k + 1, 3 * k + 2) in pairs for k in range(60)) >= 58
+    assert {(3 * k, 3 * k + j) for k in range(60) for j in (1, 2)} <= {(r["source_doc_id"], r["doc_id"]) for r in found}
+    assert len(found) == len({(r["doc_id"], r["source_doc_id"], r["start"], r["end"], r["source_start"]) for r in found})
+
+
+def test_prints_leave_room_for_a_passage():
+    rng = np.random.default_rng(14)
+    one, two = (rng.integers(0, 1 << 16, 6000).astype(np.uint16) for _ in range(2))
+    assert compact_windows.common([one, two])[0, 1] > 400 and not compact_windows.room(one, two, 46, 0.88)
+    two[3000:3046] = one[100:146]
+    assert compact_windows.room(one, two, 46, 0.88)
+
+
 def test_common_counts_elements_of_every_pair():
     lists = [np.array(x, np.uint16) for x in ([1, 1, 2], [1, 3], [4], [])]
     assert compact_windows.common(lists).tolist() == [[3, 2, 0, 0], [1, 2, 0, 0], [0, 0, 1, 0], [0, 0, 0, 0]]
